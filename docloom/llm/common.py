@@ -55,6 +55,9 @@ _GRAM = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(
 _pow: list[np.ndarray] = []
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Between words [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+ (letters, digits, all beyond ASCII).
+MARKS = np.zeros(256, bool)
+MARKS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
@@ -96,10 +99,10 @@ def chunks(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, n
         i = j
 
 
-def word_spans(data: np.ndarray, starts_of_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+, and per row its first word
-    (one more entry closes the last). A row's end also ends a word."""
-    space = SPACE[data]
+def word_spans(data: np.ndarray, starts_of_rows: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are not `between`), and per
+    row its first word (one more entry closes the last). A row's end ends a word."""
+    space = between[data]
     inside = ~space
     begin = inside.copy()
     begin[1:] &= space[:-1]
@@ -134,3 +137,23 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out += words[j : j + m] * _GRAM[j]
     return mix(out)
+
+
+def appended(docs: DataFrame, fields: list[tuple[str, str, pa.DataType]], score, keep: list[str]) -> DataFrame:
+    """`keep` columns of docs and new ones that `score(text column)` returns as a list
+    of Arrow arrays, in `fields` (name, SQL type, Arrow type)."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_docloom_text"))
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)]] + [f"`{n}` {t}" for n, t, _ in fields])
+    names = [*keep, *[f[0] for f in fields]]
+
+    def run(batches):
+        for batch in batches:
+            new = score(batch.column(len(keep)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, f[2]) for c, f in zip(new, fields, strict=True)]], names=names)
+
+    return kept.mapInArrow(run, ddl)
+
+
+def sampled(key: Column, share: Column | float) -> Column:
+    """True for about that share of keys, the same keys each time."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30)) < (F.lit(float(1 << 30)) * share)

@@ -1,8 +1,12 @@
 """The corpus queries, and their SQL where SQL can state them."""
 
+from docloom.llm.packing import op4_best_two_fit
+from docloom.llm.toxicity import op3_toxicity_ftrl
 from docloom.llm.token_files import op2_token_files
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_toxicity_ftrl": op3_toxicity_ftrl,
+    "op4_best_two_fit": op4_best_two_fit,
 }
 ORACLE_SQL: dict[str, str] = {}
