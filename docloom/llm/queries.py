@@ -1,12 +1,20 @@
 """The corpus queries, and their SQL where SQL can state them."""
 
+from docloom.llm.language import op8_language_ecoc
 from docloom.llm.packing import op4_best_two_fit
+from docloom.llm.sharding import op7_two_pass_shuffle
 from docloom.llm.toxicity import op3_toxicity_ftrl
 from docloom.llm.token_files import op2_token_files
+from docloom.llm.topk import OP6_SQL, op6_top_k
 
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_toxicity_ftrl": op3_toxicity_ftrl,
     "op4_best_two_fit": op4_best_two_fit,
+    "op6_top_k": op6_top_k,
+    "op7_two_pass_shuffle": op7_two_pass_shuffle,
+    "op8_language_ecoc": op8_language_ecoc,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_top_k": OP6_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
