@@ -1,5 +1,6 @@
 """The corpus queries, and their SQL where SQL can state them."""
 
+from docloom.llm.jaccard import op10_jaccard_trie
 from docloom.llm.language import op8_language_ecoc
 from docloom.llm.packing import op4_best_two_fit
 from docloom.llm.sharding import op7_two_pass_shuffle
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_top_k": op6_top_k,
     "op7_two_pass_shuffle": op7_two_pass_shuffle,
     "op8_language_ecoc": op8_language_ecoc,
+    "op10_jaccard_trie": op10_jaccard_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_top_k": OP6_SQL,
