@@ -1,5 +1,6 @@
 """The corpus queries, and their SQL where SQL can state them."""
 
+from docloom.llm.decontaminate import OP5_SQL, op5_winnowing
 from docloom.llm.jaccard import op10_jaccard_trie
 from docloom.llm.language import op8_language_ecoc
 from docloom.llm.packing import op4_best_two_fit
@@ -12,11 +13,13 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_toxicity_ftrl": op3_toxicity_ftrl,
     "op4_best_two_fit": op4_best_two_fit,
+    "op5_winnowing": op5_winnowing,
     "op6_top_k": op6_top_k,
     "op7_two_pass_shuffle": op7_two_pass_shuffle,
     "op8_language_ecoc": op8_language_ecoc,
     "op10_jaccard_trie": op10_jaccard_trie,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op5_winnowing": OP5_SQL,
     "op6_top_k": OP6_SQL,
 }
