@@ -107,7 +107,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int
     long_keys = prints(bench.filter(F.size("_w") >= window), "_w", k=k, w=w, short=[])
     for n in short:
         long_keys = long_keys.unionByName(prints(bench.filter(F.size("_w") == n), "_w", k=k, w=w, short=[n]))
-    keys = staged(long_keys.select("item_id", F.explode("prints").alias("p")).select("item_id", "p.*"), "prints")
+    # explode_outer: for a plain explode Spark adds a filter that computes `prints` twice
+    keys = long_keys.select("item_id", F.explode_outer("prints").alias("p")).select("item_id", "p.*").filter(F.col("f").isNotNull())
+    keys = staged(keys, "prints")
     n_keys = keys.count()
     table, test = bitmap_test(keys, n_keys, most_bits)
     texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_t"), word_list(F.col("text")).alias("_w"))
