@@ -3,6 +3,7 @@
 from docloom.llm.decontaminate import OP5_SQL, op5_winnowing
 from docloom.llm.jaccard import op10_jaccard_trie
 from docloom.llm.language import op8_language_ecoc
+from docloom.llm.lm import op1_gru_lm
 from docloom.llm.packing import op4_best_two_fit
 from docloom.llm.sharding import op7_two_pass_shuffle
 from docloom.llm.toxicity import op3_toxicity_ftrl
@@ -10,6 +11,7 @@ from docloom.llm.token_files import op2_token_files
 from docloom.llm.topk import OP6_SQL, op6_top_k
 
 QUERIES = {
+    "op1_gru_lm": op1_gru_lm,
     "op2_token_files": op2_token_files,
     "op3_toxicity_ftrl": op3_toxicity_ftrl,
     "op4_best_two_fit": op4_best_two_fit,
