@@ -8,6 +8,7 @@ from docloom.llm.packing import op4_best_two_fit
 from docloom.llm.sharding import op7_two_pass_shuffle
 from docloom.llm.toxicity import op3_toxicity_ftrl
 from docloom.llm.token_files import op2_token_files
+from docloom.llm.threads import OP9_SQL, op9_quotation_links
 from docloom.llm.topk import OP6_SQL, op6_top_k
 
 QUERIES = {
@@ -19,9 +20,11 @@ QUERIES = {
     "op6_top_k": op6_top_k,
     "op7_two_pass_shuffle": op7_two_pass_shuffle,
     "op8_language_ecoc": op8_language_ecoc,
+    "op9_quotation_links": op9_quotation_links,
     "op10_jaccard_trie": op10_jaccard_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_winnowing": OP5_SQL,
     "op6_top_k": OP6_SQL,
+    "op9_quotation_links": OP9_SQL,
 }
