@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 #: The suffixes of each kind of input.
 SUFFIXES = {"images": (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".gif"), "pages": (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp"), "documents": (".pdf", ".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp", ".gif")}
 #: How files of each image type start (hexadecimal).
-SIGNATURES = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "gif": "474946383", "bmp": "424D", "tiff-le": "49492A00", "tiff-be": "4D4D002A", "riff": "52494646", "pdf": "25504446"}
+SIGNATURES = {"jpeg": "FFD8FF", "png": "89504E470D0A1A0A", "gif": "47494638", "bmp": "424D", "tiff-le": "49492A00", "tiff-be": "4D4D002A", "riff": "52494646", "pdf": "25504446"}
 REASON = T.StructType([T.StructField("id", T.StringType()), T.StructField("split", T.StringType()), T.StructField("num_images", T.IntegerType())])
 
 
@@ -25,7 +25,7 @@ def files(spark: SparkSession, path: str, kind: str = "images", recursive: bool
 def decodable(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files that start like an image or PDF, and the rejected rest."""
     head = F.hex(F.substring("content", 1, 8))
-    known = F.coalesce(F.lit(False) | sum((F.startswith(head, F.lit(s)).cast("int") for s in SIGNATURES.values()), F.lit(0)) > 0, F.lit(False))
+    known = F.coalesce(F.exists(F.array(*map(F.lit, SIGNATURES.values())), lambda s: F.startswith(head, s)), F.lit(False))
     return images.filter(known), images.filter(~known).select("path", "length", F.lit("unknown signature").alias("reason"))
 
 
