@@ -60,6 +60,15 @@ def around(words: str, grams: str, i: Column, n: int, reach: int, kind: int) ->
     return F.struct(F.lit(kind).alias("kind"), F.get(F.col(grams), i).alias("f"), i.alias("at"), F.reverse(F.slice(x, i - left + 1, left)).alias("before"), F.slice(x, i + 1, F.lit(n + reach)).alias("rest"))
 
 
+def all_seen(grams: str, seen) -> Column:
+    g = F.col(grams)
+    return F.when(F.size(g) > 0, F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: seen(F.get(g, i))))
+
+
+def whole_run(words: str, n: int):
+    return lambda i: around(words, f"_g{n}", i, n, 0, n)
+
+
 def prints(table: DataFrame, words: str, *, k: int, w: int, short: list[int], seen=None) -> DataFrame:
     """Add `prints`: the chosen k-grams of each text, and all runs of the lengths in
     `short`; `seen` is a test that hashes must pass first."""
@@ -69,11 +78,9 @@ def prints(table: DataFrame, words: str, *, k: int, w: int, short: list[int], se
     places = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: seen(F.get(g, i)) & is_least("_g", i, w))
     table = table.withColumn("_p", F.when(F.size(g) >= w, places))
     parts = [F.coalesce(F.transform("_p", lambda i: around(words, "_g", i, k, w - 1, 0)), F.array())]
-    for n in short:
-        table = table.withColumn(f"_g{n}", run_hashes("_h", n))
-        gn = F.col(f"_g{n}")
-        table = table.withColumn(f"_p{n}", F.when(F.size(gn) > 0, F.filter(F.sequence(F.lit(0), F.size(gn) - 1), lambda i, gn=gn: seen(F.get(gn, i)))))
-        parts.append(F.coalesce(F.transform(f"_p{n}", lambda i, n=n: around(words, f"_g{n}", i, n, 0, n)), F.array()))
+    for n in short:  # the helpers bind n: a lambda's second parameter would be the index
+        table = table.withColumn(f"_g{n}", run_hashes("_h", n)).withColumn(f"_p{n}", all_seen(f"_g{n}", seen))
+        parts.append(F.coalesce(F.transform(f"_p{n}", whole_run(words, n)), F.array()))
     return table.withColumn("prints", F.concat(*parts)).drop("_h", "_g", "_p", *[f"_{x}{n}" for x in "gp" for n in short])
 
 
