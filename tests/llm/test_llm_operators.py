@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -472,7 +473,7 @@ def test_sql_of_queries(spark):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         want, got = c.sql(sql).df(), QUERIES[name](spark, d).toPandas()
-        one = lambda v: "null" if v is None or v != v else str(round(float(v), 5)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
+        one = lambda v: "null" if pd.isna(v) else str(round(float(v), 5)) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
         key = lambda f: sorted(tuple(map(one, r)) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
         assert key(got) == key(want), name
 
