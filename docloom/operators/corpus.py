@@ -163,3 +163,49 @@ def output_names(files: DataFrame, name: str = "name") -> DataFrame:
     stem = F.regexp_replace(F.col(name), r"\.[^.]*$", "")
     n = F.count("*").over(Window.partitionBy(F.lower(stem)))
     return files.withColumn("out_name", F.when(n > 1, F.concat(F.col(name), F.lit(".md"))).otherwise(F.concat(stem, F.lit(".md"))))
+
+
+def within_page_cap(pages: DataFrame, most: int, doc: str = "doc_id") -> DataFrame:
+    """Pages of documents that have at most `most` of them."""
+    return pages.withColumn("_n", F.count("*").over(Window.partitionBy(doc))).filter(F.col("_n") <= most).drop("_n")
+
+
+def template_problem(text: Column) -> Column:
+    """Why a text is no template: it must be JSON, an object, and not empty."""
+    v = F.try_parse_json(text)
+    return F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object").when(v.cast("string") == "{}", "empty")
+
+
+def template_fields(leaf_rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Leaf table to the fields a template asks for: an array of plain values is one
+    field, empty containers are fields."""
+    parent = F.regexp_extract("path", r"^(.*?)\[\d+\]$", 1)
+    inside = F.regexp_extract("path", r"^(.*?)\[\d+\]", 1)
+    rows = leaf_rows.select(key, "path", parent.alias("_p"), inside.alias("_i"))
+    mixed = F.max(F.when(F.col("_p") == "", 1).otherwise(0)).over(Window.partitionBy(key, "_i"))
+    return rows.withColumn("_m", mixed).select(key, F.when((F.col("_p") != "") & (F.col("_m") == 0), F.col("_p")).otherwise(F.col("path")).alias("path")).distinct()
+
+
+def document_counters(pages: DataFrame, doc: str = "doc_id", text: str = "text", seconds: str = "seconds", tokens: str = "tokens") -> DataFrame:
+    """Pages, characters, completion tokens and seconds per document."""
+    return pages.groupBy(doc).agg(F.count("*").alias("pages"), F.sum(F.length(text)).alias("characters"), F.sum(tokens).alias("tokens"), F.sum(seconds).alias("seconds"))
+
+
+def content_chunks(parts: DataFrame, key: str, order: str, images: str, texts: str) -> DataFrame:
+    """Per key one content array: of each document in order, its images, then its texts."""
+    none = F.lit(None).cast("string")
+    one = F.concat(F.transform(images, lambda x: F.struct(F.lit("image").alias("type"), none.alias("text"), x.alias("image"))), F.transform(texts, lambda x: F.struct(F.lit("text").alias("type"), x.alias("text"), none.alias("image"))))
+    rows = parts.select(key, F.col(order).alias("_o"), one.alias("_c")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_o", "_c"))).alias("_l"))
+    return rows.select(key, F.flatten(F.transform("_l", lambda x: x["_c"])).alias("content"))
+
+
+def with_substitutes(rows: DataFrame, good: Column, key: str, seed: int) -> DataFrame:
+    """Every bad row is replaced by a good one that the seed and its key choose: bad and
+    good rows meet on a hash place; rows without good rows to choose from are dropped."""
+    marked = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
+    fine = numbered(marked.filter("_good"), key, "_place")
+    n = fine.count()
+    others = [c for c in rows.columns if c != key]
+    chosen = fine.select("_place", F.struct(*others).alias("_r"), F.col(key).alias("used_key"))
+    bad = marked.filter("NOT _good").select(key, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(max(n, 1))).alias("_place"))
+    return fine.select(*rows.columns, F.col(key).alias("used_key")).unionByName(bad.join(chosen, "_place").select(key, "_r.*", "used_key"))

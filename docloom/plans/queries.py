@@ -358,6 +358,51 @@ def cleaned_distinct(spark, d):
     return docs.groupBy(F.sha2(t.collapse_space(F.col("text")), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
+@query("SELECT o_orderkey, o_custkey FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n <= 9")
+def page_cap(spark, d):
+    return corpus.within_page_cap(fx.table(spark, d, "orders").select("o_orderkey", "o_custkey"), 9, "o_custkey")
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 1 THEN 'not JSON' WHEN 2 THEN 'not an object' WHEN 3 THEN 'empty' END AS problem FROM orders")
+def template_checks(spark, d):
+    k = F.col("o_orderkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}"))).when(k % 4 == 1, "{").when(k % 4 == 2, "[1]").otherwise("{}")
+    return fx.table(spark, d, "orders").select(k.alias("id"), corpus.template_problem(text).alias("problem"))
+
+
+@query("SELECT o_orderkey AS doc_id, unnest(['id', 'tags', 'empty', 'rows[0].a', 'rows[1].b']) AS path FROM orders")
+def template_fields(spark, d):
+    k = F.col("o_orderkey")
+    o = fx.table(spark, d, "orders").select(k.alias("doc_id"), F.concat(F.lit('{"id": "integer", "tags": ["a", "b", '), k.cast("string"), F.lit('], "empty": {}, "rows": [{"a": 1}, {"b": 2}]}')).alias("json"))
+    return corpus.template_fields(kie.leaves(o, "json", max_depth=3))
+
+
+@query("SELECT conv_id AS doc_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(turn + 1) AS BIGINT) AS tokens, CAST(sum(turn * 2) AS BIGINT) AS seconds FROM conversations GROUP BY 1")
+def document_counters(spark, d):
+    c = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "text", (F.col("turn") * 2).alias("seconds"), (F.col("turn") + 1).alias("tokens"))
+    return corpus.document_counters(c)
+
+
+@query("SELECT conv_id, CAST(2 * count(*) AS BIGINT) AS parts, string_agg('img' || turn || '|' || text, '|' ORDER BY turn) AS joined FROM conversations GROUP BY 1")
+def content_chunks(spark, d):
+    c = fx.table(spark, d, "conversations").select("conv_id", "turn", F.array(F.concat(F.lit("img"), F.col("turn").cast("string"))).alias("images"), F.array("text").alias("texts"))
+    out = corpus.content_chunks(c, "conv_id", "turn", "images", "texts")
+    return out.select("conv_id", F.size("content").cast("bigint").alias("parts"), F.array_join(F.transform("content", lambda x: F.coalesce(x["text"], x["image"])), "|").alias("joined"))
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (quality = 1) AS kept FROM labels")
+def stable_substitutes(spark, d):
+    rows = corpus.with_substitutes(fx.table(spark, d, "labels").select("doc_id", "quality"), F.col("quality") == 1, "doc_id", 4)
+    return rows.agg(F.count("*").alias("rows"), F.count_if((F.col("quality") == 1) & (F.col("doc_id") == F.col("used_key"))).alias("kept"))
+
+
+@query("SELECT 'train' AS split, count(*) AS rows, min(n_chars) AS shortest, list_sort(list(n_chars))[CAST(count(*) // 2 + 1 AS INTEGER)] AS median, max(n_chars) AS longest FROM documents")
+def joint_length_summary(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", "n_chars")
+    both = docs.filter("doc_id % 2 = 0").unionByName(docs.filter("doc_id % 2 = 1")).withColumn("split", F.lit("train"))
+    return corpus.length_summary(both, "split", "n_chars")
+
+
 # ---------------------------------------------------------------- layout
 
 
