@@ -1,8 +1,13 @@
 """Exact n-gram Jaccard join by prefix trees, and the components of its links.
 
 1. Every text becomes its set of 64-bit shingle hashes. Equal sets form one class,
-   joined through one representative.
-2. Sets are ordered globally: a fixed table of 2^20 counters over all texts says how
+   joined through one representative. A linked text shares at least s of its
+   elements with one other text, so texts of which fewer elements occur anywhere
+   else leave at once: shingles, shortened to some bits, are sent as sorted runs to
+   regions of their range, and the regions send back how many of each text's
+   elements another text holds too. This runs over all texts, then once more over
+   the representatives of those that stay.
+2. The sets that stay are ordered globally: a fixed table of 2^20 counters over all texts says how
    often the hashes of a cell occur; rare cells come first, then the hash. The order
    decides only the work: results are the same for any order.
 3. Two sets with similarity s share one of the first n - ceil(s n) + 1 elements.
@@ -25,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import appended, chunks, gram_hashes, mix, slots, staged, word_hashes, word_spans
+from docloom.llm.common import chunks, gram_hashes, mix, slots, small_batches, staged, word_hashes, word_spans
 from docloom.llm.graph import components
 
 CELL_BITS, PART_BITS = 20, 14
@@ -69,11 +75,8 @@ def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            held = []
             for s in shingle_sets(batch.column(0), n):
-                held.append(s)
-            if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
+                np.add.at(total, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         if total.any():
             yield pa.RecordBatch.from_pydict({"part": list(range(parts)), "counts": [zlib.compress(x.tobytes(), 1) for x in total.reshape(parts, -1)]})
 
@@ -205,39 +208,132 @@ def ordered(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.sort(numbers[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int = 1 << 20) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, high, low (two sums that
+    name the set; null for an empty one) and shared, how many of its shingles occur in
+    another row too (shortened to `bits` bits, which may only raise the number)."""
+    import zstandard
+
+    wide = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
+    ddl = "region long, chunk long, data binary, doc_id long, row long, n_shingles long, high long, low long"
+    cut = np.uint64(64 - bits)
+
+    def packed(x: np.ndarray) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+
+    def unpacked(b: bytes, kind) -> np.ndarray:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+        return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+    def send(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        ids, sets, size = [], [], 0
+
+        def chunk_rows():
+            counts = np.array([len(s) for s in sets], np.int64)
+            high = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
+            low = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
+            m = len(sets)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number % regions)), pa.array(np.full(m, number)), pa.nulls(m, pa.binary()), pa.array(ids, pa.int64()), pa.array(np.arange(m)), pa.array(counts), pa.array(high, pa.int64()), pa.array(low, pa.int64())], schema=wide)
+            value = np.concatenate(sets) >> cut
+            owner = np.repeat(np.arange(m), counts)
+            order = np.argsort(value, kind="stable")
+            value, owner = value[order], owner[order]
+            region = (value.astype(np.float64) * (regions / 2.0**bits)).astype(np.int64)
+            at = np.searchsorted(region, np.arange(regions + 1))
+            for r in range(regions):
+                v, o = value[at[r] : at[r + 1]], owner[at[r] : at[r + 1]]
+                if len(v):
+                    steps = packed(np.diff(v, prepend=np.uint64(0)))
+                    data = len(steps).to_bytes(4, "little") + steps + packed(o.astype(np.uint32))
+                    yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([number]), pa.array([data], pa.binary()), *[pa.nulls(1, pa.int64())] * 5], schema=wide)
+
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for k, s in enumerate(shingle_sets(batch.column(1), n)):
+                ids.append(keys[k]), sets.append(s)
+                size += len(s)
+                if size >= chunk:
+                    yield from chunk_rows()
+                    number += 1
+                    ids, sets, size = [], [], 0
+        if ids:
+            yield from chunk_rows()
+
+    def compare(table):
+        known = table.filter(pa.compute.is_null(table.column("data")))
+        given = table.filter(pa.compute.is_valid(table.column("data")))
+        numbers, values, owners = [], [], []
+        for c, data in zip(given.column("chunk").to_pylist(), given.column("data").to_pylist(), strict=True):
+            k = 4 + int.from_bytes(data[:4], "little")
+            numbers.append(c)
+            values.append(np.cumsum(unpacked(data[4:k], np.uint64), dtype=np.uint64))
+            owners.append(unpacked(data[k:], np.uint32))
+        out = []
+        if values:
+            all_values = np.sort(np.concatenate(values))
+            twice = np.unique(all_values[1:][all_values[1:] == all_values[:-1]])
+            for c, v, o in zip(numbers, values, owners, strict=True):
+                if len(twice):
+                    at = np.searchsorted(twice, v)
+                    at[at == len(twice)] = 0
+                    rows = np.bincount(o[twice[at] == v])
+                    if rows.any():
+                        out.append((c, packed(rows.astype(np.uint32))))
+        found = pa.table([pa.array([-1] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 5], schema=wide)
+        return pa.concat_tables([known, found])
+
+    def add(key, table):
+        parts = [unpacked(b, np.uint32) for b in table.column("data").to_pylist()]
+        total = np.zeros(max(map(len, parts)), np.int64)
+        for p in parts:
+            total[: len(p)] += p
+        row = np.flatnonzero(total)
+        return pa.table({"chunk": np.full(len(row), key[0].as_py()), "row": row, "shared": total[row]})
+
+    rows = docs.select("doc_id", "text").mapInArrow(send, ddl)
+    made = staged(rows.groupBy("region").applyInArrow(compare, ddl), "shared")
+    counts = made.filter("data is not null").groupBy("chunk").applyInArrow(add, "chunk long, row long, shared long")
+    known = made.filter("data is null").select("chunk", "row", "doc_id", "n_shingles", "high", "low")
+    return staged(known.join(counts.hint("shuffle_merge"), ["chunk", "row"], "left").select("doc_id", "n_shingles", "high", "low", F.coalesce("shared", F.lit(0)).alias("shared")), "sets")
+
+
+def of_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (a written table), with its columns;
+    ids are broadcast only if they are few."""
+    few = ids.count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "doc_id")
+
+
 def similar_components(docs: DataFrame, *, n: int = 5, percent: int = 80, tile_elements: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
+    with small_batches(docs.sparkSession):  # all that reads texts runs in here
+        return _similar_components(docs, n, percent, tile_elements, broadcast_rows)
+
+
+def _similar_components(docs: DataFrame, n: int, percent: int, tile_elements: int, broadcast_rows: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n_rows = docs.count()
+    bits = min(60, max(32, n_rows.bit_length() + 17))  # about 2^11 shingles a text, and 2^-7 by chance
+    enough = F.col("shared") * 100 >= F.col("n_shingles") * percent
+    named = shared_elements(docs, n, max(slots(spark), n_rows // 20_000), bits)
+    staying = named.filter(enough & F.col("high").isNotNull() & F.col("doc_id").isNotNull())
+    classes = staged(staying.groupBy("high", "low").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n")), "classes")
+    first = of_ids(docs, staged(classes.select(F.col("cls").alias("doc_id")).distinct(), "ids"), broadcast_rows)
+    again = shared_elements(first, n, slots(spark), bits).filter(enough & F.col("high").isNotNull())
+    docs = of_ids(docs, staged(again.select("doc_id").distinct(), "ids"), broadcast_rows)
     sent = spark.sparkContext.broadcast(cell_counts(docs, n))  # 2^20 numbers
     shift = np.uint64(64 - CELL_BITS)
 
-    def digest(texts):
-        size, high, low, heads = [], [], [], []
-        for s in shingle_sets(texts, n):
-            size.append(len(s))
-            if not len(s):
-                high.append(None), low.append(None), heads.append(None)
-                continue
-            # two independent 64-bit sums of mixed elements name the set
-            high.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-            low.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-            order = np.lexsort((s, sent.value[(s >> shift).astype(np.int64)]))
-            heads.append(s[order[: prefix_length(len(s), percent)]].view(np.int64))
-        return [size, high, low, heads]
-
-    fields = [("n_shingles", "bigint", pa.int64()), ("high", "bigint", pa.int64()), ("low", "bigint", pa.int64()), ("head", "array<bigint>", pa.list_(pa.int64()))]
-    rows = staged(appended(docs, fields, digest, ["doc_id"]), "heads")
-    named = rows.select("doc_id", "n_shingles", "high", "low")
-    classes = staged(named.filter("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n")), "classes")
-    heads = rows.filter("high is not null and doc_id is not null").groupBy("high", "low").agg(F.min_by("head", "doc_id").alias("head"), F.min("doc_id").alias("doc_id"))
-
     def forest(tokens: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each token once with its smallest owner; and an edge from every other
         owner of a token to that one, each edge once."""
         order = np.lexsort((owners, tokens))
         tokens, owners = tokens[order], owners[order]
-        new = np.concatenate(([True], tokens[1:] != tokens[:-1]))
+        new = np.concatenate(([True], tokens[1:] != tokens[:-1]))[: len(tokens)]
         at = np.flatnonzero(new)
         first = owners[at[np.cumsum(new) - 1]]
         other = first != owners
@@ -250,15 +346,19 @@ def similar_components(docs: DataFrame, *, n: int = 5, percent: int = 80, tile_e
         """Tokens with one owner per batch, so that a token of very many owners
         leaves a task as few rows."""
         for batch in batches:
-            lists = batch.column(0)
-            if not len(lists):
-                continue
-            offsets = lists.offsets.to_numpy()
-            owners = np.repeat(batch.column(1).to_numpy(), np.diff(offsets))
-            token, owner, a, b = forest(lists.values.to_numpy()[offsets[0] : offsets[-1]], owners)
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(owner), pa.nulls(len(token), pa.int64())], names=names)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a ^ b), pa.array(a), pa.array(b)], names=names)
+            keys = batch.column(0).to_numpy()
+            heads, owners, size = [], [], 0
+            for k, s in enumerate(shingle_sets(batch.column(1), n)):
+                order = np.lexsort((s, sent.value[(s >> shift).astype(np.int64)]))
+                heads.append(s[order[: prefix_length(len(s), percent)]].view(np.int64))
+                owners.append(np.full(len(heads[-1]), keys[k]))
+                size += len(heads[-1])
+                if size > 1 << 20 or k == len(keys) - 1:
+                    token, owner, a, b = forest(np.concatenate(heads), np.concatenate(owners))
+                    yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(owner), pa.nulls(len(token), pa.int64())], names=names)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a ^ b), pa.array(a), pa.array(b)], names=names)
+                    heads, owners, size = [], [], 0
 
     def meet(batches):
         """Tokens come sorted; the last token's owner is carried from batch to batch."""
@@ -279,7 +379,7 @@ def similar_components(docs: DataFrame, *, n: int = 5, percent: int = 80, tile_e
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    met = heads.select("head", "doc_id").mapInArrow(spread, "token long, a long, b long").repartition(slots(spark), "token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long")
+    met = docs.select("doc_id", "text").mapInArrow(spread, "token long, a long, b long").repartition(slots(spark), "token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long")
     near = components(met)
     # blocks of two classes or more, cut into tiles where they hold too many elements
     near = near.join(classes.select(F.col("cls").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")).hint("shuffle_hash"), "node")
