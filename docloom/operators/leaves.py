@@ -10,31 +10,20 @@ def leaves(docs: DataFrame, json: str, key: str = "doc_id", *, root: str = "", k
     """(key, path, type, value): one row per leaf of the JSON text `json`.
 
     Scalars and nulls are leaves; empty containers are too with `keep_empty`. A path
-    reads a.b[0] after `root`. Each level is one variant_explode; a nesting deeper than
+    reads a.b[0] after `root`. The levels are one chain of variant_explode_outer, which
+    hands leaves through, so documents are read and parsed once. A nesting deeper than
     max_depth raises, so nothing is cut off silently. Text that is no JSON has no leaf."""
-    level = docs.select(F.col(key).alias(key), F.lit(root).alias("path"), F.try_parse_json(F.col(json)).alias("v")).filter(F.col("v").isNotNull())
-    found = []
-    kind = F.schema_of_variant("v")
-    for depth in range(max_depth + 1):
-        typed = level.withColumn("t", kind).withColumn("box", F.col("t").rlike("^(OBJECT|ARRAY)<"))
-        empty = F.col("box") & F.col("v").cast("string").isin("{}", "[]")
-        leaf = typed.filter(~F.col("box") | empty)
-        if not keep_empty:
-            leaf = leaf.filter(~F.col("box"))
-        found.append(leaf.select(key, "path", F.when(F.col("box"), F.col("v").cast("string")).otherwise(F.col("t")).alias("type"), F.col("v").cast("string").alias("value")))
-        deeper = typed.filter(F.col("box") & ~empty).select(key, "path", "v")
-        if depth == max_depth:
-            deep = deeper.select(key, F.lit("").alias("path"), F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")).cast("string").alias("type"), F.lit("").alias("value"))
-            found.append(deep)
-            break
-        exploded = deeper.lateralJoin(docs.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        name = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), F.col("key"))))
-        # columns of the function: pos, key, value
-        level = exploded.select(deeper[key].alias(key), name.alias("path"), F.col("value").alias("v"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    rows = docs.select(F.col(key).alias("_k"), F.lit(root).alias("path"), F.try_parse_json(F.col(json)).alias("v")).filter(F.col("v").isNotNull())
+    for _ in range(max_depth):
+        inner = rows.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        step = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        rows = inner.select("_k", F.when(F.col("value").isNull(), F.col("path")).otherwise(step).alias("path"), F.coalesce("value", "v").alias("v"))
+    kind, text = F.schema_of_variant("v"), F.col("v").cast("string")
+    rows = rows.select("_k", "path", kind.alias("t"), text.alias("value")).withColumn("box", F.col("t").rlike("^(OBJECT|ARRAY)<"))
+    deep = F.col("box") & ~F.col("value").isin("{}", "[]")
+    stop = F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")).cast("string")
+    rows = rows.select(F.col("_k").alias(key), "path", F.when(deep, stop).when(F.col("box"), F.col("value")).otherwise(F.col("t")).alias("type"), "value")
+    return rows if keep_empty else rows.filter(~F.col("type").isin("{}", "[]"))
 
 
 def aligned(expected: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
