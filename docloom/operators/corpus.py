@@ -155,7 +155,7 @@ def conversation(user: Column, assistant: Column, image: Column | None = None, i
 def last_per_key(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     """The row of the highest sequence number of each key."""
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), sequence).alias("_r")).select(key, "_r.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(sequence)).alias("_r")).select(key, "_r.*")
 
 
 def output_names(files: DataFrame, name: str = "name") -> DataFrame:

@@ -191,6 +191,19 @@ def test_files(spark, tmp_path):
     assert [(x["index"], x.v) for x in readers.prediction_log(spark, str(tmp_path / "log"), "index int, v string").collect()] == [(1, "b")]
 
 
+def test_table_files(spark, tmp_path):
+    for name, text in (("a.csv", "k,v\n1,x\n"), ("a.tsv", "k\tv\n1\tx\n"), ("a.json", '[{"k": 1, "v": "x"}]'), ("a.jsonl", '{"k": 1, "v": "x"}\n')):
+        (tmp_path / name).write_text(text)
+        row = readers.table_file(spark, str(tmp_path / name)).first()
+        assert (str(row.k), row.v) == ("1", "x")
+    with pytest.raises(ValueError, match="no reader"):
+        readers.table_file(spark, "a.xyz")
+    (tmp_path / "m.json").write_text('[{"id": "a", "split": null, "num_images": 2}, {"id": "b"}]')
+    assert [(x.id, x.split, x.num_images) for x in readers.manifest(spark, str(tmp_path / "m.json")).collect()] == [("a", None, 2), ("b", None, None)]
+    with pytest.raises(ValueError, match="unknown split"):
+        readers.splits(spark, str(tmp_path), "dev")
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, "train"), (2, None), (3, "test")], "k int, split string")
     sinks.write_splits(rows, str(tmp_path / "s"), row_bytes=F.lit(10), shard_bytes=100)
