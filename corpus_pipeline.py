@@ -16,13 +16,21 @@ from docloom.llm.packing import pack_documents
 from docloom.llm.toxicity import drop_toxic
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python 2,000 at a time: stages are written by the caller, and a batch
+    is held several times over by an executor and its workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model (operator 3) rejects go."""
+    _small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a clear language (operator 8) go."""
+    _small_batches(spark)
     return keep_known_languages(docs)
 
 

@@ -3,6 +3,7 @@ hashing over Arrow batches, and the fold rule of the query contracts."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,15 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to return by hand
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32(key as text) mod folds; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
@@ -164,6 +174,7 @@ def appended(docs: DataFrame, fields: list[tuple[str, str, pa.DataType]], score,
         for batch in batches:
             new = score(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(c, f[2]) for c, f in zip(new, fields, strict=True)]], names=names)
+        give_back()
 
     return kept.mapInArrow(run, ddl)
 

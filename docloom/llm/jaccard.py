@@ -34,7 +34,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import chunks, gram_hashes, mix, slots, small_batches, staged, word_hashes, word_spans
+from docloom.llm.common import chunks, give_back, gram_hashes, mix, slots, small_batches, staged, word_hashes, word_spans
 from docloom.llm.graph import components
 
 CELL_BITS, PART_BITS = 20, 14
@@ -236,7 +236,7 @@ def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int
             high = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
             low = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, number % regions)), pa.array(np.full(m, number)), pa.nulls(m, pa.binary()), pa.array(ids, pa.int64()), pa.array(np.arange(m)), pa.array(counts), pa.array(high, pa.int64()), pa.array(low, pa.int64())], schema=wide)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, (number + (number >> 32)) % regions)), pa.array(np.full(m, number)), pa.nulls(m, pa.binary()), pa.array(ids, pa.int64()), pa.array(np.arange(m)), pa.array(counts), pa.array(high, pa.int64()), pa.array(low, pa.int64())], schema=wide)
             value = np.concatenate(sets) >> cut
             owner = np.repeat(np.arange(m), counts)
             order = np.argsort(value, kind="stable")
@@ -261,6 +261,8 @@ def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int
                     ids, sets, size = [], [], 0
         if ids:
             yield from chunk_rows()
+        ids, sets = [], []
+        give_back()
 
     def compare(table):
         known = table.filter(pa.compute.is_null(table.column("data")))
@@ -283,6 +285,8 @@ def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int
                     if rows.any():
                         out.append((c, packed(rows.astype(np.uint32))))
         found = pa.table([pa.array([-1] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 5], schema=wide)
+        del values, owners
+        give_back()
         return pa.concat_tables([known, found])
 
     def add(key, table):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import slots, staged
+from docloom.llm.common import give_back, small_batches, staged
 from docloom.llm.tokenizing import Encoder
 
 PIECE_FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, wi
     def cut(batches):
         encoder, end = None, np.array([end_id], "<u4")
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or Encoder(tokenizer, remember=400_000, run_bytes=4 << 20)
             keys = batch.column(0).to_pylist()
             for first, ids, ends in encoder.encode(batch.column(1)):
                 rows, start = [], 0
@@ -51,6 +51,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, wi
                         rows.append((*row, part.astype(np.int32)) if with_ids else row)
                     start = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        del encoder
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
@@ -149,7 +151,9 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their sequence_id and offset."""
-    return pack(staged(token_pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        pieces = staged(token_pieces(docs, tokenizer, end_id, capacity, with_ids), "pieces")
+    return pack(pieces, capacity)
 
 
 def op4_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

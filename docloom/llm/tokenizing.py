@@ -41,12 +41,12 @@ class Encoder:
     """One per Python worker; remembers up to `remember` pieces, which bounds its
     memory. Pieces beyond that are encoded anew each time they are met."""
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 600_000, run_bytes: int = 12 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remember = remember
+        self.remember, self.run_bytes = remember, run_bytes
         self.known: dict[str, int] = {}
         self.at = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -124,7 +124,7 @@ class Encoder:
 
     def encode(self, column: pa.Array):
         """Yield (first row, ids of a run of rows as uint32, end of each row's ids)."""
-        for first, _, data, rows in chunks(column, 12 << 20):
+        for first, _, data, rows in chunks(column, self.run_bytes):
             starts = self.cuts(data, rows)
             bounds = np.append(starts, len(data)).astype(np.int64)
             pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
