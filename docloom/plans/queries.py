@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
+from docloom.functions.rows import edit_distance_udf
 from docloom.operators import corpus, json_bench, kie, layout, runs, table_html
 from docloom.plans import fixtures as fx
 from docloom.sources import readers, sinks
@@ -118,8 +119,17 @@ def json_tolerant_values(spark, d):
 # ---------------------------------------------------------------- text
 
 
-def _pairs(spark, d):
-    docs = fx.table(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 200).alias("x")).filter(~F.col("x").rlike(r"[^\x00-\x7F]"))
+def _starts(spark, d):
+    """The first 200 characters of the documents where they are ASCII: what the SQL of
+    two queries states. Their _whole forms read everything."""
+    return fx.table(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 200).alias("x")).filter(~F.col("x").rlike(r"[^\x00-\x7F]"))
+
+
+def _wholes(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("x"))
+
+
+def _pairs(docs):
     return docs.select(F.col("doc_id").alias("left_id"), "lang", F.col("x").alias("a")).join(docs.select((F.col("doc_id") - 1).alias("left_id"), "lang", F.col("x").alias("b")), ["left_id", "lang"])
 
 
@@ -129,13 +139,22 @@ PAIRS_SQL = "d AS (SELECT doc_id, lang, left(text, 200) AS x FROM documents WHER
 @query("WITH " + PAIRS_SQL + ", n AS (SELECT left_id, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS b FROM pairs) SELECT left_id, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS similarity FROM n")
 def edit_similarity_pairs(spark, d):
     a, b = t.collapse_space(F.col("a")), t.collapse_space(F.col("b"))
-    return _pairs(spark, d).select("left_id", F.round(t.edit_similarity(a, b), 6).alias("similarity"))
+    return _pairs(_starts(spark, d)).select("left_id", F.round(t.edit_similarity(a, b), 6).alias("similarity"))
+
+
+@query()
+def edit_similarity_whole(spark, d):
+    """edit_similarity_pairs over all documents and their whole texts."""
+    p = _pairs(_wholes(spark, d)).select("left_id", t.collapse_space(F.col("a")).alias("a"), t.collapse_space(F.col("b")).alias("b"))
+    longer = F.greatest(F.length("a"), F.length("b"))
+    return p.select("left_id", F.round(F.when(longer == 0, 1.0).otherwise(1.0 - edit_distance_udf("a", "b") / longer), 6).alias("similarity"))
 
 
 @query()
 def indel_similarity_pairs(spark, d):
+    """All documents, whole texts."""
     a, b = t.collapse_space(F.col("a")), t.collapse_space(F.col("b"))
-    return _pairs(spark, d).select("left_id", F.round(kie.indel_similarity(a, b), 6).alias("similarity"))
+    return _pairs(_wholes(spark, d)).select("left_id", F.round(kie.indel_similarity(a, b), 6).alias("similarity"))
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(left(text, 200), '\\s+'), lambda x: x <> '') AS r, list_filter(string_split_regex(left(text, 200), '\\s+'), lambda x: x <> '')[2:] AS h FROM documents WHERE NOT regexp_matches(left(text, 200), '[^\\x00-\\x7F]'))
@@ -149,6 +168,16 @@ def word_error_rate(spark, d):
     return w.select("doc_id", n.cast("bigint").alias("words"), F.when(n == 0, 0.0).otherwise(F.round(F.levenshtein(mark("r"), mark("h")) / n, 6)).alias("wer"))
 
 
+@query()
+def word_error_rate_whole(spark, d):
+    """word_error_rate over all documents and their whole texts; words end at any
+    Unicode white space."""
+    words = F.filter(F.split("x", r"(?U)\s+"), lambda x: x != "")
+    w = _wholes(spark, d).select("doc_id", words.alias("r")).withColumn("h", F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))))
+    n = F.size("r")
+    return w.select("doc_id", n.cast("bigint").alias("words"), F.when(n == 0, 0.0).otherwise(F.round(edit_distance_udf("r", "h") / n, 6)).alias("wer"))
+
+
 @query("""SELECT page_id, trim(regexp_replace(regexp_replace(trim(html), '>\\s+<', '><', 'g'), '\\s+', ' ', 'g')) AS html FROM pages WHERE NOT regexp_matches(html, '[^\\x00-\\x7F]')""")
 def normal_html(spark, d):
     return fx.table(spark, d, "pages").filter(~F.col("html").rlike(r"[^\x00-\x7F]")).select("page_id", F.trim(t.normal_html(F.col("html"))).alias("html"))
@@ -169,7 +198,17 @@ def escaped_html(spark, d):
 @query("SELECT doc_id, text AS inner_text, text AS after_first, 'b' AS after_last FROM (SELECT doc_id, trim(left(text, 80), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents)")
 def fences_and_thoughts(spark, d):
     """A fenced text comes out as it went in; so does one behind a closed thought."""
-    x = F.trim(F.substring("text", 1, 80), F.lit(" \t\n\r"))
+    return _fenced(spark, d, F.substring("text", 1, 80))
+
+
+@query()
+def fences_and_thoughts_whole(spark, d):
+    """fences_and_thoughts over whole texts."""
+    return _fenced(spark, d, F.col("text"))
+
+
+def _fenced(spark, d, text):
+    x = F.trim(text, F.lit(" \t\n\r"))
     return fx.table(spark, d, "documents").select("doc_id", t.strip_fence(F.concat(F.lit("```JSON\n"), x, F.lit("\n```"))).alias("inner_text"), t.after_think(F.concat(F.lit("a</think>"), x)).alias("after_first"), t.after_think(F.concat(x, F.lit("</think>a</think>b")), last=True).alias("after_last"))
 
 
