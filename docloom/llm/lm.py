@@ -7,10 +7,10 @@ below that are one class, shared by absolute discounting with a place for words
 seen. P(word | past) = P(class | past) * P(word | class) sums to one over the known
 words and one unknown.
 
-Training. Every training text gives one window of tokens at a place that a hash of
-its first words chooses, so training grows with the corpus. Tasks run truncated
-backpropagation over `steps` tokens, the state carried from one to the next, and
-their weights are averaged after each round.
+Training. Every training text is cut into consecutive windows of tokens, each with the
+token before it, so that every training token is predicted once in training. Tasks run
+truncated backpropagation over `steps` tokens, the state carried from one to the next
+within a window, and their weights are averaged after each round.
 
 Scoring. Texts run in parallel lanes, one after the other in each lane; the state is
 carried through a whole text and reset at its end, so a score is the log-likelihood
@@ -151,7 +151,7 @@ class Gru:
         _, d = self.log_probs(all_h[row, col], batch[:, 1:][row, col], grads)
         d_out = np.zeros_like(all_h)
         d_out[row, col] = d
-        dh = np.zeros_like(h)
+        dh, inputs = np.zeros_like(h), []
         for t in range(steps - 1, -1, -1):
             x, before, z, r, c, hu = kept[t]
             dh = dh + d_out[:, t]
@@ -162,8 +162,12 @@ class Gru:
             to_u = np.concatenate((dz, dr, dc * r), 1)
             grads["u"] += before.T @ to_u
             grads["b"] += to_x.sum(0)
-            np.add.at(grads["x"], x, to_x)
+            inputs.append(to_x)
             dh = dh * z + to_u @ self.w["u"].T
+        x = np.concatenate([k[0] for k in reversed(kept)])
+        order = np.argsort(x, kind="stable")
+        some, first = np.unique(x[order], return_index=True)
+        grads["x"][some] = np.add.reduceat(np.concatenate(inputs)[order], first)
         scale = 1.0 / len(row)
         norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grads.values()))
         scale *= min(1.0, 1.0 / max(norm, 1e-9))
@@ -173,8 +177,7 @@ class Gru:
             self.w[k] -= rate * g / (np.sqrt(squares[k]) + 1e-8)
         return h
 
-    def train(self, windows: list[np.ndarray], steps: int, rate: float, batch: int = 128) -> None:
-        squares = {k: np.full_like(v, 1e-6) for k, v in self.w.items()}
+    def train(self, windows: list[np.ndarray], squares: dict, steps: int, rate: float, batch: int = 128) -> None:
         for a in range(0, len(windows), batch):
             part = windows[a : a + batch]
             longest = max(map(len, part))
@@ -228,36 +231,54 @@ def tokens(column: pa.Array):
             yield np.append(words[a:b], END)
 
 
-def count_words(training: DataFrame, window: int) -> DataFrame:
-    """Rows (h, c, null): counts of the words of a task's texts; and rows (null, null,
-    hashes): a window of each text, after the end token where it starts the text."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("w", pa.binary())])
+def count_words(training: DataFrame) -> DataFrame:
+    """Rows (h, c): counts of the words of a task's texts."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
 
     def run(batches):
         held, size = [], 0
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c), pa.nulls(len(h), pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], schema=schema)
 
         for batch in batches:
-            windows = []
             for t in tokens(batch.column(0)):
                 held.append(t)
                 size += len(t)
-                spare = len(t) - window
-                at = int(t[0] >> np.uint64(20)) % (spare + 1) if spare > 0 and int(t[0]) & 3 else 0
-                w = t[at : at + window + 1]
-                windows.append((np.concatenate(([END], w)) if at == 0 else w).tobytes())
                 if size > 1 << 22:
                     yield flush()
                     held, size = [], 0
-            if windows:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(windows), pa.int64()), pa.nulls(len(windows), pa.int64()), pa.array(windows, pa.binary())], schema=schema)
         if held:
             yield flush()
 
-    return training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long, w binary")
+    return training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, c long")
+
+
+def symbol_type(words: Vocabulary) -> np.dtype:
+    return np.min_scalar_type(words.symbols - 1)
+
+
+def training_windows(training: DataFrame, words: Vocabulary, window: int) -> DataFrame:
+    """Rows (w): each text as consecutive windows of `window` symbols to predict, after
+    the symbol before them (the end symbol at the start of a text)."""
+    sent, schema = training.sparkSession.sparkContext.broadcast(words), pa.schema([("w", pa.binary())])
+
+    def run(batches):
+        v = sent.value
+        end, kind, windows = v.symbols_of(np.array([END])), symbol_type(v), []
+        for batch in batches:
+            for t in tokens(batch.column(0)):
+                s = np.concatenate((end, v.symbols_of(t))).astype(kind)
+                for at in range(0, len(t), window):
+                    windows.append(s[at : at + window + 1].tobytes())
+                    if len(windows) == 1 << 14:
+                        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary())], schema=schema)
+                        windows = []
+        if windows:
+            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary())], schema=schema)
+
+    return training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w binary")
 
 
 def vocabulary(counts: DataFrame, *, head: int = 2048, most: int = 1 << 18, least: int = 5) -> Vocabulary:
@@ -326,14 +347,24 @@ def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: i
 
             start, vocabulary_ = sent.value
             own = copy.deepcopy(start)
-            held = []
+            kind, squares = symbol_type(vocabulary_), {k: np.full_like(v, 1e-6) for k, v in own.w.items()}
+            held, n = [], 0
+
+            def learn():
+                held.sort(key=lambda x: (len(x), x))
+                own_order = np.random.default_rng(5).permutation(-(-len(held) // 128))
+                own.train([np.frombuffer(held[k], kind) for b in own_order for k in range(b * 128, min(len(held), (b + 1) * 128))], squares, steps, rate)
+
             for batch in batches:
-                held += [vocabulary_.symbols_of(np.frombuffer(x, np.uint64)) for x in batch.column(0).to_pylist()]
+                held += batch.column(0).to_pylist()
+                n += batch.num_rows
+                if len(held) >= 1 << 16:  # bounded memory, whatever a task gets
+                    learn()
+                    held.clear()
             if held:
-                held.sort(key=lambda x: (len(x), x.tobytes()))
-                own_order = np.random.default_rng(5).permutation(-(-len(held) // 128))
-                own.train([held[k] for b in own_order for k in range(b * 128, min(len(held), (b + 1) * 128))], steps, rate)
-                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % 8], "n": [len(held)], "w": [pack(own.w)]})
+                learn()
+            if n:
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % 8], "n": [n], "w": [pack(own.w)]})
 
         def average(key, table):
             n = np.array(table.column("n").to_pylist(), np.float64)
@@ -404,10 +435,10 @@ def score_texts(docs: DataFrame, held_out, counts: DataFrame, words: Vocabulary,
 
 def lm_scores(docs: DataFrame, held_out, *, window: int = 64, **training) -> DataFrame:
     """Learn from the rows where `held_out` is false and score all rows."""
-    made = staged(count_words(docs.filter(~held_out), window), "words")
-    counts = staged(made.filter("h is not null").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    learnt = docs.filter(~held_out)
+    counts = staged(count_words(learnt).groupBy("h").agg(F.sum("c").alias("c")), "counts")
     words = vocabulary(counts)
-    model = train_gru(made.filter("w is not null").select("w"), words, **training)
+    model = train_gru(staged(training_windows(learnt, words, window), "windows"), words, **training)
     return score_texts(docs, held_out, counts, words, model)
 
 
