@@ -183,6 +183,12 @@ def normal_html(spark, d):
     return fx.table(spark, d, "pages").filter(~F.col("html").rlike(r"[^\x00-\x7F]")).select("page_id", F.trim(t.normal_html(F.col("html"))).alias("html"))
 
 
+@query()
+def normal_html_whole(spark, d):
+    """normal_html over all pages."""
+    return fx.table(spark, d, "pages").select("page_id", F.trim(t.normal_html(F.col("html"))).alias("html"))
+
+
 @query("""WITH l AS (SELECT doc_id, text, CASE WHEN length(text) > 50 THEN left(text, length(text) - 50) ELSE '' END AS cut FROM documents),
 r AS (SELECT doc_id, len(list_filter(range(1, least(250, length(text)) + 1), lambda n: suffix(text, repeat(right(text, CAST(n AS INTEGER)), CAST(floor(4 * (1 + 3.0 / n)) AS INTEGER) + 1)))) + len(list_filter(range(1, least(250, length(cut)) + 1), lambda n: suffix(cut, repeat(right(cut, CAST(n AS INTEGER)), CAST(floor(4 * (1 + 3.0 / n)) AS INTEGER) + 1)))) AS hits FROM l)
 SELECT doc_id FROM r WHERE hits > 0""")
@@ -195,6 +201,12 @@ def escaped_html(spark, d):
     return fx.table(spark, d, "documents").filter(~F.contains("text", F.lit("\r"))).select("doc_id", t.escape_html(F.col("text"), breaks=True).alias("html"))
 
 
+@query()
+def escaped_html_whole(spark, d):
+    """escaped_html over all documents: a carriage return ends a line too."""
+    return fx.table(spark, d, "documents").select("doc_id", t.escape_html(F.col("text"), breaks=True).alias("html"))
+
+
 @query("SELECT doc_id, text AS inner_text, text AS after_first, 'b' AS after_last FROM (SELECT doc_id, trim(left(text, 80), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents)")
 def fences_and_thoughts(spark, d):
     """A fenced text comes out as it went in; so does one behind a closed thought."""
@@ -278,6 +290,12 @@ def full_batches(spark, d):
     return corpus.batches(fx.table(spark, d, "documents").select("doc_id"), 64, "doc_id", limit=900, drop_last=True)
 
 
+@query()
+def full_batches_whole(spark, d):
+    """full_batches over all documents."""
+    return corpus.batches(fx.table(spark, d, "documents").select("doc_id"), 64, "doc_id", drop_last=True)
+
+
 @query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha1('3:' || doc_id)) <= ceil((SELECT count(*) FROM documents) * 0.1) THEN 'eval' ELSE 'train' END AS split FROM documents")
 def fraction_split(spark, d):
     return corpus.fraction_split(fx.table(spark, d, "documents").select("doc_id"), "doc_id", 0.1, 3)
@@ -395,7 +413,16 @@ def language_slices(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY x")
 def cleaned_distinct(spark, d):
-    docs = fx.table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return _copies(fx.table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+@query()
+def cleaned_distinct_whole(spark, d):
+    """cleaned_distinct over all documents; any Unicode white space is cleaned."""
+    return _copies(fx.table(spark, d, "documents"))
+
+
+def _copies(docs):
     return docs.groupBy(F.sha2(t.collapse_space(F.col("text")), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
@@ -482,7 +509,17 @@ def layout_markdown(spark, d):
 
 @query("WITH " + fx.ELEMENTS_SQL + ", edits AS (SELECT doc_id, pos, label <> 'Text' AS included, upper(content) AS content FROM elements WHERE (doc_id + pos) % 5 = 0) SELECT e.doc_id, e.pos, coalesce(x.content, e.content) AS content, coalesce(x.included, e.label <> 'Page-header') AS included, x.doc_id IS NOT NULL AS edited FROM elements e LEFT JOIN edits x ON e.doc_id = x.doc_id AND e.pos = x.pos WHERE NOT regexp_matches(e.content, '[^\\x00-\\x7F]')")
 def edit_overlay(spark, d):
-    e = fx.elements(spark, d).filter(~F.col("content").rlike(r"[^\x00-\x7F]")).withColumn("included", t.in_markdown(F.col("label")))
+    return _edited(fx.elements(spark, d).filter(~F.col("content").rlike(r"[^\x00-\x7F]")))
+
+
+@query()
+def edit_overlay_whole(spark, d):
+    """edit_overlay over all elements."""
+    return _edited(fx.elements(spark, d))
+
+
+def _edited(e):
+    e = e.withColumn("included", t.in_markdown(F.col("label")))
     hit = e.filter((F.col("doc_id") + F.col("pos")) % 5 == 0)
     edits = hit.select("doc_id", "pos", F.lit(2).alias("seq"), F.upper("content").alias("content"), (F.col("label") != "Text").alias("included")).unionByName(hit.select("doc_id", "pos", F.lit(1).alias("seq"), F.lit("old").alias("content"), F.lit(True).alias("included")))
     return layout.overlay(e, edits).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "content", "included", "edited")

@@ -1,6 +1,8 @@
 """Queries that read whole tables and whole texts, against brute force."""
 
+import html
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -102,3 +104,30 @@ def test_words_after_the_first_window_are_learnt(spark):
     docs = spark.createDataFrame([(k, " ".join([*rng.choices("abcdefgh", k=64), *[tail] * 10])) for k in range(150)], "doc_id long, text string").repartition(4)
     got = lm.lm_scores(docs, F.col("doc_id") % 7 == 2).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > 0.5 * got.b
+
+
+def test_whole_rows(spark, folder, tmp_path):
+    x = texts()
+    d = str(tmp_path)
+    more = [*x, "été   fin", "q "]
+    spark.createDataFrame(list(enumerate(more)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    pages = ["<p> <b>é</b> <i>x\n y</i></p>", " <p>a</p>\r\n<p>b</p> "]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{d}/pages.parquet")
+    copies = {}
+    for k, v in enumerate(more):
+        copies.setdefault(" ".join(v.split()), []).append(k)
+    assert {(v.doc_id, v.copies) for v in QUERIES["cleaned_distinct_whole"](spark, d).collect()} == {(k[0], len(k)) for k in copies.values()}
+    shown = {k: re.sub("\r\n|\r|\n", "<br>", html.escape(v)) for k, v in enumerate(more)}
+    assert {v.doc_id: v.html for v in QUERIES["escaped_html_whole"](spark, d).collect()} == shown
+    assert [v.html for v in QUERIES["normal_html_whole"](spark, d).orderBy("page_id").collect()] == ["<p><b>é</b><i>x y</i></p>", "<p>a</p><p>b</p>"]
+    labels, want = ("Title", "Text", "Section-header", "Page-header", "Text"), set()
+    for k, v in enumerate(more):
+        for pos, line in enumerate(v.split("\n")):
+            hit = (k + pos) % 5 == 0
+            want.add((k, pos, line.upper() if hit else line, labels[pos % 5] != ("Text" if hit else "Page-header"), hit))
+    assert {tuple(v) for v in QUERIES["edit_overlay_whole"](spark, d).collect()} == want
+
+
+def test_all_full_batches(spark, tmp_path):
+    spark.range(1000).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(v.doc_id, v.batch_id) for v in QUERIES["full_batches_whole"](spark, str(tmp_path)).collect()} == {(k, k // 64) for k in range(960)}
