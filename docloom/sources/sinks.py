@@ -18,6 +18,12 @@ def report(summary: DataFrame, documents: DataFrame) -> DataFrame:
     return summary.select(F.struct(*summary.columns).alias("summary")).crossJoin(docs).select(F.to_json(F.struct("summary", "documents"), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_report(summary: DataFrame, documents: DataFrame, path: str) -> None:
+    """A report of any size: documents as JSON lines, the summary beside them."""
+    summary.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/summary")
+    documents.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/documents")
+
+
 def write_splits(rows: DataFrame, path: str, split: str = "split", row_bytes: Column | None = None, shard_bytes: int = 2048 << 20) -> None:
     """Parquet per split in files of about shard_bytes; a null split is train."""
     rows = rows.withColumn(split, F.coalesce(split, F.lit("train")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,11 +28,23 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def finished(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
-    """Run the stream over what is there (availableNow) into a memory table."""
-    name = "s" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run the stream over what is there (availableNow) into Parquet files beside the
+    checkpoint and read them: append results by the file sink, complete ones as one
+    version for each micro-batch, of which the last counts."""
+    spark, path = stream.sparkSession, f"{checkpoint}-rows"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", path)
+    else:
+        writer = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/v={number}"))
+    writer.start().awaitTermination()
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return spark.createDataFrame([], stream.schema)
+    if mode != "append":
+        path += f"/v={max(int(x.getPath().getName()[2:]) for x in files.listStatus(root))}"
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def running_summary(rows: DataFrame, by: str, value: str) -> DataFrame:

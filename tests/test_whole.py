@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from docloom.functions import rows as r
 from docloom.llm import lm
 from docloom.plans.queries import QUERIES
+from docloom.sources import sinks
+from docloom.streaming import jobs
 
 
 def levenshtein(a, b):
@@ -131,3 +133,15 @@ def test_whole_rows(spark, folder, tmp_path):
 def test_all_full_batches(spark, tmp_path):
     spark.range(1000).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
     assert {(v.doc_id, v.batch_id) for v in QUERIES["full_batches_whole"](spark, str(tmp_path)).collect()} == {(k, k // 64) for k in range(960)}
+
+
+def test_streams_go_to_files(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    for name in ("stream_first_seen", "stream_step_windows", "stream_time_windows", "stream_running_summary"):
+        out = QUERIES[name](spark, d)
+        assert out.inputFiles() and out.count() > 0, name
+    rows = spark.readStream.schema("k long").parquet(str(tmp_path))
+    for mode, stream in (("append", rows), ("complete", rows.groupBy("k").count())):
+        assert jobs.finished(stream, mode, f"{tmp_path}-{mode}").count() == 0
+    sinks.write_report(spark.range(1).select(F.lit(0.5).alias("score")), spark.range(30, numPartitions=3), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/documents")).count() == 30 and spark.read.json(str(tmp_path / "report/summary")).first().score == 0.5
