@@ -50,7 +50,7 @@ def linked(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, body (own text without quotes),
     n_quoted (quoted lines with text), n_linked (those whose original was found),
     max_level, reply_to (a turn, null for a conversation's first message), position
-    (from 0, in reply order)."""
+    (from 0, by turn: reply_to does not change it)."""
     lines = message_lines(messages)
     lines = lines.withColumn("h", F.when(normal(F.col("line")) != "", F.sha2(normal(F.col("line")), 256)))
     own = (F.col("level") == 0) & ~F.col("announces")
@@ -70,7 +70,7 @@ def linked(messages: DataFrame) -> DataFrame:
 
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations as reply-ordered messages without quotes."""
+    """All conversations as messages by turn without quotes."""
     return linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
