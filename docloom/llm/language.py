@@ -99,18 +99,17 @@ def fit_bits(examples: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, code:
     return w[:-1].astype(np.float32), w[-1], trust / trust.sum()
 
 
-def example(h: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.unique(h, return_counts=True)
+def example(k: np.ndarray, n: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.sqrt(n)
     x = x / max(1e-9, np.linalg.norm(x))
     return np.append(k, 2**places), np.append(x, 1.0)
 
 
-def fit_language(docs: DataFrame, training, *, per_language: int = 1500, max_bytes: int = 20_000, places: int = 14, epochs: int = 3, rate: float = 0.3, margin: float = 0.02) -> LanguageModel:
+def fit_language(docs: DataFrame, training, *, per_language: int = 1500, places: int = 14, epochs: int = 3, rate: float = 0.3, margin: float = 0.02) -> LanguageModel:
     """Learn from the rows where `training` holds and lang is not null: all of them,
-    or a sample of about `per_language` rows of each language by a hash of doc_id,
-    and of one text about `max_bytes` around its middle (the bounds on what the one
-    fitting task holds; predictions read whole texts)."""
+    or a sample of about `per_language` rows of each language by a hash of doc_id.
+    Tasks count the trigrams of whole texts; the one fitting task holds the counts, at
+    most 2^places a text."""
     given = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     names = sorted(counts)
@@ -119,23 +118,29 @@ def fit_language(docs: DataFrame, training, *, per_language: int = 1500, max_byt
         return LanguageModel(names, code, np.zeros((2**places, 1), np.float32), np.ones(1), np.ones(1), places, margin)
     share = F.element_at(F.create_map(*[x for n in names for x in (F.lit(n), F.lit(min(1.0, per_language / counts[n])))]), F.col("lang"))
     numbers = F.element_at(F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))]), F.col("lang"))
-    length = F.length("text")
-    part = F.substring(F.col("text"), F.greatest(F.lit(1), (length / 2).cast("int") - max_bytes // 2), F.lit(max_bytes))
-    chosen = given.filter(sampled(F.col("doc_id"), share)).select(part.alias("text"), numbers.alias("y"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"))
+    chosen = given.filter(sampled(F.col("doc_id"), share)).select(F.col("text").cast("string").alias("text"), numbers.alias("y"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"))
+
+    def count(batches):
+        for batch in batches:
+            at, n = [], []
+            for _, _, data, rows in chunks(batch.column(0)):
+                h, ends = trigrams(data, rows, places)
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    k, times = np.unique(h[a:b], return_counts=True)
+                    at.append(k.astype(np.int64).tobytes()), n.append(times.astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(n, pa.binary()), batch.column(1), batch.column(2)], names=["at", "n", "y", "key"])
 
     def train(batches):
         examples, y, keys = [], [], []
         for batch in batches:
-            y += batch.column(1).to_pylist()
-            keys += batch.column(2).to_pylist()
-            for _, _, data, rows in chunks(batch.column(0)):
-                h, at = trigrams(data, rows, places)
-                examples += [example(h[a:b], places) for a, b in zip(at[:-1], at[1:], strict=True)]
+            y += batch.column(2).to_pylist()
+            keys += batch.column(3).to_pylist()
+            examples += [example(np.frombuffer(k, np.int64), np.frombuffer(n, np.int64), places) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         order = sorted(range(len(y)), key=lambda k: (keys[k], y[k], len(examples[k][0])))
         w, bias, trust = fit_bits([examples[k] for k in order], np.array([y[k] for k in order], int), code, places, epochs, rate)
         yield pa.RecordBatch.from_pydict({"what": ["w", "b", "t"], "bytes": [w.tobytes(), bias.tobytes(), trust.tobytes()]})
 
-    made = {r.what: r.bytes for r in chosen.repartition(1).mapInArrow(train, "what string, bytes binary").collect()}
+    made = {r.what: r.bytes for r in chosen.mapInArrow(count, "at binary, n binary, y int, key long").repartition(1).mapInArrow(train, "what string, bytes binary").collect()}
     bits = code.shape[1]
     return LanguageModel(names, code, np.frombuffer(made["w"], np.float32).reshape(-1, bits), np.frombuffer(made["b"]), np.frombuffer(made["t"]), places, margin)
 

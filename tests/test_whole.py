@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import rows as r
-from docloom.llm import lm
+from docloom.llm import language, lm
 from docloom.plans.queries import QUERIES
 from docloom.sources import sinks
 from docloom.streaming import jobs
@@ -145,3 +145,13 @@ def test_streams_go_to_files(spark, tmp_path):
         assert jobs.finished(stream, mode, f"{tmp_path}-{mode}").count() == 0
     sinks.write_report(spark.range(1).select(F.lit(0.5).alias("score")), spark.range(30, numPartitions=3), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/documents")).count() == 30 and spark.read.json(str(tmp_path / "report/summary")).first().score == 0.5
+
+
+def test_language_learns_outside_the_middle(spark):
+    """Only the ends of the training texts tell the languages apart."""
+    ends = {"xx": "lorem ipsum dolor sit amet ", "yy": "quick brown foxes jump over "}
+    rows = [(k, v * 40 + "0 " * 15000 + v * 40, v, n) for k, (n, v) in enumerate([*ends.items()] * 12)]
+    docs = spark.createDataFrame([(k, long, n) for k, long, _, n in rows], "doc_id long, text string, lang string")
+    short = spark.createDataFrame([(k, v * 3, n) for k, _, v, n in rows[:2]], "doc_id long, text string, lang string")
+    model = language.fit_language(docs, F.lit(True))
+    assert {x.lang: x.lang_pred for x in language.identify(short, model, ["lang"]).collect()} == {"xx": "xx", "yy": "yy"}
