@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import document_of, stable_fraction, stable_shard
+from docloom.sources.shared import written
 
 
 def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -85,14 +86,18 @@ def seeded_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str, name: str = "_i") -> DataFrame:
-    """0-based place by key without one window over all rows: rows are ranged into
-    partitions, counted, and numbered from each partition's start."""
-    spread = rows.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id())
-    counts = spread.groupBy("_p").agg(F.count("*").alias("_c"))
-    start = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    starts = counts.select("_p", start.alias("_s"))
-    return spread.withColumn("_w", within).join(starts.hint("shuffle_hash"), "_p").withColumn(name, F.col("_w") + F.col("_s")).drop("_p", "_w", "_s")
+    """0-based place by key (ties in any order), without one window over all rows.
+
+    Rows are ranged over partitions, sorted there and written once to the shared folder
+    with their partition and place; counts per partition (one row each) give its start,
+    so both sides come from the same files."""
+    ranged = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    ranged = written(ranged, "numbered")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    return ranged.withColumn("_p", part).join(F.broadcast(starts), "_p").withColumn(name, within + F.col("_s")).drop("_p", "_at", "_s")
 
 
 def batches(rows: DataFrame, size: int, key: str, limit: int | None = None, drop_last: bool = False) -> DataFrame:

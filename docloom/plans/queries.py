@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +12,7 @@ from docloom.functions.rows import edit_distance_udf
 from docloom.operators import corpus, json_bench, kie, layout, runs, table_html
 from docloom.plans import fixtures as fx
 from docloom.sources import readers, sinks
+from docloom.sources.shared import shared_folder
 from docloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -659,36 +658,28 @@ def throughput(spark, d):
     return r.withColumn("samples_per_second", F.round("samples_per_second", 6)).withColumn("tokens_per_second", F.round("tokens_per_second", 6))
 
 
-def _shared(spark, name):
-    """A new folder below the shared one; a local temporary folder only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, count(*) AS rows, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY 1")
 def stream_running_summary(spark, d):
     s = jobs.running_summary(jobs.table_stream(spark, d, "events"), "event_type", "value")
-    return jobs.finished(s, "complete", _shared(spark, "stream")).withColumn("mean_value", F.round("mean_value", 6))
+    return jobs.finished(s, "complete", shared_folder(spark, "stream")).withColumn("mean_value", F.round("mean_value", 6))
 
 
 @query("SELECT event_id // 100 AS window_id, count(*) AS steps, round(avg(value), 6) AS mean_loss FROM events GROUP BY 1")
 def stream_step_windows(spark, d):
     rows = jobs.table_stream(spark, d, "events").withColumn("step", F.col("event_id") + 1)
-    return jobs.finished(jobs.step_windows(rows, "step", "value", 100), "complete", _shared(spark, "stream")).withColumn("mean_loss", F.round("mean_loss", 6))
+    return jobs.finished(jobs.step_windows(rows, "step", "value", 100), "complete", shared_folder(spark, "stream")).withColumn("mean_loss", F.round("mean_loss", 6))
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_first_seen(spark, d):
     rows = jobs.table_stream(spark, d, "events").select("user_id", "event_type")
-    return jobs.finished(jobs.first_seen(rows, "user_id"), "append", _shared(spark, "stream")).select("user_id")
+    return jobs.finished(jobs.first_seen(rows, "user_id"), "append", shared_folder(spark, "stream")).select("user_id")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS rows FROM events GROUP BY 1")
 def stream_time_windows(spark, d):
     rows = jobs.time_windows(jobs.table_stream(spark, d, "events"), "ts", "value")
-    return jobs.finished(rows, "complete", _shared(spark, "stream")).select(F.col("start").cast("timestamp_ntz").alias("start"), "rows")
+    return jobs.finished(rows, "complete", shared_folder(spark, "stream")).select(F.col("start").cast("timestamp_ntz").alias("start"), "rows")
 
 
 # ---------------------------------------------------------------- written and read back
@@ -697,7 +688,7 @@ def stream_time_windows(spark, d):
 @query("SELECT split, count(*) AS rows, CAST(sum(n_chars) AS BIGINT) AS characters FROM (SELECT n_chars, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents) GROUP BY 1")
 def split_files(spark, d):
     """Documents in files per split (a null split is train) under a size cap."""
-    path = _shared(spark, "splits")
+    path = shared_folder(spark, "splits")
     docs = fx.table(spark, d, "documents").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "test"))
     sinks.write_splits(docs, path, row_bytes=F.octet_length("text"), shard_bytes=64 << 20)
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("rows"), F.sum("n_chars").alias("characters"))
@@ -706,7 +697,7 @@ def split_files(spark, d):
 @query('SELECT user_id AS "index", max(event_id) AS event_id FROM events GROUP BY 1')
 def prediction_log(spark, d):
     """One JSON line per event, one file per type: the last line of a user by event wins."""
-    path = _shared(spark, "log")
+    path = shared_folder(spark, "log")
     sinks.write_predictions(fx.table(spark, d, "events").select(F.col("user_id").alias("index"), "event_id", "event_type"), path, "event_type")
     rows = spark.read.schema("index long, event_id long").json(path)
     return corpus.last_per_key(rows.select("index", "event_id"), "index", "event_id")
@@ -725,7 +716,7 @@ def document_exports(spark, d):
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, CAST(c_nationkey AS INTEGER) AS num_images FROM customer WHERE c_custkey % 5 = 0")
 def named_splits(spark, d):
     """A data set with named splits: only the asked one is read."""
-    path = _shared(spark, "named")
+    path = shared_folder(spark, "named")
     c = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.when(F.col("c_custkey") % 5 == 0, "test").otherwise("train").alias("split"), F.col("c_nationkey").cast("int").alias("num_images"))
     for name in ("train", "test"):
         c.filter(F.col("split") == name).write.parquet(f"{path}/data/{name}-0")

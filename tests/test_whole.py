@@ -4,13 +4,10 @@ import html
 import random
 import re
 
-import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import rows as r
-from docloom.llm import language, lm
 from docloom.plans.queries import QUERIES
 from docloom.sources import sinks
 from docloom.streaming import jobs
@@ -82,32 +79,6 @@ def test_whole_fences(spark, folder):
         assert got[k].inner_text == x
 
 
-def test_all_training_tokens_are_learnt_from(spark):
-    rng = random.Random(3)
-    rows = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 63, 64, 65, 128, 1000)]
-    docs = spark.createDataFrame([(x,) for x in [*rows, None]], "text string").coalesce(1)
-    words = lm.vocabulary(lm.count_words(docs).groupBy("h").agg(F.sum("c").alias("c")))
-    windows = [np.frombuffer(x.w, lm.symbol_type(words)) for x in lm.training_windows(docs, words, 64).collect()]
-    end = int(words.symbols_of(np.array([lm.END]))[0])
-    want = [np.append(end, words.symbols_of(t)) for t in lm.tokens(pa.array([*rows, None], pa.string()))]
-    assert sum(len(w) - 1 for w in windows) == words.total == sum(len(x.split()) if x else 0 for x in rows) + 8
-    at = 0
-    for t in want:
-        for a in range(0, len(t) - 1, 64):
-            assert windows[at].tolist() == t[a : a + 65].tolist()
-            at += 1
-    assert at == len(windows)
-
-
-def test_words_after_the_first_window_are_learnt(spark):
-    """The tail of the texts repeats in a fixed order that counts alone do not tell."""
-    rng = random.Random(6)
-    tail = " ".join(f"w{k}" for k in range(40))
-    docs = spark.createDataFrame([(k, " ".join([*rng.choices("abcdefgh", k=64), *[tail] * 10])) for k in range(150)], "doc_id long, text string").repartition(4)
-    got = lm.lm_scores(docs, F.col("doc_id") % 7 == 2).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert got.s > 0.5 * got.b
-
-
 def test_whole_rows(spark, folder, tmp_path):
     x = texts()
     d = str(tmp_path)
@@ -145,13 +116,3 @@ def test_streams_go_to_files(spark, tmp_path):
         assert jobs.finished(stream, mode, f"{tmp_path}-{mode}").count() == 0
     sinks.write_report(spark.range(1).select(F.lit(0.5).alias("score")), spark.range(30, numPartitions=3), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/documents")).count() == 30 and spark.read.json(str(tmp_path / "report/summary")).first().score == 0.5
-
-
-def test_language_learns_outside_the_middle(spark):
-    """Only the ends of the training texts tell the languages apart."""
-    ends = {"xx": "lorem ipsum dolor sit amet ", "yy": "quick brown foxes jump over "}
-    rows = [(k, v * 40 + "0 " * 15000 + v * 40, v, n) for k, (n, v) in enumerate([*ends.items()] * 12)]
-    docs = spark.createDataFrame([(k, long, n) for k, long, _, n in rows], "doc_id long, text string, lang string")
-    short = spark.createDataFrame([(k, v * 3, n) for k, _, v, n in rows[:2]], "doc_id long, text string, lang string")
-    model = language.fit_language(docs, F.lit(True))
-    assert {x.lang: x.lang_pred for x in language.identify(short, model, ["lang"]).collect()} == {"xx": "xx", "yy": "yy"}
