@@ -453,8 +453,8 @@ def test_quotation_links(spark):
     assert len(got) == 8
     assert {k: v.reply_to for k, v in got.items()} == {(1, 0): None, (1, 1): 0, (1, 2): 0, (1, 3): 1, (1, 4): 3, (1, 5): 4, (2, 0): None, (2, 1): 0}
     assert got[1, 2].body == "A said:\n\nWell.".replace("\n\n", "\n") and got[1, 3].body == "Good." and got[1, 4].body == ""
-    assert (got[1, 2].n_quoted, got[1, 2].n_linked) == (2, 2) and (got[1, 3].n_quoted, got[1, 3].n_linked, got[1, 3].max_level) == (2, 1, 2)
-    assert got[1, 5].n_linked == 1 and [got[1, k].position for k in range(6)] == list(range(6))
+    assert (got[1, 2].n_quoted, got[1, 2].n_linked) == (1, 1) and (got[1, 3].n_quoted, got[1, 3].n_linked, got[1, 3].max_level) == (2, 1, 2)
+    assert got[1, 5].n_linked == 1 and [got[1, k].position for k in range(6)] == [0, 1, 5, 2, 3, 4]
     assert threads.linked(d.limit(0)).count() == 0
     assert not re.search("Python|Pandas|Arrow", threads.linked(d)._jdf.queryExecution().executedPlan().toString())
 
