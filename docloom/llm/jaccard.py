@@ -38,6 +38,8 @@ from docloom.llm.common import chunks, give_back, gram_hashes, mix, slots, small
 from docloom.llm.graph import components
 
 CELL_BITS, PART_BITS = 20, 14
+#: Shingles that one task holds at a time: tables are cut into as many parts as that takes.
+REGION = 2_000_000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -67,9 +69,11 @@ def prefix_length(n: int, percent: int) -> int:
 
 def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
     """How often the shingles of each cell occur, over all texts: one table of fixed
-    size per task, summed by parts."""
+    size per task, summed by parts, first of up to 256 tasks, then over those."""
     import zlib
 
+    from pyspark import TaskContext
+
     parts = 1 << (CELL_BITS - PART_BITS)
 
     def count(batches):
@@ -78,18 +82,20 @@ def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
             for s in shingle_sets(batch.column(0), n):
                 np.add.at(total, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         if total.any():
-            yield pa.RecordBatch.from_pydict({"part": list(range(parts)), "counts": [zlib.compress(x.tobytes(), 1) for x in total.reshape(parts, -1)]})
+            lot = TaskContext.get().partitionId() // 256
+            yield pa.RecordBatch.from_pydict({"part": list(range(parts)), "lot": [lot] * parts, "counts": [zlib.compress(x.tobytes(), 1) for x in total.reshape(parts, -1)]})
 
     def add(key, table):
         total = np.zeros(1 << PART_BITS, np.int64)
-        for x in table.column(1).to_pylist():
+        for x in table.column("counts").to_pylist():
             total += np.frombuffer(zlib.decompress(x), np.int64)
-        return pa.table({"part": [key[0].as_py()], "counts": [total.astype(np.int64).tobytes()]})
+        return pa.table({"part": [key[0].as_py()], "lot": [0], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").collect()
+    ddl = "part long, lot long, counts binary"
+    lots = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, ddl).groupBy("part", "lot").applyInArrow(add, ddl)
     out = np.zeros((parts, 1 << PART_BITS), np.int64)
-    for r in rows:
-        out[r.part] = np.frombuffer(r.counts, np.int64)
+    for r in lots.groupBy("part").applyInArrow(add, ddl).collect():  # as many rows as parts
+        out[r.part] = np.frombuffer(zlib.decompress(r.counts), np.int64)
     return out.reshape(-1)
 
 
@@ -208,15 +214,23 @@ def ordered(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.sort(numbers[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int = 1 << 20) -> DataFrame:
+def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int = 1 << 20, fan_out: int = 4096) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, high, low (two sums that
     name the set; null for an empty one) and shared, how many of its shingles occur in
-    another row too (shortened to `bits` bits, which may only raise the number)."""
+    another row too (shortened to `bits` bits, which may only raise the number).
+
+    A task sends each value of a chunk of texts once: with its row, or, where rows of
+    the chunk share it, with none, so a value of all texts costs one entry a chunk.
+    Beyond `fan_out` regions a second level splits each region among its own, so a chunk
+    makes at most `fan_out` runs whatever the corpus."""
     import zstandard
 
-    wide = pa.schema([("region", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])
-    ddl = "region long, chunk long, data binary, doc_id long, row long, n_shingles long, high long, low long"
-    cut = np.uint64(64 - bits)
+    fields = [("region", "long"), ("part", "long"), ("data", "binary"), ("owner", "long"), ("doc_id", "long"), ("n_shingles", "long"), ("high", "long"), ("low", "long"), ("local", "long")]
+    ddl = ", ".join(f"{name} {kind}" for name, kind in fields)
+    wide = pa.schema([(name, pa.binary() if kind == "binary" else pa.int64()) for name, kind in fields])
+    cut, nobody = np.uint64(64 - bits), np.uint64(2**64 - 1)
+    first = min(regions, fan_out)
+    ratio = -(-regions // first)
 
     def packed(x: np.ndarray) -> bytes:
         return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
@@ -225,37 +239,47 @@ def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
         return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
+    def runs(value: np.ndarray, owner: np.ndarray, part: int, coarse: bool):
+        """Sorted values and their owners as one row for each region that has any."""
+        region = (value.astype(np.float64) * (first * ratio / 2.0**bits)).astype(np.int64)
+        region = region // ratio if coarse else region
+        edge = np.flatnonzero(np.concatenate(([True], region[1:] != region[:-1], [True]))) if len(region) else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            steps = packed(np.diff(value[a:b], prepend=np.uint64(0)))
+            data = len(steps).to_bytes(4, "little") + steps + packed(owner[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([int(region[a])]), pa.array([part]), pa.array([data], pa.binary()), *[pa.nulls(1, pa.int64())] * 6], schema=wide)
+
+    def opened(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        k = 4 + int.from_bytes(data[:4], "little")
+        return np.cumsum(unpacked(data[4:k], np.uint64), dtype=np.uint64), unpacked(data[k:], np.uint64)
+
     def send(batches):
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 20
         ids, sets, size = [], [], 0
 
         def chunk_rows():
-            counts = np.array([len(s) for s in sets], np.int64)
+            counts, m = np.array([len(s) for s in sets], np.int64), len(sets)
             high = [int(mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
             low = [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, (number + (number >> 32)) % regions)), pa.array(np.full(m, number)), pa.nulls(m, pa.binary()), pa.array(ids, pa.int64()), pa.array(np.arange(m)), pa.array(counts), pa.array(high, pa.int64()), pa.array(low, pa.int64())], schema=wide)
-            value = np.concatenate(sets) >> cut
-            owner = np.repeat(np.arange(m), counts)
+            value, row = np.concatenate(sets) >> cut, np.repeat(np.arange(m), counts)
             order = np.argsort(value, kind="stable")
-            value, owner = value[order], owner[order]
-            region = (value.astype(np.float64) * (regions / 2.0**bits)).astype(np.int64)
-            at = np.searchsorted(region, np.arange(regions + 1))
-            for r in range(regions):
-                v, o = value[at[r] : at[r + 1]], owner[at[r] : at[r + 1]]
-                if len(v):
-                    steps = packed(np.diff(v, prepend=np.uint64(0)))
-                    data = len(steps).to_bytes(4, "little") + steps + packed(o.astype(np.uint32))
-                    yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([number]), pa.array([data], pa.binary()), *[pa.nulls(1, pa.int64())] * 5], schema=wide)
+            value, row = value[order], row[order]
+            begin = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))[: len(value)]
+            times = np.diff(np.append(begin, len(value)))
+            local = np.bincount(row[np.repeat(times > 1, times)], minlength=m)
+            owners = (np.arange(m) + (number << 20)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((np.arange(m) + number * 31) % first), pa.array(np.full(m, number % ratio)), pa.nulls(m, pa.binary()), pa.array(owners), pa.array(ids, pa.int64()), pa.array(counts), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(local)], schema=wide)
+            sent = np.where(times == 1, owners[row[begin]].view(np.uint64), nobody)
+            yield from runs(value[begin], sent, number % ratio, True)
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for k, s in enumerate(shingle_sets(batch.column(1), n)):
                 ids.append(keys[k]), sets.append(s)
                 size += len(s)
-                if size >= chunk:
+                if size >= chunk or len(ids) == 1 << 20:
                     yield from chunk_rows()
                     number += 1
                     ids, sets, size = [], [], 0
@@ -264,44 +288,50 @@ def shared_elements(docs: DataFrame, n: int, regions: int, bits: int, chunk: int
         ids, sets = [], []
         give_back()
 
+    def merged(table) -> tuple[np.ndarray, np.ndarray]:
+        given = [opened(x) for x in table.column("data").to_pylist() if x is not None]
+        value = np.concatenate([v for v, _ in given]) if given else np.empty(0, np.uint64)
+        owner = np.concatenate([o for _, o in given]) if given else np.empty(0, np.uint64)
+        order = np.argsort(value, kind="stable")
+        return value[order], owner[order]
+
+    def split(table):
+        """The runs of one region from some chunks, dealt to the regions within it."""
+        known = table.filter(pa.compute.is_null(table.column("data")))
+        return pa.Table.from_batches([*known.to_batches(), *runs(*merged(table), 0, False)], schema=wide)
+
     def compare(table):
         known = table.filter(pa.compute.is_null(table.column("data")))
-        given = table.filter(pa.compute.is_valid(table.column("data")))
-        numbers, values, owners = [], [], []
-        for c, data in zip(given.column("chunk").to_pylist(), given.column("data").to_pylist(), strict=True):
-            k = 4 + int.from_bytes(data[:4], "little")
-            numbers.append(c)
-            values.append(np.cumsum(unpacked(data[4:k], np.uint64), dtype=np.uint64))
-            owners.append(unpacked(data[k:], np.uint32))
+        value, owner = merged(table)
         out = []
-        if values:
-            all_values = np.sort(np.concatenate(values))
-            twice = np.unique(all_values[1:][all_values[1:] == all_values[:-1]])
-            for c, v, o in zip(numbers, values, owners, strict=True):
-                if len(twice):
-                    at = np.searchsorted(twice, v)
-                    at[at == len(twice)] = 0
-                    rows = np.bincount(o[twice[at] == v])
-                    if rows.any():
-                        out.append((c, packed(rows.astype(np.uint32))))
-        found = pa.table([pa.array([-1] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), *[pa.nulls(len(out), pa.int64())] * 5], schema=wide)
-        del values, owners
+        if len(value):
+            same = value[1:] == value[:-1]
+            again = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            rows, times = np.unique(owner[again & (owner != nobody)], return_counts=True)
+            edge = np.flatnonzero(np.concatenate(([True], rows[1:] >> np.uint64(20) != rows[:-1] >> np.uint64(20), [True]))) if len(rows) else np.zeros(1, np.int64)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                places = packed((rows[a:b] & np.uint64((1 << 20) - 1)).astype(np.uint32))
+                out.append((int(rows[a] >> np.uint64(20)), len(places).to_bytes(4, "little") + places + packed(times[a:b].astype(np.uint32))))
+        nulls = [pa.nulls(len(out), pa.int64())] * 5
+        found = pa.table([pa.array([-1] * len(out), pa.int64()), pa.array([-1] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[0] for x in out], pa.int64()), *nulls], schema=wide)
         give_back()
         return pa.concat_tables([known, found])
 
     def add(key, table):
-        parts = [unpacked(b, np.uint32) for b in table.column("data").to_pylist()]
-        total = np.zeros(max(map(len, parts)), np.int64)
-        for p in parts:
-            total[: len(p)] += p
+        total = np.zeros(1 << 20, np.int64)
+        for b in table.column("data").to_pylist():
+            k = 4 + int.from_bytes(b[:4], "little")
+            total[unpacked(b[4:k], np.uint32)] += unpacked(b[k:], np.uint32)
         row = np.flatnonzero(total)
-        return pa.table({"chunk": np.full(len(row), key[0].as_py()), "row": row, "shared": total[row]})
+        return pa.table({"owner": row + (key[0].as_py() << 20), "found": total[row]})
 
     rows = docs.select("doc_id", "text").mapInArrow(send, ddl)
+    if ratio > 1:
+        rows = staged(rows.groupBy("region", "part").applyInArrow(split, ddl), "runs")
     made = staged(rows.groupBy("region").applyInArrow(compare, ddl), "shared")
-    counts = made.filter("data is not null").groupBy("chunk").applyInArrow(add, "chunk long, row long, shared long")
-    known = made.filter("data is null").select("chunk", "row", "doc_id", "n_shingles", "high", "low")
-    return staged(known.join(counts.hint("shuffle_merge"), ["chunk", "row"], "left").select("doc_id", "n_shingles", "high", "low", F.coalesce("shared", F.lit(0)).alias("shared")), "sets")
+    counts = made.filter("data is not null").groupBy("owner").applyInArrow(add, "owner long, found long")
+    known = made.filter("data is null").select("owner", "doc_id", "n_shingles", "high", "low", "local")
+    return staged(known.join(counts.hint("shuffle_merge"), "owner", "left").select("doc_id", "n_shingles", "high", "low", (F.col("local") + F.coalesce("found", F.lit(0))).alias("shared")), "sets")
 
 
 def of_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -311,24 +341,26 @@ def of_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), "doc_id")
 
 
-def similar_components(docs: DataFrame, *, n: int = 5, percent: int = 80, tile_elements: int = 2_000_000, broadcast_rows: int = 1_000_000) -> DataFrame:
+def similar_components(docs: DataFrame, *, n: int = 5, percent: int = 80, tile_elements: int = 2_000_000, broadcast_rows: int = 1_000_000, fan_out: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs."""
     with small_batches(docs.sparkSession):  # all that reads texts runs in here
-        return _similar_components(docs, n, percent, tile_elements, broadcast_rows)
+        return _similar_components(docs, n, percent, tile_elements, broadcast_rows, fan_out)
 
 
-def _similar_components(docs: DataFrame, n: int, percent: int, tile_elements: int, broadcast_rows: int) -> DataFrame:
+def _similar_components(docs: DataFrame, n: int, percent: int, tile_elements: int, broadcast_rows: int, fan_out: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_rows = docs.count()
+    n_rows, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     bits = min(60, max(32, n_rows.bit_length() + 17))  # about 2^11 shingles a text, and 2^-7 by chance
+    parts = lambda shingles: max(slots(spark), -(-int(shingles or 0) // REGION))
     enough = F.col("shared") * 100 >= F.col("n_shingles") * percent
-    named = shared_elements(docs, n, max(slots(spark), n_rows // 20_000), bits)
+    named = shared_elements(docs, n, parts(n_bytes // 6), bits, fan_out=fan_out)
     staying = named.filter(enough & F.col("high").isNotNull() & F.col("doc_id").isNotNull())
     classes = staged(staying.groupBy("high", "low").agg(F.min("doc_id").alias("cls"), F.first("n_shingles").alias("n")), "classes")
     first = of_ids(docs, staged(classes.select(F.col("cls").alias("doc_id")).distinct(), "ids"), broadcast_rows)
-    again = shared_elements(first, n, slots(spark), bits).filter(enough & F.col("high").isNotNull())
+    again = shared_elements(first, n, parts(classes.agg(F.sum("n")).first()[0]), bits, fan_out=fan_out).filter(enough & F.col("high").isNotNull())
     docs = of_ids(docs, staged(again.select("doc_id").distinct(), "ids"), broadcast_rows)
+    tasks = parts(again.agg(F.sum("n_shingles")).first()[0])
     sent = spark.sparkContext.broadcast(cell_counts(docs, n))  # 2^20 numbers
     shift = np.uint64(64 - CELL_BITS)
 
@@ -383,19 +415,21 @@ def _similar_components(docs: DataFrame, n: int, percent: int, tile_elements: in
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    met = docs.select("doc_id", "text").mapInArrow(spread, "token long, a long, b long").repartition(slots(spark), "token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long")
+    met = docs.select("doc_id", "text").mapInArrow(spread, "token long, a long, b long").repartition(tasks, "token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long")
     near = components(met)
     # blocks of two classes or more, cut into tiles where they hold too many elements
-    near = near.join(classes.select(F.col("cls").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")).hint("shuffle_hash"), "node")
-    sizes = near.groupBy("component").agg(F.sum("n").alias("elements"))
-    near = near.join(sizes.hint("shuffle_hash"), "component").withColumn("tiles", F.ceil(F.col("elements") / tile_elements).cast("int"))
+    near = near.join(classes.select(F.col("cls").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")).hint("shuffle_merge"), "node")
+    near = staged(near, "near")
+    large = staged(near.groupBy("component").agg(F.sum("n").alias("elements")).filter(F.col("elements") > tile_elements), "large")
+    side = F.broadcast(large) if large.count() <= broadcast_rows else large.hint("shuffle_merge")
+    near = near.join(side, "component", "left").withColumn("tiles", F.coalesce(F.ceil(F.col("elements") / tile_elements), F.lit(1)).cast("int"))
     blocks = staged(near.select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")), "blocks")
     n_members, most = blocks.agg(F.count("*"), F.coalesce(F.max("tiles"), F.lit(1))).first()
     small = F.broadcast(blocks) if n_members <= broadcast_rows else blocks.hint("shuffle_merge")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
     members = docs.join(small, "doc_id")
     cells = members.select("block", F.explode(pairs).alias("pair"), "tile", "doc_id", "text").select("block", "pair.i", "pair.j", "tile", "doc_id", "text")
-    cells = cells.repartition(slots(spark) * 2, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    cells = cells.repartition(tasks * 2, "block", "i", "j").sortWithinPartitions("block", "i", "j")
 
     def solve(key, ids, tiles, sets):
         if key[1] == key[2]:
@@ -426,7 +460,7 @@ def _similar_components(docs: DataFrame, n: int, percent: int, tile_elements: in
             yield out
 
     found = components(cells.mapInArrow(link, "a long, b long")).select(F.col("node").alias("cls"), "component")
-    of_class = classes.select("high", "low", "cls").join(found.hint("shuffle_hash"), "cls", "left").select("high", "low", F.coalesce("component", "cls").alias("component_id"))
+    of_class = classes.select("high", "low", "cls").join(found.hint("shuffle_merge"), "cls", "left").select("high", "low", F.coalesce("component", "cls").alias("component_id"))
     return named.join(of_class.hint("shuffle_merge"), ["high", "low"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -436,9 +470,18 @@ def op10_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Documents with all their columns, one (the smallest doc_id) of each component;
-    texts without a word all stay."""
-    found = similar_components(docs.select("doc_id", "text"))
-    gone = staged(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    n = gone.count()
-    return docs.join(F.broadcast(gone) if n <= broadcast_rows else gone.hint("shuffle_merge"), "doc_id", "left_anti")
+    """Documents with all their columns, exactly one row of each component: that of the
+    smallest doc_id (nulls last; of rows that share it any one). Texts without a word
+    all stay. Where doc_ids repeat or are null, rows are written with a number of their
+    own first, and classes are made of those numbers."""
+    n_rows, n_ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n_rows == n_ids:
+        gone = similar_components(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id")
+        gone = staged(gone, "copies")
+        return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone.hint("shuffle_merge"), "doc_id", "left_anti")
+    names = docs.columns
+    rows = staged(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), F.monotonically_increasing_id().alias("key")), "rows")
+    found = similar_components(rows.select(F.col("key").alias("doc_id"), F.col("r.text").alias("text"))).select(F.col("doc_id").alias("key"), "component_id")
+    found = staged(found.join(rows.select("key", F.col("r.doc_id").alias("id")).hint("shuffle_merge"), "key"), "copies")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))["key"].alias("key"))
+    return rows.join(staged(first.select("key"), "kept").hint("shuffle_merge"), "key", "left_semi").select(*[F.col(f"r.`{c}`").alias(c) for c in names])

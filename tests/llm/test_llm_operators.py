@@ -328,10 +328,12 @@ def near_copies(seed, n=80):
     return out
 
 
-@pytest.mark.parametrize("tile", [2_000_000, 300])
-def test_jaccard_components(spark, tile):
+@pytest.mark.parametrize("tile,fan_out", [(2_000_000, 4096), (300, 4096), (300, 3)])
+def test_jaccard_components(spark, tile, fan_out, monkeypatch):
     rows = texts() + near_copies(tile)
-    got = sorted(tuple(x) for x in jaccard.similar_components(table(spark, rows).repartition(5), tile_elements=tile, broadcast_rows=1_000_000 if tile > 300 else 0).collect())
+    if fan_out == 3:  # some regions, in two levels
+        monkeypatch.setattr(jaccard, "REGION", 200)
+    got = sorted(tuple(x) for x in jaccard.similar_components(table(spark, rows).repartition(5), tile_elements=tile, broadcast_rows=1_000_000 if tile > 300 else 0, fan_out=fan_out).collect())
     assert got == brute_components(rows)
 
 
@@ -340,6 +342,9 @@ def test_jaccard_edges(spark):
     d = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, None)], "doc_id long, text string")
     got = sorted((x.doc_id or -1, x.component_id) for x in jaccard.similar_components(d).collect())
     assert got == [(-1, 4), (4, 4), (4, 4), (9, 9)]
+    same = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f"), (1, "another text of some words"), (None, None), (None, None), (7, "")]
+    kept = jaccard.keep_one_of_each(spark.createDataFrame(same, "doc_id long, text string").withColumn("key", F.lit("clash")))
+    assert sorted(((x.doc_id, x.text, x.key) for x in kept.collect()), key=str) == sorted([(1, same[0][1], "clash"), (1, same[4][1], "clash"), (None, None, "clash"), (None, None, "clash"), (7, "", "clash")], key=str)
     kept = jaccard.keep_one_of_each(table(spark, ["a b c d e f"] * 3 + [None, ""]))
     assert sorted(x.doc_id for x in kept.collect()) == [0, 3, 4] and len(kept.columns) == 8
 
