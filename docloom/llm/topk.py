@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import slots
 
 ROWS, BLOCK = 1024, 4096
+NOTHING = np.iinfo(np.int64).min
 
 
 class Cell:
@@ -41,7 +42,7 @@ class Cell:
         if dim in self.parts:
             parts = self.parts.pop(dim)
             q = np.concatenate([p[0] for p in parts])
-            self.ready[dim] = (q, np.concatenate([p[1] for p in parts]), np.full((len(q), self.k), -np.inf), np.full((len(q), self.k), np.iinfo(np.int64).max))
+            self.ready[dim] = (q, np.concatenate([p[1] for p in parts]), np.full((len(q), self.k), NOTHING), np.full((len(q), self.k), np.iinfo(np.int64).max))
         if dim not in self.ready:
             return
         q_ids, q, scores, found = self.ready[dim]
@@ -60,41 +61,46 @@ class Cell:
                 n = min(self.k, key.shape[1])
                 at = np.argpartition(key, -n, axis=1)[:, -n:]
                 got = np.take_along_axis(key, at, 1)
-                self._merge(scores, found, rows, np.floor(got / BLOCK), d_ids[at])
+                there = np.isfinite(got)
+                whole = np.floor(np.where(there, got, 0.0) / BLOCK).astype(np.int64)
+                self._merge(scores, found, rows, np.where(there, whole, NOTHING), d_ids[at])
 
     def _merge(self, scores, found, rows, new_scores, new_ids) -> None:
         s = np.concatenate((scores[rows], new_scores), 1)
         i = np.concatenate((found[rows], new_ids), 1)
-        best = np.lexsort((i, -s), axis=1)[:, : self.k]
+        best = np.lexsort((i, ~s), axis=1)[:, : self.k]  # ~s falls as s grows, without overflow
         scores[rows], found[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
 
     def _slow(self, q_ids, q, scores, found, ids, vectors) -> None:
-        whole = [[int(x) for x in v] for v in vectors.tolist()]
+        """Whole numbers of any size; what a 64-bit score cannot hold is cut to its ends."""
+        whole = np.array([[int(x) for x in v] for v in vectors.tolist()], object).reshape(vectors.shape).T
         for r in range(len(q)):
-            own = [int(x) for x in q[r].tolist()]
-            s = np.array([float("-inf") if i == q_ids[r] else float(sum(a * b for a, b in zip(own, v, strict=True))) for i, v in zip(ids.tolist(), whole, strict=True)])
+            own = np.array([int(x) for x in q[r].tolist()], object)
+            s = np.array([max(NOTHING + 1, min(-(NOTHING + 1), int(x))) for x in own @ whole], np.int64)
+            s[ids == q_ids[r]] = NOTHING
             self._merge(scores, found, slice(r, r + 1), s[None, :], ids[None, :])
 
     def lists(self):
         for q_ids, _, scores, found in self.ready.values():
-            row, col = np.nonzero(np.isfinite(scores))
-            yield q_ids[row], found[row, col], scores[row, col].astype(np.int64)
+            row, col = np.nonzero(scores != NOTHING)
+            yield q_ids[row], found[row, col], scores[row, col]
 
 
-def top_k(vectors: DataFrame, query_rows, k: int = 5, *, scale: float = 256.0, tile: int = 16_384, cells: int | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, query_rows, k: int = 5, *, scale: float = 256.0, tile: int = 16_384, cells: int | None = None, shard_rows: int = 1_000_000) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of largest integer inner
     product for every row where `query_rows` holds. Components become
-    floor(scale * component)."""
+    floor(scale * component). A shard holds about `shard_rows` candidates at most, however
+    many query tiles there are."""
     spark = vectors.sparkSession
     value = F.col("embedding")
     bad = F.exists(value, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), value).filter(F.col("vec_id").isNotNull() & value.isNotNull() & (F.size(value) > 0) & ~F.coalesce(bad, F.lit(True)))
     clean = clean.select("vec_id", F.transform(value, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
     asked = clean.filter(query_rows)
-    n_queries = asked.count()
+    n_rows, n_queries = clean.agg(F.count("*"), F.count_if(query_rows)).first()
     cells = cells or slots(spark)
     tiles = max(1, math.ceil(n_queries / tile), round(math.sqrt(cells * 0.02)))
-    shards = max(1, math.ceil(cells / tiles))
+    shards = max(1, math.ceil(cells / tiles), math.ceil(n_rows / shard_rows))
     one = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
     to_tiles = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
     to_shards = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
