@@ -27,6 +27,8 @@ from docloom.llm.common import LOWER, UPPER, staged
 
 #: Between words: every ASCII character but digits and lower-case letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Tasks that one fingerprint's rows are dealt over where items are too many to broadcast.
+SALTS = 32
 
 
 def word_list(text: Column) -> Column:
@@ -122,8 +124,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int
     texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_t"), word_list(F.col("text")).alias("_w"))
     found = prints(texts, "_w", k=k, w=w, short=short, seen=lambda x: test(x, table)).select("doc_id", "_t", F.size("_w").alias("n_words"), F.explode_outer("prints").alias("p")).select("doc_id", "_t", "n_words", "p.*")
     side = keys.select("kind", "f", "item_id", F.col("before").alias("_before"), F.col("rest").alias("_rest"))
-    side = F.broadcast(side) if n_keys <= broadcast_rows else side.hint("shuffle_merge")
-    met = found.join(side, ["kind", "f"], "left")
+    if n_keys <= broadcast_rows:
+        met = found.join(F.broadcast(side), ["kind", "f"], "left")
+    else:  # a passage of very many documents is dealt over SALTS tasks, and the items repeated there
+        salt = F.pmod(F.xxhash64("doc_id", "_t", "at"), F.lit(SALTS)).cast("int")
+        side = side.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = found.withColumn("_s", salt).join(side.hint("shuffle_merge"), ["kind", "f", "_s"], "left")
     left, right = agree(F.col("before"), F.col("_before")), agree(F.col("rest"), F.col("_rest"))
     met = met.withColumn("_l", F.when(F.col("kind") == 0, left).otherwise(0)).withColumn("_r", right)
     ok = F.col("item_id").isNotNull() & F.when(F.col("kind") == 0, (F.col("_r") >= k) & (F.col("_l") + F.col("_r") >= window)).otherwise(F.col("_r") == F.col("kind"))
