@@ -12,8 +12,10 @@ File layout, in order:
   the number of frames, a descriptor with the checksum bit, and 0x8F92EAB1.
 
 Null texts count as empty and get the end id alone; a null doc_id sorts first and is
-kept as the smallest 64-bit integer in the file; repeated rows are repeated; other
-columns are not read; an empty table gives no file and no rows.
+kept as the smallest 64-bit integer in the file; rows of one doc_id follow in order of
+a hash of their text and may lie in several files; repeated rows are repeated; other
+columns are not read; an empty table gives no file and no rows. An id that does not fit
+the width is an error, never cut.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import shared_dir, slots, staged
-from docloom.llm.tokenizing import Encoder
+from docloom.llm.common import shared_dir, slots, small_batches, staged
+from docloom.llm.tokenizing import Encoder, vocabulary_size
 
 SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 NULL_ID = -(2**63)
@@ -62,7 +64,10 @@ class TokenWriter:
 
         if not self.held:
             return
-        raw = np.concatenate(self.held).astype(f"<u{self.width}").tobytes()
+        ids = np.concatenate(self.held)
+        if int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {ids.max()} does not fit {self.width} bytes")
+        raw = ids.astype(f"<u{self.width}").tobytes()
         frame = self.zip.compress(raw)
         self.sink.write(frame)
         self.table.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
@@ -120,15 +125,20 @@ class TokenReader:
                 yield doc_id, ids[place : place + n]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, *, files: int | None = None, frame_ids: int = 1 << 16, level: int = 1, id_bytes: int = 2) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, *, files: int | None = None, frame_ids: int = 1 << 16, level: int = 1, id_bytes: int | None = None, file_bytes: int = 64 << 20) -> DataFrame:
     """Encode `text` of every row and write the ids, `end_id` last, in ascending
     doc_id order to files below `path` (any address that pyarrow's file systems
-    take). Returns the manifest (file_no, file, n_docs, n_ids), written and reread.
+    take). Without `files` and `id_bytes` there are as many files as `file_bytes` of text
+    each make, and ids take two bytes if the vocabulary and the end id allow it, else
+    four. Returns the manifest (file_no, file, n_docs, n_ids), written and reread.
 
     A task writes under a name of its own and renames at the end, so a repeated or
     speculative task replaces its file by an equal one."""
     spark = docs.sparkSession
-    files = files or slots(spark)
+    if not files:
+        total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+        files = max(slots(spark), -(-total // file_bytes))
+    id_bytes = id_bytes or (2 if max(vocabulary_size(tokenizer) - 1, end_id) < 1 << 16 else 4)
     fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1], recursive=True)
 
     def write(batches):
@@ -157,8 +167,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, *
             store.move(temporary, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"file_no": [part], "file": [f"{path}/{name}"], "n_docs": [len(out.index)], "n_ids": [out.n_ids]}, schema=pa.schema([("file_no", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    return staged(ordered.mapInArrow(write, "file_no long, file string, n_docs long, n_ids long"), "manifest")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ordered = ordered.withColumn("tie", F.xxhash64("text")).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    with small_batches(spark):
+        return staged(ordered.mapInArrow(write, "file_no long, file string, n_docs long, n_ids long"), "manifest")
 
 
 def read_token_files(manifest: DataFrame, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:

@@ -37,6 +37,12 @@ def _byte_letters() -> dict[int, str]:
     return table | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 class Encoder:
     """One per Python worker; remembers up to `remember` pieces, which bounds its
     memory. Pieces beyond that are encoded anew each time they are met."""
