@@ -20,10 +20,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the cluster's shared folder (spark.checkpoint.dir).
 
-    Only where that setting is absent (a local test) a folder of this machine is
-    set for the session."""
+    Where that setting is absent, a session on one machine (a local test) gets a
+    temporary folder; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import chunks, fold, slots, staged, word_hashes, word_spans
+from docloom.llm.common import chunks, fold, slots, small_batches, staged, word_hashes, word_spans
 
 END = np.uint64(0xE4D0F7E2B1C9A853)
 CLASS = 64
@@ -192,7 +192,8 @@ class Gru:
         """log10 P(class) * P(head word | class), summed over the symbols of each text
         (each closed by the end symbol)."""
         sizes = np.array([len(t) for t in texts], np.int64)
-        lanes = max(1, min(lanes, len(texts)))
+        # no more lanes than the longest text fills: tables hold about twice the symbols at most
+        lanes = max(1, min(lanes, -(-int(sizes.sum()) // max(1, int(sizes.max(initial=1))))))
         load, line = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
         for k in np.argsort(-sizes, kind="stable").tolist():
             lane = int(load.argmin())
@@ -326,7 +327,7 @@ def vocabulary(counts: DataFrame, *, head: int = 2048, most: int = 1 << 18, leas
 
 def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: int = 32, rounds: int = 3, rate: float = 0.1, replicas: int | None = None) -> Gru:
     """Rounds of parallel training on all windows (each window in one round), the
-    tasks' weights averaged by their numbers of windows, in two levels."""
+    tasks' weights averaged by their numbers of windows, 32 at a time."""
     spark = windows.sparkSession
     model = Gru(words, size)
     replicas = replicas or slots(spark)
@@ -364,16 +365,22 @@ def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: i
             if held:
                 learn()
             if n:
-                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() % 8], "n": [n], "w": [pack(own.w)]})
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() // 32], "n": [n], "w": [pack(own.w)]})
 
         def average(key, table):
             n = np.array(table.column("n").to_pylist(), np.float64)
             total = sum(k * np.frombuffer(w, np.float32).astype(np.float64) for k, w in zip(n, table.column("w").to_pylist(), strict=True))
-            return pa.table({"part": [0], "n": [int(n.sum())], "w": [(total / n.sum()).astype(np.float32).tobytes()]})
+            return pa.table({"part": [key[0].as_py() // 32], "n": [int(n.sum())], "w": [(total / n.sum()).astype(np.float32).tobytes()]})
 
         trained = part.select("w").repartition(replicas, F.monotonically_increasing_id() % replicas)  # not by content: copies spread out
         trained = trained.mapInArrow(run, "part long, n long, w binary")
-        rows = trained.groupBy("part").applyInArrow(average, "part long, n long, w binary").collect()  # eight models
+        left = -(-replicas // 32)
+        while True:
+            trained = trained.groupBy("part").applyInArrow(average, "part long, n long, w binary")
+            if left == 1:
+                break
+            left = -(-left // 32)
+        rows = trained.collect()  # one model
         if rows:
             n = sum(r.n for r in rows)
             flat, at = sum(r.n / n * np.frombuffer(r.w, np.float32).astype(np.float64) for r in rows).astype(np.float32), 0
@@ -435,6 +442,11 @@ def score_texts(docs: DataFrame, held_out, counts: DataFrame, words: Vocabulary,
 
 def lm_scores(docs: DataFrame, held_out, *, window: int = 64, **training) -> DataFrame:
     """Learn from the rows where `held_out` is false and score all rows."""
+    with small_batches(docs.sparkSession):
+        return _lm_scores(docs, held_out, window, training)
+
+
+def _lm_scores(docs: DataFrame, held_out, window: int, training: dict) -> DataFrame:
     learnt = docs.filter(~held_out)
     counts = staged(count_words(learnt).groupBy("h").agg(F.sum("c").alias("c")), "counts")
     words = vocabulary(counts)

@@ -93,10 +93,17 @@ def test_token_files_round_trip(spark, docs):
         start += len(i)
     some = token_files.read_token_files(manifest, doc_ids=[5, 10]).collect()
     assert {(x.doc_id, x.start) for x in some} == {(x.doc_id, x.start) for x in got if x.doc_id in (5, 10)}
+    wide = token_files.write_token_files(docs.limit(20), path, 70_000, common.shared_dir(spark, "t"))  # an end id beyond 16 bits
+    assert {x.ids[-1] for x in token_files.read_token_files(wide).collect()} == {70_000}
+    ties = spark.createDataFrame([(None, f"text {k % 7}") for k in range(300)], "doc_id long, text string")
+    tied = token_files.write_token_files(ties, path, 2, common.shared_dir(spark, "t"), files=4)
+    assert tied.count() > 1 and token_files.read_token_files(tied).count() == 300
     assert token_files.read_token_files(token_files.write_token_files(docs.limit(0), path, 2, common.shared_dir(spark, "t"))).count() == 0
 
 
 def test_token_file_damage(tmp_path):
+    import zstandard
+
     with open(tmp_path / "f", "wb") as f:
         w = token_files.TokenWriter(f, 2, 4, 1)
         for k in range(5):
@@ -105,14 +112,23 @@ def test_token_file_damage(tmp_path):
     raw = bytearray((tmp_path / "f").read_bytes())
     reader = token_files.TokenReader(pa.BufferReader(bytes(raw)))
     assert len(reader.frames) == 5 and [list(i) for _, i in reader.documents({3})] == [[3, 3, 3]]
-    import zstandard
-
-    other = zstandard.ZstdCompressor(level=1).compress(b"\x09\x00" * 3)
-    size = reader.frames[2][0]
-    if len(other) <= size:
-        raw[int(reader.starts[2]) : int(reader.starts[2]) + len(other)] = other
-    with pytest.raises(Exception):  # noqa: B017
-        token_files.TokenReader(pa.BufferReader(bytes(raw))).load(2)
+    at, size = int(reader.starts[2]), reader.frames[2][0]
+    for k in range(size):  # any byte of the frame
+        bad = bytearray(raw)
+        bad[at + k] ^= 0x55
+        try:
+            got = token_files.TokenReader(pa.BufferReader(bytes(bad))).load(2)
+        except (ValueError, zstandard.ZstdError, MemoryError):
+            continue
+        assert got.tolist() == [2, 2, 2], k  # a byte that does not matter (frame header flags)
+    other = zstandard.ZstdCompressor(level=1, write_content_size=False).compress(np.full(3, 9, "<u2").tobytes())
+    bad = raw[:at] + other.ljust(size, b"\0") + raw[at + size :]
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        token_files.TokenReader(pa.BufferReader(bytes(bad))).load(2)
+    with pytest.raises(ValueError, match="65536"):
+        w = token_files.TokenWriter(pa.BufferOutputStream(), 2, 4, 1)
+        w.add(1, np.array([65536], np.uint32))
+        w.flush()
 
 
 # ---------------------------------------------------------------- packing
@@ -241,6 +257,11 @@ def test_decontamination(spark):
     for few in (100_000, 0):
         got = {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in decontaminate.contamination(table(spark, rows), bench, broadcast_rows=few).collect()}
         assert got == brute_hits(rows, items)
+    shared = "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11"
+    many = [f"x{k} {shared} y{k}" for k in range(200)]
+    for few in (100_000, 0):
+        got = {x.doc_id: (x.n_words, x.n_hit, x.n_items) for x in decontaminate.contamination(table(spark, many), spark.createDataFrame([(1, shared), (2, shared + " z")], "item_id long, text string"), broadcast_rows=few).collect()}
+        assert got == {k: (14, 12, 2) for k in range(200)}
     clean = decontaminate.contamination(table(spark, rows), bench.limit(0))
     assert clean.filter("contaminated").count() == 0 and clean.count() == len(rows)
     kept = decontaminate.drop_contaminated(table(spark, rows), bench)
@@ -268,12 +289,21 @@ def test_top_k(spark):
         if q % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(e, f, strict=True)), i) for i, f in clean if i != q and len(f) == len(e))[:5]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
-    for kw in ({}, {"tile": 2, "cells": 70}):
+    for kw in ({}, {"tile": 2, "cells": 70}, {"tile": 2, "cells": 1, "shard_rows": 50}):
         got = [tuple(x) for x in topk.top_k(d, F.col("vec_id") % 50 == 0, **kw).select("query_id", "rank", "vec_id", "score").collect()]
         assert sorted(got) == sorted(want)
     assert topk.top_k(d.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_beyond_exact_doubles(spark):
+    big = float(2**20 + 1)
+    rows = [(0, [big, big]), (1, [big, big - 2**-8]), (2, [big, big - 2**-7]), (3, [1e15, 1e15])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clean = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = sorted(((i, min(2**63 - 1, sum(a * b for a, b in zip(clean[0], v, strict=True)))) for i, v in clean.items() if i), key=lambda x: -x[1])
+    assert [(x.vec_id, x.score) for x in topk.top_k(d, F.col("vec_id") == 0).orderBy("rank").collect()] == want
+
+
 # ---------------------------------------------------------------- sharding
 
 
@@ -291,6 +321,24 @@ def test_shards(spark, docs):
     other = sharding.shuffled(many, 7, seed=4, bucket_bytes=2000)
     assert {(x.record.doc_id, x.shard, x.slot) for x in other.collect()} != {(x.record.doc_id, x.shard, x.slot) for x in out.collect()}
     assert sharding.shuffled(docs.limit(0), 7).count() == 0
+    nobody = spark.createDataFrame([(None, f"text {k}") for k in range(500)], "doc_id long, text string")
+    parts = sharding.placed(nobody, seed=3, bucket_bytes=500).groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    assert len(parts) > 5 and max(x.n for x in parts) < 200
+    # brute force: buckets end to end, each in the order of its permutation, cut in runs
+    rows = sharding.placed(many, seed=3, bucket_bytes=2000).collect()
+    places, at = {}, 0
+    for b in sorted({x.bucket for x in rows}):
+        inside = sorted((x for x in rows if x.bucket == b), key=lambda x: x.rank)
+        assert [x.rank for x in inside] == list(range(1, len(inside) + 1)) and sorted(inside[0].order) == list(range(len(inside)))
+        assert [x.begin for x in inside] == [at] * len(inside)
+        for x in inside:
+            places.setdefault(at + x.order[x.rank - 1], []).append((x.record.doc_id, x.record.text))
+        at += len(inside)
+    sizes_ = [n // 7 + (k < n % 7) for k in range(7)]
+    want = [(k, j) for k, m in enumerate(sizes_) for j in range(m)]
+    got_rows = sorted(sharding.shuffled(many, 7, seed=3, bucket_bytes=2000).collect(), key=lambda x: (x.shard, x.slot))
+    assert [(x.shard, x.slot) for x in got_rows] == want and [len(places[k]) for k in range(n)] == [1] * n
+    assert [key(x.record) for x in got_rows] == [places[k][0] for k in range(n)]
     assert not re.search("Python|Pandas|Arrow", other._jdf.queryExecution().executedPlan().toString())
 
 
