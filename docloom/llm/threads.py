@@ -54,10 +54,11 @@ def units_of(passages: str) -> Column:
     """(p, level, exact, size, h1, h2) of every passage and of its lines and sentences."""
 
     def of(x: Column, p: Column) -> Column:
-        whole = normal(x["raw"])
+        whole = x["whole"]
         sentences = F.split(F.regexp_replace(whole, r"([.!?]) ", "$1\x02"), "\x02")
-        pieces = F.filter(F.array_distinct(F.concat(F.transform(F.split(x["raw"], "\n"), normal), sentences)), lambda y: (y != "") & (y != whole))
-        unit = lambda y, exact: F.struct(p.alias("p"), x["level"].alias("level"), F.lit(exact).alias("exact"), F.length(whole).alias("size"), F.xxhash64(y).alias("h1"), F.xxhash64(F.lit(1), y).alias("h2"))
+        lines = F.when(F.instr(x["raw"], "\n") > 0, F.transform(F.split(x["raw"], "\n"), normal)).otherwise(F.array())
+        pieces = F.filter(F.array_distinct(F.concat(lines, sentences)), lambda y: (y != "") & (y != whole))
+        unit = lambda y, exact: F.struct(p.alias("p"), x["level"].alias("level"), F.lit(exact).alias("exact"), x["size"].alias("size"), F.xxhash64(y).alias("h1"), F.xxhash64(F.lit(1), y).alias("h2"))
         return F.concat(F.array(unit(whole, True)), F.transform(pieces, lambda y: unit(y, False)))
 
     return F.flatten(F.transform(F.filter(passages, lambda x: x["level"] >= 0), of))
@@ -76,7 +77,9 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
     opens = lambda i: F.coalesce(F.get(F.col("kinds"), i - 1), F.lit(BLANK)) != F.get(F.col("kinds"), i)
     marked = F.transform("ls", lambda x, i: F.when(F.get(F.col("kinds"), i) == BLANK, "").otherwise(F.concat(F.when(opens(i), F.concat(F.lit("\x01"), F.get(F.col("kinds"), i).cast("string"), F.lit("\x02"))).otherwise(""), F.translate(x["line"], "\x01\x02", "  "))))
     parts = F.filter(F.split(F.array_join(marked, "\n"), "\x01"), lambda p: p.contains("\x02"))
-    passages = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x02", 1).cast("int").alias("level"), F.substring_index(p, "\x02", -1).alias("raw")))
+    raw = F.transform(parts, lambda p: F.struct(F.substring_index(p, "\x02", 1).cast("int").alias("level"), F.substring_index(p, "\x02", -1).alias("raw")))
+    whole = F.transform(raw, lambda x: F.struct(x["level"].alias("level"), x["raw"].alias("raw"), normal(x["raw"]).alias("whole")))
+    passages = F.transform(whole, lambda x: F.struct(x["level"].alias("level"), x["raw"].alias("raw"), x["whole"].alias("whole"), F.length(x["whole"]).alias("size")))
     own = F.filter("ls", lambda x, i: (x["level"] == 0) & (F.get(F.col("kinds"), i) != ANNOUNCED))
     body = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
     conv = F.when(F.col("conv_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string")))
