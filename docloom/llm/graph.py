@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: every larger neighbour is tied to the smallest of the neighbourhood
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # (written, so that the join reads both sides from a shuffle and a node of very many edges can be split)
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least.hint("shuffle_merge"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: every smaller neighbour, and the node, to the smallest of them
         small = large.groupBy("u").agg(F.min("v").alias("m"))
