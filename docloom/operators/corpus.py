@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import document_of, stable_fraction, stable_shard
+from docloom.functions.text import collapse_space, document_of, stable_fraction, stable_shard
 from docloom.sources.shared import written
 
 
@@ -75,10 +78,18 @@ def exact_sample(rows: DataFrame, n: int, key: str, seed: int, strict: bool = Fa
 def share_per_group(rows: DataFrame, group: str, key: str, ratio: float, seed: int) -> DataFrame:
     """Of each group of n rows exactly min(n - 1, max(1, round(n * ratio))); groups of
     one row give none."""
-    order = Window.partitionBy(group).orderBy(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key)
-    n = F.count("*").over(Window.partitionBy(group))
+    h = F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    rows = rows.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 3)).withColumn("_g", F.struct(F.col(group)))
+    # counts per group and one of 4096 stretches of the hash tell where its last kept row lies
+    each = rows.groupBy("_g", "_b").agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy("_g")
+    upto = F.sum("_c").over(whole.orderBy("_b"))
+    n = F.sum("_c").over(whole)
     kept = F.least(n - 1, F.greatest(F.lit(1), F.bround(n * ratio).cast("bigint")))
-    return rows.withColumn("_k", F.row_number().over(order)).withColumn("_n", kept).filter("_k <= _n").drop("_k", "_n")
+    each = each.select("_g", "_b", (kept - upto + F.col("_c")).alias("_room"), "_c").filter("_room > 0")
+    rows = rows.join(each.hint("shuffle_merge"), ["_g", "_b"])
+    rank = F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", key))
+    return rows.withColumn("_k", F.when(F.col("_room") < F.col("_c"), rank).otherwise(0)).filter("_k <= _room").drop("_h", "_b", "_g", "_room", "_c", "_k")
 
 
 def seeded_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
@@ -126,6 +137,67 @@ def fits(rows: DataFrame, source: str, length: Column, most: int, policy: str =
     return rows.filter(length <= most)
 
 
+def overlength_counts(rows: DataFrame, length: Column, most: int, by: list[str] | None = None) -> DataFrame:
+    """(by.., rows, kept, skipped) of the skip policy; a null length is skipped."""
+    fine = F.coalesce(length <= most, F.lit(False))
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("rows"), F.count_if(fine).alias("kept"), F.count_if(~fine).alias("skipped"))
+
+
+def mapped(rows: DataFrame, name: str, f: Callable[..., Column], inputs: list[str], **constants) -> DataFrame:
+    """Add the column that f makes of the named input columns and the constants."""
+    return rows.withColumn(name, f(*[F.col(f"`{c}`") for c in inputs], **constants))
+
+
+def batches_with_counts(rows: DataFrame, f: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, counts): f takes a pandas batch and returns the rows that stay (of
+    `schema`) and a dict of counters, which are summed by name. Rows are made once and
+    written, so counts and rows come from the same run."""
+
+    def run(batches):
+        import json
+
+        totals: dict[str, int] = {}
+        for batch in batches:
+            kept, counts = f(batch)
+            for k, n in counts.items():
+                totals[k] = totals.get(k, 0) + int(n)
+            kept = kept.copy()
+            kept["_counts"] = None
+            yield kept
+        if totals:
+            yield pd.DataFrame([[None] * (len(kept.columns) - 1) + [json.dumps(totals)]], columns=kept.columns)
+
+    out = written(rows.mapInPandas(run, f"{schema}, _counts string"), "batches")
+    kept = out.filter("_counts IS NULL").drop("_counts")
+    counts = out.filter("_counts IS NOT NULL").select(F.explode(F.from_json("_counts", "map<string, bigint>")).alias("name", "n"))
+    return kept, counts.groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def index_shards(rows: DataFrame, key: str, shards: int) -> DataFrame:
+    """Shards by running index in key order, modulo their number."""
+    return numbered(rows, key).withColumn("shard", (F.col("_i") % shards).cast("int")).drop("_i")
+
+
+def revision_diff(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, change) between two revisions by content hash: added, removed or changed."""
+    side = lambda d, e: d.select(key, F.sha2(F.col(content).cast("binary"), 256).alias("h"), F.lit(e).alias("e"))
+    of = lambda c, e: F.max(F.when(F.col("e") == e, F.col(c)))
+    both = side(old, 1).unionByName(side(new, 2)).groupBy(key).agg(F.bit_or("e").alias("e"), of("h", 1).alias("a"), of("h", 2).alias("b"))
+    change = F.when(F.col("e") == 2, "added").when(F.col("e") == 1, "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
+    return both.select(key, change.alias("change")).filter(F.col("change").isNotNull())
+
+
+def slices(rows: DataFrame, by: list[str], metrics: dict[str, Column]) -> DataFrame:
+    """Any metrics per task, language or other slice, with its number of rows."""
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), *[c.alias(n) for n, c in metrics.items()])
+
+
+def distinct_texts(rows: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, copies): one row per text whose white space is cleaned, named by the least
+    key. Texts meet by a hash, counted before the shuffle."""
+    return rows.groupBy(F.sha2(collapse_space(F.col(text)), 256).alias("_h")).agg(F.min(key).alias(key), F.count("*").alias("copies")).drop("_h")
+
+
 def upload_verdict(name: Column, size: Column, types: list[str], most: int) -> Column:
     """Why an upload is refused, null if it is not."""
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
@@ -142,9 +214,12 @@ def length_summary(rows: DataFrame, by: str, length: str) -> DataFrame:
     return h.groupBy(by).agg(F.max("total").alias("rows"), F.min(length).alias("shortest"), median.alias("median"), F.max(length).alias("longest"))
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, nulls, distinct, min, max as text; one pass."""
-    parts = [F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("rows"), F.count_if(F.col(f.name).isNull()).alias("nulls"), F.count_distinct(F.col(f.name)).alias("distinct"), F.min(F.col(f.name)).cast("string").alias("least"), F.max(F.col(f.name)).cast("string").alias("greatest")) for f in df.schema.fields]
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per column: type, rows, nulls, distinct, min, max as text; one pass. The
+    distinct values are estimated (about 5 %), or with `exact` counted, which makes as
+    many rows as there are values."""
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    parts = [F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("rows"), F.count_if(F.col(f.name).isNull()).alias("nulls"), distinct(F.col(f.name)).alias("distinct"), F.min(F.col(f.name)).cast("string").alias("least"), F.max(F.col(f.name)).cast("string").alias("greatest")) for f in df.schema.fields]
     return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
@@ -205,12 +280,14 @@ def content_chunks(parts: DataFrame, key: str, order: str, images: str, texts: s
 
 
 def with_substitutes(rows: DataFrame, good: Column, key: str, seed: int) -> DataFrame:
-    """Every bad row is replaced by a good one that the seed and its key choose: bad and
-    good rows meet on a hash place; rows without good rows to choose from are dropped."""
+    """Every bad row is replaced by a good one that the seed and its key choose (sha1
+    modulo the number of good rows, which stand in key order), named in used_key; without
+    good rows nothing is left."""
     marked = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
     fine = numbered(marked.filter("_good"), key, "_place")
     n = fine.count()
     others = [c for c in rows.columns if c != key]
     chosen = fine.select("_place", F.struct(*others).alias("_r"), F.col(key).alias("used_key"))
-    bad = marked.filter("NOT _good").select(key, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(max(n, 1))).alias("_place"))
-    return fine.select(*rows.columns, F.col(key).alias("used_key")).unionByName(bad.join(chosen, "_place").select(key, "_r.*", "used_key"))
+    h = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
+    bad = marked.filter("NOT _good").select(key, F.pmod(h, F.lit(max(n, 1)).cast("decimal(20,0)")).cast("bigint").alias("_place"))
+    return fine.select(*rows.columns, F.col(key).alias("used_key")).unionByName(bad.join(chosen.hint("shuffle_merge"), "_place").select(key, "_r.*", "used_key"))

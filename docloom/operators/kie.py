@@ -9,18 +9,24 @@ from docloom.functions.rows import indel_similarity
 from docloom.functions.text import collapse_space
 from docloom.operators.leaves import aligned, leaves
 
-NUMBER = r"^(BIGINT|DOUBLE|DECIMAL.*)$"
+
+def same_number(pairs: DataFrame) -> Column:
+    """Equal values; whole numbers are compared digit by digit, never as doubles."""
+    e, p = F.col("e_value"), F.col("p_value")
+    whole = lambda c, t: F.when(F.col(t) == "INT", c.try_cast("decimal(38,0)")).otherwise(c.try_cast("double").try_cast("decimal(38,0)"))
+    both = (F.col("e_type") == "INT") & (F.col("p_type") == "INT")
+    near = e.try_cast("double") == p.try_cast("double")
+    one = (F.col("e_type") == "INT") | (F.col("p_type") == "INT")
+    return F.when(both, e == p).when(one, near & F.coalesce(whole(e, "e_type") == whole(p, "p_type"), F.lit(True))).otherwise(near)
 
 
 def leaf_exact(pairs: DataFrame) -> Column:
     """Same type (whole and fractional numbers are two) and same value; strings compare
     after white space is collapsed."""
     e, p = F.col("e_value"), F.col("p_value")
-    whole = lambda t: F.when(F.col(t).rlike(r"^(DECIMAL.*|DOUBLE)$"), F.lit("REAL")).otherwise(F.col(t))
     text = collapse_space(e) == collapse_space(p)
-    number = e.try_cast("double") == p.try_cast("double")
-    same = F.when(F.col("e_type") == "STRING", text).when(F.col("e_type").rlike(NUMBER), number).otherwise(e.eqNullSafe(p))
-    return F.coalesce(F.col("in_e") & F.col("in_p") & (whole("e_type") == whole("p_type")) & same, F.lit(False))
+    same = F.when(F.col("e_type") == "STRING", text).when(F.col("e_type").isin("INT", "REAL"), same_number(pairs)).otherwise(e.eqNullSafe(p))
+    return F.coalesce(F.col("in_e") & F.col("in_p") & (F.col("e_type") == F.col("p_type")) & same, F.lit(False))
 
 
 def leaf_score(pairs: DataFrame) -> Column:
@@ -28,9 +34,9 @@ def leaf_score(pairs: DataFrame) -> Column:
     else 1 if equal; 0 where one side is missing."""
     e, p = F.col("e_value"), F.col("p_value")
     strings = (F.col("e_type") == "STRING") & (F.col("p_type") == "STRING")
-    numbers = F.col("e_type").rlike(NUMBER) & F.col("p_type").rlike(NUMBER)
+    numbers = F.col("e_type").isin("INT", "REAL") & F.col("p_type").isin("INT", "REAL")
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    score = F.when(strings, indel_similarity(collapse_space(e), collapse_space(p))).when(numbers, one(e.try_cast("double") == p.try_cast("double"))).when(F.col("e_type") == F.col("p_type"), one(e.eqNullSafe(p))).otherwise(0.0)
+    score = F.when(strings, indel_similarity(collapse_space(e), collapse_space(p))).when(numbers, one(same_number(pairs))).when(F.col("e_type") == F.col("p_type"), one(e.eqNullSafe(p))).otherwise(0.0)
     return F.when(F.col("in_e") & F.col("in_p"), F.coalesce(score, F.lit(0.0))).otherwise(0.0)
 
 
@@ -54,12 +60,25 @@ def document_metrics(scored: DataFrame) -> DataFrame:
         F.count_if("in_e").alias("expected_leaves"), F.count_if("in_p").alias("predicted_leaves"),
         F.count_if(~F.col("in_p")).alias("missing_leaves"), F.count_if(~F.col("in_e")).alias("extra_leaves"),
     )
-    ratio = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.col(a) / F.col(b))
-    m = m.withColumn("score", ratio("score_sum", "union_leaves")).withColumn("exact", ratio("exact_n", "union_leaves")).withColumn("key_precision", ratio("matched", "predicted_leaves")).withColumn("key_recall", ratio("matched", "expected_leaves"))
+    ratio = lambda a, b, none: F.when(F.col(b) == 0, none).otherwise(F.col(a) / F.col(b))
+    m = m.withColumn("score", ratio("score_sum", "union_leaves", 1.0)).withColumn("exact", ratio("exact_n", "union_leaves", 1.0)).withColumn("key_precision", ratio("matched", "predicted_leaves", 0.0)).withColumn("key_recall", ratio("matched", "expected_leaves", 0.0))
     total = F.col("key_precision") + F.col("key_recall")
     return m.withColumn("key_f1", F.when(total == 0, 0.0).otherwise(2 * F.col("key_precision") * F.col("key_recall") / total))
 
 
+def ordered_report(metrics: DataFrame) -> DataFrame:
+    """Document metrics in order of their document."""
+    return metrics.orderBy("doc_id")
+
+
+def with_templates(documents: DataFrame, templates: DataFrame, key: str = "stem") -> DataFrame:
+    """Documents with the template of their stem; a missing one is an error naming it."""
+    t = templates.select(key, F.col("template").alias("template"), F.lit(True).alias("_there"))
+    j = documents.join(t.hint("shuffle_merge"), key, "left")
+    checked = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("missing template for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")).otherwise(F.col("template"))
+    return j.withColumn("template", checked).drop("_there")
+
+
 def corpus_rollup(metrics: DataFrame) -> DataFrame:
     """Macro: mean of documents; micro: sums over leaves."""
     return metrics.agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.rows import grid_to_html, layout_list
-from docloom.functions.text import box_pixels, element_markdown, in_markdown
+from docloom.functions.text import box_pixels, element_markdown, in_markdown, normal_label, strip
 
 ITEM = "array<struct<bbox: array<double>, label: string, content: string>>"
 
@@ -34,10 +34,9 @@ def first_of_box(rows: DataFrame, page: tuple[str, ...] = ("doc_id", "page_numbe
 
 
 def with_tables(rows: DataFrame) -> DataFrame:
-    """Add table_html for grid-text tables, each distinct text converted once."""
-    is_grid = (F.lower(F.trim("label")) == "table") & ~F.startswith(F.lower(F.trim("content")), F.lit("<table"))
-    texts = rows.filter(is_grid).select(F.col("content").alias("_c")).distinct().withColumn("table_html", grid_to_html("_c"))
-    return rows.join(texts.hint("shuffle_hash"), is_grid & (rows["content"] == texts["_c"]), "left").drop("_c")
+    """Add table_html for grid-text tables; other elements reach Python as nulls."""
+    is_grid = (normal_label(F.col("label")) == "table") & ~F.startswith(F.lower(strip(F.col("content"))), F.lit("<table"))
+    return rows.withColumn("table_html", grid_to_html(F.when(is_grid, F.col("content"))))
 
 
 def page_markdown(rows: DataFrame, page: tuple[str, ...] = ("doc_id", "page_number")) -> DataFrame:
@@ -58,7 +57,7 @@ def document_markdown(pages: DataFrame) -> DataFrame:
 def overlay(rows: DataFrame, edits: DataFrame, keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """Elements with the latest edit of each (content, included) laid over, and edited."""
     latest = edits.groupBy(*keys).agg(F.max_by("content", "seq").alias("_content"), F.max_by("included", "seq").alias("_included"), F.lit(True).alias("_hit"))
-    j = rows.join(latest, list(keys), "left")
+    j = rows.join(latest.hint("shuffle_merge"), list(keys), "left")
     return j.withColumn("content", F.coalesce("_content", "content")).withColumn("included", F.coalesce("_included", "included")).withColumn("edited", F.coalesce("_hit", F.lit(False))).drop("_content", "_included", "_hit")
 
 
@@ -75,19 +74,59 @@ def ocr_pages(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(good)), lambda x: x["text"]), "\n").alias("text"), F.coalesce(F.min(F.when(F.col("text").isNotNull(), F.col("confidence"))), F.lit(0.0)).alias("confidence"))
 
 
-def box_overlap(a: DataFrame, b: DataFrame, key: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """Block F1 per page: boxes (key, id, x1..y2) matched one to one, each to its best
-    partner if that holds both ways, by intersection over union. Pairs are formed
-    within a page and a grid of cells that the boxes touch."""
+def overlapping(a: DataFrame, b: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, aid, bid, iou) of the pairs of boxes (key, id, x1..y2) whose intersection
+    over union reaches `least`. Pairs are formed within a page and a grid of cells that
+    the boxes touch."""
     size = 250
     cells = lambda d: d.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x1") / size), F.floor(F.col("x2") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y1") / size), F.floor(F.col("y2") / size))))
     name = lambda d, p: d.select(key, "cx", "cy", F.col("id").alias(f"{p}id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
-    j = name(cells(a), "a").join(name(cells(b), "b"), [key, "cx", "cy"]).drop("cx", "cy").distinct()
+    j = name(cells(a), "a").join(name(cells(b), "b").hint("shuffle_merge"), [key, "cx", "cy"]).drop("cx", "cy").distinct()
     side = lambda d: F.greatest(F.lit(0.0), F.least(f"a{d}2", f"b{d}2") - F.greatest(f"a{d}1", f"b{d}1"))
     area = lambda p: (F.col(p + "x2") - F.col(p + "x1")) * (F.col(p + "y2") - F.col(p + "y1"))
     inter = side("x") * side("y")
-    j = j.withColumn("iou", F.try_divide(inter, area("a") + area("b") - inter)).filter(F.col("iou") >= least)
+    return j.withColumn("iou", F.try_divide(inter, area("a") + area("b") - inter)).filter(F.col("iou") >= least).select(key, "aid", "bid", "iou")
+
+
+def box_overlap(a: DataFrame, b: DataFrame, key: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """Block F1 per page: boxes matched one to one, each to its best partner if that
+    holds both ways."""
+    j = overlapping(a, b, key, least)
     rank = lambda own, other: F.row_number().over(Window.partitionBy(key, own).orderBy(F.desc("iou"), other))
     hit = j.withColumn("ra", rank("aid", "bid")).withColumn("rb", rank("bid", "aid")).filter("ra = 1 AND rb = 1").groupBy(key).agg(F.count("*").alias("matched"))
-    n = a.groupBy(key).agg(F.count("*").alias("n_a")).join(b.groupBy(key).agg(F.count("*").alias("n_b")), key, "full")
-    return n.join(hit, key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "matched")]).withColumn("f1", 2 * F.col("matched") / (F.col("n_a") + F.col("n_b")))
+    n = a.groupBy(key).agg(F.count("*").alias("n_a")).join(b.groupBy(key).agg(F.count("*").alias("n_b")).hint("shuffle_merge"), key, "full")
+    return n.join(hit.hint("shuffle_merge"), key, "left").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_a", "n_b", "matched")]).withColumn("f1", 2 * F.col("matched") / (F.col("n_a") + F.col("n_b")))
+
+
+def mean_average_precision(predicted: DataFrame, truth: DataFrame, key: str = "doc_id", thresholds: tuple[float, ...] = (0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)) -> DataFrame:
+    """(label, average_precision, n_truth) over all pages: boxes (key, id, label, score,
+    x1..y2) ranked by score, each matched to the true box of its label that it overlaps
+    most, the best-scored first where several want one; the area under the precision
+    and recall curve (precision made falling), averaged over the thresholds."""
+    page = F.struct(F.col(key).alias("k"), F.col("label").alias("label"))
+    boxes = lambda d: d.select(page.alias("page"), "id", "x1", "y1", "x2", "y2")
+    pairs = overlapping(boxes(predicted), boxes(truth), "page", min(thresholds))
+    levels = F.explode(F.array(*map(F.lit, thresholds)))
+    ranked = predicted.select(page.alias("page"), F.col("id").alias("aid"), "score")
+    pairs = pairs.join(ranked.hint("shuffle_merge"), ["page", "aid"]).withColumn("level", levels).filter(F.col("iou") >= F.col("level"))
+    own = Window.partitionBy("page", "aid", "level").orderBy(F.desc("iou"), "bid")
+    taken = Window.partitionBy("page", "bid", "level").orderBy(F.desc("score"), "aid")
+    hits = pairs.withColumn("_o", F.row_number().over(own)).filter("_o = 1").withColumn("_t", F.row_number().over(taken)).filter("_t = 1").select("page", "aid", "level", F.lit(1).alias("hit"))
+    every = ranked.withColumn("level", levels).join(hits.hint("shuffle_merge"), ["page", "aid", "level"], "left")
+    # equal scores count together, so one row per label, level and score is ordered
+    steps = every.groupBy(F.col("page.label").alias("label"), "level", "score").agg(F.count("*").alias("n"), F.count("hit").alias("h"))
+    total = truth.groupBy("label").agg(F.count("*").alias("n_truth"))
+    down = Window.partitionBy("label", "level").orderBy(F.desc("score"))
+    steps = steps.withColumn("p", F.sum("h").over(down) / F.sum("n").over(down))
+    steps = steps.withColumn("p", F.max("p").over(down.rowsBetween(0, Window.unboundedFollowing)))
+    areas = steps.groupBy("label").agg(F.sum(F.col("p") * F.col("h")).alias("area"))
+    return total.join(areas.hint("shuffle_merge"), "label", "left").select("label", (F.coalesce("area", F.lit(0.0)) / (F.col("n_truth") * len(thresholds))).alias("average_precision"), "n_truth")
+
+
+def reading_order_accuracy(predicted: DataFrame, truth: DataFrame, page: str = "doc_id") -> DataFrame:
+    """(page, edges, right, accuracy): the share of the true edges (see reading_edges)
+    that the prediction has too; 0 for a page that has edges in the prediction only."""
+    tag = lambda d, n: d.select(page, "from_region", "to_region", F.lit(n).alias("_e"))
+    edges = tag(truth, 1).unionByName(tag(predicted, 2)).groupBy(page, "from_region", "to_region").agg(F.bit_or("_e").alias("_e"))
+    n = edges.groupBy(page).agg(F.count_if(F.col("_e") != 2).alias("edges"), F.count_if(F.col("_e") == 3).alias("right"))
+    return n.withColumn("accuracy", F.when(F.col("edges") == 0, 0.0).otherwise(F.col("right") / F.col("edges")))

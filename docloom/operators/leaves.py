@@ -2,36 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
+
+
+def variants(docs: DataFrame, json: str, name: str = "v") -> DataFrame:
+    """Add the parsed value of a JSON text, null where it is none. Of repeated keys the
+    last counts."""
+    conf = docs.sparkSession.conf
+    before = conf.get(DUPLICATES, "false")
+    conf.set(DUPLICATES, "true")  # read while the plan is analysed, which is here
+    try:
+        return docs.withColumn(name, F.try_parse_json(F.col(json)))
+    finally:
+        conf.set(DUPLICATES, before)
+
+
+def kind_of(v: Column) -> Column:
+    """INT (also beyond 64 bits: 1.0 is a decimal of few digits), REAL, STRING, BOOLEAN,
+    VOID, OBJECT or ARRAY."""
+    t = F.schema_of_variant(v)
+    return (
+        F.when(t == "STRING", t).when(t.startswith("OBJECT<"), "OBJECT").when(t.startswith("ARRAY<"), "ARRAY")
+        .when((t == "BIGINT") | t.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), "INT").when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"), "REAL").otherwise(t)
+    )
+
 
 def leaves(docs: DataFrame, json: str, key: str = "doc_id", *, root: str = "", keep_empty: bool = True, max_depth: int = 16) -> DataFrame:
-    """(key, path, type, value): one row per leaf of the JSON text `json`.
+    """(key, at, path, type, value): one row per leaf of the JSON text `json`.
 
-    Scalars and nulls are leaves; empty containers are too with `keep_empty`. A path
-    reads a.b[0] after `root`. The levels are one chain of variant_explode_outer, which
-    hands leaves through, so documents are read and parsed once. A nesting deeper than
-    max_depth raises, so nothing is cut off silently. Text that is no JSON has no leaf."""
-    rows = docs.select(F.col(key).alias("_k"), F.lit(root).alias("path"), F.try_parse_json(F.col(json)).alias("v")).filter(F.col("v").isNotNull())
+    Scalars and nulls are leaves; empty containers are too with `keep_empty`. `at` names
+    the leaf's steps without doubt, whatever its keys hold; `path` reads a.b[0] after
+    `root`, to be shown. The levels are one chain of variant_explode_outer, which hands
+    leaves through, so documents are read and parsed once. A nesting deeper than
+    max_depth raises, so nothing is cut off silently. Text that is no JSON has no leaf; what follows
+    a first complete value is not looked at (see text.json_candidate for answers)."""
+    rows = variants(docs.select(F.col(key).alias("_k"), F.col(json).alias("_j")), "_j").filter(F.col("v").isNotNull())
+    rows = rows.select("_k", F.lit("").alias("at"), F.lit(root).alias("path"), "v")
     for _ in range(max_depth):
         inner = rows.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
-        step = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        rows = inner.select("_k", F.when(F.col("value").isNull(), F.col("path")).otherwise(step).alias("path"), F.coalesce("value", "v").alias("v"))
-    kind, text = F.schema_of_variant("v"), F.col("v").cast("string")
-    rows = rows.select("_k", "path", kind.alias("t"), text.alias("value")).withColumn("box", F.col("t").rlike("^(OBJECT|ARRAY)<"))
-    deep = F.col("box") & ~F.col("value").isin("{}", "[]")
+        item = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+        step = F.when(F.col("key").isNull(), F.concat("path", item)).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+        exact = F.when(F.col("key").isNull(), F.concat("at", item)).otherwise(F.concat("at", F.lit("."), F.length("key").cast("string"), F.lit(":"), "key"))
+        there = F.col("value").isNotNull()
+        rows = inner.select("_k", F.when(there, exact).otherwise(F.col("at")).alias("at"), F.when(there, step).otherwise(F.col("path")).alias("path"), F.coalesce("value", "v").alias("v"))
+    rows = rows.select("_k", "at", "path", kind_of(F.col("v")).alias("t"), F.col("v").cast("string").alias("value"))
+    box = F.col("t").isin("OBJECT", "ARRAY")
     stop = F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")).cast("string")
-    rows = rows.select(F.col("_k").alias(key), "path", F.when(deep, stop).when(F.col("box"), F.col("value")).otherwise(F.col("t")).alias("type"), "value")
+    kind = F.when(box & ~F.col("value").isin("{}", "[]"), stop).when(box, F.col("value")).otherwise(F.col("t"))
+    rows = rows.select(F.col("_k").alias(key), "at", "path", kind.alias("type"), "value")
     return rows if keep_empty else rows.filter(~F.col("type").isin("{}", "[]"))
 
 
 def aligned(expected: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Full outer join of two leaf tables on (key, path) by one shuffle: both sides are
+    """Full outer join of two leaf tables on (key, at) by one shuffle: both sides are
     tagged, united and grouped. in_e and in_p tell a null value from a missing one."""
-    tag = lambda d, e: d.select(key, "path", "type", "value", F.lit(e).alias("e"))
+    tag = lambda d, e: d.select(key, "at", "path", "type", "value", F.lit(e).alias("e"))
     side = lambda c, e: F.max(F.when(F.col("e") == e, F.col(c)))
-    return tag(expected, 1).unionByName(tag(predicted, 0)).repartition(key).groupBy(key, "path").agg(
-        (F.count_if(F.col("e") == 1) > 0).alias("in_e"), (F.count_if(F.col("e") == 0) > 0).alias("in_p"),
+    return tag(expected, 1).unionByName(tag(predicted, 0)).groupBy(key, "at").agg(
+        F.max("path").alias("path"), (F.count_if(F.col("e") == 1) > 0).alias("in_e"), (F.count_if(F.col("e") == 0) > 0).alias("in_p"),
         side("type", 1).alias("e_type"), side("type", 0).alias("p_type"), side("value", 1).alias("e_value"), side("value", 0).alias("p_value"),
     )

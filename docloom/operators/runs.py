@@ -19,11 +19,14 @@ def without_skipped(log: DataFrame, group: str) -> DataFrame:
 
 
 def running_means(log: DataFrame, every: int, value: str = "loss") -> DataFrame:
-    """Mean of all rows so far at every `every`-th step, from sums per window, so only
-    one row per window is ordered."""
-    w = log.groupBy(F.floor((F.col("step") - 1) / every).alias("window_id")).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    upto = Window.orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
-    return w.select("window_id", F.sum("c").over(upto).alias("rows_so_far"), (F.sum("s").over(upto) / F.sum("c").over(upto)).alias("mean_so_far"))
+    """Mean of all rows so far at every `every`-th step, from sums per window: windows
+    are added up within stretches of 4096, and only one row per stretch is ordered."""
+    w = log.groupBy(F.floor((F.col("step") - 1) / every).alias("window_id")).agg(F.sum(value).alias("s"), F.count(value).alias("c")).withColumn("_b", F.floor(F.col("window_id") / 4096))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = w.groupBy("_b").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).select("_b", F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_c"))
+    upto = Window.partitionBy("_b").orderBy("window_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = w.withColumn("s", F.sum("s").over(upto)).withColumn("c", F.sum("c").over(upto)).join(starts.hint("shuffle_merge"), "_b")
+    return w.select("window_id", (F.col("c") + F.col("_c")).alias("rows_so_far"), ((F.col("s") + F.col("_s")) / (F.col("c") + F.col("_c"))).alias("mean_so_far"))
 
 
 def policy_loss(tokens: DataFrame, max_len: int, low: float = 0.2, high: float = 0.2, beta: float = 0.0) -> DataFrame:

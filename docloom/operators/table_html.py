@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +14,12 @@ from docloom.functions.text import aligned_similarity, cut_table, edit_similarit
 WEIGHTS = {"format_reward": 0.25, "exact_reward": 1.0, "structure_reward": 1.0, "content_reward": 1.0, "metadata_reward": 0.5}
 
 
-def parsed(samples: DataFrame, html: str, out: str) -> DataFrame:
-    """Add the parsed parts of a text column; each distinct text is parsed once."""
-    texts = samples.select(F.col(html).alias("_html")).distinct().withColumn(out, table_parts("_html"))
-    return samples.join(texts.hint("shuffle_hash"), samples[html].eqNullSafe(texts["_html"]), "left").drop("_html")
-
-
-def rewards(samples: DataFrame) -> DataFrame:
+def rewards(samples: DataFrame, extra: dict[str, tuple[Callable[..., Column], float]] | None = None) -> DataFrame:
     """Five rewards and their weighted sum for (sample_id, completion, table_html,
-    num_rows, num_cols, num_cells, merged)."""
-    s = samples.withColumn("prediction", cut_table(F.col("completion"), after_last_think=True))
-    s = parsed(parsed(s, "prediction", "p"), "table_html", "r")
+    num_rows, num_cols, num_cells, merged). `extra` registers more rewards by name: a
+    function of the columns of the samples, by keyword, that returns a column (a pandas
+    function's too), and its weight."""
+    s = samples.withColumn("p", table_parts(cut_table(F.col("completion"), after_last_think=True))).withColumn("r", table_parts("table_html"))
     p, r = F.col("p"), F.col("r")
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     both = p["valid"] & r["valid"]
@@ -34,7 +31,25 @@ def rewards(samples: DataFrame) -> DataFrame:
         "content_reward": F.when(both, aligned_similarity(p["content"], r["content"])).otherwise(0.0),
         "metadata_reward": F.when(p["valid"], meta).otherwise(0.0),
     })
-    return s.withColumn("reward", weighted({k: F.col(k) for k in WEIGHTS}))
+    weights = dict(WEIGHTS)
+    for name, (reward, weight) in (extra or {}).items():
+        s = s.withColumn(name, reward(**{c: F.col(f"`{c}`") for c in samples.columns}).cast("double"))
+        weights[name] = weight
+    return s.withColumn("reward", weighted({k: F.col(k) for k in weights}, weights))
+
+
+def dataset_summary(train: DataFrame, evaluation: DataFrame, key: str = "sample_id") -> DataFrame:
+    """One row: rows of both splits, rows whose number of images is not num_images, and
+    images, shape and cells of the first training sample by key. That sample must be a
+    complete table and have its images, else the job fails."""
+    counts = train.agg(F.count("*").alias("train_rows"), F.count_if(F.size("images") != F.col("num_images")).alias("inconsistent"))
+    counts = counts.withColumn("eval_rows", F.lit(evaluation.count()))
+    one = train.orderBy(key).limit(1).select(F.size("images").alias("sample_images"), "num_images", table_parts("table_html").alias("t"))
+    stop = lambda why: F.raise_error(F.lit(why)).cast("int")
+    images = F.when(~F.col("t.valid"), stop("the first reference is no complete table")).when(F.col("sample_images") != F.col("num_images"), stop("the first sample has not as many images as it says")).otherwise(F.col("sample_images"))
+    one = one.select(images.alias("sample_images"), F.array("t.num_rows", "t.num_cols").alias("sample_shape"), F.col("t.num_cells").alias("sample_cells"))
+    both = counts.select("*", F.lit(1).alias("_j")).join(one.withColumn("_j", F.lit(1)).hint("shuffle_merge"), "_j", "left")  # one row each
+    return both.drop("_j")
 
 
 def weighted(parts: dict[str, Column], weights: dict[str, float] = WEIGHTS) -> Column:
@@ -55,7 +70,7 @@ def strata(scored: DataFrame, by: str = "merged") -> DataFrame:
 def cell_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
     """Mean agreement of (id, row, col, text, rowspan, colspan) cells joined by place:
     half for equal spans, half for the similarity of texts; a cell of one side is 0."""
-    j = left.alias("l").join(right.alias("r"), ["id", "row", "col"], "full")
+    j = left.alias("l").join(right.alias("r").hint("shuffle_merge"), ["id", "row", "col"], "full")
     both = F.col("l.text").isNotNull() & F.col("r.text").isNotNull()
     spans = F.when((F.col("l.rowspan") == F.col("r.rowspan")) & (F.col("l.colspan") == F.col("r.colspan")), 0.5).otherwise(0.0)
     score = F.when(both, spans + 0.5 * edit_similarity(F.col("l.text"), F.col("r.text"))).otherwise(0.0)

@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.functions.rows import edit_distance_udf
+from docloom.functions.rows import edit_distance_udf, error_rate, indel_similarity, table_parts
 from docloom.operators import corpus, json_bench, kie, layout, runs, table_html
 from docloom.plans import fixtures as fx
+from docloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from docloom.sources import readers, sinks
 from docloom.sources.shared import shared_folder
 from docloom.streaming import jobs
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the function under its name, with its SQL if there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # ---------------------------------------------------------------- extraction scores
 
 
@@ -66,10 +49,22 @@ def kie_worst_leaves(spark, d):
 SELECT doc_id, path, 'both' AS side FROM e JOIN p USING (doc_id, path) UNION ALL
 SELECT doc_id, path, 'expected' FROM e ANTI JOIN p USING (doc_id, path) UNION ALL SELECT doc_id, path, 'predicted' FROM p ANTI JOIN e USING (doc_id, path)""")
 def leaf_set_operations(spark, d):
-    pairs = kie.with_predictions(fx.ground_truth(spark, d), fx.predictions(spark, d))
-    e, p = (kie.leaves(pairs, c, max_depth=3).select("doc_id", "path").distinct() for c in ("expected", "predicted"))
-    out = e.intersect(p).withColumn("side", F.lit("both")).unionByName(e.exceptAll(p).withColumn("side", F.lit("expected")))
-    return out.unionByName(p.exceptAll(e).withColumn("side", F.lit("predicted")))
+    """Intersection and differences of two sets of leaves by one shuffle."""
+    both = _scored(spark, d)
+    return both.select("doc_id", "path", F.when(F.col("in_e") & F.col("in_p"), "both").when(F.col("in_e"), "expected").otherwise("predicted").alias("side"))
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 5 WHEN 0 THEN 0.5 WHEN 2 THEN 0.0 WHEN 3 THEN 0.0 ELSE 1.0 END AS score, CASE o_orderkey % 5 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE 0.0 END AS exact,
+  CASE o_orderkey % 5 WHEN 3 THEN 0.0 ELSE 1.0 END AS key_precision, CASE o_orderkey % 5 WHEN 0 THEN 0.5 WHEN 3 THEN 0.0 ELSE 1.0 END AS key_recall, CAST(CASE o_orderkey % 5 WHEN 0 THEN 2 ELSE 1 END AS BIGINT) AS union_leaves FROM orders""")
+def kie_exact_cases(spark, d):
+    """Keys with a dot, repeated keys (the last counts), integers beyond 2^53, answers
+    that are no JSON, whole against fractional numbers."""
+    k = F.col("o_orderkey").cast("string")
+    pick = lambda *texts: F.element_at(F.array(*texts), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    expected = pick(F.concat(F.lit('{"a.b": '), k, F.lit(', "a": {"b": 2}}')), F.concat(F.lit('{"a": 1, "a": '), k, F.lit("}")), F.lit('{"n": 9007199254740993}'), F.concat(F.lit('{"a": '), k, F.lit("}")), F.lit('{"n": 10}'))
+    predicted = pick(F.lit('{"a": {"b": 2}}'), F.concat(F.lit('{"a": '), k, F.lit("}")), F.lit('{"n": 9007199254740992}'), F.concat(F.lit("{no JSON "), k), F.lit('{"n": 10.0}'))
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), expected.alias("expected"), predicted.alias("predicted"))
+    return kie.document_metrics(kie.scored_leaves(rows, 2)).select("doc_id", "score", "exact", "key_precision", "key_recall", "union_leaves")
 
 
 def _variants(spark, d):
@@ -110,20 +105,17 @@ def json_strict_validity(spark, d):
 
 @query(VARIANTS_SQL + " SELECT variant, CAST(doc_id AS VARCHAR) AS source, CAST(doc_id AS BIGINT) AS id FROM s")
 def json_tolerant_values(spark, d):
-    """Whatever follows the first value is ignored."""
-    body = t.strip_fence(t.after_think(F.col("prediction")))
-    return _variants(spark, d).select("variant", "source", F.try_variant_get(F.try_parse_json(F.regexp_extract(body, r"(?s)(\{.*\})", 1)), "$.id", "bigint").alias("id"))
+    """Whatever follows the first value is ignored, be it words, a brace or a fence; a
+    third of the answers are lists behind a closed thought."""
+    p, k = F.col("prediction"), F.col("source").cast("bigint") % 3
+    answer = F.when(k == 0, F.concat(p, F.lit(" and {more}"))).when(k == 1, F.concat(F.lit("<think>[1]</think> ["), F.col("source"), F.lit(', "]"] done }'))).otherwise(p)
+    v = t.tolerant_json(answer)
+    return _variants(spark, d).select("variant", "source", F.coalesce(F.try_variant_get(v, "$.id", "bigint"), F.try_variant_get(v, "$[0]", "bigint")).alias("id"))
 
 
 # ---------------------------------------------------------------- text
 
 
-def _starts(spark, d):
-    """The first 200 characters of the documents where they are ASCII: what the SQL of
-    two queries states. Their _whole forms read everything."""
-    return fx.table(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 200).alias("x")).filter(~F.col("x").rlike(r"[^\x00-\x7F]"))
-
-
 def _wholes(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("x"))
 
@@ -132,60 +124,42 @@ def _pairs(docs):
     return docs.select(F.col("doc_id").alias("left_id"), "lang", F.col("x").alias("a")).join(docs.select((F.col("doc_id") - 1).alias("left_id"), "lang", F.col("x").alias("b")), ["left_id", "lang"])
 
 
-PAIRS_SQL = "d AS (SELECT doc_id, lang, left(text, 200) AS x FROM documents WHERE NOT regexp_matches(left(text, 200), '[^\\x00-\\x7F]')), pairs AS (SELECT l.doc_id AS left_id, l.x AS a, r.x AS b FROM d l JOIN d r ON r.doc_id = l.doc_id + 1 AND r.lang = l.lang)"
-
-
-@query("WITH " + PAIRS_SQL + ", n AS (SELECT left_id, trim(regexp_replace(a, '\\s+', ' ', 'g')) AS a, trim(regexp_replace(b, '\\s+', ' ', 'g')) AS b FROM pairs) SELECT left_id, CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END AS similarity FROM n")
-def edit_similarity_pairs(spark, d):
-    a, b = t.collapse_space(F.col("a")), t.collapse_space(F.col("b"))
-    return _pairs(_starts(spark, d)).select("left_id", F.round(t.edit_similarity(a, b), 6).alias("similarity"))
+#: Fixed: white space as in the text rules, for RE2.
+BLANKS = f"[{t.SPACE}]"
 
 
 @query()
-def edit_similarity_whole(spark, d):
-    """edit_similarity_pairs over all documents and their whole texts."""
+def edit_similarity_pairs(spark, d):
+    """Whole texts of neighbouring documents of one language."""
     p = _pairs(_wholes(spark, d)).select("left_id", t.collapse_space(F.col("a")).alias("a"), t.collapse_space(F.col("b")).alias("b"))
     longer = F.greatest(F.length("a"), F.length("b"))
     return p.select("left_id", F.round(F.when(longer == 0, 1.0).otherwise(1.0 - edit_distance_udf("a", "b") / longer), 6).alias("similarity"))
 
 
+@query()
+def character_error_rate(spark, d):
+    """Whole texts against those of the next document of the language."""
+    return _pairs(_wholes(spark, d)).select("left_id", F.round(error_rate(F.col("a"), F.col("b"), F.length("a")), 6).alias("cer"))
+
+
 @query()
 def indel_similarity_pairs(spark, d):
     """All documents, whole texts."""
     a, b = t.collapse_space(F.col("a")), t.collapse_space(F.col("b"))
-    return _pairs(_wholes(spark, d)).select("left_id", F.round(kie.indel_similarity(a, b), 6).alias("similarity"))
-
-
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(left(text, 200), '\\s+'), lambda x: x <> '') AS r, list_filter(string_split_regex(left(text, 200), '\\s+'), lambda x: x <> '')[2:] AS h FROM documents WHERE NOT regexp_matches(left(text, 200), '[^\\x00-\\x7F]'))
-SELECT doc_id, CAST(len(r) AS BIGINT) AS words, CASE WHEN len(r) = 0 THEN 0.0 ELSE round(1.0 / len(r), 6) END AS wer FROM w""")
-def word_error_rate(spark, d):
-    """A text without its first word against the text: words as single characters."""
-    docs = fx.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("x")).filter(~F.col("x").rlike(r"[^\x00-\x7F]"))
-    w = docs.select("doc_id", F.filter(F.split("x", r"\s+"), lambda x: x != "").alias("r")).withColumn("h", F.slice("r", 2, F.greatest(F.size("r"), F.lit(1)))).withColumn("v", F.array_distinct("r"))
-    mark = lambda c: F.array_join(F.transform(c, lambda x: F.char(F.array_position("v", x) + 32)), "")
-    n = F.size("r")
-    return w.select("doc_id", n.cast("bigint").alias("words"), F.when(n == 0, 0.0).otherwise(F.round(F.levenshtein(mark("r"), mark("h")) / n, 6)).alias("wer"))
+    return _pairs(_wholes(spark, d)).select("left_id", F.round(indel_similarity(a, b), 6).alias("similarity"))
 
 
 @query()
-def word_error_rate_whole(spark, d):
-    """word_error_rate over all documents and their whole texts; words end at any
-    Unicode white space."""
-    words = F.filter(F.split("x", r"(?U)\s+"), lambda x: x != "")
-    w = _wholes(spark, d).select("doc_id", words.alias("r")).withColumn("h", F.slice("r", 2, F.greatest(F.size("r"), F.lit(1))))
-    n = F.size("r")
-    return w.select("doc_id", n.cast("bigint").alias("words"), F.when(n == 0, 0.0).otherwise(F.round(edit_distance_udf("r", "h") / n, 6)).alias("wer"))
+def word_error_rate(spark, d):
+    """Words of whole texts against those of the next document of the language."""
+    p = _pairs(_wholes(spark, d)).select("left_id", t.words_of(F.col("a")).alias("a"), t.words_of(F.col("b")).alias("b"))
+    return p.select("left_id", F.size("a").cast("bigint").alias("words"), F.round(error_rate(F.col("a"), F.col("b"), F.size("a")), 6).alias("wer"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(trim(html), '>\\s+<', '><', 'g'), '\\s+', ' ', 'g')) AS html FROM pages WHERE NOT regexp_matches(html, '[^\\x00-\\x7F]')""")
+@query(f"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '\\A{BLANKS}+|{BLANKS}+\\z', '', 'g'), '>{BLANKS}+<', '><', 'g'), '{BLANKS}+', ' ', 'g') AS html FROM (SELECT page_id, chr(10) || html || chr(9) || chr(160) AS html FROM pages)")
 def normal_html(spark, d):
-    return fx.table(spark, d, "pages").filter(~F.col("html").rlike(r"[^\x00-\x7F]")).select("page_id", F.trim(t.normal_html(F.col("html"))).alias("html"))
-
-
-@query()
-def normal_html_whole(spark, d):
-    """normal_html over all pages."""
-    return fx.table(spark, d, "pages").select("page_id", F.trim(t.normal_html(F.col("html"))).alias("html"))
+    """All pages, with white space of several kinds put at both ends."""
+    return fx.table(spark, d, "pages").select("page_id", t.normal_html(F.concat(F.lit("\n"), "html", F.lit("\t\xa0"))).alias("html"))
 
 
 @query("""WITH l AS (SELECT doc_id, text, CASE WHEN length(text) > 50 THEN left(text, length(text) - 50) ELSE '' END AS cut FROM documents),
@@ -195,31 +169,15 @@ def degenerate_text(spark, d):
     return fx.table(spark, d, "documents").filter(t.repeated_end(F.col("text"))).select("doc_id")
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), chr(10), '<br>') AS html FROM documents WHERE NOT contains(text, chr(13))""")
+@query("""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;'), '\r\n|\r|\n', '<br>', 'g') AS html FROM documents""")
 def escaped_html(spark, d):
-    return fx.table(spark, d, "documents").filter(~F.contains("text", F.lit("\r"))).select("doc_id", t.escape_html(F.col("text"), breaks=True).alias("html"))
-
-
-@query()
-def escaped_html_whole(spark, d):
-    """escaped_html over all documents: a carriage return ends a line too."""
     return fx.table(spark, d, "documents").select("doc_id", t.escape_html(F.col("text"), breaks=True).alias("html"))
 
 
-@query("SELECT doc_id, text AS inner_text, text AS after_first, 'b' AS after_last FROM (SELECT doc_id, trim(left(text, 80), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents)")
+@query(f"SELECT doc_id, text AS inner_text, text AS after_first, 'b' AS after_last FROM (SELECT doc_id, regexp_replace(text, '\\A{BLANKS}+|{BLANKS}+\\z', '', 'g') AS text FROM documents)")
 def fences_and_thoughts(spark, d):
     """A fenced text comes out as it went in; so does one behind a closed thought."""
-    return _fenced(spark, d, F.substring("text", 1, 80))
-
-
-@query()
-def fences_and_thoughts_whole(spark, d):
-    """fences_and_thoughts over whole texts."""
-    return _fenced(spark, d, F.col("text"))
-
-
-def _fenced(spark, d, text):
-    x = F.trim(text, F.lit(" \t\n\r"))
+    x = t.strip(F.col("text"))
     return fx.table(spark, d, "documents").select("doc_id", t.strip_fence(F.concat(F.lit("```JSON\n"), x, F.lit("\n```"))).alias("inner_text"), t.after_think(F.concat(F.lit("a</think>"), x)).alias("after_first"), t.after_think(F.concat(x, F.lit("</think>a</think>b")), last=True).alias("after_last"))
 
 
@@ -279,25 +237,21 @@ def share_per_group(spark, d):
     return corpus.share_per_group(fx.table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 0.75, 5)
 
 
-@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM documents")
+@query("SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 5 AS INTEGER) AS shard FROM documents")
 def batch_ids(spark, d):
-    return corpus.batches(fx.table(spark, d, "documents").select("doc_id"), 64, "doc_id")
+    """Batches by running index, and shards by running index modulo 5."""
+    rows = corpus.batches(fx.table(spark, d, "documents").select("doc_id", "n_chars"), 64, "doc_id")
+    return corpus.index_shards(rows, "doc_id", 5)
 
 
-@query("SELECT doc_id, batch_id FROM (SELECT doc_id, batch_id, count(*) OVER (PARTITION BY batch_id) AS n FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 900))) WHERE n = 64")
+@query("SELECT doc_id, batch_id FROM (SELECT doc_id, batch_id, count(*) OVER (PARTITION BY batch_id) AS n FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM documents)) WHERE n = 64")
 def full_batches(spark, d):
-    return corpus.batches(fx.table(spark, d, "documents").select("doc_id"), 64, "doc_id", limit=900, drop_last=True)
-
-
-@query()
-def full_batches_whole(spark, d):
-    """full_batches over all documents."""
     return corpus.batches(fx.table(spark, d, "documents").select("doc_id"), 64, "doc_id", drop_last=True)
 
 
-@query("SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha1('3:' || doc_id)) <= ceil((SELECT count(*) FROM documents) * 0.1) THEN 'eval' ELSE 'train' END AS split FROM documents")
+@query("SELECT doc_id, n_chars, CASE WHEN row_number() OVER (ORDER BY sha1('3:' || doc_id)) <= ceil((SELECT count(*) FROM documents) * 0.1) THEN 'eval' ELSE 'train' END AS split FROM documents")
 def fraction_split(spark, d):
-    return corpus.fraction_split(fx.table(spark, d, "documents").select("doc_id"), "doc_id", 0.1, 3)
+    return corpus.fraction_split(fx.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 0.1, 3)
 
 
 def _samples(spark, d):
@@ -323,15 +277,45 @@ def length_profile(spark, d):
 
 @query("SELECT 'doc_id' AS name, 'bigint' AS type, count(*) AS rows, count(*) - count(doc_id) AS nulls, count(DISTINCT doc_id) AS distinct, CAST(min(doc_id) AS VARCHAR) AS least, CAST(max(doc_id) AS VARCHAR) AS greatest FROM documents UNION ALL SELECT 'lang', 'string', count(*), count(*) - count(lang), count(DISTINCT lang), min(lang), max(lang) FROM documents UNION ALL SELECT 'n_chars', 'bigint', count(*), count(*) - count(n_chars), count(DISTINCT n_chars), CAST(min(n_chars) AS VARCHAR), CAST(max(n_chars) AS VARCHAR) FROM documents")
 def table_profile(spark, d):
-    return corpus.profile(fx.table(spark, d, "documents").select("doc_id", "lang", "n_chars"))
+    return corpus.profile(fx.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), exact=True)
 
 
 @query("SELECT lang, count(*) AS rows, count(*) FILTER (n_chars <= 2000) AS kept, count(*) FILTER (n_chars > 2000) AS skipped FROM documents GROUP BY lang")
 def overlength_skips(spark, d):
-    docs = fx.table(spark, d, "documents")
-    kept = corpus.fits(docs, "doc_id", F.col("n_chars"), 2000).groupBy("lang").agg(F.count("*").alias("kept"))
-    n = docs.groupBy("lang").agg(F.count("*").alias("rows")).join(kept, "lang", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
-    return n.withColumn("skipped", F.col("rows") - F.col("kept"))
+    return corpus.overlength_counts(fx.table(spark, d, "documents"), F.col("n_chars"), 2000, ["lang"])
+
+
+@query("SELECT 'short' AS name, count(*) FILTER (length(text) < 500) AS n, count(*) FILTER (length(text) >= 500) AS kept FROM documents")
+def batch_function_counts(spark, d):
+    """A pandas function that drops the short rows of its batch and counts them."""
+
+    def f(batch):
+        short = batch["text"].str.len() < 500
+        return batch[~short][["doc_id"]], {"short": int(short.sum())}
+
+    kept, counts = corpus.batches_with_counts(fx.table(spark, d, "documents").select("doc_id", "text"), f, "doc_id long")
+    return counts.withColumn("kept", F.lit(kept.count()))
+
+
+@query("SELECT doc_id, 'doc ' || doc_id || ' in ' || lang AS caption FROM documents")
+def row_map(spark, d):
+    """A row map with named input columns and a constant."""
+    f = lambda k, lang, joint: F.concat(F.lit("doc "), k.cast("string"), F.lit(joint), lang)
+    return corpus.mapped(fx.table(spark, d, "documents"), "caption", f, ["doc_id", "lang"], joint=" in ").select("doc_id", "caption")
+
+
+@query("SELECT o_orderkey AS doc_id, 'template of ' || o_orderstatus AS template FROM orders")
+def document_templates(spark, d):
+    """Documents with the template of their stem."""
+    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("stem"))
+    made = o.select("stem").distinct().withColumn("template", F.concat(F.lit("template of "), "stem"))
+    return kie.with_templates(o, made).select("doc_id", "template")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50")
+def first_rows(spark, d):
+    """The documents with the 50 smallest ids."""
+    return corpus.first_n(fx.table(spark, d, "documents").select("doc_id", "n_chars"), 50, "doc_id")
 
 
 @query("WITH " + fx.KEYS_SQL + " SELECT k.key, quality FROM keys k JOIN labels USING (doc_id)")
@@ -373,6 +357,17 @@ def chat_records(spark, d):
     return c.select("conv_id", "turn", "role", F.get("m", F.lit(0))["role"].alias("first_role"), t.completion_text(F.get("m", F.lit(1))["content"]).alias("target"))
 
 
+@query("SELECT conv_id, turn, text AS plain, text AS object, text || '|' || role AS parts FROM conversations")
+def completion_texts(spark, d):
+    """Completions of every form: a string, an object, and a list with other parts."""
+    c = fx.table(spark, d, "conversations")
+    v = lambda x: t.completion_value(F.try_variant_get(F.parse_json(F.to_json(F.struct(x.alias("v")))), "$.v", "variant"))
+    part = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
+    none = F.lit(None).cast("string")
+    parts = F.array(part("image", F.lit("no text")), part("text", F.col("text")), part(None, F.concat(F.lit("|"), "role")), part("text", none))
+    return c.select("conv_id", "turn", v(F.col("text")).alias("plain"), v(F.struct(F.col("text").alias("content"))).alias("object"), v(parts).alias("parts"))
+
+
 @query("SELECT conv_id, count(*) AS messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
 def chat_texts(spark, d):
     c = fx.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
@@ -397,32 +392,20 @@ def dataset_card(spark, d):
 
 @query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0) o FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0) n ON o.doc_id = n.doc_id WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text <> n.text")
 def revision_changes(spark, d):
-    """Two revisions of the documents, compared by content hash."""
+    """Two revisions of the documents (each lacks some rows), compared by content hash."""
     docs, k = fx.table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id")
-    old = docs.filter(k % 10 != 0).select("doc_id", F.sha2("text", 256).alias("old"))
-    new = docs.filter(k % 11 != 0).select("doc_id", F.sha2(F.when(k % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("new"))
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
-    return old.join(new, "doc_id", "full").select("doc_id", change.alias("change")).filter(F.col("change").isNotNull())
+    new = docs.filter(k % 11 != 0).withColumn("text", F.when(k % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return corpus.revision_diff(docs.filter(k % 10 != 0), new, "doc_id", "text")
 
 
 @query("SELECT lang, toxic, count(*) AS rows, round(avg(quality), 6) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
 def language_slices(spark, d):
-    return _samples(spark, d).groupBy("lang", "toxic").agg(F.count("*").alias("rows"), F.round(F.avg("quality"), 6).alias("quality"))
+    return corpus.slices(_samples(spark, d), ["lang", "toxic"], {"quality": F.round(F.avg("quality"), 6)})
 
 
-@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) GROUP BY x")
+@query(f"SELECT min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT doc_id, trim(regexp_replace(text, '{BLANKS}+', ' ', 'g')) AS x FROM documents) GROUP BY x")
 def cleaned_distinct(spark, d):
-    return _copies(fx.table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]")))
-
-
-@query()
-def cleaned_distinct_whole(spark, d):
-    """cleaned_distinct over all documents; any Unicode white space is cleaned."""
-    return _copies(fx.table(spark, d, "documents"))
-
-
-def _copies(docs):
-    return docs.groupBy(F.sha2(t.collapse_space(F.col("text")), 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+    return corpus.distinct_texts(fx.table(spark, d, "documents"), "text", "doc_id")
 
 
 @query("SELECT o_orderkey, o_custkey FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE n <= 9")
@@ -457,10 +440,11 @@ def content_chunks(spark, d):
     return out.select("conv_id", F.size("content").cast("bigint").alias("parts"), F.array_join(F.transform("content", lambda x: F.coalesce(x["text"], x["image"])), "|").alias("joined"))
 
 
-@query("SELECT count(*) AS rows, count(*) FILTER (quality = 1) AS kept FROM labels")
+@query("""WITH l AS (SELECT doc_id, quality FROM labels), good AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM l WHERE quality = 1), n AS (SELECT count(*) AS n FROM good)
+SELECT doc_id, quality, doc_id AS used_key FROM good UNION ALL
+SELECT b.doc_id, g.quality, g.doc_id FROM (SELECT doc_id, CAST(CAST('0x' || substr(sha1('4:' || doc_id), 1, 16) AS UBIGINT) % (SELECT n FROM n) AS BIGINT) AS place FROM l WHERE quality <> 1) b JOIN good g ON g.place = b.place""")
 def stable_substitutes(spark, d):
-    rows = corpus.with_substitutes(fx.table(spark, d, "labels").select("doc_id", "quality"), F.col("quality") == 1, "doc_id", 4)
-    return rows.agg(F.count("*").alias("rows"), F.count_if((F.col("quality") == 1) & (F.col("doc_id") == F.col("used_key"))).alias("kept"))
+    return corpus.with_substitutes(fx.table(spark, d, "labels").select("doc_id", "quality"), F.col("quality") == 1, "doc_id", 4)
 
 
 @query("SELECT 'train' AS split, count(*) AS rows, min(n_chars) AS shortest, list_sort(list(n_chars))[CAST(count(*) // 2 + 1 AS INTEGER)] AS median, max(n_chars) AS longest FROM documents")
@@ -506,21 +490,11 @@ def layout_markdown(spark, d):
     return layout.document_markdown(layout.page_markdown(_layout(spark, d)))
 
 
-@query("WITH " + fx.ELEMENTS_SQL + ", edits AS (SELECT doc_id, pos, label <> 'Text' AS included, upper(content) AS content FROM elements WHERE (doc_id + pos) % 5 = 0) SELECT e.doc_id, e.pos, coalesce(x.content, e.content) AS content, coalesce(x.included, e.label <> 'Page-header') AS included, x.doc_id IS NOT NULL AS edited FROM elements e LEFT JOIN edits x ON e.doc_id = x.doc_id AND e.pos = x.pos WHERE NOT regexp_matches(e.content, '[^\\x00-\\x7F]')")
+@query("WITH " + fx.ELEMENTS_SQL + ", edits AS (SELECT doc_id, pos, label <> 'Text' AS included, 'edited: ' || content AS content FROM elements WHERE (doc_id + pos) % 5 = 0) SELECT e.doc_id, e.pos, coalesce(x.content, e.content) AS content, coalesce(x.included, e.label <> 'Page-header') AS included, x.doc_id IS NOT NULL AS edited FROM elements e LEFT JOIN edits x ON e.doc_id = x.doc_id AND e.pos = x.pos")
 def edit_overlay(spark, d):
-    return _edited(fx.elements(spark, d).filter(~F.col("content").rlike(r"[^\x00-\x7F]")))
-
-
-@query()
-def edit_overlay_whole(spark, d):
-    """edit_overlay over all elements."""
-    return _edited(fx.elements(spark, d))
-
-
-def _edited(e):
-    e = e.withColumn("included", t.in_markdown(F.col("label")))
+    e = fx.elements(spark, d).withColumn("included", t.in_markdown(F.col("label")))
     hit = e.filter((F.col("doc_id") + F.col("pos")) % 5 == 0)
-    edits = hit.select("doc_id", "pos", F.lit(2).alias("seq"), F.upper("content").alias("content"), (F.col("label") != "Text").alias("included")).unionByName(hit.select("doc_id", "pos", F.lit(1).alias("seq"), F.lit("old").alias("content"), F.lit(True).alias("included")))
+    edits = hit.select("doc_id", "pos", F.lit(2).alias("seq"), F.concat(F.lit("edited: "), "content").alias("content"), (F.col("label") != "Text").alias("included")).unionByName(hit.select("doc_id", "pos", F.lit(1).alias("seq"), F.lit("old").alias("content"), F.lit(True).alias("included")))
     return layout.overlay(e, edits).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "content", "included", "edited")
 
 
@@ -529,6 +503,16 @@ def reading_edges(spark, d):
     return layout.reading_edges(fx.elements(spark, d)).select("doc_id", F.col("from_region").cast("bigint").alias("from_region"), F.col("to_region").cast("bigint").alias("to_region"))
 
 
+@query("WITH " + fx.ELEMENTS_SQL + """, a AS (SELECT doc_id, pos AS x, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS y FROM elements), b AS (SELECT doc_id, pos AS x, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos // 3, pos % 3 = 1, pos) AS y FROM elements)
+SELECT a.doc_id, count(*) AS edges, count(b.x) AS right, round(count(b.x) / count(*), 6) AS accuracy FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.x = b.x AND a.y = b.y WHERE a.y IS NOT NULL GROUP BY 1""")
+def reading_order(spark, d):
+    """Elements in order against an order that puts each second of three last."""
+    e = fx.elements(spark, d)
+    guess = e.withColumn("order", F.floor(F.col("pos") / 3) * 10 + F.when(F.col("pos") % 3 == 1, 5).otherwise(F.col("pos") % 3))
+    out = layout.reading_order_accuracy(layout.reading_edges(guess, order="order"), layout.reading_edges(e))
+    return out.withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query("WITH " + fx.ELEMENTS_SQL + " SELECT doc_id, string_agg(content, chr(10) ORDER BY pos) AS text, min((pos % 10) / 10.0) AS confidence FROM elements GROUP BY doc_id")
 def ocr_page_text(spark, d):
     return layout.ocr_pages(fx.elements(spark, d).select("doc_id", "pos", F.col("content").alias("text"), ((F.col("pos") % 10) / 10.0).alias("confidence")))
@@ -546,19 +530,58 @@ def edited_boxes(spark, d):
     return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.get("b", F.lit(0)).cast("double").alias("x1"), F.get("b", F.lit(2)).cast("double").alias("x2"))
 
 
-@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_a, CAST(count(*) FILTER (k % 3 <> 0) AS BIGINT) AS n_b, CAST(count(*) FILTER (k % 3 <> 0) AS BIGINT) AS matched FROM (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY doc_id")
+@query("WITH " + fx.ELEMENTS_SQL + """, b AS (SELECT doc_id, pos, least(x1, 700) / 1.0 AS x1, least(x1, 700) + 50.5 AS x2, ['move', 'e', 'w'][CAST(pos % 3 + 1 AS INTEGER)] AS mode, (doc_id + pos) % 300 - 150 AS dx FROM elements)
+SELECT doc_id, pos, mode, CASE mode WHEN 'move' THEN greatest(0.0, least(x1 + dx, 749.5)) WHEN 'w' THEN greatest(0.0, least(x1 + dx, x2 - 1.6)) ELSE x1 END AS x1,
+  CASE mode WHEN 'move' THEN greatest(0.0, least(x1 + dx, 749.5)) + 50.5 WHEN 'e' THEN greatest(x1 + 1.6, least(x2 + dx, 800.0)) ELSE x2 END AS x2 FROM b""")
+def dragged_boxes(spark, d):
+    """Boxes moved, or dragged at one side."""
+    x = F.least(F.get("bbox", F.lit(0)), F.lit(700.0))
+    e = fx.elements(spark, d).withColumn("box", F.array(x, F.lit(10.0), x + 50.5, F.lit(60.0))).withColumn("mode", F.element_at(F.array(*map(F.lit, ("move", "e", "w"))), (F.col("pos") % 3 + 1).cast("int")))
+    b = t.dragged_box(F.col("box"), F.col("mode"), ((F.col("doc_id") + F.col("pos")) % 300 - 150).cast("double"), F.lit(0.0), F.lit(800.0), F.lit(1200.0))
+    return e.withColumn("b", b).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "mode", F.get("b", F.lit(0)).cast("double").alias("x1"), F.get("b", F.lit(2)).cast("double").alias("x2"))
+
+
+@query("""SELECT id, CAST(CASE WHEN p < 100000 THEN ceil(w * sqrt(100000.0 / p)) WHEN p > 1000000 THEN greatest(1, floor(w * sqrt(1000000.0 / p))) ELSE w END AS INTEGER) AS width,
+  CAST(CASE WHEN p < 100000 THEN ceil(h * sqrt(100000.0 / p)) WHEN p > 1000000 THEN greatest(1, floor(h * sqrt(1000000.0 / p))) ELSE h END AS INTEGER) AS height FROM (SELECT *, w * h AS p FROM (SELECT p_partkey AS id, CAST(p_partkey * 37 % 3000 + 1 AS BIGINT) AS w, CAST(p_partkey * 91 % 2600 + 1 AS BIGINT) AS h FROM part))""")
+def pixel_plans(spark, d):
+    """Sizes within a budget of pixels."""
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 3000 + 1).alias("w"), (F.col("p_partkey") * 91 % 2600 + 1).alias("h"))
+    return p.select("id", t.pixel_plan(F.col("w"), F.col("h"), 1_000_000, 100_000).alias("r")).select("id", "r.*")
+
+
+@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_a, CAST(count(*) FILTER (k % 3 <> 0) AS BIGINT) AS n_b, CAST(count(*) FILTER (k % 3 = 1) AS BIGINT) AS matched FROM (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) GROUP BY doc_id")
 def block_matches(spark, d):
-    """A page of boxes in a row against itself without every third box."""
+    """A page of boxes in a row against itself without every third box; of the others
+    every second lies too far off to match."""
+    a = _boxes(spark, d)
+    off = F.when(F.col("k") % 3 == 1, 1.0).otherwise(6.0)
+    b = a.filter("k % 3 <> 0").withColumn("x1", F.col("x1") + off).withColumn("x2", F.col("x2") + off)
+    return layout.box_overlap(a, b).select("doc_id", "n_a", "n_b", "matched")
+
+
+def _boxes(spark, d):
     o = fx.table(spark, d, "orders").withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    a = o.select(F.col("o_custkey").alias("doc_id"), "k", F.col("k").alias("id"), (F.col("k") * 10).cast("double").alias("x1"), F.lit(0.0).alias("y1"), (F.col("k") * 10 + 8).cast("double").alias("x2"), F.lit(8.0).alias("y2"))
-    return layout.box_overlap(a, a.filter("k % 3 <> 0")).select("doc_id", "n_a", "n_b", "matched")
+    return o.select(F.col("o_custkey").alias("doc_id"), "k", "o_orderkey", F.col("o_orderpriority").alias("label"), F.col("k").alias("id"), (F.col("k") * 10).cast("double").alias("x1"), F.lit(0.0).alias("y1"), (F.col("k") * 10 + 8).cast("double").alias("x2"), F.lit(8.0).alias("y2"))
+
 
+@query("""WITH p AS (SELECT o_orderpriority AS label, o_orderkey * 7 % 1009 AS score, (o_orderkey % 4 <> 0)::INT AS hit FROM orders),
+g AS (SELECT label, score, count(*) AS n, sum(hit) AS h FROM p GROUP BY 1, 2),
+c AS (SELECT *, sum(h) OVER (PARTITION BY label ORDER BY score DESC) / sum(n) OVER (PARTITION BY label ORDER BY score DESC) AS raw FROM g),
+m AS (SELECT *, max(raw) OVER (PARTITION BY label ORDER BY score DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS top FROM c)
+SELECT label, round(sum(top * h) / sum(n), 6) AS average_precision, CAST(sum(n) AS BIGINT) AS n_truth FROM m GROUP BY label""")
+def average_precisions(spark, d):
+    """Boxes of all orders; every fourth prediction lies elsewhere on its page."""
+    truth = _boxes(spark, d)
+    gone = F.when(F.col("o_orderkey") % 4 == 0, 100_000.0).otherwise(0.0)
+    guess = truth.withColumn("score", F.col("o_orderkey") * 7 % 1009).withColumn("y1", F.col("y1") + gone).withColumn("y2", F.col("y2") + gone)
+    return layout.mean_average_precision(guess, truth).select("label", F.round("average_precision", 6).alias("average_precision"), "n_truth")
 
-@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'raw text' ELSE 'parts' END AS content FROM orders")
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 1 THEN 'parts of ' || o_orderstatus WHEN o_orderkey % 4 = 0 THEN 'raw ' || o_orderkey ELSE '' END AS content FROM orders")
 def end_to_end_fallback(spark, d):
     """A page without elements falls back to its raw text in end-to-end mode only."""
-    o = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(1).alias("n"), F.when(F.col("o_orderkey") % 4 == 0, "end2end").otherwise("staged").alias("mode"), F.lit(" raw text ").alias("raw"))
-    return o.select("doc_id", F.when((F.col("mode") == "end2end") & (F.col("n") == 0), F.trim("raw")).otherwise("parts").alias("content"))
+    k = F.col("o_orderkey")
+    return fx.table(spark, d, "orders").select(k.alias("doc_id"), t.page_text(F.when(k % 4 == 0, "end2end").otherwise("staged"), k % 2, F.concat(F.lit(" raw "), k.cast("string"), F.lit("\n")), F.concat(F.lit("parts of "), "o_orderstatus")).alias("content"))
 
 
 @query("SELECT o_orderkey AS doc_id, CAST(k AS INTEGER) AS pos, 'Text' AS label, 'item ' || k AS content FROM (SELECT o_orderkey, unnest(range(0, 3)) AS k FROM orders)")
@@ -581,19 +604,24 @@ def grid_tables(spark, d):
     return layout.with_tables(rows).select("doc_id", F.col("table_html").alias("html"))
 
 
-@query("SELECT p_partkey AS id, '$$' || chr(10) || '\\begin{aligned}' || chr(10) || 'x_{' || p_partkey || '} = 1' || chr(10) || '\\end{aligned}' || chr(10) || '$$' || chr(10) || p_partkey AS formula FROM part")
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '$$' || chr(10) || '\\begin{aligned}' || chr(10) || 'x_{' || p_partkey || '} = 1' || chr(10) || '\\end{aligned}' || chr(10) || '$$' || chr(10) || p_partkey WHEN 1 THEN '$$' || chr(10) || 'a\\quad b_{' || p_partkey || '}\\qquad c' || chr(10) || '$$' || chr(10) || p_partkey ELSE '$$' || chr(10) || 'y^' || p_partkey || chr(10) || '$$' END AS formula FROM part")
 def formulas(spark, d):
+    """An environment with a tag inside, runs of quads with a number behind, and plain."""
     k = F.col("p_partkey").cast("string")
-    raw = F.concat(F.lit(r"$$\begin{aligned} x_{"), k, F.lit(r"} = 1 \end{aligned} \tag{"), k, F.lit("}$$"))
+    boxed = F.concat(F.lit(r"$$\begin{aligned} x_{"), k, F.lit(r"} = 1 \tag{"), k, F.lit(r"} \end{aligned}$$"))
+    quads = F.concat(F.lit("$a" + r"\quad " * 6 + "b_{"), k, F.lit("}" + r"\qquad" * 5 + r"c \quad ("), k, F.lit(")$"))
+    raw = F.when(F.col("p_partkey") % 3 == 0, boxed).when(F.col("p_partkey") % 3 == 1, quads).otherwise(F.concat(F.lit(" y^"), k))
     return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), t.formula(raw).alias("formula"))
 
 
-@query("SELECT p_partkey AS id, CAST(p_partkey % 100 AS DOUBLE) AS x1, 40.5 AS y2 FROM part")
+@query("SELECT p_partkey AS id, CAST(p_partkey % 100 AS DOUBLE) AS x1, 40.5 AS y2, 2 AS boxes, CAST(greatest(0, round_even(p_partkey % 100 / 1000.0 * 500, 0)) AS DOUBLE) AS left_pixel FROM part")
 def table_image_boxes(spark, d):
+    """Marks of images in a table, one of them twice; the first as pixels too."""
     k = (F.col("p_partkey") % 100).cast("string")
-    raw = F.concat(F.lit("a [IMG] [ "), k, F.lit(", 2, 30, 40.5 ][/img] b [img][1,2,3,4][/img]"))
-    b = F.get(t.table_images(raw), F.lit(0))
-    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.get(b, F.lit(0)).alias("x1"), F.get(b, F.lit(3)).alias("y2"))
+    raw = F.concat(F.lit("a [IMG] [ "), k, F.lit(", 2, 300, 40.5 ][/img] b [img][1.5,2,3,4][/img] c [img][1.5, 2, 3, 4][/img]"))
+    b = t.table_images(raw)
+    pixels = F.get(t.table_image_pixels(raw, F.lit(500), F.lit(100)), F.lit(0))
+    return fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.get(F.get(b, F.lit(0)), F.lit(0)).alias("x1"), F.get(F.get(b, F.lit(0)), F.lit(3)).alias("y2"), F.size(b).alias("boxes"), F.get(pixels, F.lit(0)).alias("left_pixel"))
 
 
 # ---------------------------------------------------------------- generated tables
@@ -617,6 +645,34 @@ def table_eval_strata(spark, d):
     return out.select("stratum", "samples", *[F.round(c, 6).alias(c) for c in ("valid_rate", "exact_rate", "mean_reward")])
 
 
+@query("""SELECT c_custkey AS sample_id, CAST(CASE c_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS BOOLEAN) AS valid, CASE c_custkey % 3 WHEN 0 THEN 1000000000 WHEN 1 THEN 2 ELSE 0 END AS num_rows, CASE c_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS num_cols,
+  CASE c_custkey % 3 WHEN 0 THEN '<table> <caption> ' || c_mktsegment || ' </caption> <tr> <td rowspan="1000000000"> a &amp; b </td> <td> ' || c_custkey || ' </td> </tr> </table>' WHEN 1 THEN '<table> <tr> <td a="2" colspan="2"> </td> <th> x </th> </tr> <tr> <td> y </td> </tr> </table>' ELSE '' END AS canonical,
+  CASE c_custkey % 3 WHEN 0 THEN '<table> <tr> <td:r1000000000:c1> </td> <td:r1:c1> </td> </tr> </table>' WHEN 1 THEN '<table> <tr> <td:r1:c2> </td> <th:r1:c1> </th> </tr> <tr> <td:r1:c1> </td> </tr> </table>' ELSE '' END AS structure FROM customer""")
+def table_shapes(spark, d):
+    """Tables with a caption and a giant span, with sorted attributes and spans, and texts
+    that are no table."""
+    c, k = fx.table(spark, d, "customer"), F.col("c_custkey")
+    big = F.concat(F.lit("<TABLE><caption>"), "c_mktsegment", F.lit('</caption><tr><td rowspan="1000000000">a &amp;\n b</td><td>'), k.cast("string"), F.lit("</td></tr></table>"))
+    text = F.when(k % 3 == 0, big).when(k % 3 == 1, F.lit('<table><tr><td colspan=2 A="2"/><th>x</th></tr><!-- --><tr><td>y</td></tr></table>\n')).otherwise(F.concat(F.lit("<table><tr><td>"), k.cast("string"), F.lit("</tr></table>")))
+    p = c.select(k.alias("sample_id"), table_parts(text).alias("p"))
+    return p.select("sample_id", "p.valid", "p.num_rows", "p.num_cols", F.array_join("p.canonical", " ").alias("canonical"), F.array_join("p.structure", " ").alias("structure"))
+
+
+@query("SELECT count(*) FILTER (c_custkey % 4 <> 0) AS train_rows, count(*) FILTER (c_custkey % 4 <> 0 AND c_custkey % 7 = 0) AS inconsistent, count(*) FILTER (c_custkey % 4 = 0) AS eval_rows, 1 AS sample_images, '2x2' AS sample_shape, 4 AS sample_cells FROM customer")
+def dataset_summary(spark, d):
+    """Rows of both splits, inconsistent image counts, and the first sample."""
+    s = fx.html_tables(spark, d).withColumn("images", F.array(F.lit("a"))).withColumn("num_images", F.when(F.col("sample_id") % 7 == 0, 2).otherwise(1))
+    out = table_html.dataset_summary(s.filter("sample_id % 4 <> 0"), s.filter("sample_id % 4 = 0"))
+    return out.withColumn("sample_shape", F.array_join("sample_shape", "x"))
+
+
+@query(REWARDS_SQL + " SELECT sample_id, round(reward + 2.0 * (sample_id % 10) / 10, 6) AS reward FROM w")
+def registered_rewards(spark, d):
+    """The fixed rewards and one more that the caller registers with its weight."""
+    extra = {"last_digit": (lambda sample_id, **_: (sample_id % 10) / 10, 2.0)}
+    return table_html.rewards(fx.html_tables(spark, d), extra).select("sample_id", F.round("reward", 6).alias("reward"))
+
+
 @query("SELECT l_orderkey AS id, count(*) AS cells, round(avg(CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END), 6) AS agreement FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1")
 def cell_agreement(spark, d):
     """Tables of one column without their first row against the whole."""
@@ -721,3 +777,6 @@ def named_splits(spark, d):
     for name in ("train", "test"):
         c.filter(F.col("split") == name).write.parquet(f"{path}/data/{name}-0")
     return readers.splits(spark, path, "test").select("id", "split", "num_images")
+
+
+from docloom.plans import file_queries  # noqa: E402, F401 - registers its queries

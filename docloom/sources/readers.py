@@ -15,11 +15,12 @@ REASON = T.StructType([T.StructField("id", T.StringType()), T.StructField("split
 
 def files(spark: SparkSession, path: str, kind: str = "images", recursive: bool = True, content: bool = False) -> DataFrame:
     """(path, name, length[, content]) of files with a suffix of that kind in any
-    case, by path. Without `content` no file is opened."""
+    case; listings are in order of path, with `content` rows come as they are read (file
+    bytes are not sorted). Without `content` no file is opened."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     df = df.filter(suffix.isin(*SUFFIXES[kind])).withColumn("name", F.element_at(F.split("path", "/"), -1))
-    return df.select("path", "name", "length", *(["content"] if content else [])).orderBy("path")
+    return df.select("path", "name", "length", "content") if content else df.select("path", "name", "length").orderBy("path")
 
 
 def decodable(images: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,11 +42,14 @@ def json_files(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 
 def manifest(spark: SparkSession, path: str, schema: T.StructType | str = REASON) -> DataFrame:
     """A file with one JSON array of objects."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return spark.read.schema(schema).json(path, multiLine=True).select(*schema.names)
 
 
-def splits(spark: SparkSession, root: str, split: str, known: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
-    """Files data/<split>-* of a data set with named splits; another name is an error."""
+def splits(spark: SparkSession, root: str, split: str, known: tuple[str, ...] = ("train", "validation", "test"), revision: str | None = None) -> DataFrame:
+    """Files data/<split>-* of a data set with named splits, of a pinned revision (a
+    folder of that name below root) if one is given; another split is an error."""
+    root = f"{root}/{revision}" if revision else root
     if split not in known:
         raise ValueError(f"unknown split {split!r}; known: {', '.join(sorted(known))}")
     return spark.read.parquet(f"{root}/data/{split}-*")

@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import written
+
 
 def write_predictions(rows: DataFrame, path: str, by: str = "variant") -> None:
     """JSON lines, one folder per variant; nulls are written."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").partitionBy(by).json(path)
 
 
-def report(summary: DataFrame, documents: DataFrame) -> DataFrame:
-    """One JSON text {summary, documents[]}; for report-sized inputs (one row per
-    document goes into one text)."""
-    docs = documents.agg(F.array_sort(F.collect_list(F.struct(*documents.columns))).alias("documents"))
-    return summary.select(F.struct(*summary.columns).alias("summary")).crossJoin(docs).select(F.to_json(F.struct("summary", "documents"), {"ignoreNullFields": "false"}).alias("value"))
+def write_arrays(rows: DataFrame, path: str, per_file: int = 100_000) -> None:
+    """Files that hold one JSON array of objects each, of at most per_file rows."""
+    one = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    place = F.monotonically_increasing_id()
+    lots = rows.select(one.alias("r"), place.alias("i")).withColumn("lot", F.floor(F.col("i") / per_file))
+    texts = lots.groupBy("lot").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
+    texts.select("value", "lot").write.partitionBy("lot").text(path)
+
+
+def report(summary: DataFrame, documents: DataFrame, most: int = 100_000) -> DataFrame:
+    """One JSON text {summary, documents[]} of at most `most` documents: more are an
+    error, and a matter for write_report."""
+    if (n := documents.count()) > most:
+        raise ValueError(f"{n} documents in one report; use write_report")
+    one, doc = F.struct(*summary.columns), F.struct(*documents.columns)
+    none = lambda d, c: F.lit(None).cast(d.select(c).schema[0].dataType)
+    rows = summary.select(one.alias("s"), none(documents, doc).alias("d")).unionByName(documents.select(none(summary, one).alias("s"), doc.alias("d")))
+    both = rows.agg(F.max("s").alias("summary"), F.array_sort(F.collect_list("d")).alias("documents"))
+    return both.select(F.to_json(F.struct("summary", "documents"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_report(summary: DataFrame, documents: DataFrame, path: str) -> None:
@@ -45,9 +65,27 @@ def card(counts: DataFrame, title: str) -> DataFrame:
     return counts.agg(F.concat(F.lit("---\nsplits:\n"), yaml, F.lit(f"\n---\n# {title}\n\n| split | rows |\n| --- | --- |\n"), table, F.lit("\n\nTotal rows: "), total).alias("card"))
 
 
-def write_markdown(docs: DataFrame, path: str) -> None:
-    """One folder per output name (see corpus.output_names) holding its text."""
-    docs.select("out_name", F.col("content").alias("value")).repartition("out_name").write.mode("overwrite").partitionBy("out_name").text(path)
+def write_markdown(docs: DataFrame, path: str) -> DataFrame:
+    """One file per document, named by out_name (see corpus.output_names), below a folder
+    that pyarrow's file systems reach. A repeated task replaces a file by an equal one.
+    Returns (file, bytes), written and reread."""
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            names, sizes = batch.column(0).to_pylist(), []
+            for name, text in zip(names, batch.column(1).to_pylist(), strict=True):
+                data = (text or "").encode()
+                own = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as f:
+                    f.write(data)
+                store.move(own, f"{root}/{name}")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_pydict({"file": [f"{path}/{n}" for n in names], "bytes": pa.array(sizes, pa.int64())})
+
+    rows = docs.filter(F.col("out_name").isNotNull()).select(F.replace("out_name", F.lit("/"), F.lit("_")).alias("n"), F.col("content").cast("string").alias("c"))
+    return written(rows.mapInArrow(write, "file string, bytes long"), "markdown").select("file", "bytes")
 
 
 def document_export(documents: DataFrame, elements: DataFrame) -> DataFrame:
@@ -55,4 +93,4 @@ def document_export(documents: DataFrame, elements: DataFrame) -> DataFrame:
     and whether anything was edited."""
     page = elements.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "bbox", "label", "content", "included"))).alias("elements"), F.max("edited").alias("edited"))
     pages = page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "elements"))).alias("pages"), F.max("edited").alias("edited"))
-    return documents.join(pages, "doc_id", "left").select("doc_id", F.to_json(F.struct(*documents.columns, "pages", F.coalesce("edited", F.lit(False)).alias("edited"))).alias("value"))
+    return documents.join(pages.hint("shuffle_merge"), "doc_id", "left").select("doc_id", F.to_json(F.struct(*documents.columns, "pages", F.coalesce("edited", F.lit(False)).alias("edited"))).alias("value"))

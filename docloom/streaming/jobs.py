@@ -68,17 +68,24 @@ def first_seen(rows: DataFrame, key: str) -> DataFrame:
 
 
 def upserting(rows: DataFrame, key: str, sequence: str, path: str, checkpoint: str):
-    """Last write wins: each micro-batch is laid over the table at `path`, written
-    beside it, and published by a new version number. Returns the started query."""
-    spark = rows.sparkSession
+    """Last write wins: each micro-batch adds its own last rows as one more folder below
+    `path` (a repeated batch replaces its folder), so a batch costs what it holds. Read
+    the table by `upserted`. Returns the started query."""
 
-    def merge(batch: DataFrame, number: int) -> None:
-        others = [c for c in batch.columns if c != key]
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else batch.limit(0)
-        both = old.unionByName(batch)
-        both.groupBy(key).agg(F.max_by(F.struct(*others), sequence).alias("r")).select(key, "r.*").write.mode("overwrite").parquet(f"{path}/v={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        last_per_key(batch, key, sequence).write.mode("overwrite").parquet(f"{path}/batch-{number}")
 
-    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_per_key(rows: DataFrame, key: str, sequence: str) -> DataFrame:
+    others = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), sequence).alias("_r")).select(key, "_r.*")
+
+
+def upserted(spark: SparkSession, path: str, key: str, sequence: str) -> DataFrame:
+    """The table that `upserting` wrote: the row of the highest sequence of each key."""
+    return last_per_key(spark.read.option("recursiveFileLookup", "true").parquet(path), key, sequence)
 
 
 def counting_skips(rows: DataFrame, skipped, name: str = "skips") -> DataFrame:

@@ -55,11 +55,19 @@ def test_leaf_paths(spark):
         leaves(df, "j", max_depth=1).collect()
 
 
-def test_strict_json():
-    assert r.strict_value('<think>x</think>```json\n{"a": 1}\n```') == (True, {"a": 1})
-    for bad in ('{"a":1} x', "[1] [2]", "none", '{"a":1}{"b":2}'):
-        assert r.strict_value(bad)[0] is False
-    assert r.canonical({"b": 1.0, "a": "é"}) == '{"a":"é","b":1.0}'
+def test_strict_json(spark):
+    strict = lambda x: one(spark, r.canonical_json(t.json_candidate(F.col("p"))), p=x)
+    assert strict('<think>x [1]</think>```json\n{"b": 1.0, "a": "é"}\n```') == '{"a":"é","b":1.0}'
+    assert strict('so: {"a": "```"}\n```\n') == '{"a":"```"}' and strict(" 12 ") == "12" and strict("```\n[1]") == "[1]"
+    for bad in ('{"a":1} x', "[1] [2]", "none", '{"a":1}{"b":2}', "", "{"):
+        assert strict(bad) is None
+
+
+def test_tolerant_json(spark):
+    value = lambda x: one(spark, t.tolerant_json(F.col("p")).cast("string"), p=x)
+    assert value('{"id":1} and {more}') == '{"id":1}' and value("a list [1, 2] and {") == "[1,2]" and value('12 {"a":1}') == '{"a":1}'
+    assert value('"a [b] {c"') == "a [b] {c" and value("```json\n[3]\n```") == "[3]" and value("<think>{}</think> 5") == "5"
+    assert value("nothing") is None and value("{broken") is None
 
 
 def test_json_scores(spark):
@@ -78,6 +86,8 @@ def test_tables():
     assert p.valid and (p.num_rows, p.num_cols, p.num_cells, p.merged) == (2, 2, 3, True)
     p = parse('<table><tr><td rowspan="3">a</td><td>b</td></tr></table>')
     assert (p.num_rows, p.num_cols) == (3, 2)
+    p = parse('<table><caption>c</caption><tr><td rowspan="1000000000">a</td><td>b</td></tr><tr><td colspan="1000000000">c</td></tr></table>')
+    assert (p.num_rows, p.num_cols) == (10**9, 10**9 + 1) and "<caption>" not in list(p.structure) and "<caption>" in list(p.canonical)
     for bad in ("x<table><tr><td>a</td></tr></table>", "<table><tr><td>a</tr></table>", "<table></table>", "<table><tr><td>a</td></tr></table><p>", None, "<table><tr><td>a</td></tr>"):
         assert not parse(bad).valid
     assert list(parse('<table><tr><td b="1" a="2">x</td></tr></table>').canonical) == list(parse('<table><tr><td a="2" b="1">x</td></tr></table>').canonical)
@@ -221,4 +231,111 @@ def test_upsert_stream(spark, tmp_path):
         stream = spark.readStream.schema("k int, seq int, v string").parquet(str(source))
         jobs.upserting(stream, "k", "seq", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         spark.createDataFrame([(1, 2, "c")], "k int, seq int, v string").coalesce(1).write.mode("append").parquet(str(source))
-    assert {(x.k, x.v) for x in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()} == {(1, "c"), (2, "b")}
+    assert {(x.k, x.v) for x in jobs.upserted(spark, str(tmp_path / "out"), "k", "seq").collect()} == {(1, "c"), (2, "b")}
+
+
+def test_numbers_on_many_partitions(spark):
+    """Every row keeps one number, whatever the width of the rows and the partitions."""
+    n = 1_500_000
+    rows = spark.range(n, numPartitions=9).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), 480).alias("wide"))
+    got = corpus.numbered(rows, "k").agg(F.count("*"), F.count_distinct("_i"), F.min("_i"), F.max("_i"), F.count_if(F.col("_i") != F.col("k"))).first()
+    assert tuple(got) == (n, n, 0, n - 1, 0)
+    few = rows.select("k").limit(0)
+    assert corpus.numbered(few, "k").count() == 0 and corpus.batches(few, 4, "k", drop_last=True).count() == 0
+
+
+def test_hot_group_share(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).alias("g"))
+    got = {x.g: x["count"] for x in corpus.share_per_group(rows, "g", "k", 0.25, 3).groupBy("g").count().collect()}
+    assert got == {7: 4950}  # groups of one row give none
+
+
+def test_exact_leaves(spark):
+    m = kie_score(spark, '{"a.b":1,"a":{"b":2}}', '{"a":{"b":2}}')
+    assert (m.union_leaves, m.score) == (2, 0.5)
+    assert kie_score(spark, '{"a":1,"a":2}', '{"a":2}').score == 1
+    assert kie_score(spark, '{"n":9007199254740993}', '{"n":9007199254740992}').score == 0
+    assert kie_score(spark, '{"n":123456789012345678901234567890}', '{"n":123456789012345678901234567891}').score == 0
+    m = kie_score(spark, '{"a":1}', "{broken")
+    assert (m.key_precision, m.key_recall, m.key_f1, m.score) == (0, 0, 0, 0)
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") == "false"
+
+
+def test_repeated_answers_and_null_names(spark):
+    rows = spark.createDataFrame([(None, "1", "{\"a\":1}", "{\"a\":1}"), (None, "1", "{\"a\":2}", "{\"a\":1}"), ("", "1", None, None)], "variant string, source string, prediction string, reference string")
+    got = sorted((x.variant is None, x.tp, x.n_predicted, x.n_reference, x.exact_match) for x in json_bench.prediction_scores(rows).collect())
+    assert got == [(False, 0, 0, 0, False), (True, 0, 1, 1, False), (True, 1, 1, 1, True)]
+
+
+def test_completion_value(spark):
+    text = lambda x: one(spark, t.completion_value(F.parse_json(F.col("j"))), j=x)
+    assert text('"a"') == "a" and text('{"content":"b"}') == "b" and text("5") == "" and text("{}") == "" and text("null") == ""
+    assert text('[{"type":"text","content":"a"},{"type":"image","content":"x"},{"content":[{"content":"b"},"c"]},"d",[]]') == "abcd"
+    with pytest.raises(Exception, match="nested too deeply"):
+        text('{"content":{"content":{"content":{"content":{"content":"x"}}}}}')
+
+
+def test_label_errors(spark):
+    labels = lambda ids, mask: one(spark, t.assistant_labels(F.col("i"), F.col("m"), F.array(F.lit(8), F.lit(9)), 2), i=ids, m=mask)
+    assert labels([8, 9, 1, 8, 9, 5, 2, 0], [1, 1, 1, 1, 1, 1, 1, 0]) == [-100] * 5 + [5, 2, -100]
+    for bad, why in ([1, 2], "no target marker"), ([1, 8, 9], "no target tokens"), ([8, 9, 5], "no end token"):
+        with pytest.raises(Exception, match=why):
+            labels(bad, [1] * len(bad))
+
+
+def test_required_parts(spark):
+    with pytest.raises(Exception, match="no complete"):
+        one(spark, t.cut_table(F.lit("none"), required=True))
+    docs = spark.createDataFrame([("a",), ("b",)], "stem string")
+    made = spark.createDataFrame([("a", "x")], "stem string, template string")
+    with pytest.raises(Exception, match="missing template for b"):
+        kie.with_templates(docs, made).collect()
+    with pytest.raises(ValueError, match="use write_report"):
+        sinks.report(spark.range(1), spark.range(5), most=4)
+    rows = spark.createDataFrame([(1, [1], 2, "<table><tr><td>a</td></tr></table>")], "sample_id int, images array<int>, num_images int, table_html string")
+    with pytest.raises(Exception, match="as many images"):
+        table_html.dataset_summary(rows, rows).collect()
+    with pytest.raises(ValueError, match="no rows left"):
+        corpus.require_rows(docs.limit(0))
+    assert [x.k for x in corpus.first_n(spark.range(9).withColumnRenamed("id", "k"), 3, "k").collect()] == [0, 1, 2]
+
+
+def test_pinned_revision(spark, tmp_path):
+    for revision, k in (("r1", 1), ("r2", 2)):
+        spark.range(k).write.parquet(str(tmp_path / revision / "data" / "train-0"))
+    assert readers.splits(spark, str(tmp_path), "train", revision="r2").count() == 2
+
+
+def test_seeded_order(spark):
+    v = spark.range(50).withColumnRenamed("id", "k")
+    order = lambda e, n: [x.k for x in corpus.seeded_order(v.repartition(n), "k", 3, e).collect()]
+    assert order(0, 1) == order(0, 7) != order(1, 1) and sorted(order(1, 1)) == list(range(50))
+
+
+def test_repeated_ends_against_plain_version(spark):
+    import random
+
+    def ends(x):
+        return any(x.endswith(x[-n:] * (math.floor(4 * (1 + 3 / n)) + 1)) for n in range(1, min(250, len(x)) + 1))
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        unit = "".join(rng.choice("ab\né") for _ in range(rng.randrange(1, 260)))
+        rows.append((k, "x" * rng.randrange(3) + unit * rng.randrange(0, 20) + ("y" * rng.randrange(55) if rng.random() < 0.3 else "")))
+    want = {k for k, x in rows if ends(x) or (len(x) > 50 and ends(x[:-50]))}
+    got = {x.k for x in spark.createDataFrame(rows, "k int, x string").filter(t.repeated_end(F.col("x"))).collect()}
+    assert got == want and 50 < len(want) < 350
+
+
+def test_files_of_a_stream_and_skips(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.bin").write_bytes(b"xyz")
+    rows = jobs.finished(jobs.incoming_files(spark, str(tmp_path / "in")).select("length"), "append", str(tmp_path / "cp"))
+    assert [x.length for x in rows.collect()] == [3]
+    assert jobs.counting_skips(spark.range(10), F.col("id") < 3).count() == 7
+
+
+def test_broken_layouts_stay_cheap():
+    assert r.layout_items("{" * 20_000 + "[" * 20_000) == []
+    assert sorted(x[0] for x in r.layout_items("so {'x': {'bbox': [1,2,3,4]}, 'bbox': [5,6,7,8]")) == [[1, 2, 3, 4], [5, 6, 7, 8]]

@@ -58,23 +58,32 @@ def test_whole_pairs(spark, folder):
     x = [" ".join(v.split()) for v in texts()]
     edit = {k: 1.0 if not x[k] and not x[k + 1] else 1 - levenshtein(x[k], x[k + 1]) / max(len(x[k]), len(x[k + 1])) for k in range(len(x) - 1)}
     indel = {k: 1.0 if x[k] == x[k + 1] else 2 * common(x[k], x[k + 1]) / (len(x[k]) + len(x[k + 1])) for k in range(len(x) - 1)}
-    for name, want in (("edit_similarity_whole", edit), ("indel_similarity_pairs", indel)):
+    for name, want in (("edit_similarity_pairs", edit), ("indel_similarity_pairs", indel)):
         got = {v.left_id: v.similarity for v in QUERIES[name](spark, folder).collect()}
         assert got == pytest.approx(want, abs=1e-6)
 
 
 def test_whole_words(spark, folder):
-    want = {k: (len(v.split()), 1 / len(v.split()) if v.split() else 0.0) for k, v in enumerate(texts())}
-    got = {v.doc_id: (v.words, v.wer) for v in QUERIES["word_error_rate_whole"](spark, folder).collect()}
+    w = [v.split() for v in texts()]
+    rate = lambda a, b: levenshtein(a, b) / len(a) if a else float(a != b)
+    want = {k: (len(w[k]), rate(w[k], w[k + 1])) for k in range(len(w) - 1)}
+    got = {v.left_id: (v.words, v.wer) for v in QUERIES["word_error_rate"](spark, folder).collect()}
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-6)
 
 
+def test_whole_characters(spark, folder):
+    x = texts()
+    want = {k: levenshtein(x[k], x[k + 1]) / len(x[k]) if x[k] else float(x[k] != x[k + 1]) for k in range(len(x) - 1)}
+    got = {v.left_id: v.cer for v in QUERIES["character_error_rate"](spark, folder).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_whole_fences(spark, folder):
-    got = {v.doc_id: v for v in QUERIES["fences_and_thoughts_whole"](spark, folder).collect()}
+    got = {v.doc_id: v for v in QUERIES["fences_and_thoughts"](spark, folder).collect()}
     for k, v in enumerate(texts()):
-        x = v.strip(" \t\n\r")
+        x = v.strip()
         assert (got[k].after_first, got[k].after_last) == (x, "b")
         assert got[k].inner_text == x
 
@@ -89,21 +98,21 @@ def test_whole_rows(spark, folder, tmp_path):
     copies = {}
     for k, v in enumerate(more):
         copies.setdefault(" ".join(v.split()), []).append(k)
-    assert {(v.doc_id, v.copies) for v in QUERIES["cleaned_distinct_whole"](spark, d).collect()} == {(k[0], len(k)) for k in copies.values()}
+    assert {(v.doc_id, v.copies) for v in QUERIES["cleaned_distinct"](spark, d).collect()} == {(k[0], len(k)) for k in copies.values()}
     shown = {k: re.sub("\r\n|\r|\n", "<br>", html.escape(v)) for k, v in enumerate(more)}
-    assert {v.doc_id: v.html for v in QUERIES["escaped_html_whole"](spark, d).collect()} == shown
-    assert [v.html for v in QUERIES["normal_html_whole"](spark, d).orderBy("page_id").collect()] == ["<p><b>é</b><i>x y</i></p>", "<p>a</p><p>b</p>"]
+    assert {v.doc_id: v.html for v in QUERIES["escaped_html"](spark, d).collect()} == shown
+    assert [v.html for v in QUERIES["normal_html"](spark, d).orderBy("page_id").collect()] == ["<p><b>é</b><i>x y</i></p>", "<p>a</p><p>b</p>"]
     labels, want = ("Title", "Text", "Section-header", "Page-header", "Text"), set()
     for k, v in enumerate(more):
         for pos, line in enumerate(v.split("\n")):
             hit = (k + pos) % 5 == 0
-            want.add((k, pos, line.upper() if hit else line, labels[pos % 5] != ("Text" if hit else "Page-header"), hit))
-    assert {tuple(v) for v in QUERIES["edit_overlay_whole"](spark, d).collect()} == want
+            want.add((k, pos, "edited: " + line if hit else line, labels[pos % 5] != ("Text" if hit else "Page-header"), hit))
+    assert {tuple(v) for v in QUERIES["edit_overlay"](spark, d).collect()} == want
 
 
 def test_all_full_batches(spark, tmp_path):
     spark.range(1000).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
-    assert {(v.doc_id, v.batch_id) for v in QUERIES["full_batches_whole"](spark, str(tmp_path)).collect()} == {(k, k // 64) for k in range(960)}
+    assert {(v.doc_id, v.batch_id) for v in QUERIES["full_batches"](spark, str(tmp_path)).collect()} == {(k, k // 64) for k in range(960)}
 
 
 def test_streams_go_to_files(spark, tmp_path):
