@@ -1,5 +1,15 @@
 """The corpus pipeline: each stage takes what the one before kept, written out and
-reread. All stages but the last return the columns of documents."""
+reread. All stages but the last return the columns of documents.
+
+The toxicity and language models are fitted anew on what their stage is given: labelled
+rows outside the held-out fold, and rows with a language. Null and empty texts score as
+the intercept says in the first stage and have no language, so the second drops them;
+the third keeps exactly one row of each class of similar texts, whether doc_ids are
+unique, repeated or null; rows of one doc_id that the fourth finds contaminated go
+together. Columns of any name come through unchanged. Empty tables give no rows.
+
+Texts go to Python 2,000 at a time, by a setting of the session: `run` puts it back; a
+stage called on its own leaves it, because its result is computed later."""
 
 from __future__ import annotations
 
@@ -16,10 +26,12 @@ from docloom.llm.packing import pack_documents
 from docloom.llm.toxicity import drop_toxic
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    """Texts go to Python 2,000 at a time: stages are written by the caller, and a batch
-    is held several times over by an executor and its workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """A batch is held several times over by an executor and its workers."""
+    spark.conf.set(BATCH, "2000")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +76,12 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, name)
+    before = spark.conf.get(BATCH)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if k < len(STAGES) - 1:
+                docs = staged(docs, name)
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
