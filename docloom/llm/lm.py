@@ -190,36 +190,42 @@ class Gru:
 
     def score(self, texts: list[np.ndarray], end: int, lanes: int = 384, window: int = 64) -> np.ndarray:
         """log10 P(class) * P(head word | class), summed over the symbols of each text
-        (each closed by the end symbol)."""
+        (each closed by the end symbol). Lanes stand end to end in one array, the longest
+        first, and a step computes those that still run: memory follows the symbols, not
+        lanes times the longest text."""
+        out = np.zeros(len(texts))
+        if not texts:
+            return out
         sizes = np.array([len(t) for t in texts], np.int64)
-        # no more lanes than the longest text fills: tables hold about twice the symbols at most
-        lanes = max(1, min(lanes, -(-int(sizes.sum()) // max(1, int(sizes.max(initial=1))))))
+        lanes = min(lanes, len(texts))
         load, line = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
         for k in np.argsort(-sizes, kind="stable").tolist():
             lane = int(load.argmin())
             line[lane].append(k)
             load[lane] += sizes[k]
-        longest = int(load.max())
-        target, owner = np.full((lanes, longest), -1, np.int32), np.full((lanes, longest), -1, np.int32)
-        for lane, ks in enumerate(line):
-            if ks:
-                target[lane, : load[lane]] = np.concatenate([texts[k] for k in ks])
-                owner[lane, : load[lane]] = np.repeat(ks, sizes[ks])
-        out = np.zeros(len(texts))
-        h = np.zeros((lanes, self.size), np.float32)
-        x = np.full(lanes, end, np.int64)
-        for a in range(0, longest, window):
-            b = min(longest, a + window)
-            states = np.empty((lanes, b - a, self.size), np.float32)
-            for t in range(a, b):
-                if t and (new := np.flatnonzero(owner[:, t] != owner[:, t - 1])).size:
-                    h[new] = 0.0  # the end symbol of the text before is the start of this one
+        rank = np.argsort(-load, kind="stable")
+        load, order = load[rank], np.concatenate([line[k] for k in rank])
+        target, owner = np.concatenate([texts[k] for k in order]), np.repeat(order, sizes[order])
+        starts = np.zeros(len(target), bool)
+        starts[np.cumsum(sizes[order]) - sizes[order]] = True
+        begin = np.cumsum(load) - load
+        h, x = np.zeros((lanes, self.size), np.float32), np.full(lanes, end, np.int64)
+        for a in range(0, int(load[0]), window):
+            n = int(np.searchsorted(-load, -a))  # lanes longer than a
+            steps = min(int(load[0]) - a, window)
+            states = np.empty((steps, n, self.size), np.float32)
+            for t in range(steps):
+                n = int(np.searchsorted(-load, -(a + t)))
+                at = begin[:n] + a + t
+                h, x = h[:n], x[:n]
+                h[starts[at]] = 0.0  # the symbol before is the end of the text before
                 h = self.step(x, h)[0]
-                states[:, t - a] = h
-                x = np.maximum(target[:, t], 0)
-            row, col = np.nonzero(target[:, a:b] >= 0)
-            p, _ = self.log_probs(states[row, col], target[row, col + a])
-            out += np.bincount(owner[row, col + a], p, len(texts))
+                states[t, :n] = h
+                x = target[at]
+            row, col = np.nonzero(load[None, :] > (a + np.arange(steps))[:, None])
+            at = begin[col] + a + row
+            p, _ = self.log_probs(states[row, col], target[at])
+            out += np.bincount(owner[at], p, len(texts))
         return out / np.log(10.0)
 
 
@@ -325,12 +331,12 @@ def vocabulary(counts: DataFrame, *, head: int = 2048, most: int = 1 << 18, leas
     return Vocabulary(h[by_hash], c[by_hash], symbol[by_hash], share[by_hash], n_head, symbols, klass, np.log(per_class / per_class.sum()), total, distinct, float(rare_total), rare_types, n1 / (n1 + 2 * n2) if n1 else 0.5)
 
 
-def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: int = 32, rounds: int = 3, rate: float = 0.1, replicas: int | None = None) -> Gru:
+def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: int = 32, rounds: int = 3, rate: float = 0.1, replicas: int | None = None, task_windows: int = 1 << 16) -> Gru:
     """Rounds of parallel training on all windows (each window in one round), the
     tasks' weights averaged by their numbers of windows, 32 at a time."""
     spark = windows.sparkSession
     model = Gru(words, size)
-    replicas = replicas or slots(spark)
+    replicas = replicas or max(slots(spark), -(-windows.count() // (rounds * task_windows)))
     names = list(model.w)
     shape = {k: v.shape for k, v in model.w.items()}
 
@@ -405,19 +411,27 @@ def score_texts(docs: DataFrame, held_out, counts: DataFrame, words: Vocabulary,
         uid = TaskContext.get().partitionId() << 33
         end = int(v.symbols_of(np.array([END]))[0])
         logs = np.log10(v.count + 1.0)
+        texts, rows, fixed, size = [], [], [], 0
+
+        def scored():
+            scores = gru.score(texts, end) + np.array(fixed)
+            ids, held, n, known, base, rare = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(texts))), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *map(pa.array, (n, known, base, scores)), pa.array(rare, pa.list_(pa.int64()))], schema=schema)
+
         for batch in batches:
-            texts, n, known, base, fixed, rare = [], [], [], [], [], []
-            for t in tokens(batch.column(2)):
+            for doc_id, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens(batch.column(2)), strict=True):
                 at, there = v.look(t)
                 found = at[there]
                 texts.append(np.where(there, v.symbol[at], v.symbols - 1).astype(np.int32))
-                n.append(len(t)), known.append(int((v.count[found] > 0).sum()))
-                base.append(float(logs[found].sum())), fixed.append(float(v.share[found].sum()))
-                rare.append(t[~there].view(np.int64))
-            if texts:
-                scores = gru.score(texts, end) + np.array(fixed)
-                yield pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(texts))), batch.column(0), batch.column(1), *map(pa.array, (n, known, base, scores)), pa.array(rare, pa.list_(pa.int64()))], schema=schema)
-                uid += len(texts)
+                fixed.append(float(v.share[found].sum()))
+                rows.append((doc_id, held, len(t), int((v.count[found] > 0).sum()), float(logs[found].sum()), t[~there].view(np.int64)))
+                size += len(t)
+                if size >= 1 << 21:  # texts of many batches share the lanes, up to so many symbols
+                    yield scored()
+                    uid += len(texts)
+                    texts, rows, fixed, size = [], [], [], 0
+        if texts:
+            yield scored()
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").cast("string"))
     rows = staged(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>"), "scores")
