@@ -52,6 +52,18 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(name, before)
 
 
+def keep_memory() -> None:
+    """Let this worker use freed arrays again instead of mapping new pages for each:
+    small steps of training make very many of a few hundred kilobytes. `give_back` ends
+    what is held."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 8 << 20)  # arrays below 8 MB come from the heap
+        libc.mallopt(-1, 64 << 20)  # which is cut back beyond 64 MB free
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def give_back() -> None:
     """Return freed memory to the machine: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

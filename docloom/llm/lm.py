@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import chunks, fold, slots, small_batches, staged, word_hashes, word_spans
+from docloom.llm.common import chunks, fold, give_back, keep_memory, slots, small_batches, staged, word_hashes, word_spans
 
 END = np.uint64(0xE4D0F7E2B1C9A853)
 CLASS = 64
@@ -112,69 +112,93 @@ class Gru:
             dh = p @ self.w["c"].T
         order = np.argsort(klass, kind="stable")
         bounds = np.searchsorted(klass[order], np.arange(-(-self.head // CLASS) + 1))
+        hs, place, add = h[order], target[order] % CLASS, np.zeros(len(h))
+        back = np.zeros_like(hs) if grads is not None else None
         for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             if a == b:
                 continue
-            rows = order[a:b]
             words = slice(c * CLASS, min(self.head, (c + 1) * CLASS))
-            q = h[rows] @ self.w["o"][words].T + self.w["ob"][words]
+            o = self.w["o"][words]
+            q = hs[a:b] @ o.T
+            q += self.w["ob"][words]
             q -= q.max(1, keepdims=True)
-            e = np.exp(q)
-            total = e.sum(1)
-            at = np.arange(b - a), target[rows] - c * CLASS
-            out[rows] += q[at] - np.log(total)
+            at = np.arange(b - a), place[a:b]
+            add[a:b] = q[at]
+            np.exp(q, out=q)
+            total = q.sum(1)
+            add[a:b] -= np.log(total)
             if grads is not None:
-                e /= total[:, None]
-                e[at] -= 1.0
-                grads["o"][words] += e.T @ h[rows]
-                grads["ob"][words] += e.sum(0)
-                dh[rows] += e @ self.w["o"][words]
+                q /= total[:, None]
+                q[at] -= 1.0
+                grads["o"][words] += q.T @ hs[a:b]
+                grads["ob"][words] += q.sum(0)
+                back[a:b] = q @ o
+        out[order] += add
+        if grads is not None:
+            dh[order] += back
         return out, dh
 
     def learn(self, batch: np.ndarray, h: np.ndarray, squares: dict, rate: float) -> np.ndarray:
         """One truncated backpropagation over batch (rows x steps + 1 symbols, -1 where
         a row has ended) from state h; returns the state after it."""
-        n, steps = self.size, batch.shape[1] - 1
-        grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-        kept, states = [], []
+        n, (rows, width) = self.size, batch.shape
+        steps = width - 1
+        x = np.maximum(batch[:, :-1].T, 0)
+        given, u = self.w["x"][x] + self.w["b"], self.w["u"]
+        h0, gates = h, np.empty((3, steps, rows, n), given.dtype)  # z, r, candidate
+        hu2, states = np.empty((steps, rows, n), given.dtype), np.empty((steps, rows, n), given.dtype)
         for t in range(steps):
-            x = np.maximum(batch[:, t], 0)
-            new, z, r, c, hu = self.step(x, h)
-            kept.append((x, h, z, r, c, hu))
-            states.append(new)
-            h = new
-        live = batch[:, 1:] >= 0
-        row, col = np.nonzero(live)
+            hu = h @ u
+            g = given[t, :, : 2 * n] + hu[:, : 2 * n]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1.0
+            np.reciprocal(g, out=g)
+            z, r = gates[0, t], gates[1, t]
+            z[:], r[:], hu2[t] = g[:, :n], g[:, n:], hu[:, 2 * n :]
+            new = np.tanh(given[t, :, 2 * n :] + r * hu2[t], out=gates[2, t])
+            h = np.add(new, z * (h - new), out=states[t])
+        live = batch[:, 1:].T >= 0
+        when, row = np.nonzero(live)
         if not len(row):
             return h
-        all_h = np.stack(states, 1)
-        _, d = self.log_probs(all_h[row, col], batch[:, 1:][row, col], grads)
-        d_out = np.zeros_like(all_h)
-        d_out[row, col] = d
-        dh, inputs = np.zeros_like(h), []
+        grads = {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
+        _, d = self.log_probs(states[when, row], batch[:, 1:].T[when, row], grads)
+        d_out = np.zeros_like(states)
+        d_out[when, row] = d
+        # what a state's gradient is multiplied by on its way to the gates, for all steps at once
+        z, r, c = gates
+        before = np.concatenate((h0[None].astype(given.dtype), states[:-1]))
+        into = np.empty((steps, rows, 3, n), given.dtype)
+        into[:, :, 2] = (1 - z) * (1 - c * c)
+        into[:, :, 0] = (before - c) * z * (1 - z)
+        into[:, :, 1] = into[:, :, 2] * hu2 * r * (1 - r)
+        back = into.copy()
+        back[:, :, 2] *= r
+        dh, ut = np.zeros((rows, n), given.dtype), np.ascontiguousarray(u.T)
         for t in range(steps - 1, -1, -1):
-            x, before, z, r, c, hu = kept[t]
-            dh = dh + d_out[:, t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * hu * r * (1 - r)
-            to_x = np.concatenate((dz, dr, dc), 1)
-            to_u = np.concatenate((dz, dr, dc * r), 1)
-            grads["u"] += before.T @ to_u
-            grads["b"] += to_x.sum(0)
-            inputs.append(to_x)
-            dh = dh * z + to_u @ self.w["u"].T
-        x = np.concatenate([k[0] for k in reversed(kept)])
+            dh += d_out[t]
+            into[t] *= dh[:, None]
+            back[t] *= dh[:, None]
+            dh = dh * z[t] + back[t].reshape(rows, 3 * n) @ ut
+        flat = into.reshape(-1, 3 * n)
+        grads["u"] += before.reshape(-1, n).T @ back.reshape(-1, 3 * n)
+        grads["b"] += flat.sum(0)
+        x = x.ravel()
         order = np.argsort(x, kind="stable")
         some, first = np.unique(x[order], return_index=True)
-        grads["x"][some] = np.add.reduceat(np.concatenate(inputs)[order], first)
+        grads["x"] = np.add.reduceat(flat[order], first)  # of the symbols that occur
         scale = 1.0 / len(row)
-        norm = np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grads.values()))
+        norm = scale * np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads.values()))
         scale *= min(1.0, 1.0 / max(norm, 1e-9))
         for k, g in grads.items():
+            at = some if k == "x" else slice(None)
             g *= scale
-            squares[k] += g * g
-            self.w[k] -= rate * g / (np.sqrt(squares[k]) + 1e-8)
+            seen = squares[k][at] + g * g
+            squares[k][at] = seen
+            g *= rate
+            g /= np.sqrt(seen) + 1e-8
+            self.w[k][at] -= g
         return h
 
     def train(self, windows: list[np.ndarray], squares: dict, steps: int, rate: float, batch: int = 128) -> None:
@@ -352,6 +376,7 @@ def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: i
 
             from pyspark import TaskContext
 
+            keep_memory()
             start, vocabulary_ = sent.value
             own = copy.deepcopy(start)
             kind, squares = symbol_type(vocabulary_), {k: np.full_like(v, 1e-6) for k, v in own.w.items()}
@@ -370,6 +395,7 @@ def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: i
                     held.clear()
             if held:
                 learn()
+            give_back()
             if n:
                 yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() // 32], "n": [n], "w": [pack(own.w)]})
 
@@ -407,6 +433,7 @@ def score_texts(docs: DataFrame, held_out, counts: DataFrame, words: Vocabulary,
     def run(batches):
         from pyspark import TaskContext
 
+        keep_memory()
         v, gru = sent.value
         uid = TaskContext.get().partitionId() << 33
         end = int(v.symbols_of(np.array([END]))[0])
@@ -432,6 +459,7 @@ def score_texts(docs: DataFrame, held_out, counts: DataFrame, words: Vocabulary,
                     texts, rows, fixed, size = [], [], [], 0
         if texts:
             yield scored()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").cast("string"))
     rows = staged(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>"), "scores")
