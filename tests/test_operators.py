@@ -1,4 +1,4 @@
-"""Literal cases of the operators, and invariants."""
+"""Cases of the operators, and invariants. Expected values are fixed by the rules they test."""
 
 import math
 
