@@ -89,14 +89,18 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits:
     return Toxicity(bits, kept.astype(np.int32), w[kept].astype(np.float32), float(w[-1]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 12_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3, folds: int = 5) -> Toxicity:
-    """Fit on labelled rows outside the held-out fold: all of them, or a sample of
-    about `max_rows` by a hash of doc_id (the documented bound on what one task
-    holds). The weights that L1 leaves come to the driver, 2^bits at most."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 12_000, max_bytes: int = 512_000_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3, folds: int = 5) -> Toxicity:
+    """Fit on labelled rows outside the held-out fold: all of them, or a sample by hashes
+    of about `max_rows` rows and `max_bytes` bytes of text (the documented bounds on what
+    one task holds); rows equal in doc_id and text teach once. The weights that L1 leaves
+    come to the driver, 2^bits at most."""
     given = labels.filter((fold(F.col("doc_id"), folds) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     n = given.count()
     given = given.filter(sampled(F.col("doc_id"), min(1.0, max_rows / max(n, 1))))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(given), "doc_id")  # about max_rows rows of 12 bytes
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(given), "doc_id").dropDuplicates(["doc_id", "text"])  # about max_rows ids of 12 bytes
+    rows, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first() if n else (0, 0)
+    if rows > 2 * max_rows or size > max_bytes:  # ids of many rows, or long texts
+        texts = texts.filter(sampled(F.xxhash64("doc_id", "text"), min(max_rows / rows, max_bytes / max(size, 1))))
     schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("places", pa.list_(pa.int32())), ("strengths", pa.list_(pa.float32()))])
 
     def extract(batches):
