@@ -195,3 +195,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_toxicity_sample_bounds(spark):
+    """Rows equal in id and text teach once; bounds in bytes and of rows of one id thin the sample."""
+    rows = [(k, ("awful words " if k % 2 else "kind words ") + f"number{k}") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lambda docs, **x: toxicity.fit_toxicity(docs, labels, bits=14, l1=0.1, **x)
+    one, many = model(d), model(d.unionByName(d).unionByName(d))
+    assert one.index.tolist() == many.index.tolist() and one.weight.tolist() == many.weight.tolist() and one.bias == many.bias
+    few = model(d, max_bytes=300)
+    assert 0 < len(few.index) < len(one.index)
+    hot = spark.createDataFrame([(1, f"awful word{k}") for k in range(500)], "doc_id long, text string")
+    assert len(model(d.unionByName(hot), max_rows=60).index) < len(model(d.unionByName(hot), max_rows=600).index)
