@@ -5,6 +5,7 @@ from docloom.llm.jaccard import op10_jaccard_trie
 from docloom.llm.language import op8_language_ecoc
 from docloom.llm.lm import op1_gru_lm
 from docloom.llm.packing import op4_best_two_fit
+from docloom.llm.pieces import op13_sentence_pieces
 from docloom.llm.sharding import op7_two_pass_shuffle
 from docloom.llm.toxicity import op3_toxicity_ftrl
 from docloom.llm.token_files import op2_token_files
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_language_ecoc": op8_language_ecoc,
     "op9_quotation_links": op9_quotation_links,
     "op10_jaccard_trie": op10_jaccard_trie,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_winnowing": OP5_SQL,
