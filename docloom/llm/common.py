@@ -180,8 +180,9 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def appended(docs: DataFrame, fields: list[tuple[str, str, pa.DataType]], score, keep: list[str]) -> DataFrame:
     """`keep` columns of docs and new ones that `score(text column)` returns as a list
     of Arrow arrays, in `fields` (name, SQL type, Arrow type)."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_docloom_text"))
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[: len(keep)]] + [f"`{n}` {t}" for n, t, _ in fields])
+    # by number, as a name with a dot cannot be given to mapInArrow
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"_docloom_{k}") for k, c in enumerate(keep)], F.col("text").cast("string").alias("_docloom_text"))
+    ddl = ", ".join([f"`{c}` {f.dataType.simpleString()}" for c, f in zip(keep, kept.schema, strict=False)] + [f"`{n}` {t}" for n, t, _ in fields])
     names = [*keep, *[f[0] for f in fields]]
 
     def run(batches):
