@@ -3,6 +3,7 @@
 from docloom.llm.decontaminate import OP5_SQL, op5_winnowing
 from docloom.llm.jaccard import op10_jaccard_trie
 from docloom.llm.language import op8_language_ecoc
+from docloom.llm.lexical import OP12_SQL, op12_document_trie
 from docloom.llm.lm import op1_gru_lm
 from docloom.llm.packing import op4_best_two_fit
 from docloom.llm.pieces import op13_sentence_pieces
@@ -23,10 +24,12 @@ QUERIES = {
     "op8_language_ecoc": op8_language_ecoc,
     "op9_quotation_links": op9_quotation_links,
     "op10_jaccard_trie": op10_jaccard_trie,
+    "op12_document_trie": op12_document_trie,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_winnowing": OP5_SQL,
     "op6_top_k": OP6_SQL,
     "op9_quotation_links": OP9_SQL,
+    "op12_document_trie": OP12_SQL,
 }
