@@ -8,6 +8,7 @@ from docloom.llm.lm import op1_gru_lm
 from docloom.llm.packing import op4_best_two_fit
 from docloom.llm.pieces import op13_sentence_pieces
 from docloom.llm.sharding import op7_two_pass_shuffle
+from docloom.llm.spelling import op11_spelling_tree
 from docloom.llm.toxicity import op3_toxicity_ftrl
 from docloom.llm.token_files import op2_token_files
 from docloom.llm.threads import OP9_SQL, op9_quotation_links
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_ecoc": op8_language_ecoc,
     "op9_quotation_links": op9_quotation_links,
     "op10_jaccard_trie": op10_jaccard_trie,
+    "op11_spelling_tree": op11_spelling_tree,
     "op12_document_trie": op12_document_trie,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
