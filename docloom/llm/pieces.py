@@ -36,6 +36,8 @@ from docloom.llm.tokenizing import Encoder
 #: The mark of a space, and kinds of pieces in a model file.
 MARK, NORMAL, UNKNOWN, CONTROL, BYTE = "▁", 1, 2, 3, 6
 MERGES = 2  # the model type
+SYMBOLS = 1 << 31  # more than pieces and characters together
+SHORT, BLOCK, NEVER = 48, 16_384, 1 << 40
 
 
 class PieceCodec(Encoder):
@@ -61,6 +63,15 @@ class PieceCodec(Encoder):
         self.id_of = {t: k for k, (t, p) in enumerate(zip(texts, model.pieces, strict=True)) if p.type == NORMAL}
         place = {s: k for k, s in enumerate(sorted({p.score for p in model.pieces}, reverse=True))}
         self.rank = {t: place[model.pieces[k].score] for t, k in self.id_of.items()}
+        self.size = len(model.pieces)
+        # a symbol is a piece by its id, or a character without a piece by what follows the ids
+        self.symbol_of = np.arange(0x110000, dtype=np.int64) + self.size
+        for t, k in self.id_of.items():
+            if len(t) == 1:
+                self.symbol_of[ord(t)] = k
+        symbol = lambda t: self.id_of.get(t, self.size + ord(t) if len(t) == 1 else -1)
+        pairs = [(symbol(t[:c]) * SYMBOLS + symbol(t[c:]), self.rank[t], k) for t, k in self.id_of.items() for c in range(1, len(t)) if symbol(t[:c]) >= 0 <= symbol(t[c:])]
+        self.pair, self.pair_rank, self.pair_product = np.array(sorted(pairs) or [(-1, NEVER, 0)], np.int64).T.copy()
         self.byte_id = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
         self.joined = np.zeros((128, 128), bool)
         for t in self.id_of:
@@ -84,15 +95,65 @@ class PieceCodec(Encoder):
         return np.flatnonzero(cut)
 
     def ids_of(self, pieces: list[str]) -> list[list[int]]:
-        return [self.agenda(p) for p in pieces]
-
-    def agenda(self, text: str) -> list[int]:
-        """Ids of one part. A pair on the agenda is stale once either symbol was merged:
-        its two lengths then no longer add up."""
-        rank, id_of = self.rank, self.id_of
-        if text in id_of and len(text) == 1:
-            return [id_of[text]]
-        n = len(text)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        out: list[list[int]] = [[]] * len(pieces)
+        order = np.argsort(sizes, kind="stable")
+        short = order[: int(np.searchsorted(sizes[order], SHORT, side="right"))]
+        for k in range(0, len(short), BLOCK):
+            rows = short[k : k + BLOCK]
+            for row, ids in zip(rows.tolist(), self.short_agendas([pieces[x] for x in rows.tolist()], sizes[rows]), strict=True):
+                out[row] = ids
+        for row in order[len(short) :].tolist():
+            out[row] = [x for s in self.long_agenda(pieces[row]) if s for x in self.ids_of_symbol(s)]
+        return out
+
+    def ids_of_symbol(self, symbol: str) -> list[int]:
+        if symbol in self.id_of:
+            return [self.id_of[symbol]]
+        return [self.byte_id[x] for x in symbol.encode()] if self.byte_id else [self.unknown]
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the piece that each pair of symbols forms, NEVER where it forms none."""
+        key = a * SYMBOLS + b
+        k = np.searchsorted(self.pair, key)
+        k[k == len(self.pair)] = 0
+        return np.where(self.pair[k] == key, self.pair_rank[k], NEVER)
+
+    def short_agendas(self, parts: list[str], sizes: np.ndarray) -> list[list[int]]:
+        """The agendas of many parts at once, a row each: in each round every row that still has
+        an open pair merges its best one, the first of equal ranks."""
+        width, n = int(sizes[-1]), len(parts)
+        symbols = np.full((n, width + 1), -1, np.int64)
+        symbols[:, :width][np.arange(width) < sizes[:, None]] = self.symbol_of[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        left = sizes.copy()
+        final = np.full((n, width), -1, np.int64)
+        active, open_pairs = np.arange(n), self.ranks(symbols[:, :-1], symbols[:, 1:])
+        while len(active):
+            k = open_pairs.argmin(1)
+            going = open_pairs[np.arange(len(active)), k] < NEVER
+            final[active[~going]] = symbols[~going, :width]
+            active, symbols, open_pairs, k = active[going], symbols[going], open_pairs[going], k[going]
+            if not len(active):
+                break
+            at = np.arange(len(active))
+            product = self.pair_product[np.searchsorted(self.pair, symbols[at, k] * SYMBOLS + symbols[at, k + 1])]
+            after = np.arange(width)[None, :] > k[:, None]
+            symbols[:, :-1] = np.where(after, symbols[:, 1:], symbols[:, :-1])
+            open_pairs[:, :-1] = np.where(after[:, :-1], open_pairs[:, 1:], open_pairs[:, :-1])
+            symbols[at, k] = product
+            left[active] -= 1
+            open_pairs[at, k] = self.ranks(product, symbols[at, k + 1])
+            back = np.flatnonzero(k)
+            open_pairs[back, k[back] - 1] = self.ranks(symbols[back, k[back] - 1], product[back])
+        lists = [row[:m] for row, m in zip(final.tolist(), left.tolist(), strict=True)]
+        for row in np.flatnonzero((final >= self.size).any(1)).tolist():
+            lists[row] = [i for x in lists[row] for i in ([x] if x < self.size else self.ids_of_symbol(chr(x - self.size)))]
+        return lists
+
+    def long_agenda(self, text: str) -> list[str]:
+        """A pair on the heap is stale once either symbol was merged: its two lengths then
+        no longer add up."""
+        rank, n = self.rank, len(text)
         symbols: list[str] = list(text)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         open_pairs = []
@@ -118,15 +179,7 @@ class PieceCodec(Encoder):
                 both = symbols[before] + symbols[a]
                 if (r := rank.get(both)) is not None:
                     heapq.heappush(open_pairs, (r, before, a, len(both)))
-        ids: list[int] = []
-        for s in symbols:
-            if s in id_of:
-                ids.append(id_of[s])
-            elif s and self.byte_id:
-                ids += [self.byte_id[x] for x in s.encode()]
-            elif s:
-                ids.append(self.unknown)
-        return ids
+        return symbols
 
     def encode_rows(self, column: pa.Array, begin: bool, end: bool):
         """Yield the ids of each row (uint32)."""
