@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import collapse_space, document_of, stable_fraction, stable_shard
+from docloom.functions.text import collapse_space, document_of, repeated_end, stable_fraction, stable_shard
+from docloom.operators.joins import side_join
+from docloom.operators.leaves import strict_values
 from docloom.sources.shared import written
 
 
@@ -50,11 +52,11 @@ def pair_by_key(images: DataFrame, labels: DataFrame, key: str = "key", strict:
 def prefer(left: DataFrame, better: DataFrame, fallback: DataFrame, key: str, value: str, flag: str) -> DataFrame:
     """`value` from better where there is one, else from fallback; flag tells which."""
     b, f = better.select(key, F.col(value).alias("_b")), fallback.select(key, F.col(value).alias("_f"))
-    return left.join(b, key, "left").join(f, key, "left").withColumn(value, F.coalesce("_b", "_f")).withColumn(flag, F.col("_b").isNotNull()).drop("_b", "_f")
+    return side_join(side_join(left, b, [key]), f, [key]).withColumn(value, F.coalesce("_b", "_f")).withColumn(flag, F.col("_b").isNotNull()).drop("_b", "_f")
 
 
 def not_done(jobs: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
-    return jobs if force else jobs.join(done.select(key), key, "left_anti")
+    return jobs if force else side_join(jobs, done.select(key), [key], "left_anti")
 
 
 def split_by_document(rows: DataFrame, key: str, fraction: float, pattern: str = r"_page\d+$") -> DataFrame:
@@ -223,6 +225,77 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(F.array(*parts).alias("p")).select(F.inline("p"))
 
 
+#: Types that a sketch of distinct values takes as they are, and those that have quantiles.
+COUNTED, MEASURED = ("int", "bigint", "smallint", "tinyint", "string", "binary"), ("int", "bigint", "smallint", "tinyint", "float", "double")
+
+
+def column_sketches(df: DataFrame, by: list[Column]) -> DataFrame:
+    """Per group of `by` (a file, a day) and column a profile that can be merged: type, rows, nulls, least and
+    greatest as text, a sketch of the distinct values (HLL, 2^12 registers: about 2 %) and, of numbers,
+    one of the quantiles (KLL, k = 200: ranks within about 2 %). One pass; what is kept has the same
+    size however many rows a group has. Least and greatest of numbers are merged as numbers."""
+    number = lambda f: f.dataType.simpleString() in MEASURED
+    counted = lambda f: F.col(f.name) if f.dataType.simpleString() in COUNTED else F.col(f.name).cast("string")
+    one = lambda f: F.struct(
+        F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count("*").alias("rows"), F.count_if(F.col(f.name).isNull()).alias("nulls"),
+        F.min(F.col(f.name)).cast("string").alias("least"), F.max(F.col(f.name)).cast("string").alias("greatest"), F.hll_sketch_agg(counted(f)).alias("distinct"),
+        (F.kll_sketch_agg_double(F.col(f.name).cast("double")) if number(f) else F.lit(None).cast("binary")).alias("quantiles"),
+    )
+    return df.groupBy(*by).agg(F.array(*map(one, df.schema.fields)).alias("_p")).select("*", F.inline("_p")).drop("_p")
+
+
+def merged_sketches(sketches: DataFrame) -> DataFrame:
+    """The profile of all groups together, as column_sketches rows of no group: sketches of parts give what the
+    union gives, within their error."""
+    number = F.col("type").isin(*MEASURED)
+    ends = lambda c, f: F.coalesce(f(F.when(number, F.col(c).cast("double"))).cast("string"), f(F.when(~number, F.col(c))))
+    return sketches.groupBy("name", "type").agg(
+        F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls"), ends("least", F.min).alias("least"), ends("greatest", F.max).alias("greatest"),
+        F.hll_union_agg("distinct").alias("distinct"), F.kll_merge_agg_double("quantiles").alias("quantiles"),
+    )
+
+
+def read_sketches(sketches: DataFrame, ranks: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """The estimates of profiles: distinct values, and values at the ranks (null for what is no number)."""
+    at = F.when(F.col("type").isin(*MEASURED) & (F.col("rows") > F.col("nulls")), F.array(*[F.kll_sketch_get_quantile_double("quantiles", F.lit(r)) for r in ranks]))
+    return sketches.withColumn("distinct", F.hll_sketch_estimate("distinct")).withColumn("quantiles", at)
+
+
+def preview(df: DataFrame, key: str, rows: int = 20, width: int = 80) -> DataFrame:
+    """The first rows by key with every value as text of at most `width` characters."""
+    first = df.orderBy(key).limit(rows)
+    return first.select(*[F.substring(F.col(f"`{c}`").cast("string"), 1, width).alias(c) for c in df.columns])
+
+
+def curated(pages: DataFrame, key: str, text: str, fraction: float = 0.2, pattern: str = r"_page\d+$") -> DataFrame:
+    """One row per page: document_id (its group), page, split (all pages of a document on one side), kept and the
+    reason where it is not: `empty` after white space is cleaned, `degenerate` (it ends in a repetition), or
+    `copy` (another page with the same cleaned text has a smaller key; a page that is refused for another
+    reason is nobody's original). All steps read one written table of keys and hashes; texts are read
+    once and never shuffled. Null keys are kept as rows of no document; null texts are empty."""
+    clean = collapse_space(F.coalesce(F.col(text), F.lit("")))
+    doc = document_of(F.col(key), pattern)
+    why = F.when(clean == "", "empty").when(repeated_end(F.col(text)), "degenerate")
+    page = F.regexp_extract(F.col(key), r"(\d+)$", 1).try_cast("int")
+    facts = pages.select(F.col(key).alias("key"), doc.alias("document_id"), page.alias("page"), F.when(stable_fraction(doc) < fraction, "validation").otherwise("train").alias("split"), why.alias("_why"), F.sha2(clean, 256).alias("_hash"))
+    facts = written(facts, "keys")
+    first = facts.filter("_why IS NULL").groupBy("_hash").agg(F.min("key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("_hash", "_first")
+    j = side_join(facts, first, ["_hash"])
+    reason = F.coalesce("_why", F.when(F.col("key") != F.col("_first"), "copy"))
+    return j.select("key", "document_id", "page", "split", reason.isNull().alias("kept"), reason.alias("reason"))
+
+
+def groups_of(curated_pages: DataFrame) -> DataFrame:
+    """Per document of curated pages: its split, its pages and those that are kept, in order of their number."""
+    kept = F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("page", "key"))))
+    return curated_pages.groupBy("document_id", "split").agg(F.count("*").alias("pages"), F.transform(kept, lambda x: x["key"]).alias("kept_keys"))
+
+
+def prompt_record(prompt: str | Column) -> Column:
+    """A record for sampling: one user message with the prompt."""
+    return F.array(F.struct(F.lit("user").alias("role"), (F.lit(prompt) if isinstance(prompt, str) else prompt).alias("content")))
+
+
 def conversation(user: Column, assistant: Column, image: Column | None = None, image_first: bool = True) -> Column:
     """Two messages; the user's holds text and, if given, an image before or after."""
     part = lambda kind, text, img: F.struct(F.lit(kind).alias("type"), text.alias("text"), img.alias("image"))
@@ -250,10 +323,13 @@ def within_page_cap(pages: DataFrame, most: int, doc: str = "doc_id") -> DataFra
     return pages.withColumn("_n", F.count("*").over(Window.partitionBy(doc))).filter(F.col("_n") <= most).drop("_n")
 
 
-def template_problem(text: Column) -> Column:
-    """Why a text is no template: it must be JSON, an object, and not empty."""
-    v = F.try_parse_json(text)
-    return F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object").when(v.cast("string") == "{}", "empty")
+def template_problems(rows: DataFrame, text: str, name: str = "problem") -> DataFrame:
+    """Add why a text is no template (null if it is one): it must be one JSON value, an object, and not
+    empty. Keys may repeat."""
+    checked = strict_values(rows, F.col(text), "_v")
+    v = F.col("_v")
+    why = F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object").when(v.cast("string") == "{}", "empty")
+    return checked.withColumn(name, why).drop("_v")
 
 
 def template_fields(leaf_rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -291,3 +367,19 @@ def with_substitutes(rows: DataFrame, good: Column, key: str, seed: int) -> Data
     h = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
     bad = marked.filter("NOT _good").select(key, F.pmod(h, F.lit(max(n, 1)).cast("decimal(20,0)")).cast("bigint").alias("_place"))
     return fine.select(*rows.columns, F.col(key).alias("used_key")).unionByName(bad.join(chosen.hint("shuffle_merge"), "_place").select(key, "_r.*", "used_key"))
+
+
+def with_tries(rows: DataFrame, good: Column, key: str, seed: int, tries: int = 10) -> DataFrame:
+    """Every bad row is replaced by the first good one of `tries` rows that the seed, its key and the number
+    of the try choose among all rows in key order (sha1 modulo their number), named in used_key with the
+    tries it took (0 for a good row); where all of them are bad, used_key is null and tries is null: the caller fails
+    or drops it."""
+    numbered_rows = numbered(rows.withColumn("_good", F.coalesce(good, F.lit(False))), key, "_place")
+    n = numbered_rows.count()
+    h = lambda k: F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":"), k.cast("string")).cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
+    bad = numbered_rows.filter("NOT _good").select(key, F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("_try"))
+    asked = bad.withColumn("_place", F.pmod(h(F.col("_try")), F.lit(max(n, 1)).cast("decimal(20,0)")).cast("bigint"))
+    fine = numbered_rows.filter("_good").select("_place", F.col(key).alias("used_key"))
+    met = asked.join(fine.hint("shuffle_merge"), "_place").groupBy(key).agg(F.min(F.struct("_try", "used_key")).alias("_u"))
+    out = side_join(numbered_rows.select(key, "_good"), met, [key])
+    return out.select(key, F.when(F.col("_good"), F.col(key)).otherwise(F.col("_u.used_key")).alias("used_key"), F.when(F.col("_good"), 0).otherwise(F.col("_u._try")).alias("tries"))

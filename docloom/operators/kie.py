@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom.functions.rows import indel_similarity
 from docloom.functions.text import collapse_space
+from docloom.operators.corpus import numbered
+from docloom.operators.joins import side_join
 from docloom.operators.leaves import aligned, leaves
 
 
@@ -47,8 +49,12 @@ def with_predictions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     return out.select("doc_id", "expected", F.coalesce("predicted", F.lit("{}")).alias("predicted"), F.col("predicted").isNull().alias("missing"))
 
 
-def scored_leaves(pairs: DataFrame, max_depth: int = 4) -> DataFrame:
-    out = aligned(leaves(pairs, "expected", max_depth=max_depth), leaves(pairs, "predicted", max_depth=max_depth))
+def scored_leaves(pairs: DataFrame) -> DataFrame:
+    """Leaves of both texts, of any depth, aligned and scored. Both sides of a document are
+    taken apart in one pass."""
+    sides = F.array(F.struct(F.col("doc_id"), F.lit(1).alias("e"), F.col("expected").alias("json")), F.struct(F.col("doc_id"), F.lit(0).alias("e"), F.col("predicted").alias("json")))
+    both = pairs.select(F.explode(sides).alias("s")).select(F.struct("s.doc_id", "s.e").alias("_s"), "s.json")
+    out = aligned(leaves(both, "json", "_s").select("_s.doc_id", "_s.e", "at", "path", "type", "value"))
     return out.withColumn("score", leaf_score(out)).withColumn("exact", leaf_exact(out))
 
 
@@ -67,14 +73,14 @@ def document_metrics(scored: DataFrame) -> DataFrame:
 
 
 def ordered_report(metrics: DataFrame) -> DataFrame:
-    """Document metrics in order of their document."""
-    return metrics.orderBy("doc_id")
+    """Document metrics in order of their document, with their place in it."""
+    return numbered(metrics, "doc_id", "position").orderBy("doc_id")
 
 
 def with_templates(documents: DataFrame, templates: DataFrame, key: str = "stem") -> DataFrame:
     """Documents with the template of their stem; a missing one is an error naming it."""
     t = templates.select(key, F.col("template").alias("template"), F.lit(True).alias("_there"))
-    j = documents.join(t.hint("shuffle_merge"), key, "left")
+    j = side_join(documents, t, [key])
     checked = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("missing template for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("string")).otherwise(F.col("template"))
     return j.withColumn("template", checked).drop("_there")
 

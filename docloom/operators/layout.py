@@ -43,7 +43,7 @@ def page_markdown(rows: DataFrame, page: tuple[str, ...] = ("doc_id", "page_numb
     """Included elements that are not empty, in order, a blank line between."""
     table = F.col("table_html") if "table_html" in rows.columns else None
     text = F.replace(element_markdown(F.col("label"), F.col("content"), table), F.lit("�"), F.lit(""))
-    kept = F.when(F.col("included") & (F.trim("content") != ""), F.struct("pos", text.alias("text")))
+    kept = F.when(F.col("included") & (strip(F.col("content")) != ""), F.struct("pos", text.alias("text")))
     return rows.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"]), "\n\n").alias("markdown"))
 
 

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import written
+
 DUPLICATES = "spark.sql.variant.allowDuplicateKeys"
 
 
-def variants(docs: DataFrame, json: str, name: str = "v") -> DataFrame:
-    """Add the parsed value of a JSON text, null where it is none. Of repeated keys the
-    last counts."""
-    conf = docs.sparkSession.conf
-    before = conf.get(DUPLICATES, "false")
-    conf.set(DUPLICATES, "true")  # read while the plan is analysed, which is here
+@contextmanager
+def last_key_counts(spark: SparkSession):
+    """Of repeated keys the last counts, in what is analysed and run inside. The setting is read again by
+    each copy of a plan (a union with itself makes one), so parsed values are written before it ends."""
+    before = spark.conf.get(DUPLICATES, "false")
+    spark.conf.set(DUPLICATES, "true")
     try:
-        return docs.withColumn(name, F.try_parse_json(F.col(json)))
+        yield
     finally:
-        conf.set(DUPLICATES, before)
+        spark.conf.set(DUPLICATES, before)
+
+
+def with_parsed(docs: DataFrame, json: str | Column, name: str) -> DataFrame:
+    return docs.withColumn(name, F.try_parse_json(F.col(json) if isinstance(json, str) else json))
+
+
+def with_strictly_parsed(docs: DataFrame, text: Column, name: str) -> DataFrame:
+    """A parser stops after the first value, so the text is parsed as the first item of a list
+    that ends with the text's own hash: only where nothing else was read is that the second item."""
+    mark = F.sha2(text, 256)
+    out = with_parsed(docs, F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')), name)
+    whole = F.try_variant_get(name, "$[1]", "string") == mark
+    return out.withColumn(name, F.when(whole, F.try_variant_get(name, "$[0]", "variant")))
+
+
+def variants(docs: DataFrame, json: str | Column, name: str = "v") -> DataFrame:
+    """Add the parsed value of a JSON text, null where it is none, written. Of repeated keys the
+    last counts; what follows a first complete value is not looked at."""
+    with last_key_counts(docs.sparkSession):
+        return written(with_parsed(docs, json, name), "variants")
+
+
+def strict_values(docs: DataFrame, text: Column, name: str = "v") -> DataFrame:
+    """Add the value of a text that is one JSON value and nothing else, null for any other, written.
+    Of repeated keys the last counts."""
+    with last_key_counts(docs.sparkSession):
+        return written(with_strictly_parsed(docs, text, name), "variants")
 
 
 def kind_of(v: Column) -> Column:
@@ -30,38 +61,55 @@ def kind_of(v: Column) -> Column:
     )
 
 
-def leaves(docs: DataFrame, json: str, key: str = "doc_id", *, root: str = "", keep_empty: bool = True, max_depth: int = 16) -> DataFrame:
+def leaves(docs: DataFrame, json: str | Column, key: str = "doc_id", *, root: str = "", keep_empty: bool = True, levels: int = 4) -> DataFrame:
     """(key, at, path, type, value): one row per leaf of the JSON text `json`.
 
     Scalars and nulls are leaves; empty containers are too with `keep_empty`. `at` names
     the leaf's steps without doubt, whatever its keys hold; `path` reads a.b[0] after
-    `root`, to be shown. The levels are one chain of variant_explode_outer, which hands
-    leaves through, so documents are read and parsed once. A nesting deeper than
-    max_depth raises, so nothing is cut off silently. Text that is no JSON has no leaf; what follows
-    a first complete value is not looked at (see text.json_candidate for answers)."""
-    rows = variants(docs.select(F.col(key).alias("_k"), F.col(json).alias("_j")), "_j").filter(F.col("v").isNotNull())
-    rows = rows.select("_k", F.lit("").alias("at"), F.lit(root).alias("path"), "v")
-    for _ in range(max_depth):
-        inner = rows.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
-        item = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
-        step = F.when(F.col("key").isNull(), F.concat("path", item)).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
-        exact = F.when(F.col("key").isNull(), F.concat("at", item)).otherwise(F.concat("at", F.lit("."), F.length("key").cast("string"), F.lit(":"), "key"))
-        there = F.col("value").isNotNull()
-        rows = inner.select("_k", F.when(there, exact).otherwise(F.col("at")).alias("at"), F.when(there, step).otherwise(F.col("path")).alias("path"), F.coalesce("value", "v").alias("v"))
-    rows = rows.select("_k", "at", "path", kind_of(F.col("v")).alias("t"), F.col("v").cast("string").alias("value"))
-    box = F.col("t").isin("OBJECT", "ARRAY")
-    stop = F.raise_error(F.lit(f"JSON nested deeper than {max_depth} levels")).cast("string")
-    kind = F.when(box & ~F.col("value").isin("{}", "[]"), stop).when(box, F.col("value")).otherwise(F.col("t"))
-    rows = rows.select(F.col("_k").alias(key), "at", "path", kind.alias("type"), "value")
-    return rows if keep_empty else rows.filter(~F.col("type").isin("{}", "[]"))
-
-
-def aligned(expected: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Full outer join of two leaf tables on (key, at) by one shuffle: both sides are
-    tagged, united and grouped. in_e and in_p tell a null value from a missing one."""
+    `root`, to be shown. Nesting has no limit but the parser's: a round takes `levels` levels in one chain of
+    variant_explode_outer, which hands leaves through, and is written; the rows that are
+    still containers go into the next round, until none is left. Text that is no JSON has no
+    leaf; what follows a first complete value is not looked at (see text.json_candidate for
+    answers). Null keys and repeated rows are kept as they come."""
+    with last_key_counts(docs.sparkSession):
+        rows = with_parsed(docs.select(F.col(key).alias("_k"), (F.col(json) if isinstance(json, str) else json).alias("_j")), "_j", "v").filter(F.col("v").isNotNull())
+        done = _taken_apart(rows.select("_k", F.lit("").alias("at"), F.lit(root).alias("path"), "v"), key, levels)
+    return done if keep_empty else done.filter(~F.col("type").isin("{}", "[]"))
+
+
+def _taken_apart(rows: DataFrame, key: str, levels: int) -> DataFrame:
+    done = None
+    while True:
+        for _ in range(levels):
+            inner = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+            item = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+            step = F.when(F.col("key").isNull(), F.concat("path", item)).when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key"))
+            exact = F.when(F.col("key").isNull(), F.concat("at", item)).otherwise(F.concat("at", F.lit("."), F.length("key").cast("string"), F.lit(":"), "key"))
+            there = F.col("value").isNotNull()
+            rows = inner.select("_k", F.when(there, exact).otherwise(F.col("at")).alias("at"), F.when(there, step).otherwise(F.col("path")).alias("path"), F.coalesce("value", "v").alias("v"))
+        rows = rows.select("_k", "at", "path", kind_of(F.col("v")).alias("t"), "v")
+        box = F.col("t").isin("OBJECT", "ARRAY")
+        rows = rows.withColumn("value", F.when(F.col("v").cast("string").isin("{}", "[]") | ~box, F.col("v").cast("string")))
+        rows = rows.select("_k", "at", "path", F.when(box, F.col("value")).otherwise(F.col("t")).alias("type"), "value", F.when(box & F.col("value").isNull(), F.col("v")).alias("v"))
+        rows = written(rows, "leaves")
+        found = rows.filter("v IS NULL").select(F.col("_k").alias(key), "at", "path", "type", "value")
+        done = found if done is None else done.unionByName(found)
+        rows = rows.filter("v IS NOT NULL").select("_k", "at", "path", "v")
+        if rows.isEmpty():
+            return done
+
+
+def tagged(expected: DataFrame, predicted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Two leaf tables as one; e is 1 on expected leaves, 0 on predicted ones."""
     tag = lambda d, e: d.select(key, "at", "path", "type", "value", F.lit(e).alias("e"))
+    return tag(expected, 1).unionByName(tag(predicted, 0))
+
+
+def aligned(both: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Full outer join of the two sides of `both` (see tagged) on (key, at) by one shuffle:
+    they are grouped. in_e and in_p tell a null value from a missing one."""
     side = lambda c, e: F.max(F.when(F.col("e") == e, F.col(c)))
-    return tag(expected, 1).unionByName(tag(predicted, 0)).groupBy(key, "at").agg(
+    return both.groupBy(key, "at").agg(
         F.max("path").alias("path"), (F.count_if(F.col("e") == 1) > 0).alias("in_e"), (F.count_if(F.col("e") == 0) > 0).alias("in_p"),
         side("type", 1).alias("e_type"), side("type", 0).alias("p_type"), side("value", 1).alias("e_value"), side("value", 0).alias("p_value"),
     )

@@ -14,12 +14,15 @@ from docloom.functions.text import aligned_similarity, cut_table, edit_similarit
 WEIGHTS = {"format_reward": 0.25, "exact_reward": 1.0, "structure_reward": 1.0, "content_reward": 1.0, "metadata_reward": 0.5}
 
 
-def rewards(samples: DataFrame, extra: dict[str, tuple[Callable[..., Column], float]] | None = None) -> DataFrame:
+def rewards(samples: DataFrame, extra: dict[str, tuple[Callable[..., Column], float]] | None = None, *, cut_answers: bool = False) -> DataFrame:
     """Five rewards and their weighted sum for (sample_id, completion, table_html,
-    num_rows, num_cols, num_cells, merged). `extra` registers more rewards by name: a
+    num_rows, num_cols, num_cells, merged). An answer must be a table and nothing else; with `cut_answers`
+    (evaluation) what it says around its table, and its thoughts, do not count. A reference is the
+    table in a text that may be a whole page. `extra` registers more rewards by name: a
     function of the columns of the samples, by keyword, that returns a column (a pandas
     function's too), and its weight."""
-    s = samples.withColumn("p", table_parts(cut_table(F.col("completion"), after_last_think=True))).withColumn("r", table_parts("table_html"))
+    answer = cut_table(F.col("completion"), after_last_think=True) if cut_answers else F.col("completion")
+    s = samples.withColumn("p", table_parts(answer)).withColumn("r", table_parts(cut_table(F.col("table_html"))))
     p, r = F.col("p"), F.col("r")
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     both = p["valid"] & r["valid"]
@@ -44,7 +47,7 @@ def dataset_summary(train: DataFrame, evaluation: DataFrame, key: str = "sample_
     complete table and have its images, else the job fails."""
     counts = train.agg(F.count("*").alias("train_rows"), F.count_if(F.size("images") != F.col("num_images")).alias("inconsistent"))
     counts = counts.withColumn("eval_rows", F.lit(evaluation.count()))
-    one = train.orderBy(key).limit(1).select(F.size("images").alias("sample_images"), "num_images", table_parts("table_html").alias("t"))
+    one = train.orderBy(key).limit(1).select(F.size("images").alias("sample_images"), "num_images", table_parts(cut_table(F.col("table_html"))).alias("t"))
     stop = lambda why: F.raise_error(F.lit(why)).cast("int")
     images = F.when(~F.col("t.valid"), stop("the first reference is no complete table")).when(F.col("sample_images") != F.col("num_images"), stop("the first sample has not as many images as it says")).otherwise(F.col("sample_images"))
     one = one.select(images.alias("sample_images"), F.array("t.num_rows", "t.num_cols").alias("sample_shape"), F.col("t.num_cells").alias("sample_cells"))

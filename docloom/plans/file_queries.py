@@ -128,3 +128,74 @@ def stream_kept_rows(spark, d):
     """A stream without the rows that are skipped (and counted for its listener)."""
     rows = jobs.table_stream(spark, d, "events").select("event_id", "event_type")
     return jobs.finished(jobs.counting_skips(rows, F.col("event_type") == "error").select("event_id"), "append", shared_folder(spark, "stream"))
+
+
+@query("""SELECT kind, id, name FROM (SELECT 'csv' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name AS name, p_partkey AS k FROM part UNION ALL SELECT 'tsv', CAST(p_partkey AS VARCHAR), p_name, p_partkey FROM part
+UNION ALL SELECT 'jsonl', CAST(p_partkey AS VARCHAR), p_name, p_partkey FROM part UNION ALL SELECT 'parquet', CAST(p_partkey AS VARCHAR), NULL, p_partkey FROM part UNION ALL SELECT 'txt', NULL, 'line ' || p_name, p_partkey FROM part)
+UNION ALL SELECT 'reject', NULL, 'no reader for .md' FROM part WHERE p_partkey <= 3""")
+def found_tables(spark, d):
+    """A folder of five kinds and some files of none: one listing, columns met by name."""
+    path = shared_folder(spark, "found")
+    p = fx.table(spark, d, "part").select(F.col("p_partkey").cast("bigint").alias("id"), F.col("p_name").alias("name"))
+    p.write.csv(f"{path}/a", header=True)
+    p.write.option("header", True).option("sep", "\t").option("compression", "none").csv(f"{path}/b")
+    p.write.json(f"{path}/c")
+    p.select("id").write.parquet(f"{path}/d")
+    p.select(F.concat(F.lit("line "), "name").alias("value")).write.text(f"{path}/e")
+    sinks.renamed_suffix(spark, f"{path}/b", ".TSV")
+    sinks.renamed_suffix(spark, f"{path}/c", ".jsonl")
+    sinks.write_markdown(p.filter("id <= 3").select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("out_name"), F.col("name").alias("content")), f"{path}/f")
+    rows, rejects = readers.discovered(spark, path)
+    return rows.select("kind", F.col("id").cast("string").alias("id"), F.coalesce("name", "value").alias("name")).unionByName(rejects.select(F.lit("reject").alias("kind"), F.lit(None).cast("string").alias("id"), F.col("reason").alias("name")))
+
+
+@query("""SELECT 'row' AS kind, CAST(user_id AS VARCHAR) AS what, max(event_id) AS n FROM events WHERE event_id % 50 NOT IN (7, 8) GROUP BY user_id
+UNION ALL SELECT CASE event_id % 50 WHEN 7 THEN 'not JSON' ELSE 'no index' END, 'lines', count(*) FROM events WHERE event_id % 50 IN (7, 8) GROUP BY 1""")
+def log_rejects(spark, d):
+    """JSON lines with repeated fields (the last counts), broken ones and some without an index: what is left out is
+    counted by reason."""
+    path = shared_folder(spark, "log")
+    e = fx.table(spark, d, "events").repartitionByRange("event_id").sortWithinPartitions("event_id")
+    line = F.concat(F.lit('{"index": 0, "unused": [1, 2], "event_id": -1, "index": '), F.col("user_id").cast("string"), F.lit(', "event_id": '), F.col("event_id").cast("string"), F.lit("}"))
+    k = F.col("event_id") % 50
+    e.select(F.when(k == 7, F.concat(line, F.lit("}"))).when(k == 8, F.lit('{"event_id": 1}')).otherwise(line).alias("value")).write.text(path)
+    rows, rejects = readers.prediction_lines(spark, path, "index long, event_id long")
+    return rows.select(F.lit("row").alias("kind"), F.col("index").cast("string").alias("what"), F.col("event_id").alias("n")).unionByName(rejects.groupBy(F.col("reason").alias("kind")).agg(F.lit("lines").alias("what"), F.count("*").alias("n")))
+
+
+@query("""SELECT 'row' AS kind, doc_id, lang FROM documents WHERE source IS NOT NULL AND n_chars >= 500 UNION ALL
+SELECT CASE WHEN source IS NULL THEN 'has a source' ELSE 'is long enough' END, doc_id, NULL FROM documents WHERE source IS NULL OR n_chars < 500""")
+def needed_columns(spark, d):
+    """Two columns of the rows that pass; the texts are never read."""
+    docs = fx.table(spark, d, "documents")
+    rows, rejects = readers.needed(docs, ["doc_id", "lang"], "doc_id", {"has a source": F.col("source").isNotNull(), "is long enough": F.col("n_chars") >= 500})
+    return rows.select(F.lit("row").alias("kind"), "doc_id", "lang").unionByName(rejects.select(F.col("reason").alias("kind"), "doc_id", F.lit(None).cast("string").alias("lang")))
+
+
+@query("SELECT split, true AS near_cap FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM documents) GROUP BY split")
+def sized_shards(spark, d):
+    """Files of a capped size: all of a split but one hold the cap within a tenth."""
+    path, cap = shared_folder(spark, "shards"), 200_000
+    docs = fx.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "test").alias("split"), F.substring("text", 1, 2000).alias("text"))
+    sinks.write_splits(docs, path, row_bytes=F.octet_length("text"), shard_bytes=cap)
+    back = spark.read.parquet(path).groupBy("split", F.col("_metadata.file_path").alias("f")).agg(F.sum(F.octet_length("text")).alias("b"))
+    return back.groupBy("split").agg((F.count_if(F.abs(F.col("b") - cap) > cap // 10) <= 1).alias("near_cap"))
+
+
+@query("""SELECT CASE s_suppkey WHEN 1 THEN 'd/one.txt' WHEN 2 THEN 'd/2.txt' WHEN 3 THEN 'moved/3.txt' END AS path, CASE s_suppkey WHEN 1 THEN 'added' WHEN 2 THEN 'removed' WHEN 3 THEN 'renamed' END AS change, CASE WHEN s_suppkey = 3 THEN 'd/3.txt' END AS was FROM supplier WHERE s_suppkey BETWEEN 1 AND 3
+UNION ALL SELECT 'd/' || s_suppkey || '.txt', 'changed', NULL FROM supplier WHERE s_suppkey > 3 AND s_suppkey % 5 = 0""")
+def revisions(spark, d):
+    """Two revisions of a folder named by their content: a file is added, one removed, one renamed, some are
+    changed. The older one is found again by its name, and equal folders have one name."""
+    old, new, twin, store = (shared_folder(spark, n) for n in ("old", "new", "twin", "store"))
+    k = F.col("s_suppkey")
+    s = fx.table(spark, d, "supplier").select(k, F.concat(k.cast("string"), F.lit(".txt")).alias("out_name"), F.concat_ws(" ", "s_name", k).alias("content"))
+    for path in (old, twin):
+        sinks.write_markdown(s.select("out_name", "content"), f"{path}/d")
+    sinks.write_markdown(s.filter(~k.isin(2, 3)).select("out_name", F.when((k > 3) & (k % 5 == 0), F.lit("changed")).otherwise(F.col("content")).alias("content")), f"{new}/d")
+    sinks.write_markdown(s.filter(k == 1).select(F.lit("one.txt").alias("out_name"), F.lit("added").alias("content")), f"{new}/d")
+    sinks.write_markdown(s.filter(k == 3).select("out_name", "content"), f"{new}/moved")
+    a, b, c = (readers.commit(spark, path, store) for path in (old, new, twin))
+    if a != c or a == b:
+        raise ValueError("names do not follow content")
+    return readers.manifest_diff(readers.revision(spark, store, a), readers.revision(spark, store, b))

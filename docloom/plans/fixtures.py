@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,14 +21,19 @@ def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(rows, "o_orderkey", "left").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.coalesce("rows", empty).alias("rows"))
 
 
-def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_trees(spark, sf_dir).select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "status", "priority", "rows")).alias("json"))
+def shared_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_trees, written: for queries that take several texts from each."""
+    return written(order_trees(spark, sf_dir), "trees")
+
+
+def ground_truth(trees: DataFrame) -> DataFrame:
+    return trees.select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("id"), "status", "priority", "rows")).alias("json"))
 
 
-def predictions(spark: SparkSession, sf_dir: str, drop: int = 5, change: int = 7, extra: int = 11, lost: int | None = 13) -> DataFrame:
+def predictions(trees: DataFrame, drop: int = 5, change: int = 7, extra: int = 11, lost: int | None = 13) -> DataFrame:
     """Ground truth with the priority dropped, the status changed or a field added for
     every drop-th, change-th and extra-th document, and every lost-th without a file."""
-    t, k = order_trees(spark, sf_dir), F.col("doc_id")
+    t, k = trees, F.col("doc_id")
     if lost:
         t = t.filter(k % lost != 0)
     fields = F.struct(k.alias("id"), F.when(k % change == 0, F.concat("status", F.lit("X"))).otherwise(F.col("status")).alias("status"), F.when(k % drop != 0, F.col("priority")).alias("priority"), "rows", F.when(k % extra == 0, F.lit("extra")).alias("extra"))
@@ -94,16 +101,19 @@ ELEMENTS_SQL = """elements AS (
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sample_id, table_html, completion, num_rows, num_cols, num_cells, merged): per
-    customer a table of two columns; the answer is equal, has another cell text, a
-    wider cell, or no closing tag, by the key modulo 4."""
+    """(sample_id, table_html, completion, answer, num_rows, num_cols, num_cells, merged): per
+    customer a table of two columns, every third one in a whole page; the completion is equal, has another cell
+    text, a wider cell, or no closing tag, by the key modulo 4, and every eleventh says something before it. The
+    answer holds the same behind a thought."""
     c = table(spark, sf_dir, "customer")
     cell = lambda x, tag="td": F.concat(F.lit(f"<{tag}>"), x, F.lit("</td>"))
     rows = F.concat(F.lit("<tr>"), cell(F.col("c_custkey").cast("string")), cell(F.col("c_mktsegment")), F.lit("</tr><tr>"), cell(F.lit("nation")), cell(F.col("c_nationkey").cast("string")), F.lit("</tr></table>"))
     good = F.concat(F.lit("<table>"), rows)
     k = F.col("c_custkey") % 4
     bad = F.when(k == 1, F.replace(good, F.lit("nation"), F.lit("region"))).when(k == 2, F.replace(good, F.lit("<td>nation"), F.lit('<td colspan="2">nation'))).when(k == 3, F.replace(good, F.lit("</table>"), F.lit(""))).otherwise(good)
-    return c.select(F.col("c_custkey").alias("sample_id"), good.alias("table_html"), F.concat(F.lit("<think>a <table> is asked</think>"), bad).alias("completion"), F.lit(2).alias("num_rows"), F.lit(2).alias("num_cols"), F.lit(4).alias("num_cells"), F.lit(False).alias("merged"), (F.col("c_custkey") % 5).alias("prompt_id"))
+    page = F.concat(F.lit("<html><head><style>table { color: black; }</style></head><body>"), good, F.lit("</body></html>"))
+    said = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("Here it is: "), bad)).otherwise(bad)
+    return c.select(F.col("c_custkey").alias("sample_id"), F.when(F.col("c_custkey") % 3 == 0, page).otherwise(good).alias("table_html"), said.alias("completion"), F.concat(F.lit("<think>a <table> is asked</think>"), said).alias("answer"), F.lit(2).alias("num_rows"), F.lit(2).alias("num_cols"), F.lit(4).alias("num_cells"), F.lit(False).alias("merged"), (F.col("c_custkey") % 5).alias("prompt_id"))
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from docloom.functions import text as t
 from docloom.functions.rows import edit_distance_udf, error_rate, indel_similarity, table_parts
 from docloom.operators import corpus, json_bench, kie, layout, runs, table_html
+from docloom.operators.joins import cost_spread
 from docloom.plans import fixtures as fx
 from docloom.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from docloom.sources import readers, sinks
-from docloom.sources.shared import shared_folder
+from docloom.sources.shared import shared_folder, written
 from docloom.streaming import jobs
 
 # ---------------------------------------------------------------- extraction scores
 
 
 def _scored(spark, d):
-    return kie.scored_leaves(kie.with_predictions(fx.ground_truth(spark, d), fx.predictions(spark, d)), max_depth=3)
+    trees = fx.shared_trees(spark, d)
+    return kie.scored_leaves(kie.with_predictions(fx.ground_truth(trees), fx.predictions(trees)))
 
 
 @query(fx.SCORED_SQL + " SELECT doc_id, round(score, 6) AS score, round(exact, 6) AS exact, round(key_precision, 6) AS key_precision, round(key_recall, 6) AS key_recall, round(key_f1, 6) AS key_f1, union_leaves, matched, expected_leaves, predicted_leaves, missing_leaves, extra_leaves FROM metrics")
@@ -36,7 +38,8 @@ def kie_corpus_rollup(spark, d):
 
 @query("SELECT o_orderkey AS doc_id FROM orders WHERE o_orderkey % 13 = 0")
 def kie_missing_predictions(spark, d):
-    return kie.with_predictions(fx.ground_truth(spark, d), fx.predictions(spark, d)).filter("missing").select("doc_id")
+    trees = fx.shared_trees(spark, d)
+    return kie.with_predictions(fx.ground_truth(trees), fx.predictions(trees)).filter("missing").select("doc_id")
 
 
 @query(fx.SCORED_SQL + """ SELECT doc_id, path, round(score, 6) AS score, CASE WHEN in_e THEN left(e_value, 90) ELSE '<MISSING>' END AS expected, CASE WHEN in_p THEN left(p_value, 90) ELSE '<MISSING>' END AS predicted, CAST(rank AS INTEGER) AS rank
@@ -64,13 +67,46 @@ def kie_exact_cases(spark, d):
     expected = pick(F.concat(F.lit('{"a.b": '), k, F.lit(', "a": {"b": 2}}')), F.concat(F.lit('{"a": 1, "a": '), k, F.lit("}")), F.lit('{"n": 9007199254740993}'), F.concat(F.lit('{"a": '), k, F.lit("}")), F.lit('{"n": 10}'))
     predicted = pick(F.lit('{"a": {"b": 2}}'), F.concat(F.lit('{"a": '), k, F.lit("}")), F.lit('{"n": 9007199254740992}'), F.concat(F.lit("{no JSON "), k), F.lit('{"n": 10.0}'))
     rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), expected.alias("expected"), predicted.alias("predicted"))
-    return kie.document_metrics(kie.scored_leaves(rows, 2)).select("doc_id", "score", "exact", "key_precision", "key_recall", "union_leaves")
+    return kie.document_metrics(kie.scored_leaves(rows)).select("doc_id", "score", "exact", "key_precision", "key_recall", "union_leaves")
+
+
+@query("""WITH k AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS k FROM orders) SELECT doc_id, 'deep[0][0][0][0][0][0]' AS path, CASE doc_id % 3 WHEN 1 THEN 0.0 ELSE 1.0 END AS score, doc_id % 3 <> 1 AS exact FROM k
+UNION ALL SELECT doc_id, 'deep[0][0][0][0][0][0][0].a.b', 0.0, false FROM k WHERE doc_id % 3 = 1
+UNION ALL SELECT doc_id, 'n', CASE doc_id % 3 WHEN 2 THEN 0.0 ELSE 1.0 END, doc_id % 3 <> 2 FROM k
+UNION ALL SELECT doc_id, 'void[0][0][0][0][0]', 1.0, true FROM k""")
+def kie_deep_leaves(spark, d):
+    """Leaves six levels down and deeper, empty containers there, and keys that repeat at
+    every level (the last counts)."""
+    k = F.col("o_orderkey").cast("string")
+    text = lambda deep, n: F.concat(F.lit('{"n": 0, "deep": 1, "deep": [[[[[['), deep, F.lit(']]]]]], "void": [[[[[[]]]]]], "n": "x", "n": '), n, F.lit("}"))
+    kind = F.col("o_orderkey") % 3
+    predicted = F.when(kind == 1, text(F.concat(F.lit('[{"a": {"b": 1, "b": '), k, F.lit("}}]")), k)).when(kind == 2, text(k, F.concat(k, F.lit("1")))).otherwise(text(k, k))
+    rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), text(k, k).alias("expected"), predicted.alias("predicted"))
+    return kie.scored_leaves(rows).select("doc_id", "path", "score", "exact")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 6 AS kind, CAST(c_custkey AS VARCHAR) AS n, c_name AS name FROM customer),
+r AS (SELECT *, '{"deep":[[[[[' || n || ']]]]],"n":' || n || ',"name":"' || name || '"}' AS ref FROM c),
+a AS (SELECT *, CASE kind WHEN 3 THEN '{"name": "' || name || '", "n": ' || n || ', "deep": [[[[[' || n || ']]]]]} and more' WHEN 4 THEN replace(ref, '"}', 'x"}') WHEN 5 THEN replace(replace(ref, '[[[[[', '[[[[[['), ']]]]]', ']]]]]]') ELSE ref END AS given FROM r)
+SELECT k AS source, kind <> 3 AS json_valid, kind IN (0, 1, 2) AS exact_match, kind IN (0, 1) AS strictly_exact, round(1 - levenshtein(given, ref) / CAST(greatest(length(given), length(ref)) AS DOUBLE), 6) AS edit_similarity,
+  CAST(CASE kind WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS tp, CAST(CASE kind WHEN 3 THEN 0 ELSE 3 END AS BIGINT) AS n_predicted, CAST(3 AS BIGINT) AS n_reference FROM a""")
+def answer_details(spark, d):
+    """Answers by the key modulo 6: equal; with repeated keys; with a fraction for a whole number; with words after
+    it; another name; one level deeper. Edit similarity is of canonical texts."""
+    n, name, kind = F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_custkey") % 6
+    text = lambda first="", number=n, who=name, more="", after="": F.concat(F.lit("{" + first + '"name": "'), who, F.lit('", "n": '), number, F.lit(f', "deep": [[[[[{more[:1]}'), n, F.lit(f"{more[1:]}]]]]]}}{after}"))
+    answers = [F.concat(F.lit("```json\n"), text(), F.lit("\n```")), text('"n": [1], "name": {}, '), text(number=F.concat(n, F.lit(".0"))), text(after=" and more"), text(who=F.concat(name, F.lit("x"))), text(more="[]")]
+    rows = fx.table(spark, d, "customer").select(F.lit("v").alias("variant"), F.col("c_custkey").alias("source"), F.element_at(F.array(*answers), (kind + 1).cast("int")).alias("prediction"), text().alias("reference"))
+    scores = json_bench.prediction_scores(rows)
+    strict = json_bench.prediction_scores(rows, strict=True).select("source", F.col("exact_match").alias("strictly_exact"))
+    return scores.join(strict.hint("shuffle_merge"), "source").select("source", "json_valid", "exact_match", "strictly_exact", F.round("edit_similarity", 6).alias("edit_similarity"), "tp", "n_predicted", "n_reference")
 
 
 def _variants(spark, d):
-    truth = fx.ground_truth(spark, d).select("doc_id", F.col("json").alias("reference"))
-    rules = {"base": (5, 7, 11), "mae": (7, 11, 13), "aligned": (11, 13, 17)}
-    parts = [fx.predictions(spark, d, *r, lost=None).select("doc_id", F.lit(v).alias("variant"), F.when(F.col("doc_id") % r[2] == 1, F.concat("json", F.lit(" and more"))).otherwise(F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).alias("prediction")) for v, r in rules.items()]
+    trees = fx.shared_trees(spark, d)
+    truth = fx.ground_truth(trees).select("doc_id", F.col("json").alias("reference"))
+    rules = {"base": (5, 7, 11), "tuned": (7, 11, 13), "paired": (11, 13, 17)}
+    parts = [fx.predictions(trees, *r, lost=None).select("doc_id", F.lit(v).alias("variant"), F.when(F.col("doc_id") % r[2] == 1, F.concat("json", F.lit(" and more"))).otherwise(F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).alias("prediction")) for v, r in rules.items()]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(truth, "doc_id")
     return rows.select("variant", F.col("doc_id").cast("string").alias("source"), "prediction", "reference")
 
@@ -83,19 +119,19 @@ def _variant_sql(v, drop, change, extra):
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey"""
 
 
-VARIANTS_SQL = "WITH s AS (" + " UNION ALL ".join([_variant_sql("base", 5, 7, 11), _variant_sql("mae", 7, 11, 13), _variant_sql("aligned", 11, 13, 17)]) + ")"
+VARIANTS_SQL = "WITH s AS (" + " UNION ALL ".join([_variant_sql("base", 5, 7, 11), _variant_sql("tuned", 7, 11, 13), _variant_sql("paired", 11, 13, 17)]) + ")"
 
 
 @query(VARIANTS_SQL + """ SELECT variant, samples, round(valid_rate, 6) AS valid_rate, round(exact_rate, 6) AS exact_rate, round(p, 6) AS field_precision, round(r, 6) AS field_recall, round(2 * p * r / (p + r), 6) AS field_f1
 FROM (SELECT variant, count(*) AS samples, avg(valid::INT) AS valid_rate, avg(exact::INT) AS exact_rate, sum(tp) / sum(n_predicted) AS p, sum(tp) / sum(n_reference) AS r FROM s GROUP BY variant)""")
 def json_variant_scores(spark, d):
-    s = json_bench.variant_summary(json_bench.prediction_scores(_variants(spark, d), max_depth=3))
+    s = json_bench.variant_summary(json_bench.prediction_scores(_variants(spark, d)))
     return s.select("variant", "samples", *[F.round(c, 6).alias(c) for c in ("valid_rate", "exact_rate", "field_precision", "field_recall", "field_f1")])
 
 
-@query(VARIANTS_SQL + """ SELECT CAST(doc_id AS VARCHAR) AS source, max(tp) FILTER (variant = 'base') AS base, max(tp) FILTER (variant = 'mae') AS mae, max(tp) FILTER (variant = 'aligned') AS aligned FROM s GROUP BY doc_id""")
+@query(VARIANTS_SQL + """ SELECT CAST(doc_id AS VARCHAR) AS source, max(tp) FILTER (variant = 'base') AS base, max(tp) FILTER (variant = 'tuned') AS tuned, max(tp) FILTER (variant = 'paired') AS paired FROM s GROUP BY doc_id""")
 def json_variant_comparison(spark, d):
-    return json_bench.variant_comparison(json_bench.prediction_scores(_variants(spark, d), max_depth=3), ["base", "mae", "aligned"], "tp")
+    return json_bench.variant_comparison(json_bench.prediction_scores(_variants(spark, d)), ["base", "tuned", "paired"], "tp")
 
 
 @query(VARIANTS_SQL + " SELECT variant, CAST(doc_id AS VARCHAR) AS source, valid FROM s")
@@ -109,8 +145,9 @@ def json_tolerant_values(spark, d):
     third of the answers are lists behind a closed thought."""
     p, k = F.col("prediction"), F.col("source").cast("bigint") % 3
     answer = F.when(k == 0, F.concat(p, F.lit(" and {more}"))).when(k == 1, F.concat(F.lit("<think>[1]</think> ["), F.col("source"), F.lit(', "]"] done }'))).otherwise(p)
-    v = t.tolerant_json(answer)
-    return _variants(spark, d).select("variant", "source", F.coalesce(F.try_variant_get(v, "$.id", "bigint"), F.try_variant_get(v, "$[0]", "bigint")).alias("id"))
+    v = F.col("value")
+    rows = _variants(spark, d).withColumn("answer", answer)
+    return json_bench.tolerant_values(rows, "answer").select("variant", "source", F.coalesce(F.try_variant_get(v, "$.id", "bigint"), F.try_variant_get(v, "$[0]", "bigint")).alias("id"))
 
 
 # ---------------------------------------------------------------- text
@@ -124,6 +161,12 @@ def _pairs(docs):
     return docs.select(F.col("doc_id").alias("left_id"), "lang", F.col("x").alias("a")).join(docs.select((F.col("doc_id") - 1).alias("left_id"), "lang", F.col("x").alias("b")), ["left_id", "lang"])
 
 
+def _spread(pairs):
+    """Pairs dealt by what comparing them costs: the product of their lengths."""
+    pairs = written(pairs, "pairs")
+    return cost_spread(pairs, F.length("a").cast("double") * F.length("b"), 4e8)
+
+
 #: Fixed: white space as in the text rules, for RE2.
 BLANKS = f"[{t.SPACE}]"
 
@@ -131,22 +174,23 @@ BLANKS = f"[{t.SPACE}]"
 @query()
 def edit_similarity_pairs(spark, d):
     """Whole texts of neighbouring documents of one language."""
-    p = _pairs(_wholes(spark, d)).select("left_id", t.collapse_space(F.col("a")).alias("a"), t.collapse_space(F.col("b")).alias("b"))
+    p = _spread(_pairs(_wholes(spark, d)).select("left_id", t.collapse_space(F.col("a")).alias("a"), t.collapse_space(F.col("b")).alias("b")))
     longer = F.greatest(F.length("a"), F.length("b"))
-    return p.select("left_id", F.round(F.when(longer == 0, 1.0).otherwise(1.0 - edit_distance_udf("a", "b") / longer), 6).alias("similarity"))
+    edits = edit_distance_udf(F.when(F.col("a") != F.col("b"), F.col("a")), "b")  # equal texts cost nothing
+    return p.select("left_id", F.round(F.when(F.col("a") == F.col("b"), 1.0).otherwise(1.0 - edits / longer), 6).alias("similarity"))
 
 
 @query()
 def character_error_rate(spark, d):
     """Whole texts against those of the next document of the language."""
-    return _pairs(_wholes(spark, d)).select("left_id", F.round(error_rate(F.col("a"), F.col("b"), F.length("a")), 6).alias("cer"))
+    return _spread(_pairs(_wholes(spark, d))).select("left_id", F.round(error_rate(F.col("a"), F.col("b"), F.length("a")), 6).alias("cer"))
 
 
 @query()
 def indel_similarity_pairs(spark, d):
     """All documents, whole texts."""
     a, b = t.collapse_space(F.col("a")), t.collapse_space(F.col("b"))
-    return _pairs(_wholes(spark, d)).select("left_id", F.round(indel_similarity(a, b), 6).alias("similarity"))
+    return _spread(_pairs(_wholes(spark, d))).select("left_id", F.round(indel_similarity(a, b), 6).alias("similarity"))
 
 
 @query()
@@ -187,10 +231,12 @@ def cut_tables(spark, d):
     return s.select("sample_id", t.cut_table(F.concat(F.lit("x <b> "), F.upper(F.lit("y")), "table_html", F.lit(" z"))).alias("table_html"))
 
 
-@query("SELECT event_id, CASE WHEN value >= 1 AND value < 1000000000 THEN CAST(trunc(value) AS INTEGER) ELSE 1 END AS span, value >= 1 AND value < 1000000000 AS ok FROM events")
+@query("SELECT event_id, CASE WHEN value < 1 THEN 1 WHEN event_id % 3 = 2 THEN CAST(floor(value * 1000000000) AS BIGINT) ELSE CAST(floor(value) AS BIGINT) END AS span, value >= 1 AS ok FROM events")
 def positive_integers(spark, d):
-    e = fx.table(spark, d, "events")
-    x = F.when(F.col("value") >= 1, F.floor("value").cast("string")).otherwise("none")
+    """Plain, with a plus and white space, beyond 32 bits, negative, and no numbers."""
+    e, k = fx.table(spark, d, "events"), F.col("event_id") % 3
+    given = F.when(k == 0, F.floor("value").cast("string")).when(k == 1, F.concat(F.lit(" +"), F.floor("value").cast("string"), F.lit("\n"))).otherwise(F.floor(F.col("value") * 1000000000).cast("bigint").cast("string"))
+    x = F.when(F.col("value") >= 1, given).when(k == 0, F.lit("none")).otherwise(F.lit("-3"))
     n, ok = t.positive_int(x)
     return e.select("event_id", n.alias("span"), ok.alias("ok"))
 
@@ -417,14 +463,14 @@ def page_cap(spark, d):
 def template_checks(spark, d):
     k = F.col("o_orderkey")
     text = F.when(k % 4 == 0, F.concat(F.lit('{"k": '), k.cast("string"), F.lit("}"))).when(k % 4 == 1, "{").when(k % 4 == 2, "[1]").otherwise("{}")
-    return fx.table(spark, d, "orders").select(k.alias("id"), corpus.template_problem(text).alias("problem"))
+    return corpus.template_problems(fx.table(spark, d, "orders").select(k.alias("id"), text.alias("text")), "text").drop("text")
 
 
 @query("SELECT o_orderkey AS doc_id, unnest(['id', 'tags', 'empty', 'rows[0].a', 'rows[1].b']) AS path FROM orders")
 def template_fields(spark, d):
     k = F.col("o_orderkey")
     o = fx.table(spark, d, "orders").select(k.alias("doc_id"), F.concat(F.lit('{"id": "integer", "tags": ["a", "b", '), k.cast("string"), F.lit('], "empty": {}, "rows": [{"a": 1}, {"b": 2}]}')).alias("json"))
-    return corpus.template_fields(kie.leaves(o, "json", max_depth=3))
+    return corpus.template_fields(kie.leaves(o, "json"))
 
 
 @query("SELECT conv_id AS doc_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(turn + 1) AS BIGINT) AS tokens, CAST(sum(turn * 2) AS BIGINT) AS seconds FROM conversations GROUP BY 1")
@@ -626,10 +672,16 @@ def table_image_boxes(spark, d):
 
 # ---------------------------------------------------------------- generated tables
 
-REWARDS_SQL = """WITH r AS (SELECT c_custkey AS sample_id, c_custkey % 5 AS prompt_id, c_custkey % 4 AS k,
-  CAST(c_custkey % 4 <> 3 AS DOUBLE) AS format_reward, CAST(c_custkey % 4 = 0 AS DOUBLE) AS exact_reward,
-  CASE c_custkey % 4 WHEN 3 THEN 0.0 WHEN 2 THEN 13.0 / 14 ELSE 1.0 END AS structure_reward, CASE c_custkey % 4 WHEN 3 THEN 0.0 WHEN 1 THEN 1 - 1.0 / 8 ELSE 1.0 END AS content_reward,
-  CASE c_custkey % 4 WHEN 3 THEN 0.0 WHEN 2 THEN 0.5 ELSE 1.0 END AS metadata_reward FROM customer), w AS (SELECT *, 0.25 * format_reward + exact_reward + structure_reward + content_reward + 0.5 * metadata_reward AS reward FROM r)"""
+def _rewards_sql(k: str) -> str:
+    """k: 0 to 3 as in fx.html_tables."""
+    return f"""WITH a AS (SELECT c_custkey AS sample_id, c_custkey % 5 AS prompt_id, {k} AS k FROM customer), r AS (SELECT *,
+  CAST(k <> 3 AS DOUBLE) AS format_reward, CAST(k = 0 AS DOUBLE) AS exact_reward,
+  CASE k WHEN 3 THEN 0.0 WHEN 2 THEN 13.0 / 14 ELSE 1.0 END AS structure_reward, CASE k WHEN 3 THEN 0.0 WHEN 1 THEN 1 - 1.0 / 8 ELSE 1.0 END AS content_reward,
+  CASE k WHEN 3 THEN 0.0 WHEN 2 THEN 0.5 ELSE 1.0 END AS metadata_reward FROM a), w AS (SELECT *, 0.25 * format_reward + exact_reward + structure_reward + content_reward + 0.5 * metadata_reward AS reward FROM r)"""
+
+
+REWARDS_SQL = _rewards_sql("CASE WHEN c_custkey % 11 = 0 THEN 3 ELSE c_custkey % 4 END")  # words before a table: no table
+EVALUATION_SQL = _rewards_sql("c_custkey % 4")  # they are cut off
 
 
 @query(REWARDS_SQL + " SELECT sample_id, format_reward, exact_reward, round(structure_reward, 6) AS structure_reward, round(content_reward, 6) AS content_reward, metadata_reward, round(reward, 6) AS reward, round(reward - avg(reward) OVER (PARTITION BY prompt_id), 6) AS advantage FROM w")
@@ -638,9 +690,26 @@ def table_rewards(spark, d):
     return s.select("sample_id", *[F.round(c, 6).alias(c) for c in ("format_reward", "exact_reward", "structure_reward", "content_reward", "metadata_reward", "reward", "advantage")])
 
 
-@query(REWARDS_SQL + " SELECT stratum, count(*) AS samples, round(avg(format_reward), 6) AS valid_rate, round(avg(exact_reward), 6) AS exact_rate, round(avg(reward), 6) AS mean_reward FROM (SELECT *, unnest(['all', 'merged=' || CASE WHEN k = 2 THEN 'true' ELSE 'false' END]) AS stratum FROM w) GROUP BY stratum")
+@query("""SELECT c_custkey AS sample_id, CAST(k NOT IN (1, 2, 3, 4) AS DOUBLE) AS format_reward, CAST(k IN (0, 5, 6, 9) AS DOUBLE) AS exact_reward,
+  CASE WHEN k IN (1, 2, 3, 4) THEN 0.0 WHEN k = 8 THEN 1 - 1.0 / 16 ELSE 1.0 END AS structure_reward, CASE WHEN k IN (1, 2, 3, 4) THEN 0.0 WHEN k = 7 THEN 1 - 1.0 / 6 ELSE 1.0 END AS content_reward,
+  CASE WHEN k IN (1, 2, 3, 4) THEN 0.0 WHEN k = 8 THEN 0.75 ELSE 1.0 END AS metadata_reward FROM (SELECT c_custkey, c_custkey % 10 AS k FROM customer)""")
+def reward_cases(spark, d):
+    """By the key modulo 10: equal; words before; incomplete; in a fence; behind a doctype; other
+    white space and order of attributes; the reference in a page; other text; no span; a list of parts."""
+    k, words = F.col("c_custkey") % 10, F.col("c_mktsegment")
+    table = lambda first, text=words, gap="": F.concat(F.lit(f"<table>{gap}<thead><tr><th {first}>"), F.lit("Name</th></tr></thead>\n<tbody><tr><td>"), text, F.lit("</td><td>"), F.col("c_custkey").cast("string"), F.lit("</td></tr></tbody></table>"))
+    right = table('colspan="2" id="a"')
+    page = F.concat(F.lit("<html><head><style>table { color: black; }</style></head><body>"), right, F.lit("</body></html>"))
+    parts = F.array(F.struct(F.lit("text").alias("type"), right.alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")))
+    answers = [right, F.concat(F.lit("answer: "), right), F.lit("<table><tr><td>x"), F.concat(F.lit("```html\n"), right, F.lit("\n```")), F.concat(F.lit("<!doctype html>"), right), table('id="a"  colspan="2"', gap="\n "), right, table('colspan="2" id="a"', F.lit("X")), table('id="a"'), t.completion_text(parts)]
+    rows = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), F.when(k == 6, page).otherwise(right).alias("table_html"), F.element_at(F.array(*answers), (k + 1).cast("int")).alias("completion"), F.lit(2).alias("num_rows"), F.lit(2).alias("num_cols"), F.lit(3).alias("num_cells"), F.lit(True).alias("merged"))
+    return table_html.rewards(rows).select("sample_id", "format_reward", "exact_reward", "structure_reward", "content_reward", "metadata_reward")
+
+
+@query(EVALUATION_SQL + " SELECT stratum, count(*) AS samples, round(avg(format_reward), 6) AS valid_rate, round(avg(exact_reward), 6) AS exact_rate, round(avg(reward), 6) AS mean_reward FROM (SELECT *, unnest(['all', 'merged=' || CASE WHEN k = 2 THEN 'true' ELSE 'false' END]) AS stratum FROM w) GROUP BY stratum")
 def table_eval_strata(spark, d):
-    s = table_html.rewards(fx.html_tables(spark, d)).withColumn("merged", F.col("p.merged"))
+    answers = fx.html_tables(spark, d).withColumn("completion", F.col("answer"))
+    s = table_html.rewards(answers, cut_answers=True).withColumn("merged", F.col("p.merged"))
     out = table_html.strata(s)
     return out.select("stratum", "samples", *[F.round(c, 6).alias(c) for c in ("valid_rate", "exact_rate", "mean_reward")])
 
@@ -779,4 +848,4 @@ def named_splits(spark, d):
     return readers.splits(spark, path, "test").select("id", "split", "num_images")
 
 
-from docloom.plans import file_queries  # noqa: E402, F401 - registers its queries
+from docloom.plans import corpus_queries, file_queries, stream_queries  # noqa: E402, F401 - they register their queries

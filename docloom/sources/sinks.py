@@ -6,7 +6,7 @@ import uuid
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.sources.shared import written
@@ -45,11 +45,32 @@ def write_report(summary: DataFrame, documents: DataFrame, path: str) -> None:
 
 
 def write_splits(rows: DataFrame, path: str, split: str = "split", row_bytes: Column | None = None, shard_bytes: int = 2048 << 20) -> None:
-    """Parquet per split in files of about shard_bytes; a null split is train."""
+    """Parquet per split in files of about shard_bytes; a null split is train.
+
+    With `row_bytes` the bytes before a row, in one order of all rows of its split, decide its file: all files of a
+    split but its last hold shard_bytes up to one row. Rows are written once with their running sums; the
+    sums of partitions (a row each) give where a partition starts. Without it there is no cap."""
     rows = rows.withColumn(split, F.coalesce(split, F.lit("train")))
-    size = rows.agg(F.avg(row_bytes)).first()[0] if row_bytes is not None else None
-    most = max(1, int(shard_bytes / size)) if size else 0
-    rows.write.mode("overwrite").option("maxRecordsPerFile", most).partitionBy(split).parquet(path)
+    if row_bytes is None:
+        rows.write.mode("overwrite").partitionBy(split).parquet(path)
+        return
+    marked = rows.withColumn("_b", F.coalesce(row_bytes, F.lit(0)).cast("long")).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(marked, "sized")
+    part = F.shiftright("_at", 33)
+    within = F.sum("_b").over(Window.partitionBy(part, split).orderBy("_at"))  # a partition's rows are as many as one task wrote
+    each = placed.groupBy(part.alias("_p"), split).agg(F.sum("_b").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.partitionBy(split).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = each.select(F.col("_p"), F.col(split).alias("_split"), before.alias("_start"))
+    summed = placed.withColumn("_p", part).withColumn("_upto", within)
+    joined = summed.join(F.broadcast(starts), (summed["_p"] == starts["_p"]) & (summed[split] == starts["_split"])).drop(starts["_p"])
+    lot = F.floor((F.col("_start") + F.col("_upto") - F.col("_b")) / shard_bytes)
+    sizes = {r[0]: r[1] for r in placed.groupBy(split).agg(F.sum("_b")).collect()}  # one row a split
+    first, files = {}, 0
+    for name in sorted(sizes):
+        first[name], files = files, files + max(1, -(-sizes[name] // shard_bytes))
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col(split)) if first else F.lit(0)
+    numbered = joined.withColumn("_file", (offset + lot).cast("int")).select(*rows.columns, "_file")
+    numbered.repartitionById(max(1, files), "_file").drop("_file").write.mode("overwrite").partitionBy(split).parquet(path)
 
 
 def split_counts(rows: DataFrame, split: str = "split") -> DataFrame:
@@ -94,3 +115,13 @@ def document_export(documents: DataFrame, elements: DataFrame) -> DataFrame:
     page = elements.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("pos", "bbox", "label", "content", "included"))).alias("elements"), F.max("edited").alias("edited"))
     pages = page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "elements"))).alias("pages"), F.max("edited").alias("edited"))
     return documents.join(pages.hint("shuffle_merge"), "doc_id", "left").select("doc_id", F.to_json(F.struct(*documents.columns, "pages", F.coalesce("edited", F.lit(False)).alias("edited"))).alias("value"))
+
+
+def renamed_suffix(spark: SparkSession, path: str, suffix: str) -> None:
+    """Give the part files of a written folder another suffix, which Spark's writers choose themselves."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in store.listStatus(root):
+        name = f.getPath().getName()
+        if name.startswith("part-"):
+            store.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(root, name.split(".")[0] + suffix))
