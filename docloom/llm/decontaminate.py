@@ -127,9 +127,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, k: int
     if n_keys <= broadcast_rows:
         met = found.join(F.broadcast(side), ["kind", "f"], "left")
     else:  # a passage of very many documents is dealt over SALTS tasks, and the items repeated there
+        found = staged(found, "passing")  # documents without a passing fingerprint stay out of the join
         salt = F.pmod(F.xxhash64("doc_id", "_t", "at"), F.lit(SALTS)).cast("int")
         side = side.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = found.withColumn("_s", salt).join(side.hint("shuffle_merge"), ["kind", "f", "_s"], "left")
+        met = found.filter("f IS NOT NULL").withColumn("_s", salt).join(side.hint("shuffle_merge"), ["kind", "f", "_s"], "left")
+        met = met.unionByName(found.filter("f IS NULL"), allowMissingColumns=True)
     left, right = agree(F.col("before"), F.col("_before")), agree(F.col("rest"), F.col("_rest"))
     met = met.withColumn("_l", F.when(F.col("kind") == 0, left).otherwise(0)).withColumn("_r", right)
     ok = F.col("item_id").isNotNull() & F.when(F.col("kind") == 0, (F.col("_r") >= k) & (F.col("_l") + F.col("_r") >= window)).otherwise(F.col("_r") == F.col("kind"))
@@ -152,11 +154,14 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Documents without a hit, with all their columns."""
-    bad = staged(contamination(docs, items).filter("contaminated").select(F.col("doc_id").alias("_docloom_bad")).distinct(), "contaminated")
-    n = bad.count()
-    side = F.broadcast(bad) if n <= broadcast_rows else bad.hint("shuffle_merge")
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_docloom_bad")), "left_anti")
+    """Documents without a hit, with all their columns. A row goes by its own text, named by 128 bits of
+    hash: rows that share its doc_id, or have none, stay unless their texts are hit too."""
+    text = F.col("text").cast("string")
+    name = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    hit = contamination(docs.select(name.alias("doc_id"), "text"), items).filter("contaminated")
+    bad = staged(hit.select(F.col("doc_id").alias("_docloom_bad")).distinct(), "contaminated")
+    side = F.broadcast(bad) if bad.count() <= broadcast_rows else bad.hint("shuffle_merge")
+    return docs.join(side, name == F.col("_docloom_bad"), "left_anti")
 
 
 OP5_SQL = r"""

@@ -270,6 +270,20 @@ def test_decontamination(spark):
     assert decontaminate.contamination(table(spark, []), bench).count() == 0
 
 
+def test_contaminated_rows_go_by_their_own_text(spark):
+    """Rows without an id, or with that of a contaminated row, stay."""
+    passage = "a b c d e f g h i j k"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, f"x {passage} y", "p"), (None, "clean words", "q"), (5, passage, "r"), (5, "more clean words", "s"), (6, None, "t"), (None, None, "u"), (7, passage, "v"), (7, passage, "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_docloom_x` string")
+    for most in (100_000, 0):
+        kept = decontaminate.drop_contaminated(docs, bench, broadcast_rows=most)
+        assert sorted(x["_docloom_x"] for x in kept.collect()) == ["q", "s", "t", "u"]
+    # beyond the broadcast bound: rows without a passing fingerprint never meet in the join
+    by = lambda **limits: sorted(map(tuple, decontaminate.contamination(docs, bench, **limits).collect()), key=str)
+    assert by(broadcast_rows=0) == by()
+
+
 def test_decontamination_is_native(spark):
     out = decontaminate.contamination(table(spark, ["a b"]), spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
