@@ -133,9 +133,11 @@ def jumped(rows: DataFrame, pointer: str, take: dict, name: str) -> DataFrame:
     makes of their own columns and the other node's (under x_)."""
     while not rows.filter(F.col(pointer).isNotNull()).isEmpty():
         other = rows.select(*[F.col(c).alias(f"x_{c}") for c in ["node", pointer, *take]])
-        met = rows.join(other.hint("shuffle_merge"), F.col(pointer) == F.col("x_node"), "left")
+        # nodes at their end stay out of the join
+        met = rows.filter(F.col(pointer).isNotNull()).join(other.hint("shuffle_merge"), F.col(pointer) == F.col("x_node"), "left")
         rest = [c for c in rows.columns if c not in (pointer, *take)]
-        rows = staged(met.select(*rest, *[f.alias(c) for c, f in take.items()], F.col(f"x_{pointer}").alias(pointer)), name)
+        met = met.select(*rest, *[f.alias(c) for c, f in take.items()], F.col(f"x_{pointer}").alias(pointer))
+        rows = staged(met.unionByName(rows.filter(F.col(pointer).isNull())), name)
     return rows
 
 
@@ -151,7 +153,10 @@ def reply_order(replies: DataFrame) -> DataFrame:
     m = staged(m.withColumn("node", F.max(F.when(opens, F.col("i"))).over(part)), "nodes")
     nodes = m.groupBy("c", "node").agg(F.count("*").alias("n"), F.max(F.when(F.col("i") == F.col("node"), F.col("parent"))).alias("parent"))
     above = m.select(F.col("i").alias("parent"), F.col("node").alias("up"))
-    nodes = staged(nodes.join(above.hint("shuffle_merge"), "parent", "left").select("c", "node", "n", "up", (F.col("parent") - F.col("up")).alias("hang")), "tree")
+    nodes = staged(nodes, "parents")
+    hung = nodes.filter("parent IS NOT NULL").join(above.hint("shuffle_merge"), "parent", "left").select("c", "node", "n", "up", (F.col("parent") - F.col("up")).alias("hang"))
+    tops = nodes.filter("parent IS NULL").select("c", "node", "n", *[F.lit(None).cast("long").alias(c) for c in ("up", "hang")])
+    nodes = staged(hung.unionByName(tops), "tree")
     # what hangs on a later message of a node comes first; siblings of one message by turn
     ties = [F.col("c"), F.coalesce("up", F.lit(-1)), F.coalesce(-F.col("hang"), F.lit(0)), F.col("node")]
     order = following(ranged(nodes, ties, "siblings"), ["c", "up", "node"])
