@@ -179,7 +179,9 @@ def read_token_files(manifest: DataFrame, doc_ids: list[int] | None = None, with
     if asked for, ids. Files are read where they lie, one task per few files."""
     wanted = None if doc_ids is None else set(doc_ids)
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("file", "before").repartition(slots(manifest.sparkSession))
+    files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("file", "before")
+    n = manifest.count()
+    files = files.repartition(max(1, min(n, max(slots(manifest.sparkSession), -(-n // 8)))))  # eight files a task at most
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 4 + with_ids]
     schema = pa.schema([(n, pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n in names])
 
