@@ -105,18 +105,35 @@ def example(k: np.ndarray, n: np.ndarray, places: int) -> tuple[np.ndarray, np.n
     return np.append(k, 2**places), np.append(x, 1.0)
 
 
-def fit_language(docs: DataFrame, training, *, per_language: int = 1500, places: int = 14, epochs: int = 3, rate: float = 0.3, margin: float = 0.02) -> LanguageModel:
+class Examples:
+    """Counts as they came, made into an example each time one is asked for."""
+
+    def __init__(self, held: list[tuple[bytes, bytes]], places: int):
+        self.held, self.places = held, places
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k >= len(self.held):
+            raise IndexError(k)
+        at, n = self.held[k]
+        return example(np.frombuffer(at, np.uint16 if self.places <= 16 else np.uint32).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.int64), self.places)
+
+
+def fit_language(docs: DataFrame, training, *, per_language: int = 1500, most_rows: int = 12_000, places: int = 14, epochs: int = 3, rate: float = 0.3, margin: float = 0.02) -> LanguageModel:
     """Learn from the rows where `training` holds and lang is not null: all of them,
-    or a sample of about `per_language` rows of each language by a hash of doc_id and
-    text; of the chosen, rows equal in both teach once.
-    Tasks count the trigrams of whole texts; the one fitting task holds the counts, at
-    most 2^places a text."""
+    or a sample of about `per_language` rows of each language, and of `most_rows` over all languages, by a
+    hash of doc_id and text; of the chosen, rows equal in both teach once.
+    Tasks count the trigrams of whole texts; the one fitting task holds the counts, 6 bytes each and
+    at most 2^places a text."""
     given = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r.lang: r.n for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     names = sorted(counts)
     code = codewords(len(names)) if names else np.zeros((0, 1), np.float32)
     if len(names) < 2:
         return LanguageModel(names, code, np.zeros((2**places, 1), np.float32), np.ones(1), np.ones(1), places, margin)
+    per_language = min(per_language, most_rows / len(names))
     share = F.element_at(F.create_map(*[x for n in names for x in (F.lit(n), F.lit(min(1.0, per_language / counts[n])))]), F.col("lang"))
     numbers = F.element_at(F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))]), F.col("lang"))
     chosen = given.filter(sampled(F.xxhash64("doc_id", "text"), share)).select(F.col("text").cast("string").alias("text"), numbers.alias("y"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key"))
@@ -129,7 +146,7 @@ def fit_language(docs: DataFrame, training, *, per_language: int = 1500, places:
                 h, ends = trigrams(data, rows, places)
                 for a, b in zip(ends[:-1], ends[1:], strict=True):
                     k, times = np.unique(h[a:b], return_counts=True)
-                    at.append(k.astype(np.int64).tobytes()), n.append(times.astype(np.int64).tobytes())
+                    at.append(k.astype(np.uint16 if places <= 16 else np.uint32).tobytes()), n.append(times.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(n, pa.binary()), batch.column(1), batch.column(2)], names=["at", "n", "y", "key"])
 
     def train(batches):
@@ -137,9 +154,9 @@ def fit_language(docs: DataFrame, training, *, per_language: int = 1500, places:
         for batch in batches:
             y += batch.column(2).to_pylist()
             keys += batch.column(3).to_pylist()
-            examples += [example(np.frombuffer(k, np.int64), np.frombuffer(n, np.int64), places) for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            examples += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
         order = sorted(range(len(y)), key=lambda k: (keys[k], y[k], len(examples[k][0])))
-        w, bias, trust = fit_bits([examples[k] for k in order], np.array([y[k] for k in order], int), code, places, epochs, rate)
+        w, bias, trust = fit_bits(Examples([examples[k] for k in order], places), np.array([y[k] for k in order], int), code, places, epochs, rate)
         yield pa.RecordBatch.from_pydict({"what": ["w", "b", "t"], "bytes": [w.tobytes(), bias.tobytes(), trust.tobytes()]})
 
     made = {r.what: r.bytes for r in chosen.mapInArrow(count, "at binary, n binary, y int, key long").repartition(1).mapInArrow(train, "what string, bytes binary").collect()}
