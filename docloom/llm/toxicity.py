@@ -89,10 +89,10 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits:
     return Toxicity(bits, kept.astype(np.int32), w[kept].astype(np.float32), float(w[-1]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 12_000, max_bytes: int = 512_000_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3, folds: int = 5) -> Toxicity:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 12_000, max_bytes: int = 48_000_000, alpha: float = 0.5, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0, epochs: int = 3, folds: int = 5) -> Toxicity:
     """Fit on labelled rows outside the held-out fold: all of them, or a sample by hashes
-    of about `max_rows` rows and `max_bytes` bytes of text (the documented bounds on what
-    one task holds); rows equal in doc_id and text teach once. The weights that L1 leaves
+    of about `max_rows` rows and `max_bytes` bytes of text, which bound what one task holds: seven features of 8 bytes a
+    word are about ten times the text, half a gigabyte; rows equal in doc_id and text teach once. The weights that L1 leaves
     come to the driver, 2^bits at most."""
     given = labels.filter((fold(F.col("doc_id"), folds) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("_toxic"))
     n = given.count()
