@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import chunks, fold, give_back, keep_memory, slots, small_batches, staged, word_hashes, word_spans
+from docloom.llm.common import chunks, fold, give_back, keep_memory, small_batches, staged, word_hashes, word_spans
 
 END = np.uint64(0xE4D0F7E2B1C9A853)
 CLASS = 64
@@ -291,25 +291,29 @@ def symbol_type(words: Vocabulary) -> np.dtype:
 
 
 def training_windows(training: DataFrame, words: Vocabulary, window: int) -> DataFrame:
-    """Rows (w): each text as consecutive windows of `window` symbols to predict, after
-    the symbol before them (the end symbol at the start of a text)."""
-    sent, schema = training.sparkSession.sparkContext.broadcast(words), pa.schema([("w", pa.binary())])
+    """Rows (w, deal): each text as consecutive windows of `window` symbols to predict, after
+    the symbol before them (the end symbol at the start of a text), and a number from its doc_id and place by
+    which windows are dealt to tasks, the same wherever a row is read."""
+    sent, schema = training.sparkSession.sparkContext.broadcast(words), pa.schema([("w", pa.binary()), ("deal", pa.int64())])
 
     def run(batches):
         v = sent.value
-        end, kind, windows = v.symbols_of(np.array([END])), symbol_type(v), []
+        end, kind, windows, deal = v.symbols_of(np.array([END])), symbol_type(v), [], []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(deal, pa.int64())], schema=schema)
         for batch in batches:
-            for t in tokens(batch.column(0)):
+            for t, key in zip(tokens(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 s = np.concatenate((end, v.symbols_of(t))).astype(kind)
                 for at in range(0, len(t), window):
                     windows.append(s[at : at + window + 1].tobytes())
+                    deal.append(((key ^ at * 0x9E3779B97F4A7C15) & (1 << 64) - 1) % 1_000_003)
                     if len(windows) == 1 << 14:
-                        yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary())], schema=schema)
-                        windows = []
+                        yield made()
+                        windows, deal = [], []
         if windows:
-            yield pa.RecordBatch.from_arrays([pa.array(windows, pa.binary())], schema=schema)
+            yield made()
 
-    return training.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w binary")
+    key = F.col("doc_id").cast("string") if "doc_id" in training.columns else F.col("text")
+    return training.select(F.col("text").cast("string").alias("text"), F.xxhash64(key).alias("key")).mapInArrow(run, "w binary, deal long")
 
 
 def vocabulary(counts: DataFrame, *, head: int = 2048, most: int = 1 << 18, least: int = 5) -> Vocabulary:
@@ -355,12 +359,13 @@ def vocabulary(counts: DataFrame, *, head: int = 2048, most: int = 1 << 18, leas
     return Vocabulary(h[by_hash], c[by_hash], symbol[by_hash], share[by_hash], n_head, symbols, klass, np.log(per_class / per_class.sum()), total, distinct, float(rare_total), rare_types, n1 / (n1 + 2 * n2) if n1 else 0.5)
 
 
-def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: int = 32, rounds: int = 3, rate: float = 0.1, replicas: int | None = None, task_windows: int = 1 << 16) -> Gru:
+def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: int = 32, rounds: int = 3, rate: float = 0.1, replicas: int | None = None, task_windows: int = 1 << 14) -> Gru:
     """Rounds of parallel training on all windows (each window in one round), the
-    tasks' weights averaged by their numbers of windows, 32 at a time."""
+    tasks' weights averaged by their numbers of windows, 32 at a time. The number of tasks comes from
+    the counted windows alone, so the model does not depend on the session's partitions."""
     spark = windows.sparkSession
     model = Gru(words, size)
-    replicas = replicas or max(slots(spark), -(-windows.count() // (rounds * task_windows)))
+    replicas = replicas or max(1, -(-windows.count() // (rounds * task_windows)))
     names = list(model.w)
     shape = {k: v.shape for k, v in model.w.items()}
 
@@ -390,7 +395,7 @@ def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: i
             for batch in batches:
                 held += batch.column(0).to_pylist()
                 n += batch.num_rows
-                if len(held) >= 1 << 16:  # bounded memory, whatever a task gets
+                if len(held) >= 1 << 17:  # bounded memory, whatever a task gets
                     learn()
                     held.clear()
             if held:
@@ -400,11 +405,13 @@ def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: i
                 yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId() // 32], "n": [n], "w": [pack(own.w)]})
 
         def average(key, table):
-            n = np.array(table.column("n").to_pylist(), np.float64)
-            total = sum(k * np.frombuffer(w, np.float32).astype(np.float64) for k, w in zip(n, table.column("w").to_pylist(), strict=True))
-            return pa.table({"part": [key[0].as_py() // 32], "n": [int(n.sum())], "w": [(total / n.sum()).astype(np.float32).tobytes()]})
+            pairs = sorted(zip(table.column("n").to_pylist(), table.column("w").to_pylist(), strict=True))  # sums in one order
+            n = sum(k for k, _ in pairs)
+            total = sum(float(k) * np.frombuffer(w, np.float32).astype(np.float64) for k, w in pairs)
+            return pa.table({"part": [key[0].as_py() // 32], "n": [n], "w": [(total / n).astype(np.float32).tobytes()]})
 
-        trained = part.select("w").repartition(replicas, F.monotonically_increasing_id() % replicas)  # not by content: copies spread out
+        # not by content: copies spread out
+        trained = part.repartitionById(replicas, (F.col("deal") % replicas).cast("int")).select("w")
         trained = trained.mapInArrow(run, "part long, n long, w binary")
         left = -(-replicas // 32)
         while True:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import language, lm
@@ -43,3 +44,26 @@ def test_language_learns_outside_the_middle(spark):
     short = spark.createDataFrame([(k, v * 3, n) for k, _, v, n in rows[:2]], "doc_id long, text string, lang string")
     model = language.fit_language(docs, F.lit(True))
     assert {x.lang: x.lang_pred for x in language.identify(short, model, ["lang"]).collect()} == {"xx": "xx", "yy": "yy"}
+
+
+def test_the_language_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choices(["a", "b", "c", "dd", f"r{k}"], k=rng.choice([0, 5, 200, 900])))) for k in range(60)]
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+            out = lm.lm_scores(docs, F.col("doc_id") % 7 == 2, task_windows=40)  # several tasks a round
+            seen.append({x.doc_id: x.score for x in out.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == pytest.approx(seen[1], rel=1e-7)  # texts are scored in lanes, whose sums are in single precision
+
+
+def test_rows_over_all_languages_are_bounded(spark):
+    rows = [(k, f"{'abcdefgh'[k % 4] * 6} {k}", f"l{k % 4}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs, F.lit(True), most_rows=80)
+    found = language.identify(docs, model, ["lang"])
+    assert found.filter("lang = lang_pred").count() == 400
