@@ -5,8 +5,7 @@ The toxicity and language models are fitted anew on what their stage is given: l
 rows outside the held-out fold, and rows with a language. Null and empty texts score as
 the intercept says in the first stage and have no language, so the second drops them;
 the third keeps exactly one row of each class of similar texts, whether doc_ids are
-unique, repeated or null; rows of one doc_id that the fourth finds contaminated go
-together. Columns of any name come through unchanged. Empty tables give no rows.
+unique, repeated or null; the fourth drops rows by their own text. Columns of any name come through unchanged. Empty tables give no rows.
 
 Texts go to Python 2,000 at a time, by a setting of the session: `run` puts it back; a
 stage called on its own leaves it, because its result is computed later."""
@@ -15,7 +14,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.common import staged
@@ -58,6 +56,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 2048 tokens (operator 4)."""
+    import public_tokenizers
+
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
