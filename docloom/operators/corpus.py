@@ -98,6 +98,12 @@ def seeded_order(rows: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     return rows.orderBy(F.sha1(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")).cast("binary")), key)
 
 
+def seeded_places(rows: DataFrame, key: str, seed: int, epoch: int, name: str = "place") -> DataFrame:
+    """Add each row's place (from 0) in seeded_order, without sorting rows into one task; equal keys in any order."""
+    h = F.sha1(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(key).cast("string")).cast("binary"))
+    return numbered(rows.withColumn("_h", h), "_h", name).drop("_h")
+
+
 def numbered(rows: DataFrame, key: str, name: str = "_i") -> DataFrame:
     """0-based place by key (ties in any order), without one window over all rows.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom.functions import text as t
-from docloom.operators import corpus, joins, kie
+from docloom.operators import corpus, joins, kie, layout, table_html
 from docloom.plans import fixtures as fx
 from docloom.plans.registry import query
 
@@ -124,3 +125,58 @@ def report_in_order(spark, d):
     k = F.col("o_orderkey").cast("string")
     rows = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('{"a": '), k, F.lit("}")).alias("expected"), F.concat(F.lit('{"a": '), k, F.when(F.col("o_orderkey") % 4 == 0, "1}").otherwise("}")).alias("predicted"))
     return kie.ordered_report(kie.document_metrics(kie.scored_leaves(rows))).select("doc_id", "position", "score")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha1('5:2:' || doc_id)) - 1 AS place FROM documents")
+def epoch_places(spark, d):
+    """Where each document stands in the seeded order of an epoch."""
+    return corpus.seeded_places(fx.table(spark, d, "documents").select("doc_id"), "doc_id", 5, 2)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL")
+def required_rows(spark, d):
+    """Named columns must be there and rows must be left, else the job ends with a message."""
+    rows = corpus.require_columns(fx.table(spark, d, "documents"), ["doc_id", "lang"]).filter("lang IS NOT NULL")
+    return corpus.require_rows(rows, "documents with a language").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, 'a ' || doc_id || chr(10) || chr(10) || 'b' AS markdown FROM documents")
+def blank_elements(spark, d):
+    """Elements of white space of any kind leave no empty block, and neither do those that are left out."""
+    blanks = F.element_at(F.array(*map(F.lit, ("\t", "\r\n", "\u00a0", " \u2003 ", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
+    items = [(F.concat(F.lit("a "), F.col("doc_id").cast("string")), True), (blanks, True), (F.lit("left out"), False), (F.lit("\ufffdb"), True)]
+    one = F.array(*[F.struct(c.alias("content"), F.lit(on).alias("included")) for c, on in items])
+    rows = fx.table(spark, d, "documents").select("doc_id", F.lit(1).alias("page_number"), F.posexplode(one).alias("pos", "e")).select("doc_id", "page_number", "pos", F.lit("Text").alias("label"), "e.content", "e.included")
+    return layout.page_markdown(rows).select("doc_id", "markdown")
+
+
+@query("WITH " + fx.ELEMENTS_SQL + """, b AS (SELECT doc_id, pos, least(x1, 700) / 1.0 AS x1, least(x1, 700) + 50.5 AS x2, least(y1, 900) / 1.0 AS y1, least(y1, 900) + 40.25 AS y2, ['n', 's', 'nw', 'se', 'move'][CAST(pos % 5 + 1 AS INTEGER)] AS mode, (doc_id + pos) % 300 - 150 AS dx, (doc_id * 3 + pos) % 2400 - 1200 AS dy FROM elements)
+SELECT doc_id, pos, mode, CASE mode WHEN 'move' THEN greatest(0.0, least(y1 + dy, 1159.75)) WHEN 'n' THEN greatest(0.0, least(y1 + dy, y2 - 1.6)) WHEN 'nw' THEN greatest(0.0, least(y1 + dy, y2 - 1.6)) ELSE y1 END AS y1,
+  CASE mode WHEN 'move' THEN greatest(0.0, least(y1 + dy, 1159.75)) + 40.25 WHEN 's' THEN greatest(y1 + 1.6, least(y2 + dy, 1200.0)) WHEN 'se' THEN greatest(y1 + 1.6, least(y2 + dy, 1200.0)) ELSE y2 END AS y2,
+  CASE mode WHEN 'move' THEN greatest(0.0, least(x1 + dx, 749.5)) WHEN 'nw' THEN greatest(0.0, least(x1 + dx, x2 - 1.6)) ELSE x1 END AS x1 FROM b""")
+def dragged_sides(spark, d):
+    """Boxes dragged at their upper or lower side, or at a corner."""
+    x, y = F.least(F.get("bbox", F.lit(0)), F.lit(700.0)), F.least(F.get("bbox", F.lit(1)), F.lit(900.0))
+    e = fx.elements(spark, d).withColumn("box", F.array(x, y, x + 50.5, y + 40.25)).withColumn("mode", F.element_at(F.array(*map(F.lit, ("n", "s", "nw", "se", "move"))), (F.col("pos") % 5 + 1).cast("int")))
+    dx, dy = (F.col("doc_id") + F.col("pos")) % 300 - 150, (F.col("doc_id") * 3 + F.col("pos")) % 2400 - 1200
+    b = t.dragged_box(F.col("box"), F.col("mode"), dx.cast("double"), dy.cast("double"), F.lit(800.0), F.lit(1200.0))
+    return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "mode", F.get(b, F.lit(1)).alias("y1"), F.get(b, F.lit(3)).alias("y2"), F.get(b, F.lit(0)).alias("x1"))
+
+
+@query("WITH " + fx.ELEMENTS_SQL + " SELECT doc_id, pos, greatest(0.0, least(y1 / 1.0, 499.0)) AS y1, greatest(greatest(0.0, least(y1 / 1.0, 499.0)) + 1, least(y2 / 1.0, 500.0)) AS y2 FROM elements")
+def edited_heights(spark, d):
+    e = fx.elements(spark, d).withColumn("b", t.edited_box(F.col("bbox"), F.lit(800), F.lit(500)))
+    return e.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.get("b", F.lit(1)).cast("double").alias("y1"), F.get("b", F.lit(3)).cast("double").alias("y2"))
+
+
+@F.pandas_udf("double")
+def _last_digit(ids: pd.Series) -> pd.Series:
+    return ids % 10 / 10
+
+
+@query("SELECT c_custkey AS sample_id, round((c_custkey % 10) / 10.0, 6) AS last_digit, round(CASE WHEN c_custkey % 11 = 0 OR c_custkey % 4 = 3 THEN 0.0 ELSE 0.25 END, 6) AS format_part FROM customer")
+def pandas_rewards(spark, d):
+    """A registered reward that is a pandas function."""
+    extra = {"last_digit": (lambda sample_id, **_: _last_digit(sample_id), 2.0)}
+    s = table_html.rewards(fx.html_tables(spark, d), extra)
+    return s.select("sample_id", F.round("last_digit", 6).alias("last_digit"), F.round(0.25 * F.col("format_reward"), 6).alias("format_part"))

@@ -199,3 +199,14 @@ def revisions(spark, d):
     if a != c or a == b:
         raise ValueError("names do not follow content")
     return readers.manifest_diff(readers.revision(spark, store, a), readers.revision(spark, store, b))
+
+
+@query("SELECT s_suppkey || '.txt' AS path, CAST(octet_length(encode(s_name)) AS BIGINT) AS bytes FROM supplier")
+def pinned_revision(spark, d):
+    """A scan pinned by the name of a revision: files that come later are left out."""
+    path, store = shared_folder(spark, "pinned"), shared_folder(spark, "store")
+    s = fx.table(spark, d, "supplier").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("out_name"), F.col("s_name").alias("content"))
+    sinks.write_markdown(s, path)
+    name = readers.commit(spark, path, store)
+    sinks.write_markdown(s.select(F.concat(F.lit("later-"), "out_name").alias("out_name"), "content"), path)
+    return readers.pinned(spark, path, readers.revision(spark, store, name)).select("path", F.octet_length("content").cast("bigint").alias("bytes"))
