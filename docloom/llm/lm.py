@@ -356,7 +356,7 @@ def vocabulary(counts: DataFrame, *, head: int = 2048, most: int = 1 << 18, leas
     n1, n2 = few.get(1, 0), few.get(2, 0)
     per_class = np.bincount(klass, mass) + 1.0
     by_hash = np.argsort(h)
-    return Vocabulary(h[by_hash], c[by_hash], symbol[by_hash], share[by_hash], n_head, symbols, klass, np.log(per_class / per_class.sum()), total, distinct, float(rare_total), rare_types, n1 / (n1 + 2 * n2) if n1 else 0.5)
+    return Vocabulary(h[by_hash], c[by_hash], symbol[by_hash], share[by_hash], n_head, symbols, klass, np.log(per_class / per_class.sum()), total, distinct, float(rare_total), rare_types, min(0.9, n1 / (n1 + 2 * n2)) if n1 else 0.5)
 
 
 def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: int = 32, rounds: int = 3, rate: float = 0.1, replicas: int | None = None, task_windows: int = 1 << 14) -> Gru:
