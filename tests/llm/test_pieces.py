@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
+from docloom.llm import common
 from docloom.llm.pieces import PieceCodec, encode_pieces, op13_sentence_pieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -92,3 +93,11 @@ def test_query_gives_the_librarys_digests(spark, codec):
         ids = codec.library.encode(texts_of[r.doc_id], add_bos=True, add_eos=True)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(codec.library.decode(ids).encode()).hexdigest()
+
+
+def test_staged_tables_are_cleared(spark):
+    with common.cleared(spark):
+        path = common.staged(spark.range(4), "short").inputFiles()[0]
+        assert spark.read.parquet(path).count() == 4
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
