@@ -4,10 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Deletes at its end the folders that were named inside. Results are read from them, so what is
+    wanted of a result must be written or collected inside."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the one that spark.checkpoint.dir names. Where it is
     unset, a local session (one machine) takes a temporary folder; a cluster raises."""
@@ -17,7 +34,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/docloom-{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

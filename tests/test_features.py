@@ -10,7 +10,7 @@ from docloom.functions import rows as r
 from docloom.functions import text as t
 from docloom.operators import corpus, joins, json_bench, kie, layout
 from docloom.operators.leaves import leaves
-from docloom.sources import readers, sinks
+from docloom.sources import readers, shared, sinks
 from docloom.streaming import jobs
 
 
@@ -254,3 +254,20 @@ def test_counters_of_each_batch(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert sorted((x.batch, x.skipped, x.rows) for x in got.collect()) == [(0, 1, 2), (1, 2, 3)]
+
+
+# ---------------------------------------------------------------- the shared folder
+
+
+def test_cleared(spark):
+    def there(path):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+    outside = shared.written(spark.range(3), "outside")
+    with shared.cleared(spark):
+        inside = shared.written(spark.range(5), "inside")
+        assert inside.count() == 5
+        path = inside.inputFiles()[0].rsplit("/", 1)[0]
+        assert there(path)
+    assert not there(path) and outside.count() == 3
