@@ -17,7 +17,7 @@ number. So all nodes of a tree together hold at most log2(tree_docs) entries for
 entry of a document.
 
 Items are taken in blocks of about `block_terms` (item, term) pairs, counted first, which bounds
-what is broadcast: one pass over the vectors a block. Null texts, and texts without terms,
+what is broadcast: one pass over the documents a block. Null texts, and texts without terms,
 are no documents. Rows of one item_id are one item with the terms of all; a null
 item_id is an item too. Repeated rows of documents are ranked each; equal scores
 go by doc_id, a null one last. Items without a document above 0, and empty tables, give no rows.

@@ -65,6 +65,18 @@ class Vocabulary:
         return np.where(there, self.symbol[at] if len(self.known) else 0, self.symbols - 1)
 
 
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp of each row, in place, its sum, and what was taken off the logits before: nothing where all of
+    them are far from the ends of single precision, else the row's largest."""
+    off: np.ndarray | float = 0.0
+    if logits.size and (logits.max() > 60.0 or logits.min() < -60.0):
+        off = logits.max(1, keepdims=True)
+        logits -= off
+        off = off[:, 0]
+    np.exp(logits, out=logits)
+    return logits, logits @ np.ones(logits.shape[1], logits.dtype), off
+
+
 class Gru:
     """Weights in a dict of float32 arrays. The input table holds each symbol's part
     of the three gates."""
@@ -93,16 +105,33 @@ class Gru:
         new = np.tanh(a[:, 2 * n :] + r * hu[:, 2 * n :])
         return new + z * (h - new), z, r, new, hu[:, 2 * n :]
 
+    def after(self, a: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after symbols whose parts of the gates, with the bias, are in `a`."""
+        n = self.size
+        hu = h @ self.w["u"]
+        g = a[:, : 2 * n] + hu[:, : 2 * n]
+        np.negative(g, out=g)
+        np.exp(g, out=g)
+        g += 1.0
+        np.reciprocal(g, out=g)
+        new = hu[:, 2 * n :]
+        new *= g[:, n:]
+        new += a[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= g[:, :n]
+        out += new
+        return out
+
     def log_probs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural-log P(class) * P(head word | class) per row; with `grads`, also adds
         the gradients of the negated sum and returns that of h."""
         klass = self.klass[target]
         logits = h @ self.w["c"] + self.w["cb"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
         row = np.arange(len(h))
-        out = (logits[row, klass] - np.log(total)).astype(np.float64)
+        chosen = logits[row, klass]
+        p, total, off = exponentials(logits)
+        out = (chosen - off - np.log(total)).astype(np.float64)
         dh = None
         if grads is not None:
             p /= total[:, None]
@@ -121,12 +150,10 @@ class Gru:
             o = self.w["o"][words]
             q = hs[a:b] @ o.T
             q += self.w["ob"][words]
-            q -= q.max(1, keepdims=True)
             at = np.arange(b - a), place[a:b]
-            add[a:b] = q[at]
-            np.exp(q, out=q)
-            total = q.sum(1)
-            add[a:b] -= np.log(total)
+            chosen = q[at]
+            q, total, off = exponentials(q)
+            add[a:b] = chosen - off - np.log(total)
             if grads is not None:
                 q /= total[:, None]
                 q[at] -= 1.0
@@ -144,7 +171,7 @@ class Gru:
         n, (rows, width) = self.size, batch.shape
         steps = width - 1
         x = np.maximum(batch[:, :-1].T, 0)
-        given, u = self.w["x"][x] + self.w["b"], self.w["u"]
+        given, u = (self.w["x"] + self.w["b"])[x], self.w["u"]
         h0, gates = h, np.empty((3, steps, rows, n), given.dtype)  # z, r, candidate
         hu2, states = np.empty((steps, rows, n), given.dtype), np.empty((steps, rows, n), given.dtype)
         for t in range(steps):
@@ -233,7 +260,7 @@ class Gru:
         starts = np.zeros(len(target), bool)
         starts[np.cumsum(sizes[order]) - sizes[order]] = True
         begin = np.cumsum(load) - load
-        h, x = np.zeros((lanes, self.size), np.float32), np.full(lanes, end, np.int64)
+        h, x, given = np.zeros((lanes, self.size), np.float32), np.full(lanes, end, np.int64), self.w["x"] + self.w["b"]
         for a in range(0, int(load[0]), window):
             n = int(np.searchsorted(-load, -a))  # lanes longer than a
             steps = min(int(load[0]) - a, window)
@@ -243,7 +270,7 @@ class Gru:
                 at = begin[:n] + a + t
                 h, x = h[:n], x[:n]
                 h[starts[at]] = 0.0  # the symbol before is the end of the text before
-                h = self.step(x, h)[0]
+                h = self.after(given[x], h)
                 states[t, :n] = h
                 x = target[at]
             row, col = np.nonzero(load[None, :] > (a + np.arange(steps))[:, None])
