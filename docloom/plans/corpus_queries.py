@@ -11,7 +11,7 @@ from docloom.operators import corpus, joins, kie, layout, table_html
 from docloom.plans import fixtures as fx
 from docloom.plans.registry import query
 
-JOINED_SQL = "SELECT l_orderkey AS id, l_linenumber AS line, {k} AS key, {name} AS name FROM lineitem LEFT JOIN nation ON {k} = n_nationkey"
+JOINED_SQL = "SELECT l_orderkey AS id, l_linenumber AS line, CAST({k} AS VARCHAR) AS key, {name} AS name FROM lineitem LEFT JOIN nation ON {k} = n_nationkey"
 
 
 def _lines(spark, d, key):
@@ -22,7 +22,8 @@ def _lines(spark, d, key):
 @query(JOINED_SQL.format(k="l_suppkey % 40", name="n_name"))
 def small_side(spark, d):
     """A side of few bytes is broadcast."""
-    return joins.side_join(*_lines(spark, d, F.col("l_suppkey") % 40), ["key"])
+    out = joins.side_join(*_lines(spark, d, F.col("l_suppkey") % 40), ["key"])
+    return out.withColumn("key", F.col("key").cast("string"))
 
 
 @query(JOINED_SQL.format(k="CASE WHEN l_orderkey % 3 = 0 THEN 7 WHEN l_orderkey % 7 = 1 THEN NULL ELSE l_suppkey % 40 END", name="n_name"))
@@ -31,7 +32,8 @@ def large_side(spark, d):
     parts, null keys stay out of the shuffle."""
     key = F.when(F.col("l_orderkey") % 3 == 0, 7).when(F.col("l_orderkey") % 7 == 1, None).otherwise(F.col("l_suppkey") % 40).cast("bigint")
     rows, side = _lines(spark, d, key)
-    return joins.side_join(rows, side, ["key"], most_bytes=0, hot_rows=max(100, rows.count() // 16))
+    out = joins.side_join(rows, side, ["key"], most_bytes=0, hot_rows=max(100, rows.count() // 16))
+    return out.withColumn("key", F.col("key").cast("string"))
 
 
 @query("SELECT l_orderkey AS id, l_linenumber AS line FROM lineitem WHERE l_suppkey % 40 NOT IN (SELECT n_nationkey FROM nation)")
