@@ -125,3 +125,20 @@ def test_streams_go_to_files(spark, tmp_path):
         assert jobs.finished(stream, mode, f"{tmp_path}-{mode}").count() == 0
     sinks.write_report(spark.range(1).select(F.lit(0.5).alias("score")), spark.range(30, numPartitions=3), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report/documents")).count() == 30 and spark.read.json(str(tmp_path / "report/summary")).first().score == 0.5
+
+
+def test_dataset_summary_looks_at_the_first_sample_alone(spark):
+    """Sorted into several partitions, whose first rows have other numbers of images than they say."""
+    from docloom.operators import table_html
+
+    html = "<table><tr><td>x</td></tr></table>"
+    rows = spark.range(1, 2001, 1, 8).select(F.col("id").alias("sample_id"), F.lit(html).alias("table_html"), F.array(F.lit("a")).alias("images"), F.when(F.col("id") == 1, 1).otherwise(2).alias("num_images"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        one = table_html.dataset_summary(rows, rows.limit(0)).first().asDict()
+        none = table_html.dataset_summary(rows.limit(0), rows).first().asDict()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert one == {"train_rows": 2000, "inconsistent": 1999, "eval_rows": 0, "sample_images": 1, "sample_shape": [1, 1], "sample_cells": 1}
+    assert none == {"train_rows": 0, "inconsistent": 0, "eval_rows": 2000, "sample_images": None, "sample_shape": None, "sample_cells": None}
