@@ -9,7 +9,7 @@ from docloom.functions.rows import indel_similarity
 from docloom.functions.text import collapse_space
 from docloom.operators.corpus import numbered
 from docloom.operators.joins import side_join
-from docloom.operators.leaves import aligned, leaves
+from docloom.operators.leaves import aligned, dealt_leaves, leaves, parsed_texts  # noqa: F401
 
 
 def same_number(pairs: DataFrame) -> Column:
@@ -38,7 +38,8 @@ def leaf_score(pairs: DataFrame) -> Column:
     strings = (F.col("e_type") == "STRING") & (F.col("p_type") == "STRING")
     numbers = F.col("e_type").isin("INT", "REAL") & F.col("p_type").isin("INT", "REAL")
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    score = F.when(strings, indel_similarity(collapse_space(e), collapse_space(p))).when(numbers, one(same_number(pairs))).when(F.col("e_type") == F.col("p_type"), one(e.eqNullSafe(p))).otherwise(0.0)
+    other = lambda c: F.when(strings & (e != p), c)  # a pandas function is given every row: all but different texts go as nulls
+    score = F.when(strings, F.when(e == p, 1.0).otherwise(indel_similarity(collapse_space(other(e)), collapse_space(other(p))))).when(numbers, one(same_number(pairs))).when(F.col("e_type") == F.col("p_type"), one(e.eqNullSafe(p))).otherwise(0.0)
     return F.when(F.col("in_e") & F.col("in_p"), F.coalesce(score, F.lit(0.0))).otherwise(0.0)
 
 
@@ -51,10 +52,10 @@ def with_predictions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 
 def scored_leaves(pairs: DataFrame) -> DataFrame:
     """Leaves of both texts, of any depth, aligned and scored. Both sides of a document are
-    taken apart in one pass."""
+    taken apart in one pass, in the partition where they are grouped: texts travel, leaves do not."""
     sides = F.array(F.struct(F.col("doc_id"), F.lit(1).alias("e"), F.col("expected").alias("json")), F.struct(F.col("doc_id"), F.lit(0).alias("e"), F.col("predicted").alias("json")))
-    both = pairs.select(F.explode(sides).alias("s")).select(F.struct("s.doc_id", "s.e").alias("_s"), "s.json")
-    out = aligned(leaves(both, "json", "_s").select("_s.doc_id", "_s.e", "at", "path", "type", "value"))
+    both = parsed_texts(pairs.select(F.explode(sides).alias("s")).select("s.*"), "json")
+    out = aligned(dealt_leaves(both, ["doc_id", "e"], ["doc_id"]))
     return out.withColumn("score", leaf_score(out)).withColumn("exact", leaf_exact(out))
 
 

@@ -142,3 +142,36 @@ def test_dataset_summary_looks_at_the_first_sample_alone(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert one == {"train_rows": 2000, "inconsistent": 1999, "eval_rows": 0, "sample_images": 1, "sample_shape": [1, 1], "sample_cells": 1}
     assert none == {"train_rows": 0, "inconsistent": 0, "eval_rows": 2000, "sample_images": None, "sample_shape": None, "sample_cells": None}
+
+
+def test_depth_of_texts(spark):
+    from docloom.operators import leaves as lv
+
+    cases = {'{"a": 1}': 1, "[]": 1, "7": 0, '{"a": "]}"}': 1, r'["\\", "[\"[[[[[", [1]]': 2, '[["]]", [[[1]]], "[["]]': 5, "[[[[[[1]]]]]]": 5}
+    got = lv.with_depth(spark.createDataFrame([(k,) for k in cases], "j string"), "j", 4)
+    assert {r.j: r._depth for r in got.collect()} == cases
+
+
+def test_leaves_meet_where_their_texts_are(spark):
+    """Leaves of shallow texts are neither written nor shuffled: one exchange, of the texts, is below their grouping."""
+    from docloom.operators import kie
+
+    pairs = spark.range(50).select(F.col("id").alias("doc_id"), F.format_string('{"a": [%d, {"b": "x"}]}', "id").alias("expected"), F.format_string('{"a": [%d, {"b": "xy"}]}', "id").alias("predicted"))
+    scored = kie.scored_leaves(pairs)
+    assert scored.select("doc_id", "at", "in_e")._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.path, r.exact, round(r.score, 6)) for r in scored.collect()} == {("a[0]", True, 1.0), ("a[1].b", False, 0.666667)}
+
+
+def test_pandas_functions_are_given_what_they_are_needed_for(spark):
+    seen = r.indel_similarity(F.col("a"), F.col("b"))
+    plan = spark.createDataFrame([("x", "x"), ("x", ""), ("x", "xy")], "a string, b string").select(seen.alias("s"))
+    assert [round(x.s, 6) for x in plan.collect()] == [1.0, 0.0, 0.666667]
+    assert "CASE WHEN" in plan._jdf.queryExecution().optimizedPlan().toString().split("indel_udf(")[1][:12]
+
+
+def test_written_variants_keep_whole_numbers(spark):
+    from docloom.operators import leaves as lv
+
+    rows = spark.createDataFrame([(1, '{"n": 4}'), (2, '{"n": 4.5}'), (3, '{"n": [7, {"m": 1.0}]}'), (4, '{"n": [[[[[[7]]]]]]}'), (5, '{"n": [[[[[[7.5]]]]]]}')], "doc_id int, j string").coalesce(1)
+    got = {(r.doc_id, r.path): r.type for r in lv.leaves(rows, "j").collect()}
+    assert got == {(1, "n"): "INT", (2, "n"): "REAL", (3, "n[0]"): "INT", (3, "n[1].m"): "REAL", (4, "n[0][0][0][0][0][0]"): "INT", (5, "n[0][0][0][0][0][0]"): "REAL"}
