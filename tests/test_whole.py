@@ -175,3 +175,18 @@ def test_written_variants_keep_whole_numbers(spark):
     rows = spark.createDataFrame([(1, '{"n": 4}'), (2, '{"n": 4.5}'), (3, '{"n": [7, {"m": 1.0}]}'), (4, '{"n": [[[[[[7]]]]]]}'), (5, '{"n": [[[[[[7.5]]]]]]}')], "doc_id int, j string").coalesce(1)
     got = {(r.doc_id, r.path): r.type for r in lv.leaves(rows, "j").collect()}
     assert got == {(1, "n"): "INT", (2, "n"): "REAL", (3, "n[0]"): "INT", (3, "n[1].m"): "REAL", (4, "n[0][0][0][0][0][0]"): "INT", (5, "n[0][0][0][0][0][0]"): "REAL"}
+
+
+def test_python_steps_follow_the_bytes_of_texts(spark):
+    """One file of a few megabytes of tables or answers is read by several tasks."""
+    from docloom.operators import layout, table_html
+
+    one = spark.range(0, 3000, 1, 1)
+    html = F.concat(F.lit("<table><tr><td>"), F.repeat(F.lit("x"), F.lit(500)), F.col("id").cast("string"), F.lit("</td></tr></table>"))
+    samples = one.select(F.col("id").alias("sample_id"), html.alias("completion"), html.alias("table_html"), F.lit(1).alias("num_rows"), F.lit(1).alias("num_cols"), F.lit(1).alias("num_cells"), F.lit(False).alias("merged"))
+    assert table_html.rewards(samples).select("sample_id", "reward").rdd.getNumPartitions() >= 3
+    item = F.concat(F.lit('[{"bbox": [1, 2, 3, 4], "label": "Text", "content": "'), F.repeat(F.lit("x"), F.lit(1500)), F.lit('"}]'))
+    pages = one.select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.concat(F.lit("```JSON\n"), item, F.lit("\n```")).alias("raw"), F.lit(9).alias("image_width"), F.lit(9).alias("image_height"))
+    plan = layout.parsed_elements(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bare" in plan and plan.count("Repartition") >= 1
+    assert layout.parsed_elements(pages.limit(5)).count() == 5
