@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.rows import grid_to_html, layout_list
-from docloom.functions.text import box_pixels, element_markdown, in_markdown, normal_label, strip
+from docloom.functions.text import box_pixels, element_markdown, in_markdown, normal_label, once, strip
+from docloom.operators.joins import sized
 
+#: Answer bytes that one task reads.
+TASK_BYTES = 1 << 20
 ITEM = "array<struct<bbox: array<double>, label: string, content: string>>"
 
 
 def parsed_elements(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, pos, bbox, label, content, included) from model answers
     (doc_id, page_number, raw, image_width, image_height). Answers that are a plain
-    JSON list never reach Python; the others are read tolerantly."""
-    native = F.from_json("raw", ITEM)
-    plain = F.col("raw").rlike(r"^\s*\[\s*\{") & native.isNotNull() & (F.size(native) > 0) & F.forall(native, lambda x: x["bbox"].isNotNull() & (F.size(x["bbox"]) == 4) & F.forall(x["bbox"], lambda v: v.isNotNull()) & x["label"].isNotNull() & x["content"].isNotNull())
+    JSON list, in a fence or not, never reach Python; the others are read tolerantly. Answers are dealt over
+    tasks by their counted bytes."""
+    pages = sized(pages, F.octet_length("raw"), TASK_BYTES)
+    fence = lambda t: F.when(F.startswith(t, F.lit("```")) & F.endswith(t, F.lit("```")) & (F.length(t) > 5), strip(F.regexp_replace(F.substring(t, F.lit(4), F.length(t) - 6), "(?i)^(json|python)", ""))).otherwise(t)
+    pages = pages.withColumn("_bare", once(strip(F.col("raw")), fence))
+    native = F.from_json("_bare", ITEM)
+    plain = F.col("_bare").rlike(r"^\s*\[\s*\{") & native.isNotNull() & (F.size(native) > 0) & F.forall(native, lambda x: x["bbox"].isNotNull() & (F.size(x["bbox"]) == 4) & F.forall(x["bbox"], lambda v: v.isNotNull()) & x["label"].isNotNull() & x["content"].isNotNull())
     pages = pages.withColumn("_plain", F.coalesce(plain, F.lit(False)))
     keys = ["doc_id", "page_number", "image_width", "image_height"]
     trimmed = F.transform(native, lambda x: F.struct(x["bbox"].alias("bbox"), F.coalesce(F.nullif(F.trim(x["label"]), F.lit("")), F.lit("Text")).alias("label"), F.trim(x["content"]).alias("content")))
