@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from docloom.functions.rows import indel_similarity
 from docloom.functions.text import collapse_space
 from docloom.operators.corpus import numbered
-from docloom.operators.joins import side_join
+from docloom.operators.joins import parts_of, side_join
 from docloom.operators.leaves import aligned, dealt_leaves, leaves, parsed_texts  # noqa: F401
+from docloom.sources.shared import written
+
+#: Bytes of expected texts that one task joins with their predictions.
+PAIR_BYTES = 32 << 20
 
 
 def same_number(pairs: DataFrame) -> Column:
@@ -44,16 +48,20 @@ def leaf_score(pairs: DataFrame) -> Column:
 
 
 def with_predictions(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    """(doc_id, expected, predicted, missing): a document without a prediction gets {}."""
-    p = predicted.select("doc_id", F.col("json").alias("predicted"))
-    out = truth.select("doc_id", F.col("json").alias("expected")).join(p, "doc_id", "left")
-    return out.select("doc_id", "expected", F.coalesce("predicted", F.lit("{}")).alias("predicted"), F.col("predicted").isNull().alias("missing"))
+    """(doc_id, expected, predicted, missing), written: a document without a prediction gets {}. Both sides are
+    dealt by document over as many tasks as the counted bytes of the truth make, and joined once."""
+    parts = parts_of(truth, F.octet_length("json"), PAIR_BYTES)
+    side = lambda d, name: d.select("doc_id", F.col("json").alias(name)).repartition(parts, "doc_id")
+    out = side(truth, "expected").join(side(predicted, "predicted").hint("shuffle_merge"), "doc_id", "left")
+    return written(out.select("doc_id", "expected", F.coalesce("predicted", F.lit("{}")).alias("predicted"), F.col("predicted").isNull().alias("missing")), "pairs")
 
 
 def scored_leaves(pairs: DataFrame) -> DataFrame:
     """Leaves of both texts, of any depth, aligned and scored. Both sides of a document are
-    taken apart in one pass, in the partition where they are grouped: texts travel, leaves do not."""
-    sides = F.array(F.struct(F.col("doc_id"), F.lit(1).alias("e"), F.col("expected").alias("json")), F.struct(F.col("doc_id"), F.lit(0).alias("e"), F.col("predicted").alias("json")))
+    taken apart in one pass, in the partition where they are grouped: texts travel, leaves do not. Texts that are
+    equal are one text, taken apart once for both sides."""
+    side = lambda e, c: F.struct(F.col("doc_id"), F.lit(e).alias("e"), F.col(c).alias("json"))
+    sides = F.when(F.col("expected") == F.col("predicted"), F.array(side(2, "expected"))).otherwise(F.array(side(1, "expected"), side(0, "predicted")))
     both = parsed_texts(pairs.select(F.explode(sides).alias("s")).select("s.*"), "json")
     out = aligned(dealt_leaves(both, ["doc_id", "e"], ["doc_id"]))
     return out.withColumn("score", leaf_score(out)).withColumn("exact", leaf_exact(out))

@@ -190,3 +190,22 @@ def test_python_steps_follow_the_bytes_of_texts(spark):
     plan = layout.parsed_elements(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
     assert layout.parsed_elements(pages.limit(5)).count() == 5
+
+
+def test_kie_steps_follow_counted_sizes(spark, monkeypatch):
+    """Trees and pairs meet in as many tasks as they fill, not in the session's four; equal texts are parsed once."""
+    from docloom.operators import kie
+    from docloom.plans import fixtures as fx
+
+    monkeypatch.setattr(fx, "TASK_LINES", 500)
+    monkeypatch.setattr(kie, "PAIR_BYTES", 20_000)
+    trees = fx.order_trees(spark, "/root/testdata/sf0.001")
+    assert trees.rdd.getNumPartitions() > 8
+    pairs = kie.with_predictions(fx.ground_truth(trees), fx.predictions(trees))
+    assert len(pairs.inputFiles()) > 8
+    parsed, real = [], kie.parsed_texts
+    monkeypatch.setattr(kie, "parsed_texts", lambda docs, json: parsed.append(docs.count()) or real(docs, json))
+    rows = spark.createDataFrame([(1, '{"a": 1}', '{"a": 1}'), (2, '{"a": "x"}', '{"a": "y"}'), (2, '{"b": 1}', '{"b": 1}'), (3, "no", "no")], "doc_id long, expected string, predicted string")
+    got = {(v.doc_id, v.path): (v.in_e, v.in_p, v.e_value, v.p_value, v.score, v.exact) for v in kie.scored_leaves(rows).collect()}
+    assert parsed == [5]
+    assert got == {(1, "a"): (True, True, "1", "1", 1.0, True), (2, "a"): (True, True, "x", "y", 0.0, False), (2, "b"): (True, True, "1", "1", 1.0, True)}
