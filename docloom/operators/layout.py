@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from docloom.functions.rows import grid_to_html, layout_list
 from docloom.functions.text import box_pixels, element_markdown, in_markdown, normal_label, once, strip
-from docloom.operators.joins import sized
+from docloom.operators.joins import parts_of, sized
 
 #: Answer bytes that one task reads.
 TASK_BYTES = 1 << 20
+#: Boxes that one task joins or ranks.
+TASK_BOXES = 100_000
 ITEM = "array<struct<bbox: array<double>, label: string, content: string>>"
 
 
@@ -81,14 +83,17 @@ def ocr_pages(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(good)), lambda x: x["text"]), "\n").alias("text"), F.coalesce(F.min(F.when(F.col("text").isNotNull(), F.col("confidence"))), F.lit(0.0)).alias("confidence"))
 
 
-def overlapping(a: DataFrame, b: DataFrame, key: str, least: float) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, key: str, least: float, parts: int | None = None) -> DataFrame:
     """(key, aid, bid, iou) of the pairs of boxes (key, id, x1..y2) whose intersection
     over union reaches `least`. Pairs are formed within a page and a grid of cells that
-    the boxes touch."""
+    the boxes touch, in the first cell that both touch alone, over as many tasks as the counted boxes make (or `parts`)."""
     size = 250
+    parts = parts or parts_of(a, F.lit(1), TASK_BOXES)
     cells = lambda d: d.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x1") / size), F.floor(F.col("x2") / size)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y1") / size), F.floor(F.col("y2") / size))))
-    name = lambda d, p: d.select(key, "cx", "cy", F.col("id").alias(f"{p}id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
-    j = name(cells(a), "a").join(name(cells(b), "b").hint("shuffle_merge"), [key, "cx", "cy"]).drop("cx", "cy").distinct()
+    name = lambda d, p: d.select(key, "cx", "cy", F.col("id").alias(f"{p}id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")]).repartition(parts, key, "cx", "cy")
+    lowest = lambda p, d: F.floor(F.least(f"{p}{d}1", f"{p}{d}2") / size)
+    first = lambda d: F.col(f"c{d}") == F.greatest(lowest("a", d), lowest("b", d))
+    j = name(cells(a), "a").join(name(cells(b), "b").hint("shuffle_merge"), [key, "cx", "cy"]).filter(first("x") & first("y")).distinct().drop("cx", "cy")
     side = lambda d: F.greatest(F.lit(0.0), F.least(f"a{d}2", f"b{d}2") - F.greatest(f"a{d}1", f"b{d}1"))
     area = lambda p: (F.col(p + "x2") - F.col(p + "x1")) * (F.col(p + "y2") - F.col(p + "y1"))
     inter = side("x") * side("y")
@@ -109,19 +114,24 @@ def mean_average_precision(predicted: DataFrame, truth: DataFrame, key: str = "d
     """(label, average_precision, n_truth) over all pages: boxes (key, id, label, score,
     x1..y2) ranked by score, each matched to the true box of its label that it overlaps
     most, the best-scored first where several want one; the area under the precision
-    and recall curve (precision made falling), averaged over the thresholds."""
+    and recall curve (precision made falling), averaged over the thresholds. Joins and
+    windows are dealt over as many tasks as the counted boxes make; only counts per label, level and score
+    leave them."""
     page = F.struct(F.col(key).alias("k"), F.col("label").alias("label"))
     boxes = lambda d: d.select(page.alias("page"), "id", "x1", "y1", "x2", "y2")
-    pairs = overlapping(boxes(predicted), boxes(truth), "page", min(thresholds))
+    parts = parts_of(predicted, F.lit(1), TASK_BOXES)
+    pairs = overlapping(boxes(predicted), boxes(truth), "page", min(thresholds), parts)
     levels = F.explode(F.array(*map(F.lit, thresholds)))
     ranked = predicted.select(page.alias("page"), F.col("id").alias("aid"), "score")
-    pairs = pairs.join(ranked.hint("shuffle_merge"), ["page", "aid"]).withColumn("level", levels).filter(F.col("iou") >= F.col("level"))
+    near = pairs.repartition(parts, "page", "aid").join(ranked.repartition(parts, "page", "aid").hint("shuffle_merge"), ["page", "aid"])
     own = Window.partitionBy("page", "aid", "level").orderBy(F.desc("iou"), "bid")
     taken = Window.partitionBy("page", "bid", "level").orderBy(F.desc("score"), "aid")
-    hits = pairs.withColumn("_o", F.row_number().over(own)).filter("_o = 1").withColumn("_t", F.row_number().over(taken)).filter("_t = 1").select("page", "aid", "level", F.lit(1).alias("hit"))
-    every = ranked.withColumn("level", levels).join(hits.hint("shuffle_merge"), ["page", "aid", "level"], "left")
-    # equal scores count together, so one row per label, level and score is ordered
-    steps = every.groupBy(F.col("page.label").alias("label"), "level", "score").agg(F.count("*").alias("n"), F.count("hit").alias("h"))
+    best = near.withColumn("level", levels).filter(F.col("iou") >= F.col("level")).withColumn("_o", F.row_number().over(own)).filter("_o = 1")
+    hits = best.repartition(parts, "page", "bid").withColumn("_t", F.row_number().over(taken)).filter("_t = 1")
+    # equal scores count together, so one row per label, level and score is ordered; every level ranks all predictions
+    asked = predicted.groupBy("label", "score").agg(F.count("*").alias("n")).select("label", levels.alias("level"), "score", "n", F.lit(0).cast("long").alias("h"))
+    right = hits.groupBy(F.col("page.label").alias("label"), "level", "score").agg(F.count("*").alias("h")).select("label", "level", "score", F.lit(0).cast("long").alias("n"), "h")
+    steps = asked.unionByName(right).groupBy("label", "level", "score").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
     total = truth.groupBy("label").agg(F.count("*").alias("n_truth"))
     down = Window.partitionBy("label", "level").orderBy(F.desc("score"))
     steps = steps.withColumn("p", F.sum("h").over(down) / F.sum("n").over(down))

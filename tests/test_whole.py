@@ -209,3 +209,45 @@ def test_kie_steps_follow_counted_sizes(spark, monkeypatch):
     got = {(v.doc_id, v.path): (v.in_e, v.in_p, v.e_value, v.p_value, v.score, v.exact) for v in kie.scored_leaves(rows).collect()}
     assert parsed == [5]
     assert got == {(1, "a"): (True, True, "1", "1", 1.0, True), (2, "a"): (True, True, "x", "y", 0.0, False), (2, "b"): (True, True, "1", "1", 1.0, True)}
+
+
+def test_average_precision_follows_counted_boxes(spark, monkeypatch):
+    """Against brute force, with boxes over several cells, equal scores and a null label; joined in more tasks than the session's four."""
+    from docloom.operators import layout
+
+    monkeypatch.setattr(layout, "TASK_BOXES", 10)
+    rng = random.Random(3)
+    box = lambda: (x := rng.uniform(0, 900), y := rng.uniform(0, 900), x + rng.uniform(1, 600), y + rng.uniform(1, 600))
+    truth = [(k % 7, k, rng.choice(["a", "b", None]), *box()) for k in range(120)]
+    moved = [(d, k, lb, float(k % 9), x + rng.uniform(-60, 60), y, u, v + rng.uniform(-60, 60)) for d, k, lb, x, y, u, v in truth]
+    cols = "x1 double, y1 double, x2 double, y2 double"
+    t = spark.createDataFrame(truth, f"doc_id long, id long, label string, {cols}")
+    p = spark.createDataFrame(moved, f"doc_id long, id long, label string, score double, {cols}")
+
+    def iou(a, b):
+        w = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        size = lambda c: (c[2] - c[0]) * (c[3] - c[1])
+        return w / (size(a) + size(b) - w)
+
+    pairs = {(a[0], a[1], b[1]): iou(a[4:], b[3:]) for a in moved for b in truth if a[0] == b[0] and a[2] == b[2] and iou(a[4:], b[3:]) >= 0.5}
+    near = layout.overlapping(p.withColumn("page", F.struct("doc_id", "label")), t.withColumn("page", F.struct("doc_id", "label")), "page", 0.5)
+    assert near.rdd.getNumPartitions() > 8
+    rows = near.collect()
+    assert len(rows) == len(pairs) and {(v.page.doc_id, v.aid, v.bid): v.iou for v in rows} == pytest.approx(pairs)
+    levels = [0.5 + 0.05 * k for k in range(10)]
+    want = {}
+    for label in ("a", "b"):
+        total, area = sum(v[2] == label for v in truth), 0.0
+        guesses = [v for v in moved if v[2] == label]
+        for level in map(lambda v: round(v, 2), levels):
+            taken = {}
+            for g in guesses:
+                mine = sorted((-v, b) for (d, a, b), v in pairs.items() if (d, a) == (g[0], g[1]) and v >= level)
+                if mine:
+                    taken.setdefault((g[0], mine[0][1]), []).append((-g[3], g[1]))
+            hit = {min(v)[1] for v in taken.values()}
+            steps = [(sum(g[3] >= s for g in guesses), sum(g[3] >= s and g[1] in hit for g in guesses), sum(g[3] == s and g[1] in hit for g in guesses)) for s in sorted({g[3] for g in guesses}, reverse=True)]
+            area += sum(max(h / n for n, h, _ in steps[k:]) * steps[k][2] for k in range(len(steps)))
+        want[label] = area / (total * 10)
+    got = {v.label: v.average_precision for v in layout.mean_average_precision(p, t).collect()}
+    assert {k: got[k] for k in want} == pytest.approx(want)
