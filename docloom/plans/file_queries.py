@@ -99,9 +99,8 @@ def markdown_files(spark, d):
     path = shared_folder(spark, "markdown")
     stem = F.concat(F.when(F.col("doc_id") % 4 == 0, "File").otherwise("file"), F.expr("CAST(doc_id DIV 3 AS STRING)"), F.when(F.col("doc_id") % 3 == 2, "c").otherwise(""))
     docs = corpus.output_names(fx.table(spark, d, "documents").select(F.concat(stem, F.when(F.col("doc_id") % 2 == 0, ".PDF").otherwise(".png")).alias("name"), F.col("text").alias("content")))
-    sinks.write_markdown(docs, path)
-    back = spark.read.format("binaryFile").load(path)
-    return back.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"))
+    files = sinks.write_markdown(docs, path)
+    return readers.sizes_of(files.select(F.element_at(F.split("file", "/"), -1)), path)
 
 
 @query("SELECT round(avg(n_chars), 6) AS mean, count(*) AS documents FROM documents")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,24 @@ def files(spark: SparkSession, path: str, kind: str = "images", recursive: bool
     return df.select("path", "name", "length", "content") if content else df.select("path", "name", "length").orderBy("path")
 
 
+def sizes_of(names: DataFrame, path: str) -> DataFrame:
+    """(file, bytes) of the named files (their names are the first column) as they stand in a folder that pyarrow's
+    file systems reach. Tasks look at them, so no listing of the folder passes through the driver; one that is missing
+    fails the job with its name."""
+
+    def look(batches):
+        store, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            found = batch.column(0).to_pylist()
+            infos = store.get_file_info([f"{root}/{n}" for n in found])
+            for name, info in zip(found, infos, strict=True):
+                if info.type != fs.FileType.File:
+                    raise FileNotFoundError(f"{path}/{name}")
+            yield pa.RecordBatch.from_pydict({"file": batch.column(0), "bytes": pa.array([i.size for i in infos], pa.int64())})
+
+    return names.select(F.col(names.columns[0]).cast("string")).distinct().mapInArrow(look, "file string, bytes long")
+
+
 def decodable(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files that start like an image or PDF, and the rejected rest."""
     head = F.hex(F.substring("content", 1, 8))

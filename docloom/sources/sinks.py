@@ -88,22 +88,24 @@ def card(counts: DataFrame, title: str) -> DataFrame:
 
 def write_markdown(docs: DataFrame, path: str) -> DataFrame:
     """One file per document, named by out_name (see corpus.output_names), below a folder
-    that pyarrow's file systems reach. A repeated task replaces a file by an equal one.
+    that pyarrow's file systems reach. A task writes into a hidden folder of its own below it and moves
+    whole files out of it (tasks that create files in one folder wait for each other); a repeated one replaces a file by an equal one.
     Returns (file, bytes), written and reread."""
 
     def write(batches):
         store, root = fs.FileSystem.from_uri(path)
-        store.create_dir(root, recursive=True)
+        own = f"{root}/.{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), []
             for name, text in zip(names, batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode()
-                own = f"{root}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(own) as f:
+                with store.open_output_stream(f"{own}/next") as f:
                     f.write(data)
-                store.move(own, f"{root}/{name}")
+                store.move(f"{own}/next", f"{root}/{name}")
                 sizes.append(len(data))
             yield pa.RecordBatch.from_pydict({"file": [f"{path}/{n}" for n in names], "bytes": pa.array(sizes, pa.int64())})
+        store.delete_dir(own)
 
     rows = docs.filter(F.col("out_name").isNotNull()).select(F.replace("out_name", F.lit("/"), F.lit("_")).alias("n"), F.col("content").cast("string").alias("c"))
     return written(rows.mapInArrow(write, "file string, bytes long"), "markdown").select("file", "bytes")
