@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import rows as r
 from docloom.plans.queries import QUERIES
-from docloom.sources import sinks
+from docloom.sources import readers, sinks
 from docloom.streaming import jobs
 
 
@@ -251,3 +251,21 @@ def test_average_precision_follows_counted_boxes(spark, monkeypatch):
         want[label] = area / (total * 10)
     got = {v.label: v.average_precision for v in layout.mean_average_precision(p, t).collect()}
     assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+def test_files_are_looked_at_in_few_tasks(spark, tmp_path):
+    """No task for each file of a micro-batch, no listing of all written files, nothing left beside them."""
+    docs = spark.range(200).repartition(3).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("out_name"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("content"))
+    path = f"file://{tmp_path}/out"
+    files = sinks.write_markdown(docs, path)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{k}.txt" for k in range(200))
+    names = files.select(F.element_at(F.split("file", "/"), -1))
+    assert {tuple(v) for v in readers.sizes_of(names, path).collect()} == {(f"{k}.txt", k) for k in range(200)}
+    with pytest.raises(Exception, match="nowhere.txt"):
+        readers.sizes_of(spark.createDataFrame([("nowhere.txt",)], "file string"), path).collect()
+    before = spark.conf.get(jobs.LISTING, None)
+    assert jobs.finished(jobs.incoming_files(spark, path).select("length"), "append", str(tmp_path / "cp")).count() == 199  # Spark's scans pass over an empty file
+    assert spark.conf.get(jobs.LISTING, None) == before
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(k) for job in tracker.getJobIdsForGroup(None) for k in tracker.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s) < 200
