@@ -253,7 +253,7 @@ def test_average_precision_follows_counted_boxes(spark, monkeypatch):
     assert {k: got[k] for k in want} == pytest.approx(want)
 
 
-def test_files_are_looked_at_in_few_tasks(spark, tmp_path):
+def test_files_are_looked_at_in_few_tasks(spark, tmp_path, monkeypatch):
     """No task for each file of a micro-batch, no listing of all written files, nothing left beside them."""
     docs = spark.range(200).repartition(3).select(F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("out_name"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("content"))
     path = f"file://{tmp_path}/out"
@@ -263,9 +263,19 @@ def test_files_are_looked_at_in_few_tasks(spark, tmp_path):
     assert {tuple(v) for v in readers.sizes_of(names, path).collect()} == {(f"{k}.txt", k) for k in range(200)}
     with pytest.raises(Exception, match="nowhere.txt"):
         readers.sizes_of(spark.createDataFrame([("nowhere.txt",)], "file string"), path).collect()
-    before = spark.conf.get(jobs.LISTING, None)
-    assert jobs.finished(jobs.incoming_files(spark, path).select("length"), "append", str(tmp_path / "cp")).count() == 199  # Spark's scans pass over an empty file
+    before, sc = spark.conf.get(jobs.LISTING, None), spark.sparkContext
+
+    def most_tasks(checkpoint):
+        sc.setJobGroup("mark", "")
+        spark.range(1).write.format("noop").mode("overwrite").save()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        first = max(sc.statusTracker().getJobIdsForGroup("mark"))
+        rows = jobs.finished(jobs.incoming_files(spark, path).select("length"), "append", str(tmp_path / checkpoint))
+        infos = [sc.statusTracker().getJobInfo(k) for k in range(first, first + 40)]
+        assert rows.count() == 199  # Spark's scans pass over an empty file
+        return max(v.numTasks for i in infos if i for k in i.stageIds if (v := sc.statusTracker().getStageInfo(k)))
+
+    assert most_tasks("few") <= jobs.LISTING_TASKS
     assert spark.conf.get(jobs.LISTING, None) == before
-    tracker = spark.sparkContext.statusTracker()
-    stages = [tracker.getStageInfo(k) for job in tracker.getJobIdsForGroup(None) for k in tracker.getJobInfo(job).stageIds]
-    assert max(s.numTasks for s in stages if s) < 200
+    monkeypatch.setattr(jobs, "LISTING_TASKS", 10_000)
+    assert most_tasks("many") == 200  # as Spark does it
