@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import give_back, small_batches, staged
-from docloom.llm.tokenizing import Encoder
+from docloom.llm.tokenizing import kept_encoder
 
 PIECE_FIELDS = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, wi
     def cut(batches):
         encoder, end = None, np.array([end_id], "<u4")
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, remember=400_000, run_bytes=4 << 20)
+            encoder = encoder or kept_encoder(tokenizer, remember=400_000, run_bytes=4 << 20)
             keys = batch.column(0).to_pylist()
             for first, ids, ends in encoder.encode(batch.column(1)):
                 rows, start = [], 0

@@ -141,3 +141,16 @@ class Encoder:
             ids = flat[np.repeat(at[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
             until = np.concatenate(([0], ends))
             yield first, ids, until[np.searchsorted(starts, rows[1:])]
+
+
+_kept: dict[tuple, Encoder] = {}
+
+
+def kept_encoder(path: str, remember: int, run_bytes: int) -> Encoder:
+    """The encoder that an earlier task of this Python worker left, with the pieces it remembers, else a new one. A
+    worker keeps one; ids do not depend on what is remembered."""
+    key = (path, os.stat(path).st_mtime_ns, remember, run_bytes)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Encoder(path, remember, run_bytes)
+    return _kept[key]
