@@ -24,6 +24,7 @@ token the same probability; empty tables give no rows. Other columns are not rea
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -56,25 +57,71 @@ class Vocabulary:
         """Place among the common words (0 where absent) and whether it is there."""
         if not len(self.known):
             return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        at = np.searchsorted(self.known, words)
-        at[at == len(self.known)] = 0
-        return at, self.known[at] == words
+        shift, first = self.runs
+        at = first[words >> shift]
+        below = np.flatnonzero(self.known[at] < words)
+        while len(below):  # as often as the longest run is long: hashes are spread evenly
+            below = below[at[below] < len(self.known) - 1]
+            at[below] += 1
+            below = below[self.known[at[below]] < words[below]]
+        there = self.known[at] == words
+        at[~there] = 0
+        return at, there
+
+    @cached_property
+    def runs(self) -> tuple[np.uint64, np.ndarray]:
+        """By how much a hash is shifted to its leading bits, and for each value of these the place of the
+        first common word that is not below (the last place, if there is none)."""
+        bits = min(20, len(self.known).bit_length() + 2)
+        shift = np.uint64(64 - bits)
+        first = np.searchsorted(self.known, np.arange(1 << bits, dtype=np.uint64) << shift)
+        return shift, np.minimum(first, len(self.known) - 1)
 
     def symbols_of(self, words: np.ndarray) -> np.ndarray:
         at, there = self.look(words)
         return np.where(there, self.symbol[at] if len(self.known) else 0, self.symbols - 1)
 
 
-def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp of each row, in place, its sum, and what was taken off the logits before: nothing where all of
-    them are far from the ends of single precision, else the row's largest."""
-    off: np.ndarray | float = 0.0
-    if logits.size and (logits.max() > 60.0 or logits.min() < -60.0):
-        off = logits.max(1, keepdims=True)
-        logits -= off
-        off = off[:, 0]
-    np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], logits.dtype), off
+def softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """e and f, with e * f in proportion to each row's probabilities under the softmax of h @ w + bias, and
+    the rows' sums of e * f. `near`: no logit is far from zero, so that the bias becomes a factor and no
+    row's largest is taken off."""
+    e = h @ w
+    if near:
+        f = np.exp(bias)
+    else:
+        e += bias
+        e -= e.max(1, keepdims=True)
+        f = np.ones(e.shape[1], e.dtype)
+    np.exp(e, out=e)
+    return e, f, e @ f
+
+
+def log_softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, chosen: tuple, near: bool) -> np.ndarray:
+    """The log-probability of each row's chosen column (`chosen`: rows and columns)."""
+    if near:
+        e, f, total = softmax(h, w, bias, near)
+        return np.log(e[chosen] * f[chosen[1]] / total)
+    e = h @ w
+    e += bias
+    e -= e.max(1, keepdims=True)
+    one = e[chosen]
+    return one - np.log(np.exp(e, out=e).sum(1))
+
+
+def reach(h: np.ndarray, w: np.ndarray, bias: np.ndarray, axis: int) -> float:
+    """No entry of h @ w + bias (w's inner axis is `axis`) is further from zero, nor any part of it."""
+    if not (h.size and w.size):
+        return 0.0
+    return float(max(h.max(), -h.min()) * np.abs(w).sum(axis).max() + np.abs(bias).max())
+
+
+def group_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums over runs of rows (the last axis but one) that begin at `first`; two numbers are added at a time."""
+    pair = np.result_type(rows.dtype, np.complex64)
+    if rows.shape[-1] % 2 or pair.itemsize != 2 * rows.itemsize:
+        return np.add.reduceat(rows, first, axis=-2)
+    return np.add.reduceat(rows.view(pair), first, axis=-2).view(rows.dtype)
 
 
 class Gru:
@@ -105,65 +152,55 @@ class Gru:
         new = np.tanh(a[:, 2 * n :] + r * hu[:, 2 * n :])
         return new + z * (h - new), z, r, new, hu[:, 2 * n :]
 
-    def after(self, a: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The state after symbols whose parts of the gates, with the bias, are in `a`."""
+    def gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each symbol, and what each state, gives to the three gates: a block per gate, as whole
+        blocks are faster to work on than column ranges."""
         n = self.size
-        hu = h @ self.w["u"]
-        g = a[:, : 2 * n] + hu[:, : 2 * n]
-        np.negative(g, out=g)
-        np.exp(g, out=g)
-        g += 1.0
-        np.reciprocal(g, out=g)
-        new = hu[:, 2 * n :]
-        new *= g[:, n:]
-        new += a[:, 2 * n :]
-        np.tanh(new, out=new)
-        out = h - new
-        out *= g[:, :n]
-        out += new
-        return out
-
-    def log_probs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
-        """Natural-log P(class) * P(head word | class) per row; with `grads`, also adds
-        the gradients of the negated sum and returns that of h."""
-        klass = self.klass[target]
-        logits = h @ self.w["c"] + self.w["cb"]
-        row = np.arange(len(h))
-        chosen = logits[row, klass]
-        p, total, off = exponentials(logits)
-        out = (chosen - off - np.log(total)).astype(np.float64)
-        dh = None
-        if grads is not None:
-            p /= total[:, None]
-            p[row, klass] -= 1.0
-            grads["c"] += h.T @ p
-            grads["cb"] += p.sum(0)
-            dh = p @ self.w["c"].T
+        given = (self.w["x"] + self.w["b"]).reshape(-1, 3, n).transpose(1, 0, 2)
+        return np.ascontiguousarray(given), np.ascontiguousarray(self.w["u"].reshape(n, 3, n).transpose(1, 0, 2))
+
+    def log_probs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """Natural-log P(class) * P(head word | class) per row; with `grads`, adds the gradients
+        of the negated sum instead and returns, in second place, that of h."""
+        w = self.w
+        klass = self.klass[target].astype(np.min_scalar_type(len(w["cb"])))  # short numbers are sorted by counting
         order = np.argsort(klass, kind="stable")
-        bounds = np.searchsorted(klass[order], np.arange(-(-self.head // CLASS) + 1))
-        hs, place, add = h[order], target[order] % CLASS, np.zeros(len(h))
-        back = np.zeros_like(hs) if grads is not None else None
-        for c, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            if a == b:
+        hs, klass, place = h.take(order, axis=0), klass[order], target[order] % CLASS
+        bounds = np.searchsorted(klass, np.arange(-(-self.head // CLASS) + 1)).tolist()
+        out, some = np.empty(len(h) if grads is None else hs.shape, hs.dtype), 2048  # a run of rows stays near the processor
+        near = reach(h, w["c"], w["cb"], 0) < 60.0
+        for a in range(0, len(h), some):
+            part = hs[a : a + some]
+            at = np.arange(len(part)), klass[a : a + some]
+            if grads is None:
+                out[a : a + some] = log_softmax(part, w["c"], w["cb"], at, near)
                 continue
+            e, f, total = softmax(part, w["c"], w["cb"], near)
+            over = 1.0 / total
+            e[at] -= total / f[at[1]]
+            grads["c"] += (part * over[:, None]).T @ e * f
+            grads["cb"] += over @ e * f
+            np.multiply(e @ (w["c"] * f).T, over[:, None], out=out[a : a + some])
+        near = reach(h, w["o"], w["ob"], 1) < 60.0
+        for c, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             words = slice(c * CLASS, min(self.head, (c + 1) * CLASS))
-            o = self.w["o"][words]
-            q = hs[a:b] @ o.T
-            q += self.w["ob"][words]
-            at = np.arange(b - a), place[a:b]
-            chosen = q[at]
-            q, total, off = exponentials(q)
-            add[a:b] = chosen - off - np.log(total)
-            if grads is not None:
-                q /= total[:, None]
-                q[at] -= 1.0
-                grads["o"][words] += q.T @ hs[a:b]
-                grads["ob"][words] += q.sum(0)
-                back[a:b] = q @ o
-        out[order] += add
-        if grads is not None:
-            dh[order] += back
-        return out, dh
+            for a in range(low, high, some):
+                b = min(high, a + some)
+                part, at, o = hs[a:b], (np.arange(b - a), place[a:b]), w["o"][words]
+                if grads is None:
+                    out[a:b] += log_softmax(part, o.T, w["ob"][words], at, near)
+                    continue
+                e, f, total = softmax(part, o.T, w["ob"][words], near)
+                over = 1.0 / total
+                e[at] -= total / f[at[1]]
+                grads["o"][words] += e.T @ (part * over[:, None]) * f[:, None]
+                grads["ob"][words] += over @ e * f
+                more = e @ (o * f[:, None])
+                more *= over[:, None]
+                out[a:b] += more
+        home = np.empty_like(order)
+        home[order] = np.arange(len(h))
+        return (out[home].astype(np.float64), None) if grads is None else (None, out.take(home, axis=0))
 
     def learn(self, batch: np.ndarray, h: np.ndarray, squares: dict, rate: float) -> np.ndarray:
         """One truncated backpropagation over batch (rows x steps + 1 symbols, -1 where
@@ -171,60 +208,80 @@ class Gru:
         n, (rows, width) = self.size, batch.shape
         steps = width - 1
         x = np.maximum(batch[:, :-1].T, 0)
-        given, u = (self.w["x"] + self.w["b"])[x], self.w["u"]
-        h0, gates = h, np.empty((3, steps, rows, n), given.dtype)  # z, r, candidate
-        hu2, states = np.empty((steps, rows, n), given.dtype), np.empty((steps, rows, n), given.dtype)
+        given, u = self.gates()
+        given[:2] *= -1.0
+        low = u * np.array([-1.0, -1.0, 1.0], u.dtype)[:, None, None]
+        h0, kind = h, given.dtype
+        z, r, c, hu2, states = (np.empty((steps, rows, n), kind) for _ in range(5))
         for t in range(steps):
-            hu = h @ u
-            g = given[t, :, : 2 * n] + hu[:, : 2 * n]
-            np.negative(g, out=g)
-            np.exp(g, out=g)
-            g += 1.0
-            np.reciprocal(g, out=g)
-            z, r = gates[0, t], gates[1, t]
-            z[:], r[:], hu2[t] = g[:, :n], g[:, n:], hu[:, 2 * n :]
-            new = np.tanh(given[t, :, 2 * n :] + r * hu2[t], out=gates[2, t])
-            h = np.add(new, z * (h - new), out=states[t])
-        live = batch[:, 1:].T >= 0
-        when, row = np.nonzero(live)
-        if not len(row):
+            g, hu = given.take(x[t], axis=1), np.matmul(h, low)
+            zr = g[:2]
+            zr += hu[:2]
+            np.exp(zr, out=zr)
+            zr += 1.0
+            np.reciprocal(zr[0], out=z[t])
+            np.reciprocal(zr[1], out=r[t])
+            hu2[t] = hu[2]
+            new = np.multiply(r[t], hu[2], out=hu[2])
+            new += g[2]
+            np.tanh(new, out=c[t])
+            h = np.subtract(h, c[t], out=states[t])
+            h *= z[t]
+            h += c[t]
+        target = batch[:, 1:].T
+        live = target >= 0
+        if not live.any():
             return h
-        grads = {k: np.zeros_like(v) for k, v in self.w.items() if k != "x"}
-        _, d = self.log_probs(states[when, row], batch[:, 1:].T[when, row], grads)
-        d_out = np.zeros_like(states)
-        d_out[when, row] = d
-        # what a state's gradient is multiplied by on its way to the gates, for all steps at once
-        z, r, c = gates
-        before = np.concatenate((h0[None].astype(given.dtype), states[:-1]))
-        into = np.empty((steps, rows, 3, n), given.dtype)
-        into[:, :, 2] = (1 - z) * (1 - c * c)
-        into[:, :, 0] = (before - c) * z * (1 - z)
-        into[:, :, 1] = into[:, :, 2] * hu2 * r * (1 - r)
-        back = into.copy()
-        back[:, :, 2] *= r
-        dh, ut = np.zeros((rows, n), given.dtype), np.ascontiguousarray(u.T)
+        grads = {k: np.zeros_like(v) for k, v in self.w.items() if k not in ("x", "u", "b")}
+        if live.all():
+            d_out = self.log_probs(states.reshape(-1, n), target.ravel(), grads)[1].reshape(steps, rows, n)
+        else:
+            d_out = np.zeros_like(states)
+            d_out[live] = self.log_probs(states[live], target[live], grads)[1]
+        # what a state's gradient is multiplied by on its way to the gates, for all steps at once: to the
+        # state's part of the candidate, to the two other gates, to the symbol's part of the candidate
+        before = np.concatenate((h0[None].astype(kind), states[:-1]))
+        into = np.empty((4, steps, rows, n), kind)
+        part = np.subtract(1.0, z)
+        np.multiply(c, c, out=into[3])
+        np.subtract(1.0, into[3], out=into[3])
+        into[3] *= part
+        np.subtract(before, c, out=into[1])
+        into[1] *= z
+        into[1] *= part
+        np.multiply(into[3], r, out=into[0])
+        np.multiply(into[0], hu2, out=into[2])
+        into[2] *= np.subtract(1.0, r, out=part)
+        dh, ut = np.zeros((rows, n), kind), np.ascontiguousarray(u[[2, 0, 1]].transpose(0, 2, 1))
         for t in range(steps - 1, -1, -1):
             dh += d_out[t]
-            into[t] *= dh[:, None]
-            back[t] *= dh[:, None]
-            dh = dh * z[t] + back[t].reshape(rows, 3 * n) @ ut
-        flat = into.reshape(-1, 3 * n)
-        grads["u"] += before.reshape(-1, n).T @ back.reshape(-1, 3 * n)
-        grads["b"] += flat.sum(0)
-        x = x.ravel()
+            into[:, t] *= dh
+            dh *= z[t]
+            for more in np.matmul(into[:3, t], ut):
+                dh += more
+        flat = into.reshape(4, -1, n)
+        grads["u"] = np.matmul(before.reshape(-1, n).T, flat[:3])[[1, 2, 0]].transpose(1, 0, 2).reshape(n, 3 * n)
+        x = x.ravel().astype(np.min_scalar_type(len(self.w["x"])))
         order = np.argsort(x, kind="stable")
-        some, first = np.unique(x[order], return_index=True)
-        grads["x"] = np.add.reduceat(flat[order], first)  # of the symbols that occur
-        scale = 1.0 / len(row)
+        seen = x[order]
+        first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        some = seen[first]
+        grads["x"] = group_sums(flat[1:].take(order, axis=1), first).transpose(1, 0, 2).reshape(-1, 3 * n)  # of the symbols that occur
+        grads["b"] = grads["x"].sum(0)
+        scale = 1.0 / np.count_nonzero(live)
         norm = scale * np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads.values()))
         scale *= min(1.0, 1.0 / max(norm, 1e-9))
         for k, g in grads.items():
             at = some if k == "x" else slice(None)
             g *= scale
-            seen = squares[k][at] + g * g
-            squares[k][at] = seen
+            seen = squares[k][at] if k == "x" else squares[k]
+            seen += g * g
+            if k == "x":
+                squares[k][at] = seen
             g *= rate
-            g /= np.sqrt(seen) + 1e-8
+            root = np.sqrt(seen)
+            root += 1e-8
+            g /= root
             self.w[k][at] -= g
         return h
 
@@ -259,30 +316,48 @@ class Gru:
         target, owner = np.concatenate([texts[k] for k in order]), np.repeat(order, sizes[order])
         starts = np.zeros(len(target), bool)
         starts[np.cumsum(sizes[order]) - sizes[order]] = True
-        begin = np.cumsum(load) - load
-        h, x, given = np.zeros((lanes, self.size), np.float32), np.full(lanes, end, np.int64), self.w["x"] + self.w["b"]
-        for a in range(0, int(load[0]), window):
+        begin, before = np.cumsum(load) - load, np.append(end, target[:-1])  # the symbol before a text is the end of another
+        h, (given, u), a, most = np.zeros((lanes, self.size), np.float32), self.gates(), 0, lanes * window
+        np.negative(given[:2], out=given[:2])
+        np.negative(u[:2], out=u[:2])
+        while a < load[0]:
             n = int(np.searchsorted(-load, -a))  # lanes longer than a
-            steps = min(int(load[0]) - a, window)
-            states = np.empty((steps, n, self.size), np.float32)
-            for t in range(steps):
-                n = int(np.searchsorted(-load, -(a + t)))
-                at = begin[:n] + a + t
-                h, x = h[:n], x[:n]
-                h[starts[at]] = 0.0  # the symbol before is the end of the text before
-                h = self.after(given[x], h)
-                states[t, :n] = h
-                x = target[at]
-            row, col = np.nonzero(load[None, :] > (a + np.arange(steps))[:, None])
-            at = begin[col] + a + row
-            p, _ = self.log_probs(states[row, col], target[at])
-            out += np.bincount(owner[at], p, len(texts))
+            steps = min(int(load[0]) - a, most // n)
+            when = a + np.arange(steps)
+            running = np.searchsorted(-load, -when)  # lanes longer than each step
+            at = (begin[:n] + when[:, None])[np.arange(n) < running[:, None]]
+            x, states = before[at], np.empty((len(at), self.size), np.float32)
+            fresh = np.flatnonzero(starts[at])  # a text begins with no state
+            stop = np.cumsum(running)
+            cut = np.searchsorted(fresh, stop).tolist()
+            i = k = 0
+            for j, m in zip(stop.tolist(), cut, strict=True):
+                h = h[: j - i]
+                if m > k:
+                    h = h.copy()  # the states before are still to be read
+                    h[fresh[k:m] - i] = 0.0
+                g, hu = given.take(x[i:j], axis=1), np.matmul(h, u)
+                zr, new = g[:2], hu[2]
+                zr += hu[:2]
+                np.exp(zr, out=zr)
+                zr += 1.0
+                np.reciprocal(zr, out=zr)
+                new *= zr[1]
+                new += g[2]
+                np.tanh(new, out=new)
+                h = np.subtract(h, new, out=states[i:j])
+                h *= zr[0]
+                h += new
+                i, k = j, m
+            h = h.copy()
+            out += np.bincount(owner[at], self.log_probs(states, target[at])[0], len(texts))
+            a += steps
         return out / np.log(10.0)
 
 
 def tokens(column: pa.Array):
     """Word hashes of each text, its end last."""
-    for _, _, data, rows in chunks(column):
+    for _, _, data, rows in chunks(column, 1 << 17):  # what is made of a run stays near the processor
         starts, ends, first = word_spans(data, rows)
         words = word_hashes(data, starts, ends)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -317,21 +392,66 @@ def symbol_type(words: Vocabulary) -> np.dtype:
     return np.min_scalar_type(words.symbols - 1)
 
 
+def encoded(docs: DataFrame, words: Vocabulary, held_out=None) -> DataFrame:
+    """Per row, so that each text is taken apart once for training and scores: a number of its own (uid), doc_id, held_out,
+    key (a hash of its doc_id), symbols (its end last), n_tokens, the number of its common words that training has,
+    their part of the base score, what is fixed of the model's, and the hashes of its rare words."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("key", pa.int64()), ("symbols", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("fixed", pa.float64()), ("rare", pa.list_(pa.int64()))])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        v, uid, rows, size = sent.value, TaskContext.get().partitionId() << 33, [], 0
+        kind, logs = symbol_type(v), np.log10(v.count + 1.0)
+
+        def made():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for doc_id, held, key, t in zip(*(batch.column(k).to_pylist() for k in range(3)), tokens(batch.column(3)), strict=True):
+                at, there = v.look(t)
+                found = at[there]
+                symbols = np.where(there, v.symbol[at], v.symbols - 1).astype(kind)
+                rows.append((uid, doc_id, held, key, symbols.tobytes(), len(t), int((v.count[found] > 0).sum()), float(logs[found].sum()), float(v.share[found].sum()), t[~there].view(np.int64)))
+                uid, size = uid + 1, size + len(t)
+                if size >= 1 << 20:
+                    yield made()
+                    rows, size = [], 0
+        if rows:
+            yield made()
+        give_back()
+
+    named = "doc_id" in docs.columns
+    key = F.col("doc_id").cast("string") if named else F.col("text")
+    doc_id = (F.col("doc_id") if named else F.lit(None)).cast("long").alias("doc_id")
+    held_out = (F.lit(False) if held_out is None else held_out).alias("held_out")
+    rows = docs.select(doc_id, held_out, F.xxhash64(key).alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, key long, symbols binary, n_tokens long, n_known long, base double, fixed double, rare array<long>")
+
+
 def training_windows(training: DataFrame, words: Vocabulary, window: int) -> DataFrame:
-    """Rows (w, deal): each text as consecutive windows of `window` symbols to predict, after
+    """The windows of texts (see `windows_of`)."""
+    return windows_of(encoded(training, words), words, window)
+
+
+def windows_of(rows: DataFrame, words: Vocabulary, window: int) -> DataFrame:
+    """Rows (w, deal): each encoded text as consecutive windows of `window` symbols to predict, after
     the symbol before them (the end symbol at the start of a text), and a number from its doc_id and place by
     which windows are dealt to tasks, the same wherever a row is read."""
-    sent, schema = training.sparkSession.sparkContext.broadcast(words), pa.schema([("w", pa.binary()), ("deal", pa.int64())])
+    schema = pa.schema([("w", pa.binary()), ("deal", pa.int64())])
+    kind = symbol_type(words)
+    end = words.symbols_of(np.array([END])).astype(kind).tobytes()
+    step = kind.itemsize
 
     def run(batches):
-        v = sent.value
-        end, kind, windows, deal = v.symbols_of(np.array([END])), symbol_type(v), [], []
+        windows, deal = [], []
         made = lambda: pa.RecordBatch.from_arrays([pa.array(windows, pa.binary()), pa.array(deal, pa.int64())], schema=schema)
         for batch in batches:
-            for t, key in zip(tokens(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                s = np.concatenate((end, v.symbols_of(t))).astype(kind)
-                for at in range(0, len(t), window):
-                    windows.append(s[at : at + window + 1].tobytes())
+            for symbols, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = end + symbols
+                for at in range(0, len(symbols) // step, window):
+                    windows.append(s[at * step : (at + window + 1) * step])
                     deal.append(((key ^ at * 0x9E3779B97F4A7C15) & (1 << 64) - 1) % 1_000_003)
                     if len(windows) == 1 << 14:
                         yield made()
@@ -339,8 +459,7 @@ def training_windows(training: DataFrame, words: Vocabulary, window: int) -> Dat
         if windows:
             yield made()
 
-    key = F.col("doc_id").cast("string") if "doc_id" in training.columns else F.col("text")
-    return training.select(F.col("text").cast("string").alias("text"), F.xxhash64(key).alias("key")).mapInArrow(run, "w binary, deal long")
+    return rows.select("symbols", "key").mapInArrow(run, "w binary, deal long")
 
 
 def vocabulary(counts: DataFrame, *, head: int = 2048, most: int = 1 << 18, least: int = 5) -> Vocabulary:
@@ -458,50 +577,47 @@ def train_gru(windows: DataFrame, words: Vocabulary, *, size: int = 24, steps: i
 
 
 def score_texts(docs: DataFrame, held_out, counts: DataFrame, words: Vocabulary, model: Gru) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-    Common words are looked up in a broadcast table of bounded size; the rare ones
+    """The scores of texts (see `scores_of`)."""
+    return scores_of(staged(encoded(docs, words, held_out), "texts"), counts, words, model)
+
+
+def scores_of(texts_: DataFrame, counts: DataFrame, words: Vocabulary, model: Gru) -> DataFrame:
+    """Per encoded row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    Common words were looked up in a broadcast table of bounded size; the rare ones
     meet their counts in a join."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, model))
-    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.int64()))])
+    sent = texts_.sparkSession.sparkContext.broadcast((words, model))
+    schema = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 
     def run(batches):
-        from pyspark import TaskContext
-
         keep_memory()
         v, gru = sent.value
-        uid = TaskContext.get().partitionId() << 33
-        end = int(v.symbols_of(np.array([END]))[0])
-        logs = np.log10(v.count + 1.0)
-        texts, rows, fixed, size = [], [], [], 0
+        kind, end = symbol_type(v), int(v.symbols_of(np.array([END]))[0])
+        texts, rows, size = [], [], 0
 
         def scored():
+            *same, fixed = zip(*rows, strict=True)
             scores = gru.score(texts, end) + np.array(fixed)
-            ids, held, n, known, base, rare = zip(*rows, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(uid + np.arange(len(texts))), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), *map(pa.array, (n, known, base, scores)), pa.array(rare, pa.list_(pa.int64()))], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*same, scores], schema, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc_id, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), tokens(batch.column(2)), strict=True):
-                at, there = v.look(t)
-                found = at[there]
-                texts.append(np.where(there, v.symbol[at], v.symbols - 1).astype(np.int32))
-                fixed.append(float(v.share[found].sum()))
-                rows.append((doc_id, held, len(t), int((v.count[found] > 0).sum()), float(logs[found].sum()), t[~there].view(np.int64)))
-                size += len(t)
-                if size >= 1 << 21:  # texts of many batches share the lanes, up to so many symbols
+            for symbols, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts.append(np.frombuffer(symbols, kind))
+                rows.append(row)
+                size += len(texts[-1])
+                if size >= 1 << 22:  # texts of many batches share the lanes, up to so many symbols
                     yield scored()
-                    uid += len(texts)
-                    texts, rows, fixed, size = [], [], [], 0
+                    texts, rows, size = [], [], 0
         if texts:
             yield scored()
         give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), F.col("text").cast("string"))
-    rows = staged(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>"), "scores")
+    same = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base"]
+    rows = staged(texts_.select("symbols", *same, "fixed").mapInArrow(run, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double"), "scores")
     c = F.coalesce("c", F.lit(0))
     z = max(words.rare_total, 1e-9)
     unseen = words.discount * words.rare_types / z if words.rare_types else 1.0
     within = F.log10(F.when(c > 0, (c - words.discount) / z).otherwise(F.lit(unseen)))
-    rare = rows.select("uid", F.explode_outer("rare").alias("h")).filter(F.col("h").isNotNull()).groupBy("uid", "h").agg(F.count("*").alias("k"))
+    rare = texts_.select("uid", F.explode_outer("rare").alias("h")).filter(F.col("h").isNotNull()).groupBy("uid", "h").agg(F.count("*").alias("k"))
     joined = rare.join(counts.hint("shuffle_merge"), "h", "left").groupBy("uid").agg(F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("k_known"), F.sum(F.col("k") * F.log10(c + 1.0)).alias("k_base"), F.sum(F.col("k") * within).alias("k_model"))
     zero = F.lit(0.0)
     per_token = float(np.log10(words.total + words.distinct + 1.0))
@@ -526,8 +642,9 @@ def _lm_scores(docs: DataFrame, held_out, window: int, training: dict) -> DataFr
     learnt = docs.filter(~held_out)
     counts = staged(count_words(learnt).groupBy("h").agg(F.sum("c").alias("c")), "counts")
     words = vocabulary(counts)
-    model = train_gru(staged(training_windows(learnt, words, window), "windows"), words, **training)
-    return score_texts(docs, held_out, counts, words, model)
+    texts = staged(encoded(docs, words, held_out), "texts")
+    model = train_gru(staged(windows_of(texts.filter("not held_out"), words, window), "windows"), words, **training)
+    return scores_of(texts, counts, words, model)
 
 
 def op1_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,52 @@ def test_the_language_model_does_not_depend_on_partitions(spark):
     assert seen[0] == pytest.approx(seen[1], rel=1e-7)  # texts are scored in lanes, whose sums are in single precision
 
 
+def test_the_language_model_takes_texts_apart_twice(spark):
+    """Once to count words, once for training and scores together."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [(k, f"a b c{k % 5} d") for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    docs = docs.select("doc_id", F.udf(read, "string")("text").alias("text"))
+    assert lm.lm_scores(docs, F.col("doc_id") % 7 == 2).count() == 70
+    assert 70 < seen.value <= 140
+
+
+def test_words_are_found_and_chosen_alike_on_all_paths():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 3000):
+        h = np.unique(np.append(rng.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True), np.array([0, 2**64 - 1], np.uint64)[: n % 3]))
+        words = lm.Vocabulary(h, np.ones(len(h)), np.arange(len(h)), np.zeros(len(h)), 1, 2, np.zeros(2, int), np.zeros(1), 1, 1, 0.0, 0, 0.5)
+        ask = np.concatenate((h, h + np.uint64(1), h - np.uint64(1), rng.integers(0, 2**64, 500, dtype=np.uint64)))
+        at, there = words.look(ask)
+        assert there.tolist() == np.isin(ask, h).tolist() and (h[at[there]] == ask[there]).all() and not at[~there].any()
+    h, w, bias = rng.standard_normal((40, 6)), rng.standard_normal((6, 9)), rng.standard_normal(9)
+    at = np.arange(40), rng.integers(0, 9, 40)
+    logits = h @ w + bias
+    want = logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    for near in (True, False):
+        assert np.allclose(lm.log_softmax(h, w, bias, at, near), want[at])
+        e, f, total = lm.softmax(h, w, bias, near)
+        assert np.allclose(np.log(e * f / total[:, None]), want)
+    assert np.isfinite(lm.log_softmax(h * 1000, w, bias, at, lm.reach(h * 1000, w, bias, 0) < 60.0)).all()
+
+
+def test_a_text_scores_alike_whatever_follows_it_in_its_lane():
+    rng = np.random.default_rng(5)
+    words = lm.Vocabulary(np.arange(9, dtype=np.uint64), np.ones(9), np.arange(9), np.zeros(9), 7, 9, np.array([0] * 7 + [1, 2]), np.log(np.full(3, 1 / 3)), 9, 9, 1.0, 1, 0.5)
+    gru = lm.Gru(words, 6)
+    for k, v in gru.w.items():
+        gru.w[k] = rng.standard_normal(v.shape).astype(np.float32)
+    texts = [np.append(rng.integers(1, 9, n), 0) for n in rng.choice([0, 1, 3, 12, 40], 50)]
+    one = [gru.score([t], 0)[0] for t in texts]
+    for lanes, window in ((1, 64), (3, 7), (60, 64)):
+        assert np.allclose(gru.score(texts, 0, lanes, window), one, rtol=1e-5)
+
+
 def test_rows_over_all_languages_are_bounded(spark):
     rows = [(k, f"{'abcdefgh'[k % 4] * 6} {k}", f"l{k % 4}") for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
