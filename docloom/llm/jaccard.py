@@ -15,7 +15,8 @@
    group lists its pairs).
 4. A block is joined in one task over a trie of its ordered sets: a probe walks the
    trie with its overlap so far, leaves a subtree when the elements that remain
-   cannot reach the needed overlap, and skips what is already in its component.
+   cannot reach the needed overlap, and skips subtrees that are already in its component.
+   Elements that one set of the block holds alone only count by its size.
    A block of too many elements is cut into tiles, and every pair of tiles is a task.
 
 Texts that are null, empty or without a word have an empty set and no links. A text
@@ -26,6 +27,7 @@ names none. Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,17 +103,23 @@ def cell_counts(docs: DataFrame, n: int) -> np.ndarray:
 
 class Trie:
     """Ordered sets with shared beginnings; a leaf keeps the unshared rest as an
-    array. `low` and `high` bound the set sizes below a node."""
+    array. Below a node, `low` and `high` bound the sizes of the sets, `long` how many of
+    their elements are in the trie; `one` is a set of the only component there, -1 where they were of
+    several when inserted."""
 
-    __slots__ = ("low", "high", "next", "leaf", "rest", "ends")
+    __slots__ = ("low", "high", "long", "one", "next", "leaf", "rest", "ends")
 
     def __init__(self):
-        self.low, self.high, self.next, self.leaf, self.rest, self.ends = 1 << 60, 0, None, None, None, None
+        self.low, self.high, self.long, self.one, self.next, self.leaf, self.rest, self.ends = 1 << 60, 0, 0, None, None, None, None, None
 
-    def insert(self, items: np.ndarray, name: int) -> None:
-        node, at, size = self, 0, len(items)
+    def insert(self, items: np.ndarray, size: int, name: int, union: Union) -> None:
+        node, at, count, mine = self, 0, len(items), union.find(name)
         while True:
-            node.low, node.high = min(node.low, size), max(node.high, size)
+            node.low, node.high, node.long = min(node.low, size), max(node.high, size), max(node.long, count)
+            if node.one is None:
+                node.one = name
+            elif node.one >= 0 and union.find(node.one) != mine:
+                node.one = -1
             if node.next is None and node.leaf is None and node.ends is None:
                 node.leaf, node.rest = (name, size), items[at:]
                 return
@@ -120,14 +128,16 @@ class Trie:
                 node.leaf = node.rest = None
                 if len(rest):
                     child = Trie()
-                    child.leaf, child.rest, child.low, child.high = (other, other_size), rest[1:], other_size, other_size
+                    child.leaf, child.rest, child.low, child.high, child.long, child.one = (other, other_size), rest[1:], other_size, other_size, at + len(rest), other
                     node.next = {int(rest[0]): child}
                 else:
                     node.ends, node.next = [(other, other_size)], {}
-            if at == size:
+            if at == count:
                 node.ends = [*(node.ends or []), (name, size)]
                 return
             key = int(items[at])
+            if node.next is None:
+                node.next = {}
             child = node.next.get(key)
             if child is None:
                 child = node.next[key] = Trie()
@@ -151,55 +161,84 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def probe(root: Trie, items: np.ndarray, percent: int, name: int, union: Union) -> None:
-    """Join `name` with every set of the trie that it links to."""
-    size = len(items)
+def probe(root: Trie, items: np.ndarray, size: int, percent: int, name: int, union: Union, held: np.ndarray) -> None:
+    """Join `name` with every set of the trie that it links to. `items` are those of its `size` elements
+    that another set may hold, and `held` is true at them alone."""
     least, most = -(-percent * size // 100), 100 * size // percent
-    whole = np.sort(items)
+    count, both, find = len(items), 100 + percent, union.find
     listed = items.tolist()
     rank = {t: k for k, t in enumerate(listed)}
+    mine = find(name)
     stack = [(root, 0, 0, 0)]  # node, elements passed, of them shared, first own element not yet passed
     while stack:
         node, depth, shared, own = stack.pop()
         if node.high < least or node.low > most:
             continue
-        low = max(node.low, least)
         # shared so far and what both sides still hold must reach the need of the smallest set below
-        if shared + min(size - own, min(node.high, most) - depth) < needed(size, low, percent):
+        low = node.low if node.low > least else least
+        if (shared + min(count - own, node.long - depth)) * both < percent * (size + low):
+            continue
+        if node.one >= 0 and find(node.one) == mine:
             continue
         if node.leaf is not None:
             other, n = node.leaf
-            if least <= n <= most and union.find(other) != union.find(name):
+            if least <= n <= most:
                 need = needed(size, n, percent) - shared
-                if len(node.rest) >= need:
-                    at = np.searchsorted(whole, node.rest)
-                    at[at == size] = size - 1
-                    if int((whole[at] == node.rest).sum()) >= need:
-                        union.join(name, other)
+                if len(node.rest) >= need and np.count_nonzero(held[node.rest]) >= need:
+                    union.join(name, other)
+                    mine = find(name)
             continue
         for other, n in node.ends or ():
             if shared >= needed(size, n, percent):
                 union.join(name, other)
+                mine = find(name)
         for key, child in (node.next or {}).items():
             k = rank.get(key)
-            stack.append((child, depth + 1, shared, own) if k is None else (child, depth + 1, shared + 1, k + 1))
+            # own elements before this one are not below it: numbers rise
+            stack.append((child, depth + 1, shared, bisect_left(listed, key, own)) if k is None else (child, depth + 1, shared + 1, k + 1))
+
+
+def shared_parts(sets: list[np.ndarray], percent: int, rounds: int = 8) -> list[np.ndarray | None]:
+    """Of each set the elements that another set holds, in their order; None for a set that too few are left of
+    to link with any. Sets that leave can only take elements from others, so this is done until none leaves, or `rounds`
+    times."""
+    sizes, left = np.array([len(s) for s in sets], np.int64), [s if len(s) else None for s in sets]
+    for _ in range(rounds):
+        stay = [k for k, s in enumerate(left) if s is not None]
+        if not stay:
+            break
+        flat = np.concatenate([left[k] for k in stay])
+        again = np.bincount(flat)[flat] > 1
+        edge = np.cumsum([0, *(len(left[k]) for k in stay)])
+        gone = 0
+        for k, a, b in zip(stay, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            part = flat[a:b][again[a:b]]
+            if 100 * len(part) < percent * sizes[k]:
+                part, gone = None, gone + 1
+            left[k] = part
+        if not gone:
+            break
+    return left
 
 
 def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> list[int]:
-    """Root of each set (left, then right) after all links within left, or, with
-    right, all links between the two. Sets come in one global order."""
+    """Root of each set (left, then right) after all links among them. Sets are rising numbers of one global
+    order, as `ordered` gives them.
+
+    Elements that only one set holds count by its size alone, and sets that they keep from any link never enter
+    the trie. Those with the fewest of them come first: they link with most others, and from then on whole
+    subtrees of what is already one component are left out."""
     sets = left + (right or [])
-    union = Union(len(sets))
-    root = Trie()
-    if right is None:
-        for k in sorted(range(len(sets)), key=lambda k: len(sets[k])):
-            probe(root, sets[k], percent, k, union)
-            root.insert(sets[k], k)
-    else:
-        for k in range(len(left)):
-            root.insert(sets[k], k)
-        for k in range(len(left), len(sets)):
-            probe(root, sets[k], percent, k, union)
+    union, root = Union(len(sets)), Trie()
+    parts = shared_parts(sets, percent) if len(sets) >= 32 else sets
+    held = np.zeros(max((int(s[-1]) + 1 for s in sets if len(s)), default=0), bool)
+    lost = [1.0 if p is None else 1 - len(p) / len(s) for p, s in zip(parts, sets, strict=True)]
+    for k in sorted(range(len(sets)), key=lambda k: (lost[k], len(sets[k]))):
+        if parts[k] is not None:
+            held[parts[k]] = True
+            probe(root, parts[k], len(sets[k]), percent, k, union, held)
+            held[parts[k]] = False
+            root.insert(parts[k], len(sets[k]), k, union)
     return [union.find(k) for k in range(len(sets))]
 
 
@@ -426,37 +465,31 @@ def _similar_components(docs: DataFrame, n: int, percent: int, tile_elements: in
     blocks = staged(near.select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile")), "blocks")
     n_members, most = blocks.agg(F.count("*"), F.coalesce(F.max("tiles"), F.lit(1))).first()
     small = F.broadcast(blocks) if n_members <= broadcast_rows else blocks.hint("shuffle_merge")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
+    # two tiles meet in a task that joins all of both, so a tile has no task of its own where there are others
+    others = F.filter(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: (t != F.col("tile")) | (F.col("tiles") == 1))
+    pairs = F.transform(others, lambda t: F.struct(F.least(t, "tile").alias("i"), F.greatest(t, "tile").alias("j")))
     members = docs.join(small, "doc_id")
-    cells = members.select("block", F.explode(pairs).alias("pair"), "tile", "doc_id", "text").select("block", "pair.i", "pair.j", "tile", "doc_id", "text")
+    cells = members.select("block", F.explode(pairs).alias("pair"), "doc_id", "text").select("block", "pair.i", "pair.j", "doc_id", "text")
     cells = cells.repartition(tasks * 2, "block", "i", "j").sortWithinPartitions("block", "i", "j")
 
-    def solve(key, ids, tiles, sets):
-        if key[1] == key[2]:
-            roots, order = join_sets(ordered(sets), None, percent), ids
-        else:
-            mine = [k for k, t in enumerate(tiles) if t == key[1]]
-            yours = [k for k, t in enumerate(tiles) if t != key[1]]
-            if not mine or not yours:
-                return None
-            whole = ordered(sets)
-            roots, order = join_sets([whole[k] for k in mine], [whole[k] for k in yours], percent), [ids[k] for k in mine + yours]
-        a = [order[k] for k, r in enumerate(roots) if r != k]
-        b = [order[r] for k, r in enumerate(roots) if r != k]
+    def solve(ids, sets):
+        roots = join_sets(ordered(sets), None, percent)
+        a = [ids[k] for k, r in enumerate(roots) if r != k]
+        b = [ids[r] for k, r in enumerate(roots) if r != k]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if a else None
 
     def link(batches):
-        now, ids, tiles, sets = None, [], [], []
+        now, ids, sets = None, [], []
         for batch in batches:
-            block, i, j, tile, doc = (batch.column(c).to_pylist() for c in range(5))
-            for k, s in enumerate(shingle_sets(batch.column(5), n)):
+            block, i, j, doc = (batch.column(c).to_pylist() for c in range(4))
+            for k, s in enumerate(shingle_sets(batch.column(4), n)):
                 if (block[k], i[k], j[k]) != now:
-                    if now is not None and (out := solve(now, ids, tiles, sets)) is not None:
+                    if ids and (out := solve(ids, sets)) is not None:
                         yield out
-                    now, ids, tiles, sets = (block[k], i[k], j[k]), [], [], []
+                    now, ids, sets = (block[k], i[k], j[k]), [], []
                 if len(s):
-                    ids.append(doc[k]), tiles.append(tile[k]), sets.append(s)
-        if now is not None and (out := solve(now, ids, tiles, sets)) is not None:
+                    ids.append(doc[k]), sets.append(s)
+        if ids and (out := solve(ids, sets)) is not None:
             yield out
 
     found = components(cells.mapInArrow(link, "a long, b long")).select(F.col("node").alias("cls"), "component")

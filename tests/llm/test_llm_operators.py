@@ -419,6 +419,23 @@ def test_trie_finds_every_link(seed):
     assert jaccard.join_sets(low, None, 80) == want
 
 
+def test_large_blocks_of_near_copies(monkeypatch):
+    """A set is compared with few of a large block: neither with what its own elements exclude nor with all of a component."""
+    rng, base = np.random.default_rng(3), np.arange(400)
+    rows = []
+    for k in range(400):
+        w = base.copy()
+        at = rng.permutation(400)[: rng.integers(0, 30)]
+        w[at] = 1000 + 400 * k + np.arange(len(at))
+        rows.append(" ".join(map(str, w)))
+    sets = jaccard.ordered(list(jaccard.shingle_sets(pa.array(rows), 5)))
+    seen, real = [], jaccard.needed
+    monkeypatch.setattr(jaccard, "needed", lambda *a: seen.append(a) or real(*a))
+    got = jaccard.join_sets(sets, None, 80)
+    assert got == [c for _, _, c in brute_components(rows)] and len(set(got)) > 100
+    assert len(seen) < 2000 < 400 * 399 // 2  # sets asked for the overlap that they need
+
+
 def test_components(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(k, k + 1) for k in range(100, 140)] + [(500, k) for k in range(501, 560)] + [(1, 1), (None, 3)]
