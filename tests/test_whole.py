@@ -3,6 +3,7 @@
 import html
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,3 +280,53 @@ def test_files_are_looked_at_in_few_tasks(spark, tmp_path, monkeypatch):
     assert spark.conf.get(jobs.LISTING, None) == before
     monkeypatch.setattr(jobs, "LISTING_TASKS", 10_000)
     assert most_tasks("many") == 200  # as Spark does it
+
+
+def test_leaf_names_tell_leaves_apart(spark):
+    """Names in the row agree with the table of leaves: as many, and equal where place, type and value are."""
+    from docloom.operators import leaves as lv
+
+    texts = ['{"a": 1, "b": [1.0, 2.5, {"c": null}]}', '{"a": 1.0, "b": [1, 2.50, {"c": "null"}]}', '{"a.b": "1", "a": {"b": 1, "": []}}', '{"a": {"b": "1"}, "a[0]": {}}', "[[], {}, [[[1]]]]", "[[], [], [[[1]]]]",
+             '{"a": "x=INT:1+"}', '{"a": true, "é": "é", "n": 12345678901234567890123}', '{"a": 1, "a": [2]}', "null", '"text"', "7", "7.0", "{}", "[]", '{"a": [{"b": [1, 2]}, {"b": [1, 3]}]}', "{broken", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, j string")
+    table = {}
+    for r in lv.leaves(rows, "j").collect():
+        table.setdefault(r.doc_id, set()).add((r.at, r.type, r.value))
+    with lv.last_key_counts(spark):
+        names = {r.doc_id: r.n for r in lv.written(lv.with_parsed(rows, "j", "v").select("doc_id", lv.leaf_names(F.col("v")).alias("n")), "names").collect()}
+    assert {k for k, n in names.items() if n is None} == {16, 17}
+    for a in table:
+        assert len(names[a]) == len(set(names[a])) == len(table[a])
+        assert sum(x.endswith("-") for x in names[a]) == sum(t in ("{}", "[]") for _, t, _ in table[a])
+        for b in table:
+            assert len(set(names[a]) & set(names[b])) == len(table[a] & table[b]), (a, b)
+    deep = spark.createDataFrame([('{"a": [[[[1]]]], "b": 2}',), ("[[[[]]]]",)], "j string").select(lv.leaf_names(F.try_parse_json("j")).alias("n"))
+    assert [[x is None for x in r.n] for r in deep.collect()] == [[True, False], [False]]
+
+
+def test_answers_are_scored_where_they_lie(spark, monkeypatch):
+    """No text, value or leaf of an answer is shuffled or written, but for values of more than four levels."""
+    from docloom.operators import json_bench
+    from docloom.operators import leaves as lv
+
+    plans, real = [], json_bench.written
+    keep = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name)
+    monkeypatch.setattr(json_bench, "written", keep)
+    monkeypatch.setattr(lv, "written", keep)
+    noise = F.concat_ws("", *[F.sha2(F.concat_ws("-", "id", F.lit(k)), 256) for k in range(30)])
+    text = F.concat(F.lit('{"n": '), F.col("id").cast("string"), F.lit(', "e": [], "t": "'), noise, F.lit('"}'))
+    deep = F.concat(F.lit('{"d": [[[[['), F.col("id").cast("string"), F.lit("]]]]]}"))
+    wanted = F.when(F.col("id") < 3, deep).otherwise(text)
+    rows = spark.range(0, 500, 1, 3).select(F.lit("v").alias("variant"), F.col("id").cast("string").alias("source"), F.when(F.col("id") % 5 == 4, F.concat(wanted, F.lit(" x"))).otherwise(F.replace(wanted, F.lit('"n": 1'), F.lit('"n": 2'))).alias("prediction"), wanted.alias("reference"))
+    scores = json_bench.prediction_scores(rows, similarity=False)
+    assert "Exchange" not in plans[0]
+    size = lambda df: sum(Path(f.removeprefix("file:")).stat().st_size for f in df.inputFiles())
+    assert size(scores) < 200_000 < 500 * 30 * 64
+    got = {int(r.source): (r.json_valid, r.exact_match, r.tp, r.n_predicted, r.n_reference) for r in scores.collect()}
+    for k in range(500):
+        valid, same = k % 5 != 4, k < 3 or not str(k).startswith("1")
+        n = 1 if k < 3 else 2
+        assert got[k] == (valid, valid and same, (n if same else n - 1) if valid else 0, n if valid else 0, n), k
+    plans.clear()
+    assert size(json_bench.tolerant_fields(rows, {"n": lambda v: F.try_variant_get(v, "$.n", "int")}, ["source"])) < 100_000 and size(json_bench.strict_fields(rows, {"valid": lambda v: v.isNotNull()}, ["source"])) < 100_000
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
