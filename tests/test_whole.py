@@ -330,3 +330,12 @@ def test_answers_are_scored_where_they_lie(spark, monkeypatch):
     plans.clear()
     assert size(json_bench.tolerant_fields(rows, {"n": lambda v: F.try_variant_get(v, "$.n", "int")}, ["source"])) < 100_000 and size(json_bench.strict_fields(rows, {"valid": lambda v: v.isNotNull()}, ["source"])) < 100_000
     assert len(plans) == 2 and not any("Exchange" in p for p in plans)
+
+
+def test_variants_are_compared_by_one_shuffle(spark):
+    from docloom.operators import json_bench
+
+    rows = spark.createDataFrame([("a", "1", 3), ("b", "1", 4), ("a", "2", 5), ("b", "3", None), ("c", "3", 9)], "variant string, source string, tp long")
+    out = json_bench.variant_comparison(rows, ["a", "b"], "tp")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, out.collect())) == [("1", 3, 4), ("2", 5, None), ("3", None, None)]
