@@ -339,3 +339,10 @@ def test_variants_are_compared_by_one_shuffle(spark):
     out = json_bench.variant_comparison(rows, ["a", "b"], "tp")
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, out.collect())) == [("1", 3, 4), ("2", 5, None), ("3", None, None)]
+
+
+@pytest.mark.parametrize("name,column", [("json_tolerant_values", "id"), ("json_strict_validity", "valid")])
+def test_read_answers_are_not_written(spark, name, column):
+    """What is written of the answers is the result, without their texts and values."""
+    out = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert spark.read.parquet(*out.inputFiles()).columns == ["variant", "source", column]
